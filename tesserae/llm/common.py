@@ -26,6 +26,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2, F.lit(False))
 
 
+def aside(df: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """df with all columns but the used ones under names that clash with nothing, and what brings the names back."""
+    other = {c: f"__aside{i}" for i, c in enumerate(df.columns) if c not in used}
+    return df.withColumnsRenamed(other), [F.col(f"`{other.get(c, c)}`").alias(c) for c in df.columns]
+
+
 def append(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable]) -> DataFrame:
     """Columns computed in Python from one text column, beside all columns of df.
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import append
+from tesserae.llm.common import append, aside
 from tesserae.llm.fmindex import FMIndex
 
 WINDOW = 13
@@ -170,4 +170,5 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text:
 
 def without(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs that are not contaminated, as they are."""
-    return detect(docs, benchmark, text).where(~F.col("contaminated")).select(*docs.columns)
+    named, back = aside(docs, text)
+    return detect(named, benchmark, text).where(~F.col("contaminated")).select(*back)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import SPAN, append, span_digests
+from tesserae.llm.common import SPAN, append, aside, span_digests
 
 KINDS = ["email", "ip", "card", "phone"]
 EXTRA = ["iban", "ssn", "local_phone"]
@@ -147,10 +147,10 @@ def detect(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
 
 def redacted(df: DataFrame, text: str = "text") -> DataFrame:
     """df with personal data replaced by tags; a null text stays null."""
-    original = df.schema
+    named, back = aside(df, text)
     work = lambda a: [[redact(x, s) if (s := find(x)) else x for x in a.to_pylist()]]
-    done = append(df.withColumn("_absent", F.col(text).isNull()), text, [T.StructField(text, T.StringType())], lambda: work)
-    return done.select(*[F.when(~F.col("_absent"), F.col(text)).alias(text) if n == text else F.col(n) for n in original.names])
+    done = append(named.withColumn("_absent", F.col(text).isNull()), text, [T.StructField(text, T.StringType())], lambda: work)
+    return done.withColumn(text, F.when(~F.col("_absent"), F.col(text))).select(*back)
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

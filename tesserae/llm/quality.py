@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserae.llm import trees
-from tesserae.llm.common import append, held_out
+from tesserae.llm.common import append, aside, held_out
 from tesserae.llm.docstats import FEATURES, counts, features
 
 #: At most so many labelled rows are learnt from, at every size of input.
@@ -59,6 +59,12 @@ def score(df: DataFrame, model: dict, text: str = "text", out: str = "score") ->
     return append(df, text, [T.StructField(out, T.DoubleType())], lambda: lambda a: [np.round(predict(spread.value, features(counts(a))), 9)])
 
 
+def accepted(df: DataFrame, model: dict, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of df that score the threshold or more, as they are."""
+    named, back = aside(df, text)
+    return score(named, model, text, "_score").where(F.col("_score") >= threshold).select(*back)
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     scored = score(docs.select(id_col, text), fit(docs, labels, "quality", id_col, text), text).drop(text)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import append
+from tesserae.llm.common import append, aside
 from tesserae.llm.components import components
 from tesserae.session import ensure_checkpoint_dir, ship
 
@@ -216,9 +216,9 @@ def cell_links(fps: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, fp, component_id (the smallest id reachable), root (a name for the component that is never null)."""
+    """id, fp, _text (a hash of the text), component_id (the smallest id reachable), root (a name for the component, never null)."""
     ensure_checkpoint_dir(docs.sparkSession)
-    narrow = fingerprints(docs.select(id_col, text), text, "fp").select(id_col, "fp").checkpoint()
+    narrow = fingerprints(docs.select(id_col, text, F.xxhash64(text).alias("_text")), text, "fp").select(id_col, "fp", "_text").checkpoint()
     fps = narrow.groupBy("fp").agg(F.min(id_col).alias("_low"))
     joined = components(cell_links(fps.select("fp")))
     named = fps.join(joined, fps.fp == joined.node, "left").select("fp", "_low", F.coalesce("root", "fp").alias("root"))
@@ -227,9 +227,24 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     names = named.join(low, "root").select("fp", "root", "component_id", F.xxhash64(F.lit(5), "fp").alias("_h"))
     rows = narrow.withColumn("_h", F.xxhash64(F.lit(5), "fp"))
     met = rows.join(names.withColumnRenamed("fp", "_fp"), "_h").where("fp = _fp")
-    return met.select(id_col, "fp", "component_id", "root")
+    return met.select(id_col, "fp", "_text", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint, component_id."""
     return grouped(docs, id_col, text).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component, as it is: that of the smallest id (a null id comes last, then the text's hash decides).
+
+    Texts are dealt out once, to meet the rows that stay; those are a few numbers each and are what is held in memory.
+    """
+    rows = grouped(docs, id_col, text).groupBy("root", id_col, "_text").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.col("_text").alias("t"), "n"))
+    stay = rows.groupBy("root").agg(first.alias("x")).select(F.col("x.id").alias("_id"), F.col("x.t").alias("_t"), F.col("x.n").alias("_n")).checkpoint()
+    named, back = aside(docs, id_col, text)
+    met = named.withColumn("_h", F.xxhash64(text)).join(stay.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_t")))
+    if stay.where("_n > 1").limit(1).count():  # rows that are equal in id and text
+        met = met.where("_n = 1").unionByName(met.where("_n > 1").dropDuplicates(["_id", "_t"]))
+    return met.select(*back)
