@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import decontam, mixing, pii, quality, rules, secret_scan, simhash, token_counts, toxicity
+from tesserae.llm import decontam, mixing, pii, quality, rules, secret_scan, simhash, token_counts, toxicity, url_filter
 from tesserae.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(table(spark, sf_dir, "documents"))
 
