@@ -86,11 +86,11 @@ def rate_sources(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b).groupBy("source", "part").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT region AS region, country, city AS key, rate::INT AS rate, 1 AS seasons FROM {RATES}")
+@query(f"SELECT region AS region, country, city AS key, floor(rate + 0.5)::INT AS rate, 1 AS seasons FROM {RATES}")
 def rate_tree_flatten(spark: SparkSession, d: str) -> DataFrame:
     """A tree is built a country at a time and flattened again."""
     season = F.array(F.struct(F.lit("12-01").alias("from"), F.lit("01-31").alias("to"), F.lit(1).alias("rate")))
-    city = F.struct(F.col("city").alias("key"), F.col("city").alias("name"), F.round("rate").cast("int").alias("rate"), season.alias("seasonal"))
+    city = F.struct(F.col("city").alias("key"), F.col("city").alias("name"), F.floor(F.col("rate") + 0.5).cast("int").alias("rate"), season.alias("seasonal"))
     tree = rates(spark, d).groupBy("region", "country").agg(F.collect_list(city).alias("cities")).select("region", F.array(F.struct("country", "cities")).alias("countries"))
     flat, seasons = rt.flattened(tree)
     return flat.join(seasons.groupBy("key").agg(F.count("*").cast("int").alias("seasons")), "key").select("region", "country", "key", "rate", "seasons")

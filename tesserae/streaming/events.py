@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesserae.operators import events as ev
 from tesserae.session import ensure_checkpoint_dir
@@ -39,7 +40,10 @@ def run_to_end(out: DataFrame, spark: SparkSession, name: str, mode: str = "appe
     folder = shared_folder(spark, name)
     job = out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(batch_writer(f"{folder}/rows")).start()
     job.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{folder}/rows").select(*out.columns)
+    rows = spark.read.schema(T.StructType([*out.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{folder}/rows")
+    if mode == "complete":  # each batch holds all rows so far
+        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.select(*out.columns)
 
 
 def last_of_burst(events: DataFrame, key: str, gap: str, late: str = "1 day") -> DataFrame:
