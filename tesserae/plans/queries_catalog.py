@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import text as tx
 from tesserae.operators import catalog, facets, graph, scenario, search
+from tesserae.operators.ranking import places
 from tesserae.plans import config as c
 from tesserae.plans.registry import query, values
 from tesserae.plans.spec import QuerySpec
@@ -120,7 +121,7 @@ def load_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT id, row_number() OVER (PARTITION BY topic ORDER BY {place('topic', -1)}, klass, ord <= 0, ord, id)::INT AS pos FROM {CARDS}")
 def load_order(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.numbered(cards(spark, d), catalog.load_order(c.TOPIC_ORDER), ["topic"]).select("id", "pos")
+    return places(cards(spark, d), ["topic"], catalog.load_order(c.TOPIC_ORDER)).select("id", "pos")
 
 
 BROWSE = f"{place('klass', 99)}, CASE WHEN klass = 'PROMO' THEN ord END NULLS LAST, ord NULLS LAST, load_ord"
@@ -128,9 +129,9 @@ BROWSE = f"{place('klass', 99)}, CASE WHEN klass = 'PROMO' THEN ord END NULLS LA
 
 @query(f"SELECT id, row_number() OVER (PARTITION BY topic ORDER BY {BROWSE})::INT AS pos FROM {LIVE}")
 def browse_order(spark: SparkSession, d: str) -> DataFrame:
-    """The topic leads the order, so places are given within it: no order over all rows is needed."""
+    """The topic leads the order, so places are given within it; a topic of very many cards spreads over tasks."""
     rows = catalog.visible(cards(spark, d), c.HIDDEN_TOPICS)
-    return catalog.numbered(rows, catalog.browse_order(c.TOPIC_ORDER, c.CLASS_ORDER, "PROMO"), ["topic"]).select("id", "pos")
+    return places(rows, ["topic"], catalog.browse_order(c.TOPIC_ORDER, c.CLASS_ORDER, "PROMO")).select("id", "pos")
 
 
 CAT = "CASE " + " ".join(f"WHEN list_contains(tags, '{t}') THEN {i}" for i, t in enumerate(c.CONCRETE)) + f" ELSE {len(c.CONCRETE)} END"
