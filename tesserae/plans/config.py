@@ -63,3 +63,11 @@ def flow(spark: SparkSession) -> DataFrame:
 
 def conclusions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CONCLUSIONS, "flow string, conclude string, redirect string")
+
+
+#: Attachment baselines by category, questions with the rule they lead to, references of conclusions, labels that were renamed.
+BASELINES = [("red", "Red list", 2), ("bolt", "Bolt list", 1), ("blue", "Blue list", 4)]
+FAQS = [(1, "why red", 1), (2, "which bolt", 2), (3, "lost", 99)]
+REFERENCES = [("f1", "c1", [3, 999_999_999]), ("f1", "c2", []), ("f1", "c3", [2, 11])]
+RENAMED = {"none": "general", "other": "residual"}
+ROOTS = [(1, True, [2, 3]), (2, False, [4]), (3, True, []), (4, None, None)]

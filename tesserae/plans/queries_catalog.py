@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as tx
@@ -344,3 +344,44 @@ def card_projection(spark: SparkSession, d: str) -> DataFrame:
     badge = F.when(F.col("obsolete") & F.col("effective").isNotNull(), "limited").when(F.col("obsolete"), "obsolete").otherwise("current")
     display = F.concat_ws(" ", F.when(F.col("klass") == "PROMO", F.concat(F.lit("No. "), F.col("ord").cast("string"))), F.col("title"))
     return cards(spark, d).select("id", F.coalesce("title", F.col("id").cast("string")).alias("title"), "topic", label.alias("label"), F.array_join(F.slice("tags", 1, 3), "|").alias("tags3"), badge.alias("badge"), display.alias("display"))
+
+
+@query(f"SELECT rule, title, items FROM {RULES} LEFT JOIN {values(c.BASELINES, 'b(category, title, items)')} USING (category)")
+def scenario_baseline(spark: SparkSession, d: str) -> DataFrame:
+    base = spark.createDataFrame(c.BASELINES, "category string, title string, items int")
+    return c.rules(spark).join(F.broadcast(base), "category", "left").select("rule", "title", "items")
+
+
+@query(f"SELECT faq, q, rule, topic FROM {values(c.FAQS, 'f(faq, q, rule)')} JOIN {RULES} USING (rule)")
+def faq_navigation(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(c.FAQS, "faq int, q string, rule int").join(c.rules(spark), "rule").select("faq", "q", "rule", "topic")
+
+
+@query(f"SELECT flow, conclude, ref, p_name AS title FROM (SELECT flow, conclude, unnest(refs) AS ref FROM {values(c.REFERENCES, 'r(flow, conclude, refs)')}) LEFT JOIN part ON ref = p_partkey")
+def conclusion_refs(spark: SparkSession, d: str) -> DataFrame:
+    """References stay even if nothing answers to them."""
+    refs = spark.createDataFrame(c.REFERENCES, "flow string, conclude string, refs array<long>").select("flow", "conclude", F.explode("refs").alias("ref"))
+    return refs.join(cards(spark, d).select(F.col("id").alias("ref"), "title"), "ref", "left").select("flow", "conclude", "ref", "title")
+
+
+@query(f"SELECT rule, CASE category WHEN 'none' THEN 'general' WHEN 'other' THEN 'residual' ELSE category END AS label FROM {RULES}")
+def label_rename(spark: SparkSession, d: str) -> DataFrame:
+    table_ = F.create_map(*[F.lit(x) for kv in c.RENAMED.items() for x in kv])
+    return c.rules(spark).select("rule", F.coalesce(F.element_at(table_, F.col("category")), "category").alias("label"))
+
+
+@query(f"SELECT r.rule, coalesce(flow_root, false) AND coalesce(len(subs), 0) > 0 AS root, coalesce(len(subs), 0)::INT AS n_subs, s.flow IS NOT NULL AS has_flow FROM {values(c.ROOTS, 'r(rule, flow_root, subs)')} LEFT JOIN {values(c.STARTS, 's(flow, question)')} ON s.flow = 'f' || r.rule")
+def scenario_roots(spark: SparkSession, d: str) -> DataFrame:
+    roots = spark.createDataFrame(c.ROOTS, "rule int, flow_root boolean, subs array<int>").withColumn("flow", F.concat(F.lit("f"), F.col("rule").cast("string")))
+    starts = spark.createDataFrame(c.STARTS, "flow string, question string")
+    n = F.coalesce(F.array_size("subs"), F.lit(0))
+    return roots.join(F.broadcast(starts), "flow", "left").select("rule", (F.coalesce("flow_root", F.lit(False)) & (n > 0)).alias("root"), n.alias("n_subs"), F.col("question").isNotNull().alias("has_flow"))
+
+
+@query("SELECT p_brand AS topic, p_partkey AS id FROM part WHERE p_brand IN (SELECT DISTINCT p_brand FROM part ORDER BY 1 LIMIT 3 OFFSET 3)")
+def sections_page(spark: SparkSession, d: str) -> DataFrame:
+    """The second three sections: the sections are placed, not the cards."""
+    rows = cards(spark, d)
+    w = Window.partitionBy("_all").orderBy("topic")
+    chosen = rows.select("topic").distinct().withColumn("_all", F.lit(1)).withColumn("_place", F.row_number().over(w)).where("_place BETWEEN 4 AND 6")
+    return rows.join(F.broadcast(chosen.select("topic")), "topic", "left_semi").select("topic", "id")
