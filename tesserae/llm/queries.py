@@ -54,4 +54,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items(), key=lambda x: x[0]) if k.startswith("op")}
 
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.ORACLE_SQL, "op5_decontamination": decontam.ORACLE_SQL}

@@ -80,3 +80,13 @@ def test_tables(spark):
     got = sorted(map(tuple, decontam.report(docs, bench).collect()))
     assert got == sorted((r.doc_id, *plain(r.text, windows)) for r in docs.collect())
     assert 0 < sum(r[5] for r in got) < len(got) / 4
+
+
+def test_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS FROM '/root/testdata/sf0.001/{t}.parquet'")
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    assert sorted(map(tuple, decontam.report(docs, bench).collect())) == sorted(con.sql(decontam.ORACLE_SQL).fetchall())
