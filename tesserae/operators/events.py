@@ -39,11 +39,11 @@ def sanitised(events: DataFrame, search_type: str, agent: Column, now: Column) -
 
 
 def since(events: DataFrame, days: int, ref: Column | None = None) -> DataFrame:
-    """Events of the last days before ref, else before the latest event; that is one value, met by every row."""
-    if ref is not None:
-        return events.where(F.col("ts") >= ref - F.make_dt_interval(F.lit(days)))
-    latest = events.agg((F.max("ts") - F.make_dt_interval(F.lit(days))).alias("_from"))
-    return events.join(F.broadcast(latest), F.col("ts") >= F.col("_from")).drop("_from")
+    """Events of the last days before ref, else before the latest event: one value, worked out once, then a plain filter."""
+    start = F.make_dt_interval(F.lit(days))
+    if ref is None:
+        ref = events.agg(F.max("ts")).scalar()
+    return events.where(F.col("ts") >= ref - start)
 
 
 def by_type(events: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def lookup(queries: DataFrame, rates: DataFrame, aliases: DataFrame) -> DataFram
     """
     q = queries.select("query", norm(F.col("query")).alias("_q")).distinct()
     cols = ["city", "country", "rate", "ord"]
-    exact = rates.join(F.broadcast(q), F.lower("city") == F.col("_q")).select("query", F.lit(0).alias("pri"), F.lit("exact").alias("how"), *cols)
+    exact = rates.join(q, F.lower("city") == F.col("_q")).select("query", F.lit(0).alias("pri"), F.lit("exact").alias("how"), *cols)
     partial = rates.join(F.broadcast(q.where("_q <> ''")), F.contains(F.lower("city"), F.col("_q"))).select("query", F.lit(1).alias("pri"), F.lit("partial").alias("how"), *cols)
     nation_first = rates.groupBy("country").agg(F.min_by(F.struct(*cols), "ord").alias("x")).select("x.*")
     other = by_alias(queries, aliases).join(nation_first, F.col("nation") == F.col("country")).select("query", F.lit(2).alias("pri"), F.lit("alias").alias("how"), *cols)
@@ -62,9 +62,9 @@ def parsed_tiers(tiers: DataFrame) -> DataFrame:
 def in_tier(rows: DataFrame, value: str, tiers: DataFrame) -> DataFrame:
     """rows with the first tier that holds the value, both bounds counted; null if none does. The tiers are a short configured list."""
     t = F.array_sort(F.collect_list(F.struct("ord", "label", "low", "high")))
-    listed = parsed_tiers(tiers).agg(t.alias("_tiers"))
+    listed = parsed_tiers(tiers).agg(t.alias("_tiers")).scalar()  # one value, worked out once
     fits = F.filter("_tiers", lambda x: (F.col(value) >= x["low"]) & (F.col(value) <= x["high"]))
-    return rows.crossJoin(F.broadcast(listed)).withColumn("tier", F.get(fits, F.lit(0))["label"]).drop("_tiers")  # one row on the right
+    return rows.withColumn("_tiers", listed).withColumn("tier", F.get(fits, F.lit(0))["label"]).drop("_tiers")
 
 
 def allowance(rate: Column, days: Column, pct: Column, fx: Column) -> tuple[Column, Column, Column]:
@@ -92,9 +92,9 @@ def table_rows(rows: DataFrame, section: str, term: str, cells: list[str], order
 def options(rates: DataFrame, query: str) -> DataFrame:
     """Cities whose city, country and region hold the query, with the region's header count, and whether only one is left."""
     kept = rates.where(has(F.concat("city", "country", "region"), query.lower()))
-    total = kept.agg(F.count("*").alias("of"))
+    total = kept.agg(F.count("*").alias("of")).scalar()
     grouped = kept.withColumn("in_region", F.count("*").over(Window.partitionBy("region")))
-    return grouped.crossJoin(F.broadcast(total)).withColumn("only", F.col("of") == 1).drop("of")
+    return grouped.withColumn("only", total == 1)
 
 
 def flattened(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
