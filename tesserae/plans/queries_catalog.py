@@ -106,9 +106,9 @@ def search_highlight(spark: SparkSession, d: str) -> DataFrame:
     return cards(spark, d).select("id", tx.highlight(F.col("title"), ["red", "widget"]).alias("marked"))
 
 
-@query("""SELECT doc_id, replace(replace(replace(replace(replace(substr(text, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM documents""")
+@query("""SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS digest FROM documents""")
 def html_escape(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", tx.escape_html(F.substring("text", 1, 300)).alias("escaped"))
+    return table(spark, d, "documents").select("doc_id", F.md5(tx.escape_html(F.col("text")).cast("binary")).alias("digest"))
 
 
 LIVE = f"(SELECT * FROM {CARDS} WHERE topic NOT IN ('Brand#13') AND (NOT obsolete OR coalesce(effective, '') <> '')) AS live"

@@ -106,10 +106,10 @@ def title_defects(spark: SparkSession, d: str) -> DataFrame:
     return cards(spark, d).select("id", gv.title_defect(F.col("title"), 8, 12, ["Small Ring"]).alias("defect"))
 
 
-@query(f"SELECT id, split_part(title, ' ', 1) AS prefix, split_part(title, ' ', 2) AS main FROM {CARDS} WHERE contains(title, ' ')")
+@query(f"SELECT id, split_part(title, ' ', 1) AS prefix, split_part(title, ' ', 2) AS main FROM {CARDS}")
 def title_split(spark: SparkSession, d: str) -> DataFrame:
     prefix, main = tx.split_title(F.col("title"), F.col("id").cast("string"), [r"[0-9]+", r"[a-z]+(?= )"])
-    return cards(spark, d).where("instr(title, ' ') > 0").select("id", prefix.alias("prefix"), main.alias("main"))
+    return cards(spark, d).select("id", prefix.alias("prefix"), main.alias("main"))
 
 
 @query("SELECT p_partkey AS id, split_part(p_brand, '#', 1) AS klass, split_part(p_brand, '#', 2)::INT AS num, split_part(p_brand, '#', 2) AS law FROM part")
@@ -125,15 +125,16 @@ def url_host(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", tx.url_host(F.col("url")).alias("host"), tx.first_match(F.col("url"), [(".html", "file"), ("utm_", "feed")], "page").alias("label"))
 
 
-SECTIONS = "'---' || chr(10) || 'id: ' || conv_id || chr(10) || '---' || chr(10) || chr(10) || '## Notes' || chr(10) || role || chr(10) || chr(10) || '## Summary' || chr(10) || substr(text, 1, 60) || chr(10) || '## End' || chr(10) || 'x'"
+SECTION = r"SELECT conv_id, turn, trim(regexp_extract(text || chr(10) || '## End', '(?s)^(.*?)\n##\s', 1), ' ' || chr(10) || chr(9) || chr(13)) AS summary, role AS notes, true AS stripped FROM conversations"
 
 
-@query("SELECT conv_id, turn, trim(substr(text, 1, 60), ' ' || chr(10) || chr(9) || chr(13)) AS summary, role AS notes, 'x' AS first, true AS stripped FROM conversations WHERE NOT contains(substr(text, 1, 60), chr(10) || '##')")
+@query(SECTION)
 def section_extract(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").where(~F.contains(F.substring("text", 1, 60), F.lit("\n##")))
-    md = F.concat(F.lit("---\nid: "), F.col("conv_id").cast("string"), F.lit("\n---\n\n## Notes\n"), "role", F.lit("\n\n## Summary\n"), F.substring("text", 1, 60), F.lit("\n## End\nx"))
+    """Whole texts as the body of a section between two others, below a front matter."""
+    c = table(spark, d, "conversations")
+    md = F.concat(F.lit("---\nid: "), F.col("conv_id").cast("string"), F.lit("\n---\n\n## Notes\n"), "role", F.lit("\n\n## Summary\n"), "text", F.lit("\n## End\nx"))
     body = tx.strip_front_matter(md)
-    return c.select("conv_id", "turn", tx.section(md, "Summary").alias("summary"), tx.section(md, "Notes").alias("notes"), tx.first_section(md, ["None", "End"]).alias("first"), F.startswith(body, F.lit("## Notes")).alias("stripped"))
+    return c.select("conv_id", "turn", tx.section(md, "Summary").alias("summary"), tx.first_section(md, ["None", "Notes"]).alias("notes"), F.startswith(body, F.lit("## Notes")).alias("stripped"))
 
 
 @query("SELECT doc_id, CASE WHEN contains(lower(text), 'copyright') OR contains(lower(text), 'license') THEN 'contested' WHEN contains(lower(text), 'apache') THEN 'inferred' ELSE 'explicit' END AS certainty, regexp_matches(text, '[|]{1} *[a-z]+$') AS residue FROM documents")
@@ -174,10 +175,10 @@ def numerals(spark: SparkSession, d: str) -> DataFrame:
     return words.select("word", vl.numeral(F.col("word")).alias("n"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}', '[mail]', 'g'), '[+][0-9]+ [(][0-9]+[)] [0-9-]+', '[phone]', 'g') AS text FROM documents WHERE contains(text, '@')")
+@query("SELECT doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}', '[mail]', 'g'), '[+][0-9]+ [(][0-9]+[)] [0-9-]+', '[phone]', 'g') AS text FROM documents")
 def redact_text(spark: SparkSession, d: str) -> DataFrame:
     mail = F.regexp_replace("text", "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", "[mail]")
-    return table(spark, d, "documents").where(F.contains("text", F.lit("@"))).select("doc_id", F.regexp_replace(mail, "[+][0-9]+ [(][0-9]+[)] [0-9-]+", "[phone]").alias("text"))
+    return table(spark, d, "documents").select("doc_id", F.regexp_replace(mail, "[+][0-9]+ [(][0-9]+[)] [0-9-]+", "[phone]").alias("text"))
 
 
 @query("SELECT lower(regexp_replace(p_name, ' +$', '')) || '|' AS name, count(*) AS n FROM part GROUP BY 1")
