@@ -28,14 +28,14 @@ from pyspark.sql import types as T
 from tesserae.llm.common import append
 
 LIMIT = 512
-#: Bytes of pieces whose tables a worker keeps.
-KEPT_BYTES = 8 << 20
-#: A longer piece is worked on but its table isn't kept.
+#: Pieces, and prefixes of pieces, whose counts a worker keeps, each of at most so many letters.
+KEPT = 400_000
 KEPT_PIECE = 64
 #: The tokenizer family's fixed split pattern, with the white space of its own regular-expression library spelled out.
 SPACE = r"[\t-\r\x20\x85\p{Z}]"
 OTHER = r"[^\t-\r\x20\x85\p{Z}\p{L}\p{N}]"
-PATTERN = rf"'(?:[sdmt]|ll|ve|re)|\x20?\p{{L}}+|\x20?\p{{N}}+|\x20?{OTHER}+|{SPACE}+(?!{SPACE.replace('[', '[^')})|{SPACE}+"
+#: Letters come first as they are most frequent; no piece that begins with an apostrophe could be theirs.
+PATTERN = rf"\x20?\p{{L}}++|'(?:[sdmt]|ll|ve|re)|\x20?\p{{N}}++|\x20?{OTHER}++|{SPACE}+(?!{SPACE.replace('[', '[^')})|{SPACE}+"
 
 
 def byte_letters() -> dict[str, int]:
@@ -58,13 +58,16 @@ class PrefixTable:
         self.vocab = {raw(k) for k in spec["model"]["vocab"] if k not in known}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.rank = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
+        self.made: dict[bytes, tuple[int, bytes, bytes]] = {}  # the merge that makes a token: its rank, left and right
+        for i, (a, b) in enumerate(self.rank):
+            self.made.setdefault(a + b, (i, a, b))
         self.widest = max(map(len, self.vocab))
         self.split = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.tables: dict[str, tuple[int, ...]] = {}
         self.totals: dict[str, int] = {}
-        self.kept = 0
-        self.survives = lru_cache(1 << 18)(self._survives)
+        self.states: dict[bytes, tuple[int, bytes]] = {}
+        self.survives = lru_cache(1 << 17)(self._survives)
+        self.whole = lru_cache(1 << 16)(lambda token: self.merged(token) == [token])
 
     def merged(self, piece: bytes) -> list[bytes]:
         """By the merges, lowest rank first: the definition, for short pieces."""
@@ -77,43 +80,70 @@ class PrefixTable:
         return parts
 
     def _survives(self, left: bytes, right: bytes) -> bool:
-        """Whether the two tokens side by side are how the merges leave them."""
-        return self.merged(left + right) == [left, right]
-
-    def table(self, piece: bytes) -> tuple[int, ...]:
-        """Counts of tokens of the prefixes of 0, 1, ... bytes."""
-        last: list[bytes] = [b""]
-        counts = [0]
+        """Whether the merges leave the two tokens side by side.
+
+        Their making is undone step by step, the later merge first. At each step a merge across the border may not have come before the
+        merge that was just undone; of equal merges, the left one comes first.
+        """
+        rank, made = self.rank, self.made
+        before = 1 << 60  # a merge across the border of a rank below this would have come first
+        while True:
+            if rank.get((left, right), 1 << 60) < before:
+                return False
+            a, b = made.get(left), made.get(right)
+            if a is None and b is None:
+                return True
+            if b is None or a is not None and a[0] > b[0]:
+                before, left = a[0], a[2]
+            else:
+                before, right = b[0] + 1, b[1]
+
+    def step(self, piece: bytes, end: int, at) -> tuple[int, bytes]:
+        """Tokens of piece[:end] and the last of them; at(start) gives the same for a shorter prefix."""
+        vocab, survives = self.vocab, self.survives
+        for start in range(max(0, end - self.widest), end):
+            token = piece[start:end]
+            if token in vocab:
+                count, before = at(start)
+                if survives(before, token) if start else self.whole(token):
+                    return count + 1, token
+        raise ValueError("a byte is missing in the vocabulary")
+
+    def table(self, piece: bytes) -> list[tuple[int, bytes]]:
+        """Tokens of the prefixes of 0, 1, ... bytes, and the last token of each."""
+        found = [(0, b"")]
         for end in range(1, len(piece) + 1):
-            for start in range(max(0, end - self.widest), end):
-                token = piece[start:end]
-                if token in self.vocab and (self.whole(token) if start == 0 else self.survives(last[start], token)):
-                    last.append(token)
-                    counts.append(counts[start] + 1)
-                    break
-        return tuple(counts)
-
-    @lru_cache(1 << 16)  # noqa: B019  one table a worker
-    def whole(self, token: bytes) -> bool:
-        return self.merged(token) == [token]
+            found.append(self.step(piece, end, found.__getitem__))
+        return found
+
+    def last(self, piece: bytes) -> int:
+        """Tokens of the whole piece: its prefixes are looked up among those that earlier pieces have left, and left for later ones."""
+        states = self.states
+        if len(piece) > KEPT_PIECE:
+            return self.table(piece)[-1][0]
+        if len(states) >= KEPT:
+            states.clear()
+        known = len(piece)
+        while known and piece[:known] not in states:
+            known -= 1
+        at = lambda start: states[piece[:start]] if start else (0, b"")
+        for end in range(known + 1, len(piece) + 1):
+            states[piece[:end]] = self.step(piece, end, at)
+        return at(len(piece))[0]
 
     def prefix(self, piece: str) -> tuple[int, ...]:
-        found = self.tables.get(piece)
+        return tuple(n for n, _ in self.table(piece.encode()))
+
+    def total(self, piece: str) -> int:
+        found = self.totals.get(piece)
         if found is None:
-            found = self.table(piece.encode())
+            found = self.last(piece.encode())
             if len(piece) <= KEPT_PIECE:
-                self._keep(piece, found)
+                if len(self.totals) >= KEPT:
+                    self.totals.clear()
+                self.totals[piece] = found
         return found
 
-    def _keep(self, piece: str, found: tuple[int, ...]) -> None:
-        self.kept += len(found)
-        if self.kept > KEPT_BYTES:
-            self.tables.clear()
-            self.totals.clear()
-            self.kept = len(found)
-        self.tables[piece] = found
-        self.totals[piece] = found[-1]
-
     def pieces(self, text: str) -> list[str]:
         """Pieces in order; a special string is a piece of its own."""
         if self.cut is None or not self.cut.search(text):
@@ -123,23 +153,36 @@ class PrefixTable:
             out += [part] if i % 2 else self.split.findall(part)
         return out
 
+    def counts(self, text: str) -> tuple[list[str], list[int]]:
+        """Pieces and the tokens of each."""
+        get, total = self.totals.get, self.total
+        if self.cut is None or not self.cut.search(text):
+            pieces = self.split.findall(text)
+            return pieces, [n if (n := get(p)) is not None else total(p) for p in pieces]
+        special, pieces = set(self.special), self.pieces(text)
+        return pieces, [1 if p in special else total(p) for p in pieces]
+
     def count(self, text: str) -> int:
-        total, get = 0, self.totals.get
-        special = set(self.special) if self.cut is not None and self.cut.search(text) else ()
-        for piece in self.pieces(text):
-            n = get(piece)
-            if n is None or special and piece in special:
-                n = 1 if piece in special else self.prefix(piece)[-1]
-            total += n
-        return total
+        return sum(self.counts(text)[1])
+
+    def measure(self, text: str, budget: int) -> tuple[int, int]:
+        """Tokens of the text, and characters of the longest run of whole pieces from the start that takes at most `budget`."""
+        pieces, counts = self.counts(text)
+        total = sum(counts)
+        if total <= budget:
+            return total, len(text)
+        used = chars = 0
+        for piece, n in zip(pieces, counts, strict=True):
+            used += n
+            if used > budget:
+                break
+            chars += len(piece)
+        return total, chars
 
     def boundaries(self, text: str) -> tuple[list[int], list[int]]:
         """Bytes and tokens up to the end of each piece."""
-        special = set(self.special)
-        pieces = self.pieces(text)
-        sizes = [len(p.encode()) for p in pieces]
-        tokens = [1 if p in special else self.prefix(p)[-1] for p in pieces]
-        return [0, *accumulate(sizes)], [0, *accumulate(tokens)]
+        pieces, tokens = self.counts(text)
+        return [0, *accumulate(len(p.encode()) for p in pieces)], [0, *accumulate(tokens)]
 
     def at(self, text: str, ends: list[int]) -> list[int]:
         """Tokens used by the first `end` bytes of the text's own pieces, for each end; inside a piece, by its table."""
@@ -153,9 +196,7 @@ class PrefixTable:
         return out
 
     def fit(self, text: str, budget: int) -> int:
-        """Characters of the longest run of whole pieces from the start that takes at most `budget` tokens."""
-        _, tokens = self.boundaries(text)
-        return sum(map(len, self.pieces(text)[: bisect_right(tokens, budget) - 1]))
+        return self.measure(text, budget)[1]
 
 
 @lru_cache(2)
@@ -178,10 +219,9 @@ def count_tokens(df: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_
         t = loaded(vocabulary)
 
         def work(a):
-            texts = a.to_pylist()
-            totals = [t.count(x) for x in texts]
+            found = [t.measure(x, budget) for x in a.to_pylist()]
             sizes = np.diff(np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1])
-            return [sizes, totals, [len(x) if n <= budget else t.fit(x, budget) for x, n in zip(texts, totals, strict=True)]]
+            return [sizes, [n for n, _ in found], [c for _, c in found]]
 
         return work
 
