@@ -1,9 +1,10 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine, found in a block-max inverted index.
 
 1. Terms are whole words and the beginnings of words (3 to 7 letters). Labelled rows vote on which terms tell the classes apart (a
-   likelihood ratio); at most TERMS are kept, and all other words of a text count as one further term.
+   likelihood ratio, and a share of label 1 well above the usual); at most TERMS are kept, and all other words of a text count as one.
 2. Document frequencies of the kept terms come from all documents.
-3. Examples are at most TRAIN_ROWS labelled rows, those of the smallest seeded hash, never held-out ones. Examples of equal vectors are one
+3. Examples are at most TRAIN_ROWS labelled rows, those of the smallest seeded hash, never held-out ones; near copies of one label
+   among them count once. Examples of equal vectors are one
    row of the index with two counts. Postings lie in blocks with the largest weight a term has there; blocks whose bound can't
    reach the nearest found are skipped, so the result is exact.
 4. The nearest examples vote by their distance; votes become probabilities by a monotone fit on leave-one-out votes. The score's evidence
@@ -17,6 +18,8 @@ empty table; without labels of both classes every score is the smoothed share of
 
 from __future__ import annotations
 
+import heapq
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,6 +40,8 @@ NEAREST = 15
 BLOCK = 64
 LEAST_DOCS = 3
 LEAST_RATIO = 15.0
+#: A kept term's share of label 1 is so many times the share of all rows at least; weaker ones tell languages and topics apart.
+LEAST_LIFT = 3.0
 PREFIXES = range(3, 8)
 #: Words whose terms a worker remembers; partial counts that it holds before it passes them on.
 REMEMBERED = 400_000
@@ -60,21 +65,28 @@ class Memo(dict):
     def __init__(self, number: dict[str, int]):
         super().__init__()
         self.number = number
+        self.starts = {t[:3] for t in number}
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) > REMEMBERED:
             self.clear()
-        found = self[word] = tuple(self.number[t] for t in terms_of(word) if t in self.number)
+        found: tuple[int, ...] = ()
+        if (word.decode(errors="replace") + "$")[:3] in self.starts or word.decode(errors="replace")[:3] in self.starts:
+            found = tuple(self.number[t] for t in terms_of(word) if t in self.number)
+        self[word] = found
         return found
 
 
 def vector(text: str, memo: Memo) -> dict[int, int]:
-    """Counts of kept terms; -1: words without any."""
+    """Counts of kept terms; -1: words without any, rounded down to a power of two, so that texts alike in all else are alike in this.
+
+    A text without kept terms has that one direction whatever its length, so its count is 1.
+    """
     found = words(text)
     told = [t for t in map(memo.__getitem__, found) if t]
     counts = Counter(x for t in told for x in t)
     if len(found) > len(told):
-        counts[-1] = len(found) - len(told)
+        counts[-1] = 1 << ((len(found) - len(told)).bit_length() - 1) if counts else 1
     return counts
 
 
@@ -103,6 +115,7 @@ class Index:
         self.at, self.weight = np.array(at, np.int64)[order], np.array(weight)[order]
         self.ends = np.searchsorted(np.array(term, np.int64)[order], np.arange(n_terms), side="right")
         self.blocks = max(1, -(-len(rows) // BLOCK))
+        self.block = self.at // BLOCK
         self.most = np.zeros((n_terms, self.blocks))
         np.maximum.at(self.most, (np.array(term, np.int64)[order], self.at // BLOCK), self.weight)
 
@@ -124,9 +137,8 @@ class Index:
         def score(open_: np.ndarray) -> np.ndarray:
             out = np.zeros(self.blocks * BLOCK)
             for x, s in zip(w, lists, strict=True):
-                at = self.at[s]
-                use = open_[at // BLOCK]
-                out[at[use]] += x * self.weight[s][use]
+                use = open_[self.block[s]]
+                out[self.at[s][use]] += x * self.weight[s][use]
             if without is not None:
                 out[without] = 0
             return out
@@ -140,8 +152,8 @@ class Index:
         if rest.any():
             got += score(rest)
         got = np.round(got, 12)
-        best = np.argsort(-got, kind="stable")[:k]
-        best = best[got[best] > 0]
+        best = np.flatnonzero(got >= max(np.partition(got, -k)[-k], 1e-12))
+        best = best[np.argsort(-got[best], kind="stable")][:k]
         return best, got[best]
 
 
@@ -150,10 +162,12 @@ class Model:
         self.number = {t: i for i, t in enumerate(terms)}
         self.share = float((y.sum() + 1) / (len(y) + 2))
         self.index = Index(vectors, y, ids, idf)
-        raw = []
+        raw, known = [], {}
         for v, label in zip(vectors, y, strict=True):
-            key = self.index.key(v)
-            raw.append(self.vote(key, int(label))[0])
+            key = self.index.key(v), int(label)
+            if key not in known:
+                known[key] = self.vote(*key)[0]
+            raw.append(known[key])
         self.x, self.p = monotone(np.array(raw), y)
 
     def vote(self, key: tuple, leave_out: int | None = None) -> tuple[float, np.ndarray]:
@@ -232,11 +246,23 @@ def term_counts(rows: DataFrame, text: str, number: dict[str, int] | None, label
     return out.groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
 
 
+def sketch(text: str) -> int:
+    """The same for most near copies of a text: its distinct words of the five smallest hashes."""
+    return zlib.crc32(b" ".join(heapq.nsmallest(5, set(words(text)), key=zlib.crc32)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> Model | float:
     chosen = sample(labels, target, rows, id_col)  # at most `rows` ids
     known = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "_id")), "_id")
-    sizes = {r._y: r.n for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+    field = T.StructField("_s", T.LongType())
+    marked = append(known, "_text", [field], lambda: lambda a: [[sketch(t) for t in a.to_pylist()]])
+    # a group of near copies of one label counts once, or its words would be taken for the label's
+    first = marked.groupBy("_s", "_y").agg(F.min("_id").alias("_id")).select("_id", "_y").collect()  # at most `rows`
+    n1 = sum(r._y for r in first)
+    n0 = len(first) - n1
+    kept = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_y", T.IntegerType())])
+    chosen = docs.sparkSession.createDataFrame([(r._id, int(r._y)) for r in first], kept)
+    known = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
     if min(n0, n1) < 3:
         return (n1 + 1) / (n0 + n1 + 2)
     counted = term_counts(known, "_text", None, "_y")
@@ -245,7 +271,8 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str =
     log = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     seen, unseen = (a + b) / all_, 1 - (a + b) / all_
     ratio = 2 * (log(a, n1 * seen) + log(b, n0 * seen) + log(n1 - a, n1 * unseen) + log(n0 - b, n0 * unseen))
-    best = counted.where((a >= LEAST_DOCS) & (a * n0 > b * n1)).withColumn("g", F.round(ratio, 6)).where(F.col("g") >= LEAST_RATIO)
+    strong = a * all_ >= LEAST_LIFT * n1 * (a + b)
+    best = counted.where((a >= LEAST_DOCS) & (a * n0 > b * n1) & strong).withColumn("g", F.round(ratio, 6)).where(F.col("g") >= LEAST_RATIO)
     terms = sorted(r.term for r in best.orderBy(F.col("g").desc(), "term").select("term").limit(TERMS).collect())
     number = {t: i for i, t in enumerate(terms)}
     total = docs.count()

@@ -39,7 +39,7 @@ def test_monotone():
 def test_terms():
     assert toxicity.terms_of("Éabcdefgh".lower().encode()) == ["éabcdefgh$", "éab", "éabc", "éabcd", "éabcde", "éabcdef"]
     memo = toxicity.Memo({"bad$": 0, "bad": 1})
-    assert toxicity.vector("BAD badly ok, ok\n", memo) == {0: 1, 1: 2, -1: 2} and toxicity.vector("", memo) == {}
+    assert toxicity.vector("BAD badly ok, ok\n", memo) == {0: 1, 1: 2, -1: 2} and toxicity.vector("a b c", memo) == {-1: 1} and toxicity.vector("", memo) == {}
 
 
 def test_tables(spark):
