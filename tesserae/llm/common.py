@@ -32,7 +32,7 @@ def aside(df: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
     return df.withColumnsRenamed(other), [F.col(f"`{other.get(c, c)}`").alias(c) for c in df.columns]
 
 
-def append(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable]) -> DataFrame:
+def append(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable], block: int = BLOCK_BYTES) -> DataFrame:
     """Columns computed in Python from one text column, beside all columns of df.
 
     make() is called once a task and gives a function from an Arrow string array (nulls as empty texts) to one list or
@@ -50,7 +50,7 @@ def append(df: DataFrame, text: str, fields: list[T.StructField], make: Callable
         for batch in batches:
             if not batch.num_rows:
                 continue
-            for part in row_blocks(batch, text):
+            for part in row_blocks(batch, text, block):
                 if types is None:
                     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -69,13 +69,13 @@ def filled(array: pa.Array) -> pa.Array:
     return array.fill_null("") if array.null_count else array
 
 
-def row_blocks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about BLOCK_BYTES of text: memory is bounded whatever the number of rows in a batch."""
+def row_blocks(batch: pa.RecordBatch, text: str, block: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `block` bytes of text: memory is bounded whatever the number of rows in a batch."""
     ends = np.cumsum(np.asarray(lengths(batch.column(batch.schema.get_field_index(text)))))
     start = 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + BLOCK_BYTES, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, before + block, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
 

@@ -13,9 +13,13 @@ import pyarrow as pa
 
 from tesserae.llm.common import buffers
 
-WHITE = np.zeros(256, bool)
-WHITE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of text worked on at once: what a core's cache holds with its counts.
+BLOCK = 1 << 18
+
+#: Classes of bytes; none is in two.
 CLASSES = {
+    "blanks": b"\t\x0b\x0c\r ",
+    "newlines": b"\n",
     "n_symbols": b"#*$%&|<>",
     "upper": bytes(range(65, 91)),
     "lower": bytes(range(97, 123)),
@@ -23,10 +27,15 @@ CLASSES = {
     "exclaim": b"!?",
     "stops": b".,;:",
     "brackets": b"()[]{}=_/\\@+~^\"'`",
-    "newlines": b"\n",
     "tails": bytes(range(128, 192)),
+    "leads": bytes(range(192, 256)),
 }
-TABLES = {k: np.isin(np.arange(256), list(v)) for k, v in CLASSES.items()}
+CLASS_OF = np.full(256, len(CLASSES), np.uint8)
+for _i, _bytes in enumerate(CLASSES.values()):
+    CLASS_OF[list(_bytes)] = _i
+WHITE = CLASS_OF <= 1
+LOWER = CLASS_OF == 4
+LETTER = LOWER | (CLASS_OF == 3) | (np.arange(256) > 127)
 
 #: What a row of features() holds, in this order.
 FEATURES = (
@@ -35,6 +44,14 @@ FEATURES = (
 ).split()
 
 
+def by_class(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    """How many bytes of each class a text has, in one count."""
+    docs, width = len(offsets) - 1, len(CLASSES) + 1
+    text = np.repeat(np.arange(docs, dtype=np.int32) * width, np.diff(offsets))
+    found = np.bincount(text + CLASS_OF[data], minlength=docs * width).reshape(docs, width)
+    return {k: found[:, i] for i, k in enumerate(CLASSES)}
+
+
 def sums(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Of mask between offsets."""
     c = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
@@ -92,7 +109,7 @@ def counts(array: pa.Array) -> dict[str, np.ndarray]:
     offsets, data = buffers(array)
     raw = data.tobytes()
     white = WHITE[data]
-    out = {k: sums(t[data], offsets) for k, t in TABLES.items()}
+    out = by_class(data, offsets)
     starts = ~white
     starts[1:] &= white[:-1]
     first = offsets[:-1][np.diff(offsets) > 0]
@@ -109,7 +126,7 @@ def counts(array: pa.Array) -> dict[str, np.ndarray]:
     docs = len(ends) - 1
     out["n_bytes"] = np.diff(offsets)
     out["n_chars"] = out["n_bytes"] - out["tails"]
-    out["word_chars"] = out["n_chars"] - sums(white, offsets)
+    out["word_chars"] = out["n_chars"] - out["blanks"] - out["newlines"]
     out["n_words"] = np.diff(ends)
     out["n_dup_lines"] = dups
     out["n_repeat_words"] = repeated(ids, ends, n)
@@ -117,10 +134,13 @@ def counts(array: pa.Array) -> dict[str, np.ndarray]:
     out["size_sq"] = np.bincount(text, size.astype(float) ** 2, docs)
     out["longest"] = np.zeros(docs, np.int64)
     np.maximum.at(out["longest"], text, size)
-    letters = np.concatenate([[0], np.cumsum((TABLES["upper"] | TABLES["lower"])[data] | (data > 127), dtype=np.int64)])
-    out["letterless"] = np.bincount(text, letters[word + size] == letters[word], docs).astype(np.int64)
-    upper = np.concatenate([[0], np.cumsum(TABLES["lower"][data], dtype=np.int64)])
-    out["shouted"] = np.bincount(text, (upper[word + size] == upper[word]) & (letters[word + size] > letters[word] + 1), docs).astype(np.int64)
+    letters = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(LETTER[data], out=letters[1:])
+    lower = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(LOWER[data], out=lower[1:])
+    n_letters = letters[word + size] - letters[word]
+    out["letterless"] = np.bincount(text, n_letters == 0, docs).astype(np.int64)
+    out["shouted"] = np.bincount(text, (lower[word + size] == lower[word]) & (n_letters > 1), docs).astype(np.int64)
     out["singles"] = np.bincount(text, size == 1, docs).astype(np.int64)
     same = np.zeros(len(ids), bool)
     same[1:] = (ids[1:] == ids[:-1]) & (text[1:] == text[:-1])

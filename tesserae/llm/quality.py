@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tesserae.llm import trees
 from tesserae.llm.common import append, aside, held_out
-from tesserae.llm.docstats import FEATURES, counts, features
+from tesserae.llm.docstats import BLOCK, FEATURES, counts, features
 
 #: At most so many labelled rows are learnt from, at every size of input.
 TRAIN_ROWS = 20_000
@@ -37,7 +37,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, id_col: str,
     field = T.StructField("_x", T.ArrayType(T.FloatType()))
     joined = docs.select(F.col(id_col), F.col(text)).join(F.broadcast(chosen), id_col)
     joined = joined.select("_y", text, F.xxhash64(F.col(id_col), F.col(text)).alias("_order"))
-    found = append(joined, text, [field], lambda: lambda a: [list(features(counts(a)))])
+    found = append(joined, text, [field], lambda: lambda a: [list(features(counts(a)))], BLOCK)
     got = found.select("_y", "_x", "_order").orderBy("_order", "_y").limit(rows).toPandas()
     return (np.array(got["_x"].tolist(), np.float32).reshape(-1, len(FEATURES)), got["_y"].to_numpy().astype(float))
 
@@ -56,7 +56,7 @@ def predict(model: dict, x: np.ndarray) -> np.ndarray:
 def score(df: DataFrame, model: dict, text: str = "text", out: str = "score") -> DataFrame:
     """df with each whole text's score; higher: label 1 likelier."""
     spread = df.sparkSession.sparkContext.broadcast(model)  # a few hundred kB, set by the number of trees
-    return append(df, text, [T.StructField(out, T.DoubleType())], lambda: lambda a: [np.round(predict(spread.value, features(counts(a))), 9)])
+    return append(df, text, [T.StructField(out, T.DoubleType())], lambda: lambda a: [np.round(predict(spread.value, features(counts(a))), 9)], BLOCK)
 
 
 def accepted(df: DataFrame, model: dict, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
