@@ -1,12 +1,13 @@
-"""Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine, found in a block-max inverted index.
+"""Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine over all their words, found in an inverted index.
 
-1. Terms are whole words and the beginnings of words (3 to 7 letters). Labelled rows vote on which terms tell the classes apart (a
-   likelihood ratio, and a share of label 1 well above the usual); at most TERMS are kept, and all other words of a text count as one.
-2. Document frequencies of the kept terms come from all documents.
+1. Terms are all words of the examples, and beginnings of words (3 to 7 letters) and words that tell the classes apart. Labelled rows vote
+   on the latter (a likelihood ratio, and a share of label 1 well above the usual); at most TERMS are kept, and weigh BOOST times their
+   TF-IDF weight. Words that no example holds can't add to a cosine; in the text's length, each has the idf of a word of one document.
+2. Document frequencies come from all documents.
 3. Examples are at most TRAIN_ROWS labelled rows, those of the smallest seeded hash, never held-out ones; near copies of one label
    among them count once. Examples of equal vectors are one
-   row of the index with two counts. Postings lie in blocks with the largest weight a term has there; blocks whose bound can't
-   reach the nearest found are skipped, so the result is exact.
+   row of the index with two counts. Rare terms have postings, the most frequent ones columns; all of a text's terms are added up for
+   all rows, so the result is exact.
 4. The nearest examples vote by their distance; votes become probabilities by a monotone fit on leave-one-out votes. The score's evidence
    is the nearest examples' ids.
 
@@ -18,13 +19,17 @@ empty table; without labels of both classes every score is the smoothed share of
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +42,10 @@ TRAIN_ROWS = 20_000
 TERMS = 3_000
 THRESHOLD = 0.3
 NEAREST = 15
-BLOCK = 64
+#: Terms that more than this share of the rows of the index hold are columns, at most COLUMNS.
+FREQUENT = 0.1
+COLUMNS = 64
+BOOST = 20.0
 LEAST_DOCS = 3
 LEAST_RATIO = 15.0
 #: A kept term's share of label 1 is so many times the share of all rows at least; weaker ones tell languages and topics apart.
@@ -60,11 +68,11 @@ def terms_of(word: bytes) -> list[str]:
 
 
 class Memo(dict):
-    """Numbers of the kept terms of a word."""
+    """Numbers of the kept terms of a word, and its own number from len(number) on if it is one of `own`."""
 
-    def __init__(self, number: dict[str, int]):
+    def __init__(self, number: dict[str, int], own: dict[bytes, int] | None = None):
         super().__init__()
-        self.number = number
+        self.number, self.own = number, own or {}
         self.starts = {t[:3] for t in number}
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
@@ -73,10 +81,26 @@ class Memo(dict):
         found: tuple[int, ...] = ()
         if (word.decode(errors="replace") + "$")[:3] in self.starts or word.decode(errors="replace")[:3] in self.starts:
             found = tuple(self.number[t] for t in terms_of(word) if t in self.number)
+        if word in self.own:
+            found += (self.own[word],)
         self[word] = found
         return found
 
 
+def weighed(found: dict[bytes, int], memo: Memo) -> tuple[np.ndarray, float]:
+    """Pairs of term and count in order, and the squared length, before idf, of the words that no example holds."""
+    counts: dict[int, int] = {}
+    outside, first = 0.0, len(memo.number)
+    for w, n in found.items():
+        told = memo[w]
+        if not told or told[-1] < first:
+            outside += (1 + math.log(n)) ** 2
+        for t in told:
+            counts[t] = counts.get(t, 0) + n
+    pairs = np.array(list(counts.items()), np.int64).reshape(-1, 2)
+    return pairs[np.argsort(pairs[:, 0])], outside
+
+
 def vector(text: str, memo: Memo) -> dict[int, int]:
     """Counts of kept terms; -1: words without any, rounded down to a power of two, so that texts alike in all else are alike in this.
 
@@ -91,90 +115,111 @@ def vector(text: str, memo: Memo) -> dict[int, int]:
 
 
 class Index:
-    """Labelled vectors by term, in blocks."""
+    """Labelled vectors by term: postings of rare terms, columns of frequent ones. A vector is counts by term, or an array of its pairs."""
 
-    def __init__(self, vectors: list[dict[int, int]], y: np.ndarray, ids: list, idf: np.ndarray):
-        self.idf = idf  # the last is that of the words without terms
+    def __init__(self, vectors: list, y: np.ndarray, ids: list, idf: np.ndarray):
+        self.idf = idf
         n_terms = len(idf)
-        merged: dict[tuple, list] = {}
+        self.row: dict[bytes, int] = {}
+        self.ids: list = []
+        votes, keys, self.of = [], [], []
         for v, label, i in zip(vectors, y.tolist(), ids, strict=True):
-            row = merged.setdefault(tuple(sorted((t % n_terms, c) for t, c in v.items())), [0, 0, i])
-            row[int(label)] += 1
-        rows = sorted(merged.items(), key=lambda r: sorted(r[0], key=lambda x: (-self._weight(*x), x[0])))
-        self.place = {k: i for i, (k, _) in enumerate(rows)}
-        self.votes = np.array([r[:2] for _, r in rows], float).reshape(-1, 2)
-        self.ids = [r[2] for _, r in rows]
-        at, term, weight = [], [], []
-        for i, (k, _) in enumerate(rows):
-            w = np.array([self._weight(t, c) for t, c in k])
-            norm = float(np.sqrt((w**2).sum())) or 1.0
-            at += [i] * len(k)
-            term += [t for t, _ in k]
-            weight += (w / norm).tolist()
-        order = np.lexsort((at, term))
-        self.at, self.weight = np.array(at, np.int64)[order], np.array(weight)[order]
-        self.ends = np.searchsorted(np.array(term, np.int64)[order], np.arange(n_terms), side="right")
-        self.blocks = max(1, -(-len(rows) // BLOCK))
-        self.block = self.at // BLOCK
-        self.most = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.most, (np.array(term, np.int64)[order], self.at // BLOCK), self.weight)
-
-    def _weight(self, term: int, count: int) -> float:
-        return (1 + float(np.log(count))) * float(self.idf[term])
+            key = np.array(self.key(v) if isinstance(v, dict) else v, np.int64).reshape(-1, 2)
+            at = self.row.setdefault(hashlib.blake2b(key.tobytes(), digest_size=16).digest(), len(keys))
+            if at == len(keys):
+                keys.append(key.astype(np.int32))
+                votes.append([0, 0])
+                self.ids.append(i)
+            votes[at][int(label)] += 1
+            self.of.append(at)
+        self.votes = np.array(votes, float).reshape(-1, 2)
+        n = len(keys)
+        pairs = np.concatenate(keys) if keys else np.zeros((0, 2), np.int32)
+        at = np.repeat(np.arange(n), [len(k) for k in keys])
+        self.sizes = np.array([len(k) for k in keys], np.int64)
+        self.pairs = pairs
+        weight = self._weights(pairs[:, 0], pairs[:, 1])
+        norm = np.sqrt(np.bincount(at, weight**2, n))
+        weight /= np.where(norm > 0, norm, 1.0)[at]
+        size = np.bincount(pairs[:, 0], minlength=n_terms)
+        often = np.argsort(-size, kind="stable")[:COLUMNS]
+        often = often[size[often] > FREQUENT * n]
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        there = self.column[pairs[:, 0]]
+        self.dense = np.zeros((n, len(often)))
+        self.dense[at[there >= 0], there[there >= 0]] = weight[there >= 0]
+        rare = np.flatnonzero(there < 0)
+        rare = rare[np.lexsort((at[rare], pairs[rare, 0]))]
+        self.at, self.weight = at[rare].astype(np.int32), weight[rare]
+        self.ends = np.searchsorted(pairs[rare, 0], np.arange(n_terms + 1))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("pairs", "row", "of")}  # of use to the fit only
+
+    def _weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return (1 + np.log(counts)) * self.idf[terms]
+
+    @property
+    def place(self) -> dict[tuple, int]:
+        """Rows by key."""
+        parts = np.split(self.pairs, np.cumsum(self.sizes)[:-1]) if len(self.sizes) else []
+        return {tuple(map(tuple, p.tolist())): i for i, p in enumerate(parts)}
 
     def key(self, counts: dict[int, int]) -> tuple:
         return tuple(sorted((t % len(self.idf), c) for t, c in counts.items()))
 
-    def nearest(self, key: tuple, k: int = NEAREST, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows with the largest cosines, and these; ties to the earlier row. `without`: a row that is left out."""
-        w = np.array([self._weight(t, c) for t, c in key])
-        if not len(w) or not len(self.ids):
+    def nearest(self, key: tuple | np.ndarray, k: int = NEAREST, without: int | None = None, outside: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Rows with the largest cosines, and these; ties to the earlier row.
+
+        without: a row that is left out; outside: the squared length of what the text holds beside the key.
+        """
+        pairs = np.asarray(key, np.int64).reshape(-1, 2)
+        n = len(self.ids)
+        if not len(pairs) or not n:
             return np.zeros(0, np.int64), np.zeros(0)
-        w /= np.sqrt((w**2).sum())
-        bound = w @ self.most[[t for t, _ in key]]
-        lists = [slice(self.ends[t - 1] if t else 0, self.ends[t]) for t, _ in key]
-
-        def score(open_: np.ndarray) -> np.ndarray:
-            out = np.zeros(self.blocks * BLOCK)
-            for x, s in zip(w, lists, strict=True):
-                use = open_[self.block[s]]
-                out[self.at[s][use]] += x * self.weight[s][use]
-            if without is not None:
-                out[without] = 0
-            return out
-
-        k = min(k, len(self.ids))
-        first = np.zeros(self.blocks, bool)
-        first[np.argsort(-bound, kind="stable")[: max(2, 2 * k // BLOCK + 1)]] = True
-        got = score(first)
-        least = np.partition(got, -k)[-k]
-        rest = ~first & (bound >= least - 1e-12) & (bound > 0)  # any other block's best is below the k-th found
-        if rest.any():
-            got += score(rest)
-        got = np.round(got, 12)
-        best = np.flatnonzero(got >= max(np.partition(got, -k)[-k], 1e-12))
-        best = best[np.argsort(-got[best], kind="stable")][:k]
-        return best, got[best]
+        terms = pairs[:, 0]
+        w = self._weights(terms, pairs[:, 1])
+        w /= np.sqrt((w**2).sum() + outside)
+        column = self.column[terms]
+        rare = column < 0
+        starts, ends = self.ends[terms[rare]], self.ends[terms[rare] + 1]
+        lists = [slice(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        got = np.zeros(n)
+        if lists:
+            parts = np.concatenate([self.weight[s] for s in lists]) * np.repeat(w[rare], ends - starts)
+            got = np.bincount(np.concatenate([self.at[s] for s in lists]), parts, n).astype(float)
+        k = min(k, n)
+        if not rare.all():
+            q = np.zeros(self.dense.shape[1])
+            q[column[~rare]] = w[~rare]
+            got += self.dense @ q
+        if without is not None:
+            got[without] = 0
+        best = np.flatnonzero(got >= max(np.partition(got, -k)[-k] - 1e-12, 1e-13))
+        cosine = np.round(got[best], 12)
+        best, cosine = best[cosine > 0], cosine[cosine > 0]
+        order = np.argsort(-cosine, kind="stable")[:k]
+        return best[order], cosine[order]
 
 
 class Model:
-    def __init__(self, terms: list[str], idf: np.ndarray, vectors: list[dict[int, int]], y: np.ndarray, ids: list):
-        self.number = {t: i for i, t in enumerate(terms)}
+    def __init__(self, number: dict[str, int], own: dict[bytes, int], idf: np.ndarray, unknown: float, vectors: list, y: np.ndarray, ids: list):
+        self.number, self.own, self.unknown = number, own, unknown
         self.share = float((y.sum() + 1) / (len(y) + 2))
         self.index = Index(vectors, y, ids, idf)
         raw, known = [], {}
-        for v, label in zip(vectors, y, strict=True):
-            key = self.index.key(v), int(label)
+        for v, at, label in zip(vectors, self.index.of, y, strict=True):
+            key = at, int(label)
             if key not in known:
-                known[key] = self.vote(*key)[0]
+                known[key] = self.vote(v, 0.0, *key)[0]
             raw.append(known[key])
         self.x, self.p = monotone(np.array(raw), y)
 
-    def vote(self, key: tuple, leave_out: int | None = None) -> tuple[float, np.ndarray]:
-        """Share of label 1 among the nearest, near ones counting more; leave_out: the label of one row with this key that isn't asked."""
-        own = self.index.place.get(key) if leave_out is not None else None
+    def vote(self, key: tuple | np.ndarray, outside: float = 0.0, own: int | None = None, leave_out: int | None = None) -> tuple[float, np.ndarray]:
+        """Share of label 1 among the nearest, near ones counting more; own, leave_out: the row of this key and the label of one that isn't asked."""
         alone = own is not None and self.index.votes[own].sum() == 1
-        rows, cosine = self.index.nearest(key, without=own if alone else None)
+        rows, cosine = self.index.nearest(key, without=own if alone else None, outside=outside * self.unknown**2)
         votes = self.index.votes[rows].copy()
         if own is not None and not alone:
             votes[rows == own, leave_out] -= 1
@@ -206,13 +251,12 @@ def monotone(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return xs[keep], ps[keep]
 
 
-def term_counts(rows: DataFrame, text: str, number: dict[str, int] | None, label: str | None) -> DataFrame:
-    """term, n, n1: documents that hold it, and those of label 1. Each task adds up what it has read and holds a bounded part."""
+def term_counts(rows: DataFrame, text: str, sent: Broadcast | None, label: str | None) -> DataFrame:
+    """term, n, n1: documents that hold it, and those of label 1; sent: the numbers of terms and words that are counted. Each task adds up what it has read and holds a bounded part."""
     ship(rows.sparkSession)
-    sent = rows.sparkSession.sparkContext.broadcast(number) if number is not None else None  # at most TERMS terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(sent.value) if sent else None
+        memo = Memo(*sent.value) if sent else None
         known: dict[bytes, list[str]] = {}
         n, n1 = Counter(), Counter()
 
@@ -275,42 +319,65 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str =
     best = counted.where((a >= LEAST_DOCS) & (a * n0 > b * n1) & strong).withColumn("g", F.round(ratio, 6)).where(F.col("g") >= LEAST_RATIO)
     terms = sorted(r.term for r in best.orderBy(F.col("g").desc(), "term").select("term").limit(TERMS).collect())
     number = {t: i for i, t in enumerate(terms)}
-    total = docs.count()
-    seen_in = {int(r.term): r.n for r in term_counts(docs.select(text), text, number, None).collect()}
-    idf = np.array([np.log((1 + total) / (1 + seen_in.get(i, 0))) + 1 for i in range(len(terms))] + [1.0])
-    sent = docs.sparkSession.sparkContext.broadcast(number)
+    fields = [T.StructField("_w", T.ArrayType(T.BinaryType())), T.StructField("_c", T.ArrayType(T.IntegerType()))]
 
-    def make():
-        memo = Memo(sent.value)
-        return lambda a: [[[{"t": t, "c": c} for t, c in vector(x, memo).items()] for x in a.to_pylist()]]
+    def held(a: pa.Array) -> list:
+        found = [Counter(words(t)) for t in a.to_pylist()]
+        return [[list(c) for c in found], [list(c.values()) for c in found]]
 
-    pair = T.StructType([T.StructField("t", T.IntegerType()), T.StructField("c", T.IntegerType())])
-    field = T.StructField("_v", T.ArrayType(pair))
     hashed = known.select("_id", "_y", "_text", F.xxhash64("_id", "_text").alias("_order"))
-    got = append(hashed, "_text", [field], make).select("_id", "_y", "_v", "_order").orderBy("_order", "_y").limit(rows).collect()
-    return Model(terms, idf, [{p.t: p.c for p in r._v} for r in got], np.array([r._y for r in got], float), [r._id for r in got])
+    got = append(hashed, "_text", fields, lambda: held).select("_id", "_y", "_w", "_c", "_order").orderBy("_order", "_y").limit(rows).toArrow()
+    lists = got["_w"].combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    own = {w: i + len(number) for i, w in enumerate(names)}  # the words of at most `rows` examples
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    coded, times = coded.indices.to_numpy(), got["_c"].combine_chunks().flatten().to_numpy()
+    memo = Memo(number)
+    told = {i: t for i, w in enumerate(names) if (t := memo[w])}
+    marked_words = np.zeros(len(names), bool)
+    marked_words[list(told)] = True
+    vectors = []
+    for a_, b_ in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        word, n = coded[a_:b_], times[a_:b_]
+        extra: Counter = Counter()
+        for i in np.flatnonzero(marked_words[word]).tolist():
+            for t in told[int(word[i])]:
+                extra[t] += int(n[i])
+        pairs = np.concatenate([np.array(list(extra.items()), np.int32).reshape(-1, 2), np.column_stack([word + len(number), n]).astype(np.int32)])
+        vectors.append(pairs[np.argsort(pairs[:, 0])])
+    total = docs.count()
+    sent = docs.sparkSession.sparkContext.broadcast((number, own))
+    counted = term_counts(docs.select(text), text, sent, None).select(F.col("term").cast("int").alias("term"), "n").toArrow()
+    seen_in = np.zeros(len(number) + len(own))
+    seen_in[counted["term"].to_numpy()] = counted["n"].to_numpy()
+    idf = np.log((1 + total) / (1 + seen_in)) + 1
+    idf[: len(number)] *= BOOST
+    y = got["_y"].to_numpy().astype(float)
+    return Model(number, own, idf, math.log((1 + total) / 2) + 1, vectors, y, got["_id"].to_pylist())
 
 
 def score(df: DataFrame, model: Model | float, text: str = "text", out: str = "score", evidence: str = "evidence") -> DataFrame:
     """df with each whole text's score and the ids of the labelled examples that are nearest."""
     if isinstance(model, float):
         return df.withColumns({out: F.lit(round(model, 9)), evidence: F.array().cast("array<long>")})
-    sent = df.sparkSession.sparkContext.broadcast(model)  # TRAIN_ROWS examples of at most TERMS numbers
+    sent = df.sparkSession.sparkContext.broadcast(model)  # TRAIN_ROWS examples and their words
     fields = [T.StructField(out, T.DoubleType()), T.StructField(evidence, T.ArrayType(T.LongType()))]
 
     def make():
         m = sent.value
-        memo = Memo(m.number)
-        seen: dict[tuple, tuple] = {}
+        memo = Memo(m.number, m.own)
+        seen: dict[bytes, tuple] = {}
 
         def work(a: pa.Array) -> list:
             scores, near = [], []
             for t in a.to_pylist():
-                key = m.index.key(vector(t, memo))
+                pairs, outside = weighed(Counter(words(t)), memo)
+                key = hashlib.blake2b(pairs.tobytes() + str(round(outside, 9)).encode(), digest_size=16).digest()
                 if key not in seen:
                     if len(seen) > 20_000:
                         seen.clear()
-                    raw, rows = m.vote(key)
+                    raw, rows = m.vote(pairs, outside)
                     seen[key] = (round(m.probability(raw), 9), [m.index.ids[i] for i in rows[:3].tolist()])
                 scores.append(seen[key][0])
                 near.append(seen[key][1])

@@ -64,3 +64,9 @@ def test_odd_rows(spark):
     assert [by[i].predicted for i in (4, 8, 12, 902, None)] == [1] * 5 and sum(by[i].predicted for i in range(200) if i % 4) == 0
     assert toxicity.classify(docs.where("false"), labels).count() == 0
     assert {r.score for r in toxicity.classify(docs, labels.where("false")).collect()} == {0.5}
+
+
+def test_copy_of_an_example_is_its_nearest(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.classify(docs, labels).where("doc_id = 8847").first()  # held out; a copy of the labelled toxic row 8959
+    assert got.evidence[0] == 8959
