@@ -3,7 +3,7 @@
 Base kinds (assign, access, hex) are found leftmost and non-overlapping a kind; a match that fails its length is dropped
 and not retried. The lexer reads the assignments of source and configuration syntax (`name = "x"`, `name: x`, `"name": "x"`,
 `name := x`, `export NAME=x`, `name => x`, `<name>x</name>`), resolves a right side that is a name bound earlier, and adds kind `literal` for
-a literal whose best name reaches the threshold and that no base span covers.
+a literal whose best name reaches the threshold and that no base span covers. Names, blanks and literals may have any length.
 
 Defined results: a null text is an empty text and has no spans; repeated rows each get their own result; an empty table
 gives an empty table; extra columns are kept, and one named like a result is replaced.
@@ -29,11 +29,11 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}+")
 
 #: Assignments: a name, an operator, then a quoted literal, a name or a bare literal.
 PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_.-])["']?(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,63})["']?[\x20\t]{0,8}(?::=|=>|=(?!=)|:(?!/))[\x20\t]{0,8}(?:(?P<q>["'`])(?P<quoted>[^"'`\n]{1,512})(?P=q)|(?P<bare>[A-Za-z0-9+/_.=$-]{1,512}))""",
+    r"""(?<![A-Za-z0-9_.-])["']?(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)["']?[\x20\t]*+(?::=|=>|=(?!=)|:(?!/))[\x20\t]*+(?:(?P<q>["'`])(?P<quoted>[^"'`\n]++)(?P=q)|(?P<bare>[A-Za-z0-9+/_.=$-]++))""",
     re.A,
 )
-TAG = re.compile(r"<(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,63})>(?P<quoted>[^<>\n]{1,512})</(?P=name)>", re.A)
-IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]{0,63}$", re.A)
+TAG = re.compile(r"<(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)>(?P<quoted>[^<>\n]++)</(?P=name)>", re.A)
+IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*+$", re.A)
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 #: How telling a part of a name is.

@@ -58,6 +58,19 @@ def test_long_words_take_linear_time():
     pii.find("a@" * 60_000)
 
 
+def test_literals_of_any_length():
+    long = "aB3$x9Kq" * 700
+    for text, value in ((f'signing_key = "{long}"', long), (f"signing_key = {'aB3x9Kq/' * 700}", "aB3x9Kq/" * 700), (f"<signing_key>{long}</signing_key>", long), ('signing_key' + " " * 12 + '=' + "\t" * 12 + '"aB3$x9Kq2!zP"', "aB3$x9Kq2!zP"), ("x_" * 60 + 'signing_key = "aB3$x9Kq2!zP"', "aB3$x9Kq2!zP")):
+        assert [(x[0], text[x[1] : x[2]]) for x in secret_scan.find(text)] == [("literal", value)]
+
+
+def test_long_pairs_take_linear_time():
+    for c in ("a", "a.", "a ", "a=", 'a="', "a = ", "a:'b", "<a>", "<a>b", "=", " ", '"', "a=`b "):
+        secret_scan.pairs(c * 60_000)
+        secret_scan.pairs("key = " + c * 60_000)
+    secret_scan.pairs("a =" + " " * 200_000 + "\n")
+
+
 def test_spark(spark):
     rows = [(1, "mail a.b@c.de, +1 (212) 555-0187", "x"), (1, "mail a.b@c.de, +1 (212) 555-0187", "x"), (2, None, None), (None, "", "é"), (3, "é 10.0.0.256 10.0.0.1 token = 'abcdefgh12'", "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
