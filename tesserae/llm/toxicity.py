@@ -1,59 +1,56 @@
-"""Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine over all their words, found in an inverted index.
+"""Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine over all words, found in a block-max inverted index.
 
-1. Terms are all words of the examples, and beginnings of words (3 to 7 letters) and words that tell the classes apart. Labelled rows vote
-   on the latter (a likelihood ratio, and a share of label 1 well above the usual); at most TERMS are kept, and weigh BOOST times their
-   TF-IDF weight. Words that no example holds can't add to a cosine; in the text's length, each has the idf of a word of one document.
+1. Terms are all words of the examples; each word's weight is (1 + log count) * idf * (1 + TELLING * its information on the label). The
+   last factor is smooth and holds for every word: no word is chosen or left out. Without it (TELLING = 0) the cosine is plain TF-IDF,
+   which finds far fewer toxic rows; README has both figures. Words that no example holds can't add to a cosine; in the text's length,
+   each has the idf of a word of one document.
 2. Document frequencies come from all documents.
-3. Examples are at most TRAIN_ROWS labelled rows, those of the smallest seeded hash, never held-out ones; near copies of one label
-   among them count once. Examples of equal vectors are one
-   row of the index with two counts. Rare terms have postings, the most frequent ones columns; all of a text's terms are added up for
-   all rows, so the result is exact.
-4. The nearest examples vote by their distance; votes become probabilities by a monotone fit on leave-one-out votes. The score's evidence
+3. Examples are at most TRAIN_ROWS labelled rows, those of the smallest seeded hash, never held-out ones. Examples of equal words and
+   counts are one row of the index with two counts.
+4. Each term has a list of rows; the longest lists are laid out over blocks of alike rows, each with its largest weight in every block. The
+   short lists are added up first; of the long ones, only the blocks that these bounds allow to reach the k-th best cosine. So the
+   nearest rows are exact.
+5. The nearest examples vote by their distance; votes become probabilities by a monotone fit on leave-one-out votes. The score's evidence
    is the nearest examples' ids.
 
-Labels, language, source and id are no features. Every whole text is scored.
+Labels, language, source and id are no features. Every whole text is scored. Words are known by their 64-bit hashes.
 
-Defined results: a null or empty text gets the score of a text without terms; repeated rows get equal scores; an empty table gives an
-empty table; without labels of both classes every score is the smoothed share of label 1 (0.5 without labels).
+Defined results: a null or empty text gets the score of a text without words; a very long text is one row of counts; cosines count in
+millionths, and equal ones go to
+the example of the smaller seeded hash; repeated rows get equal scores; an empty table gives an empty table; extra columns are kept, and
+one named like a result is replaced; without labels of both classes every score is the smoothed share of label 1 (0.5 without labels).
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import append, filled, held_out
+from tesserae.llm.common import append, filled, held_out, row_blocks
 from tesserae.llm.quality import sample
 from tesserae.session import ship
 
 TRAIN_ROWS = 20_000
-TERMS = 3_000
 THRESHOLD = 0.3
 NEAREST = 15
-#: Terms that more than this share of the rows of the index hold are columns, at most COLUMNS.
-FREQUENT = 0.1
+#: Picked by leave-one-out votes of the labelled rows that may be learnt from.
+TELLING = 300.0
+#: Rows a block of the index; terms whose lists are laid out in blocks.
+BLOCK_ROWS = 32
 COLUMNS = 64
-BOOST = 20.0
-LEAST_DOCS = 3
-LEAST_RATIO = 15.0
-#: A kept term's share of label 1 is so many times the share of all rows at least; weaker ones tell languages and topics apart.
-LEAST_LIFT = 3.0
-PREFIXES = range(3, 8)
-#: Words whose terms a worker remembers; partial counts that it holds before it passes them on.
+#: Words whose numbers a worker remembers; scores of texts that it remembers.
 REMEMBERED = 400_000
-HELD = 400_000
+SCORES = 20_000
 
 LETTERS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -62,172 +59,159 @@ def words(text: str) -> list[bytes]:
     return text.lower().encode().translate(LETTERS).split()
 
 
-def terms_of(word: bytes) -> list[str]:
-    w = word.decode(errors="replace")
-    return [w + "$", *(w[:n] for n in PREFIXES if n <= len(w))]
+class Numbers(dict):
+    """A word's place among sorted hashes; -1 if it isn't there."""
 
-
-class Memo(dict):
-    """Numbers of the kept terms of a word, and its own number from len(number) on if it is one of `own`."""
-
-    def __init__(self, number: dict[str, int], own: dict[bytes, int] | None = None):
+    def __init__(self, hashes: np.ndarray):
         super().__init__()
-        self.number, self.own = number, own or {}
-        self.starts = {t[:3] for t in number}
+        self.hashes = hashes
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > REMEMBERED:
             self.clear()
-        found: tuple[int, ...] = ()
-        if (word.decode(errors="replace") + "$")[:3] in self.starts or word.decode(errors="replace")[:3] in self.starts:
-            found = tuple(self.number[t] for t in terms_of(word) if t in self.number)
-        if word in self.own:
-            found += (self.own[word],)
-        self[word] = found
-        return found
-
-
-def weighed(found: dict[bytes, int], memo: Memo) -> tuple[np.ndarray, float]:
-    """Pairs of term and count in order, and the squared length, before idf, of the words that no example holds."""
-    counts: dict[int, int] = {}
-    outside, first = 0.0, len(memo.number)
-    for w, n in found.items():
-        told = memo[w]
-        if not told or told[-1] < first:
-            outside += (1 + math.log(n)) ** 2
-        for t in told:
-            counts[t] = counts.get(t, 0) + n
-    pairs = np.array(list(counts.items()), np.int64).reshape(-1, 2)
-    return pairs[np.argsort(pairs[:, 0])], outside
-
-
-def vector(text: str, memo: Memo) -> dict[int, int]:
-    """Counts of kept terms; -1: words without any, rounded down to a power of two, so that texts alike in all else are alike in this.
-
-    A text without kept terms has that one direction whatever its length, so its count is 1.
-    """
-    found = words(text)
-    told = [t for t in map(memo.__getitem__, found) if t]
-    counts = Counter(x for t in told for x in t)
-    if len(found) > len(told):
-        counts[-1] = 1 << ((len(found) - len(told)).bit_length() - 1) if counts else 1
-    return counts
+        h = np.uint64(xxhash.xxh64_intdigest(word))
+        at = int(np.searchsorted(self.hashes, h))
+        self[word] = at = at if at < len(self.hashes) and self.hashes[at] == h else -1
+        return at
+
+
+def hashed(text: str) -> tuple[bytes, bytes]:
+    """Sorted hashes of the distinct words (uint64) and their counts (int32)."""
+    found = Counter(words(text))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+    n = np.fromiter(found.values(), np.int32, len(found))
+    order = np.argsort(h)
+    return h[order].tobytes(), n[order].tobytes()
+
+
+def layout(rows: np.ndarray, size: int) -> np.ndarray:
+    """An order of the rows in which those of a block are alike: halves along the axis of most spread, down to blocks."""
+    out, todo = [], [np.arange(len(rows))]
+    while todo:
+        part = todo.pop()
+        if len(part) <= size or not rows.shape[1]:
+            out.append(part)
+            continue
+        x = rows[part] - rows[part].mean(axis=0)
+        along = x @ np.linalg.eigh(x.T @ x)[1][:, -1]
+        ranked = part[np.argsort(np.round(along, 6), kind="stable")]
+        half = size * max(1, len(ranked) // size // 2)
+        todo += [ranked[half:], ranked[:half]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 class Index:
-    """Labelled vectors by term: postings of rare terms, columns of frequent ones. A vector is counts by term, or an array of its pairs."""
-
-    def __init__(self, vectors: list, y: np.ndarray, ids: list, idf: np.ndarray):
-        self.idf = idf
-        n_terms = len(idf)
-        self.row: dict[bytes, int] = {}
-        self.ids: list = []
-        votes, keys, self.of = [], [], []
-        for v, label, i in zip(vectors, y.tolist(), ids, strict=True):
-            key = np.array(self.key(v) if isinstance(v, dict) else v, np.int64).reshape(-1, 2)
-            at = self.row.setdefault(hashlib.blake2b(key.tobytes(), digest_size=16).digest(), len(keys))
-            if at == len(keys):
-                keys.append(key.astype(np.int32))
-                votes.append([0, 0])
-                self.ids.append(i)
-            votes[at][int(label)] += 1
-            self.of.append(at)
-        self.votes = np.array(votes, float).reshape(-1, 2)
-        n = len(keys)
-        pairs = np.concatenate(keys) if keys else np.zeros((0, 2), np.int32)
-        at = np.repeat(np.arange(n), [len(k) for k in keys])
-        self.sizes = np.array([len(k) for k in keys], np.int64)
-        self.pairs = pairs
-        weight = self._weights(pairs[:, 0], pairs[:, 1])
-        norm = np.sqrt(np.bincount(at, weight**2, n))
-        weight /= np.where(norm > 0, norm, 1.0)[at]
-        size = np.bincount(pairs[:, 0], minlength=n_terms)
-        often = np.argsort(-size, kind="stable")[:COLUMNS]
-        often = often[size[often] > FREQUENT * n]
+    """Unit vectors by term. Rows are known by their position in what is given.
+
+    Every term has a list of its rows and weights. The COLUMNS longest lists are laid out as columns over blocks of alike rows, each with its
+    largest weight in every block; a block's column parts are added only where a block could reach the k-th best cosine.
+    """
+
+    def __init__(self, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int, size: int = BLOCK_ROWS, columns: int = COLUMNS):
+        """Row i has terms[ends[i]:ends[i + 1]] with these weights, of any length."""
+        n = self.n = len(ends) - 1
+        self.blocks, self.size = -(-n // size), size
+        row = np.repeat(np.arange(n), np.diff(ends))
+        norm = np.sqrt(np.bincount(row, weights**2, n))
+        weights = (weights / np.where(norm > 0, norm, 1.0)[row]).astype(np.float32)
+        self.ends, self.terms, self.weights = ends, terms.astype(np.int32), weights
+        long = np.argsort(-np.bincount(terms, minlength=n_terms), kind="stable")[:columns]
         self.column = np.full(n_terms, -1, np.int32)
-        self.column[often] = np.arange(len(often))
-        there = self.column[pairs[:, 0]]
-        self.dense = np.zeros((n, len(often)))
-        self.dense[at[there >= 0], there[there >= 0]] = weight[there >= 0]
-        rare = np.flatnonzero(there < 0)
-        rare = rare[np.lexsort((at[rare], pairs[rare, 0]))]
-        self.at, self.weight = at[rare].astype(np.int32), weight[rare]
-        self.ends = np.searchsorted(pairs[rare, 0], np.arange(n_terms + 1))
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("pairs", "row", "of")}  # of use to the fit only
-
-    def _weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return (1 + np.log(counts)) * self.idf[terms]
-
-    @property
-    def place(self) -> dict[tuple, int]:
-        """Rows by key."""
-        parts = np.split(self.pairs, np.cumsum(self.sizes)[:-1]) if len(self.sizes) else []
-        return {tuple(map(tuple, p.tolist())): i for i, p in enumerate(parts)}
-
-    def key(self, counts: dict[int, int]) -> tuple:
-        return tuple(sorted((t % len(self.idf), c) for t, c in counts.items()))
-
-    def nearest(self, key: tuple | np.ndarray, k: int = NEAREST, without: int | None = None, outside: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """Rows with the largest cosines, and these; ties to the earlier row.
-
-        without: a row that is left out; outside: the squared length of what the text holds beside the key.
-        """
-        pairs = np.asarray(key, np.int64).reshape(-1, 2)
-        n = len(self.ids)
-        if not len(pairs) or not n:
+        self.column[long] = np.arange(len(long))
+        column = self.column[terms]
+        there = column >= 0
+        dense = np.zeros((n, len(long)), np.float32)
+        dense[row[there], column[there]] = weights[there]
+        self.order = layout(dense.astype(float), size).astype(np.int32)
+        self.place = np.empty(n, np.int32)
+        self.place[self.order] = np.arange(n)
+        self.dense = np.zeros((self.blocks, size, len(long)), np.float32)
+        self.dense.reshape(self.blocks * size, len(long))[:n] = dense[self.order]
+        self.most = self.dense.max(axis=1)
+        short = np.flatnonzero(~there)
+        short = short[np.lexsort((self.place[row[short]], terms[short]))]
+        self.at, self.weight = self.place[row[short]].astype(np.int64), weights[short]
+        self.start = np.searchsorted(terms[short], np.arange(n_terms + 1))
+
+    def parts(self, blocks: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """What the columns add to the rows of these blocks."""
+        return (self.dense[blocks].reshape(len(blocks) * self.size, len(q)) @ q).reshape(len(blocks), self.size)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, length: float, k: int = NEAREST, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows with the largest cosines to a vector of this length, and these; ties to the earlier row; without: a row left out."""
+        if not len(terms) or not self.n or not length:
             return np.zeros(0, np.int64), np.zeros(0)
-        terms = pairs[:, 0]
-        w = self._weights(terms, pairs[:, 1])
-        w /= np.sqrt((w**2).sum() + outside)
+        weights = weights / length
         column = self.column[terms]
-        rare = column < 0
-        starts, ends = self.ends[terms[rare]], self.ends[terms[rare] + 1]
-        lists = [slice(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        got = np.zeros(n)
+        q = np.zeros(self.dense.shape[2], np.float32)
+        q[column[column >= 0]] = weights[column >= 0]
+        starts, stops = self.start[terms], self.start[terms + 1]
+        cosine = np.zeros(self.blocks * self.size)
+        lists = [slice(a, b) for a, b in zip(starts.tolist(), stops.tolist(), strict=True) if b > a]
         if lists:
-            parts = np.concatenate([self.weight[s] for s in lists]) * np.repeat(w[rare], ends - starts)
-            got = np.bincount(np.concatenate([self.at[s] for s in lists]), parts, n).astype(float)
-        k = min(k, n)
-        if not rare.all():
-            q = np.zeros(self.dense.shape[1])
-            q[column[~rare]] = w[~rare]
-            got += self.dense @ q
+            share = np.repeat(weights, stops - starts)
+            cosine = np.bincount(np.concatenate([self.at[s] for s in lists]), share * np.concatenate([self.weight[s] for s in lists]), len(cosine))
+        cosine = cosine.reshape(self.blocks, self.size)
         if without is not None:
-            got[without] = 0
-        best = np.flatnonzero(got >= max(np.partition(got, -k)[-k] - 1e-12, 1e-13))
-        cosine = np.round(got[best], 12)
-        best, cosine = best[cosine > 0], cosine[cosine > 0]
-        order = np.argsort(-cosine, kind="stable")[:k]
-        return best[order], cosine[order]
+            cosine[divmod(int(self.place[without]), self.size)] = -2.0
+        bound = cosine.max(axis=1) + self.most @ q
+        first = np.argsort(-bound, kind="stable")[: max(8, 4 * k // self.size)]
+        cosine[first] += self.parts(first, q)
+        least = float(np.partition(cosine[first].ravel(), -k)[-k]) if k < first.size * self.size else 0.0
+        bound[first] = -1.0
+        rest = np.flatnonzero(bound >= max(least - 2e-6, 5e-7))
+        cosine[rest] += self.parts(rest, q)
+        chosen = np.concatenate([first, rest])
+        got = cosine[chosen].ravel()
+        least = float(np.partition(got, -k)[-k]) if k < len(got) else 0.0
+        best = np.flatnonzero(got >= max(least - 2e-6, 1e-6))
+        rows, got = self.order[chosen[best // self.size] * self.size + best % self.size], np.round(got[best], 6)
+        order = np.lexsort((rows, -got))[:k]
+        return rows[order].astype(np.int64), got[order]
 
 
 class Model:
-    def __init__(self, number: dict[str, int], own: dict[bytes, int], idf: np.ndarray, unknown: float, vectors: list, y: np.ndarray, ids: list):
-        self.number, self.own, self.unknown = number, own, unknown
-        self.share = float((y.sum() + 1) / (len(y) + 2))
-        self.index = Index(vectors, y, ids, idf)
-        raw, known = [], {}
-        for v, at, label in zip(vectors, self.index.of, y, strict=True):
-            key = at, int(label)
-            if key not in known:
-                known[key] = self.vote(v, 0.0, *key)[0]
-            raw.append(known[key])
-        self.x, self.p = monotone(np.array(raw), y)
-
-    def vote(self, key: tuple | np.ndarray, outside: float = 0.0, own: int | None = None, leave_out: int | None = None) -> tuple[float, np.ndarray]:
-        """Share of label 1 among the nearest, near ones counting more; own, leave_out: the row of this key and the label of one that isn't asked."""
-        alone = own is not None and self.index.votes[own].sum() == 1
-        rows, cosine = self.index.nearest(key, without=own if alone else None, outside=outside * self.unknown**2)
-        votes = self.index.votes[rows].copy()
-        if own is not None and not alone:
-            votes[rows == own, leave_out] -= 1
+    """The examples' index, what a term weighs, and, once `calibrate` has run, probabilities of votes."""
+
+    def __init__(self, hashes: np.ndarray, scale: np.ndarray, unknown: float, index: Index, votes: np.ndarray, ids: list):
+        self.hashes, self.scale, self.unknown, self.index, self.votes, self.ids = hashes, scale, unknown, index, votes, ids
+        total = votes.sum(axis=0)
+        self.share = float((total[1] + 1) / (total.sum() + 2))
+
+    def nearest(self, text: str, numbers: Numbers) -> tuple[np.ndarray, np.ndarray]:
+        found = Counter(words(text))
+        terms = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
+        tf = 1 + np.log(np.fromiter(found.values(), float, len(found)))
+        known = terms >= 0
+        order = np.argsort(terms[known], kind="stable")
+        terms, weights = terms[known][order], (tf[known] * self.scale[terms[known]])[order]
+        outside = np.sort(tf[~known] * self.unknown)
+        return self.index.nearest(terms, weights, math.sqrt((weights**2).sum() + (outside**2).sum()))
+
+    def vote(self, rows: np.ndarray, cosine: np.ndarray, votes: np.ndarray) -> float:
+        """Share of label 1 among rows with these votes, near ones counting more."""
         total = votes.sum(axis=1)
         # a row of many equal examples counts as many, but not without end
         many = np.where(total > 0, np.minimum(total, NEAREST) / np.maximum(total, 1), 0.0)
         weight = many / (0.05 + 1 - cosine)
-        return float((0.5 * self.share + (weight * votes[:, 1]).sum()) / (0.5 + (weight * total).sum())), rows
+        return float((0.5 * self.share + (weight * votes[:, 1]).sum()) / (0.5 + (weight * total).sum()))
+
+    def left_out(self, row: int) -> list[tuple[int, int, float]]:
+        """Of one row of the index: label, examples of that label, and the vote on one of them when it isn't asked."""
+        at = slice(self.index.ends[row], self.index.ends[row + 1])
+        alone = self.votes[row].sum() == 1
+        rows, cosine = self.index.nearest(self.index.terms[at], self.index.weights[at].astype(float), 1.0, without=row if alone else None)
+        out = []
+        for label in (0, 1):
+            if self.votes[row, label]:
+                votes = self.votes[rows].copy()
+                if not alone:
+                    votes[rows == row, label] -= 1
+                out.append((label, int(self.votes[row, label]), self.vote(rows, cosine, votes)))
+        return out
+
+    def calibrate(self, raw: np.ndarray, y: np.ndarray, times: np.ndarray) -> None:
+        self.x, self.p = monotone(np.repeat(raw, times), np.repeat(y, times))
 
     def probability(self, raw: float) -> float:
         return float(np.interp(raw, self.x, self.p))
@@ -235,7 +219,7 @@ class Model:
 
 def monotone(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities that rise with raw (pool adjacent violators), smoothed, as points of a broken line that still rises with raw."""
-    order = np.argsort(raw, kind="stable")
+    order = np.lexsort((y, raw))
     pools: list[list[float]] = []
     for x, v in zip(raw[order].tolist(), y[order].tolist(), strict=True):
         pools.append([x, 1.0, v])
@@ -251,134 +235,115 @@ def monotone(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return xs[keep], ps[keep]
 
 
-def term_counts(rows: DataFrame, text: str, sent: Broadcast | None, label: str | None) -> DataFrame:
-    """term, n, n1: documents that hold it, and those of label 1; sent: the numbers of terms and words that are counted. Each task adds up what it has read and holds a bounded part."""
-    ship(rows.sparkSession)
+def document_counts(docs: DataFrame, text: str, hashes: Broadcast) -> DataFrame:
+    """term, n: documents that hold it, for the terms whose hashes are sent. Each task holds one number a term."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(*sent.value) if sent else None
-        known: dict[bytes, list[str]] = {}
-        n, n1 = Counter(), Counter()
-
-        def flush():
-            yield pa.RecordBatch.from_arrays([pa.array([str(t) for t in n], pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([n1[t] for t in n], pa.int64())], names=["term", "n", "n1"])
-            n.clear()
-            n1.clear()
-
+        numbers = Numbers(hashes.value)
+        n = np.zeros(len(hashes.value) + 1, np.int64)  # the last one: words that no example holds
         for batch in batches:
-            labels = batch.column(1).to_pylist() if label else [0] * batch.num_rows
-            for t, y in zip(filled(batch.column(0)).to_pylist(), labels, strict=True):
-                if memo is not None:
-                    found = {x for w in set(words(t)) for x in memo[w]}
-                else:
-                    found = set()
-                    for w in set(words(t)):
-                        if w not in known:
-                            if len(known) > REMEMBERED // 4:
-                                known.clear()
-                            known[w] = terms_of(w)
-                        found.update(known[w])
-                n.update(found)
-                if y:
-                    n1.update(found)
-                if len(n) > HELD:
-                    yield from flush()
-        if n:
-            yield from flush()
-
-    out = rows.select(text, *([label] if label else [])).mapInArrow(run, "term string, n long, n1 long")
-    return out.groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
-
-
-def sketch(text: str) -> int:
-    """The same for most near copies of a text: its distinct words of the five smallest hashes."""
-    return zlib.crc32(b" ".join(heapq.nsmallest(5, set(words(text)), key=zlib.crc32)))
-
-
-def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> Model | float:
-    chosen = sample(labels, target, rows, id_col)  # at most `rows` ids
-    known = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "_id")), "_id")
-    field = T.StructField("_s", T.LongType())
-    marked = append(known, "_text", [field], lambda: lambda a: [[sketch(t) for t in a.to_pylist()]])
-    # a group of near copies of one label counts once, or its words would be taken for the label's
-    first = marked.groupBy("_s", "_y").agg(F.min("_id").alias("_id")).select("_id", "_y").collect()  # at most `rows`
-    n1 = sum(r._y for r in first)
-    n0 = len(first) - n1
-    kept = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_y", T.IntegerType())])
-    chosen = docs.sparkSession.createDataFrame([(r._id, int(r._y)) for r in first], kept)
-    known = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
+            for part in row_blocks(batch, text):
+                for t in filled(part.column(0)).to_pylist():
+                    found = set(words(t))
+                    n[np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))] += 1
+        seen = np.flatnonzero(n[:-1])
+        for s in range(0, len(seen), 1 << 16):
+            part = seen[s : s + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(n[part])], names=["term", "n"])
+
+    return docs.select(text).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def information(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Mutual information in nats of a label and a word: a of n1 examples of label 1 hold it, b of n0 others."""
+    n = n1 + n0
+    part = lambda x, e: np.where(x > 0, x * np.log(np.maximum(x, 1e-300) / np.maximum(e, 1e-300)), 0.0)
+    seen, unseen = (a + b) / n, 1 - (a + b) / n
+    return np.maximum(0.0, part(a, n1 * seen) + part(b, n0 * seen) + part(n1 - a, n1 * unseen) + part(n0 - b, n0 * unseen)) / n
+
+
+def examples(docs: DataFrame, labels: DataFrame, target: str, id_col: str, text: str, rows: int) -> pa.Table:
+    """_id, _y, and the packed words of `rows` labelled documents at most, in seeded order."""
+    chosen = sample(labels, target, rows, id_col).withColumnRenamed(id_col, "_id")
+    known = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")  # `rows` ids at most
+    known = known.select("_id", "_y", "_text", F.xxhash64("_id", "_text").alias("_order"))
+    fields = [T.StructField("_h", T.BinaryType()), T.StructField("_c", T.BinaryType())]
+    packed = append(known, "_text", fields, lambda: lambda a: [list(x) for x in zip(*map(hashed, a.to_pylist()), strict=True)] if len(a) else [[], []])
+    return packed.select("_id", "_y", "_h", "_c", "_order").orderBy("_order", "_y").limit(rows).toArrow()
+
+
+def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS, telling: float = TELLING) -> Model | float:
+    spark = docs.sparkSession
+    got = examples(docs, labels, target, id_col, text, rows)
+    y = np.array(got["_y"].to_pylist(), float)
+    n1, n0 = float(y.sum()), float(len(y) - y.sum())
     if min(n0, n1) < 3:
         return (n1 + 1) / (n0 + n1 + 2)
-    counted = term_counts(known, "_text", None, "_y")
-    a, b = F.col("n1").cast("double"), (F.col("n") - F.col("n1")).cast("double")
-    all_ = float(n0 + n1)
-    log = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
-    seen, unseen = (a + b) / all_, 1 - (a + b) / all_
-    ratio = 2 * (log(a, n1 * seen) + log(b, n0 * seen) + log(n1 - a, n1 * unseen) + log(n0 - b, n0 * unseen))
-    strong = a * all_ >= LEAST_LIFT * n1 * (a + b)
-    best = counted.where((a >= LEAST_DOCS) & (a * n0 > b * n1) & strong).withColumn("g", F.round(ratio, 6)).where(F.col("g") >= LEAST_RATIO)
-    terms = sorted(r.term for r in best.orderBy(F.col("g").desc(), "term").select("term").limit(TERMS).collect())
-    number = {t: i for i, t in enumerate(terms)}
-    fields = [T.StructField("_w", T.ArrayType(T.BinaryType())), T.StructField("_c", T.ArrayType(T.IntegerType()))]
-
-    def held(a: pa.Array) -> list:
-        found = [Counter(words(t)) for t in a.to_pylist()]
-        return [[list(c) for c in found], [list(c.values()) for c in found]]
-
-    hashed = known.select("_id", "_y", "_text", F.xxhash64("_id", "_text").alias("_order"))
-    got = append(hashed, "_text", fields, lambda: held).select("_id", "_y", "_w", "_c", "_order").orderBy("_order", "_y").limit(rows).toArrow()
-    lists = got["_w"].combine_chunks()
-    coded = lists.flatten().dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    own = {w: i + len(number) for i, w in enumerate(names)}  # the words of at most `rows` examples
-    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    coded, times = coded.indices.to_numpy(), got["_c"].combine_chunks().flatten().to_numpy()
-    memo = Memo(number)
-    told = {i: t for i, w in enumerate(names) if (t := memo[w])}
-    marked_words = np.zeros(len(names), bool)
-    marked_words[list(told)] = True
-    vectors = []
-    for a_, b_ in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-        word, n = coded[a_:b_], times[a_:b_]
-        extra: Counter = Counter()
-        for i in np.flatnonzero(marked_words[word]).tolist():
-            for t in told[int(word[i])]:
-                extra[t] += int(n[i])
-        pairs = np.concatenate([np.array(list(extra.items()), np.int32).reshape(-1, 2), np.column_stack([word + len(number), n]).astype(np.int32)])
-        vectors.append(pairs[np.argsort(pairs[:, 0])])
+    row, ids, votes, packs = {}, [], [], []
+    for i, label, h, c in zip(*(got[k].to_pylist() for k in ("_id", "_y", "_h", "_c")), strict=True):
+        at = row.setdefault(hashlib.blake2b(h + c, digest_size=16).digest(), len(ids))
+        if at == len(ids):
+            ids.append(i)
+            votes.append([0, 0])
+            packs.append((h, c))
+        votes[at][int(label)] += 1
+    del got, row
+    votes = np.array(votes, float)
+    ends = np.concatenate([[0], np.cumsum([len(h) // 8 for h, _ in packs])]).astype(np.int64)
+    hashes, terms = np.unique(np.frombuffer(b"".join(h for h, _ in packs), np.uint64), return_inverse=True)
+    tf = 1 + np.log(np.frombuffer(b"".join(c for _, c in packs), np.int32))
+    del packs
     total = docs.count()
-    sent = docs.sparkSession.sparkContext.broadcast((number, own))
-    counted = term_counts(docs.select(text), text, sent, None).select(F.col("term").cast("int").alias("term"), "n").toArrow()
-    seen_in = np.zeros(len(number) + len(own))
-    seen_in[counted["term"].to_numpy()] = counted["n"].to_numpy()
-    idf = np.log((1 + total) / (1 + seen_in)) + 1
-    idf[: len(number)] *= BOOST
-    y = got["_y"].to_numpy().astype(float)
-    return Model(number, own, idf, math.log((1 + total) / 2) + 1, vectors, y, got["_id"].to_pylist())
-
-
-def score(df: DataFrame, model: Model | float, text: str = "text", out: str = "score", evidence: str = "evidence") -> DataFrame:
-    """df with each whole text's score and the ids of the labelled examples that are nearest."""
+    counted = document_counts(docs, text, spark.sparkContext.broadcast(hashes)).toArrow()  # a row a word of the examples
+    n = np.zeros(len(hashes))
+    n[counted["term"].to_numpy()] = counted["n"].to_numpy()
+    held = [np.bincount(terms, np.repeat(votes[:, k], np.diff(ends)), len(hashes)) for k in (1, 0)]
+    scale = (np.log((1 + total) / (1 + n)) + 1) * (1 + telling * information(*held, n1, n0))
+    model = Model(hashes, scale, math.log((1 + total) / 2) + 1, Index(ends, terms, tf * scale[terms], len(hashes)), votes, ids)
+    model.calibrate(*leave_one_out(spark, model))
+    return model
+
+
+def leave_one_out(spark, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Votes, labels and numbers of equal examples, computed by tasks of a few hundred rows of the index each."""
+    ship(spark)
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            out = [(r, *x) for r in batch.column(0).to_pylist() for x in m.left_out(r)]
+            yield pa.RecordBatch.from_pylist([dict(zip(("r", "y", "n", "vote"), x, strict=True)) for x in out], pa.schema([("r", pa.int64()), ("y", pa.int64()), ("n", pa.int64()), ("vote", pa.float64())]))
+
+    found = spark.range(0, model.index.n, 1, max(1, min(64, model.index.n // 100))).mapInArrow(run, "r long, y long, n long, vote double").toArrow()
+    sent.destroy()
+    order = np.lexsort((found["y"].to_numpy(), found["r"].to_numpy()))
+    return tuple(found[k].to_numpy()[order] for k in ("vote", "y", "n"))
+
+
+def score(df: DataFrame, model: Model | float, text: str = "text", out: str = "score", evidence: str = "evidence", id_type: T.DataType | None = None) -> DataFrame:
+    """df with each whole text's score and the ids (of type id_type) of the labelled examples that are nearest."""
+    id_type = id_type or T.LongType()
     if isinstance(model, float):
-        return df.withColumns({out: F.lit(round(model, 9)), evidence: F.array().cast("array<long>")})
+        return df.withColumns({out: F.lit(round(model, 9)), evidence: F.array().cast(T.ArrayType(id_type))})
     sent = df.sparkSession.sparkContext.broadcast(model)  # TRAIN_ROWS examples and their words
-    fields = [T.StructField(out, T.DoubleType()), T.StructField(evidence, T.ArrayType(T.LongType()))]
+    fields = [T.StructField(out, T.DoubleType()), T.StructField(evidence, T.ArrayType(id_type))]
 
     def make():
         m = sent.value
-        memo = Memo(m.number, m.own)
+        numbers = Numbers(m.hashes)
         seen: dict[bytes, tuple] = {}
 
         def work(a: pa.Array) -> list:
             scores, near = [], []
             for t in a.to_pylist():
-                pairs, outside = weighed(Counter(words(t)), memo)
-                key = hashlib.blake2b(pairs.tobytes() + str(round(outside, 9)).encode(), digest_size=16).digest()
+                key = hashlib.blake2b(t.encode(), digest_size=16).digest()
                 if key not in seen:
-                    if len(seen) > 20_000:
+                    if len(seen) > SCORES:
                         seen.clear()
-                    raw, rows = m.vote(pairs, outside)
-                    seen[key] = (round(m.probability(raw), 9), [m.index.ids[i] for i in rows[:3].tolist()])
+                    rows, cosine = m.nearest(t, numbers)
+                    seen[key] = (round(m.probability(m.vote(rows, cosine, m.votes[rows])), 9), [m.ids[i] for i in rows[:3].tolist()])
                 scores.append(seen[key][0])
                 near.append(seen[key][1])
             return [scores, near]
@@ -390,5 +355,6 @@ def score(df: DataFrame, model: Model | float, text: str = "text", out: str = "s
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence."""
-    scored = score(docs.select(id_col, text), fit(docs, labels, "toxic", id_col, text), text).drop(text)
-    return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+    kept = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    scored = score(kept, fit(docs, labels, "toxic", id_col, text), "_text", id_type=docs.schema[id_col].dataType)
+    return scored.select(F.col("_id").alias(id_col), held_out(F.col("_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")

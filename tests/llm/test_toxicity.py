@@ -1,31 +1,91 @@
 """The index against all cosines, held-out accuracy, and odd rows."""
 
+import math
+from collections import Counter
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tesserae.llm import toxicity
 
-VECTORS = st.lists(st.dictionaries(st.integers(-1, 11), st.integers(1, 9), max_size=6), min_size=1, max_size=300)
+VECTORS = st.lists(st.dictionaries(st.integers(0, 11), st.integers(1, 9), max_size=6), min_size=1, max_size=300)
 
 
 @settings(max_examples=150, deadline=None)
-@given(VECTORS, st.dictionaries(st.integers(-1, 11), st.integers(1, 9), max_size=6), st.integers(1, 20), st.randoms(use_true_random=False))
-def test_nearest_is_exact(vectors, query, k, rng):
-    idf = np.array([rng.uniform(1, 8) for _ in range(12)] + [1.0])
-    index = toxicity.Index(vectors, np.zeros(len(vectors)), list(range(len(vectors))), idf)
-    dense = np.zeros((len(index.ids), 13))
-    for key, i in index.place.items():
-        for t, c in key:
-            dense[i, t] = (1 + np.log(c)) * idf[t]
+@given(VECTORS, st.dictionaries(st.integers(0, 11), st.integers(1, 9), max_size=6), st.integers(1, 20), st.sampled_from([1, 4, 32]), st.sampled_from([0, 3, 20]), st.booleans())
+def test_nearest_is_exact(vectors, query, k, size, columns, left):
+    dense = np.zeros((len(vectors), 12))
+    for i, v in enumerate(vectors):
+        for t, c in v.items():
+            dense[i, t] = c * (t + 1)
+    ends = np.cumsum([0, *map(len, vectors)])
+    terms = np.array([t for v in vectors for t in v], np.int64)
+    index = toxicity.Index(ends, terms, dense[np.repeat(np.arange(len(vectors)), np.diff(ends)), terms], 12, size, columns)
     unit = lambda m: m / np.maximum(1e-300, np.linalg.norm(m, axis=-1, keepdims=True))
-    q = np.zeros(13)
-    for t, c in index.key(query):
-        q[t] = (1 + np.log(c)) * idf[t]
-    cosine = np.round(unit(dense) @ unit(q), 12)
-    rows, got = index.nearest(index.key(query), k)
-    want = np.sort(cosine[cosine > 0])[::-1][:k]
-    assert np.allclose(got, want, atol=1e-9) and np.allclose(cosine[rows], got, atol=1e-9)
+    q = np.zeros(12)
+    q[list(query)] = list(query.values())
+    cosine = unit(dense) @ unit(q)
+    if left:
+        cosine[0] = 0
+    rows, got = index.nearest(np.array(sorted(query), np.int64), q[sorted(query)], np.linalg.norm(q), k, 0 if left else None)
+    want = np.sort(cosine[cosine > 1e-4])[::-1][:k]
+    assert np.allclose(got, want, atol=3e-6) and np.allclose(cosine[rows], got, atol=3e-6)
+
+
+def test_scores_equal_plain_ones(spark):
+    """Every score anew: dictionaries of words, all cosines, votes, leave-one-out votes, calibration."""
+    rng = np.random.default_rng(3)
+    some = [f"w{int(x)}" for x in rng.zipf(1.4, 6000) % 400]
+    texts = [" ".join(some[i * 15 : i * 15 + 5 + i % 11]) + (" vile" * (i % 3) + " É! rot" if i % 5 == 0 else "") for i in range(400)]
+    texts[7], texts[11], texts[12], texts[390] = texts[5], "", "...", "nothing known"
+    docs = spark.createDataFrame([(f"id{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"id{i}", int(i % 5 == 0)) for i in range(300)], "doc_id string, toxic int")
+    got = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
+
+    chosen = [(r["_id"], int(r["_y"])) for r in toxicity.examples(docs, labels, "toxic", "doc_id", "text", 20_000).to_pylist()]
+    split = lambda t: Counter("".join(c if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in t.lower()).split())
+    bags = {f"id{i}": split(t) for i, t in enumerate(texts)}
+    df = Counter(w for b in bags.values() for w in b)
+    n1 = sum(y for _, y in chosen)
+    n0, known = len(chosen) - n1, Counter(w for i, _ in chosen for w in bags[i])
+    bad = Counter(w for i, y in chosen if y for w in bags[i])
+
+    def information(w):
+        total = 0.0
+        for y, n in ((1, n1), (0, n0)):
+            inside = bad[w] if y else known[w] - bad[w]
+            for x, marginal in ((inside, known[w]), (n - inside, n1 + n0 - known[w])):
+                total += x * math.log(x * (n1 + n0) / (n * marginal)) if x else 0.0
+        return total / (n1 + n0)
+
+    def vector(bag):
+        v = {w: (1 + math.log(c)) * (math.log(401 / (1 + df[w])) + 1) * (1 + 300 * information(w)) if w in known else (1 + math.log(c)) * (math.log(401 / 2) + 1) for w, c in bag.items()}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / length for w, x in v.items()}
+
+    rows = {}
+    for i, y in chosen:
+        key = tuple(sorted(bags[i].items()))
+        rows.setdefault(key, [vector(bags[i]), [0, 0], i])[1][y] += 1
+    rows = list(rows.values())
+
+    def vote(v, out=None, y=None):
+        alone = out is not None and sum(rows[out][1]) == 1
+        near = [(-round(sum(x * r[0].get(w, 0.0) for w, x in v.items()), 6), j) for j, r in enumerate(rows) if not (alone and j == out)]
+        top, bottom, asked = 0.5 * (n1 + 1) / (n1 + n0 + 2), 0.5, []
+        for c, j in sorted(x for x in near if x[0] < 0)[:15]:
+            n = [rows[j][1][k] - (not alone and j == out and k == y) for k in (0, 1)]
+            weight = min(sum(n), 15) / max(1, sum(n)) / (0.05 + 1 + c)
+            top, bottom = top + weight * n[1], bottom + weight * sum(n)
+            asked.append(rows[j][2])
+        return top / bottom, asked
+
+    raw = [(vote(r[0], j, y)[0], y) for j, r in enumerate(rows) for y in (0, 1) for _ in range(r[1][y])]
+    x, p = toxicity.monotone(np.array([a for a, _ in raw]), np.array([float(b) for _, b in raw]))
+    for i, bag in bags.items():
+        share, asked = vote(vector(bag) if bag else {})
+        assert abs(got[i].score - np.interp(share, x, p)) < 2e-3 and got[i].evidence == asked[:3], i
 
 
 def test_monotone():
@@ -36,10 +96,8 @@ def test_monotone():
     assert (np.diff(p) >= 0).all() and abs(np.interp(0.8, x, p) - 0.64) < 0.1
 
 
-def test_terms():
-    assert toxicity.terms_of("Éabcdefgh".lower().encode()) == ["éabcdefgh$", "éab", "éabc", "éabcd", "éabcde", "éabcdef"]
-    memo = toxicity.Memo({"bad$": 0, "bad": 1})
-    assert toxicity.vector("BAD badly ok, ok\n", memo) == {0: 1, 1: 2, -1: 2} and toxicity.vector("a b c", memo) == {-1: 1} and toxicity.vector("", memo) == {}
+def test_words():
+    assert toxicity.words("ÉA-b 3,x\n") == ["éa".encode(), b"b", b"3", b"x"]
 
 
 def test_tables(spark):
