@@ -114,7 +114,6 @@ class Index:
         row = np.repeat(np.arange(n), np.diff(ends))
         norm = np.sqrt(np.bincount(row, weights**2, n))
         weights = (weights / np.where(norm > 0, norm, 1.0)[row]).astype(np.float32)
-        self.ends, self.terms, self.weights = ends, terms.astype(np.int32), weights
         long = np.argsort(-np.bincount(terms, minlength=n_terms), kind="stable")[:columns]
         self.column = np.full(n_terms, -1, np.int32)
         self.column[long] = np.arange(len(long))
@@ -123,8 +122,7 @@ class Index:
         dense = np.zeros((n, len(long)), np.float32)
         dense[row[there], column[there]] = weights[there]
         self.order = layout(dense.astype(float), size).astype(np.int32)
-        self.place = np.empty(n, np.int32)
-        self.place[self.order] = np.arange(n)
+        self.place = np.argsort(self.order).astype(np.int32)
         self.dense = np.zeros((self.blocks, size, len(long)), np.float32)
         self.dense.reshape(self.blocks * size, len(long))[:n] = dense[self.order]
         self.most = self.dense.max(axis=1)
@@ -133,6 +131,21 @@ class Index:
         self.at, self.weight = self.place[row[short]].astype(np.int64), weights[short]
         self.start = np.searchsorted(terms[short], np.arange(n_terms + 1))
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"at": self.at.astype(np.int32), "start": self.start.astype(np.int32)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state | {"at": state["at"].astype(np.int64), "start": state["start"].astype(np.int64)}
+
+    def vectors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the index was built from: ends, terms and weights (of length 1) by row."""
+        row, column = np.nonzero(self.dense.reshape(self.blocks * self.size, -1)[self.place])
+        rows = np.concatenate([row, self.order[self.at]])
+        terms = np.concatenate([np.argsort(self.column, kind="stable")[len(self.column) - self.dense.shape[2] :][column], np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))])
+        weights = np.concatenate([self.dense.reshape(self.blocks * self.size, -1)[self.place][row, column], self.weight])
+        by = np.lexsort((terms, rows))
+        return np.searchsorted(rows[by], np.arange(self.n + 1)), terms[by], weights[by]
+
     def parts(self, blocks: np.ndarray, q: np.ndarray) -> np.ndarray:
         """What the columns add to the rows of these blocks."""
         return (self.dense[blocks].reshape(len(blocks) * self.size, len(q)) @ q).reshape(len(blocks), self.size)
@@ -171,7 +184,9 @@ class Index:
 
 
 class Model:
-    """The examples' index, what a term weighs, and, once `calibrate` has run, probabilities of votes."""
+    """The examples' index, what a term weighs, and, once `calibrate` has run, probabilities of votes. All tasks use one broadcast of it."""
+
+    sent: Broadcast
 
     def __init__(self, hashes: np.ndarray, scale: np.ndarray, unknown: float, index: Index, votes: np.ndarray, ids: list):
         self.hashes, self.scale, self.unknown, self.index, self.votes, self.ids = hashes, scale, unknown, index, votes, ids
@@ -196,11 +211,13 @@ class Model:
         weight = many / (0.05 + 1 - cosine)
         return float((0.5 * self.share + (weight * votes[:, 1]).sum()) / (0.5 + (weight * total).sum()))
 
-    def left_out(self, row: int) -> list[tuple[int, int, float]]:
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "sent"}
+
+    def left_out(self, row: int, terms: np.ndarray, weights: np.ndarray) -> list[tuple[int, int, float]]:
         """Of one row of the index: label, examples of that label, and the vote on one of them when it isn't asked."""
-        at = slice(self.index.ends[row], self.index.ends[row + 1])
         alone = self.votes[row].sum() == 1
-        rows, cosine = self.index.nearest(self.index.terms[at], self.index.weights[at].astype(float), 1.0, without=row if alone else None)
+        rows, cosine = self.index.nearest(terms, weights.astype(float), 1.0, without=row if alone else None)
         out = []
         for label in (0, 1):
             if self.votes[row, label]:
@@ -213,9 +230,6 @@ class Model:
     def calibrate(self, raw: np.ndarray, y: np.ndarray, times: np.ndarray) -> None:
         self.x, self.p = monotone(np.repeat(raw, times), np.repeat(y, times))
 
-    def probability(self, raw: float) -> float:
-        return float(np.interp(raw, self.x, self.p))
-
 
 def monotone(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities that rise with raw (pool adjacent violators), smoothed, as points of a broken line that still rises with raw."""
@@ -301,23 +315,24 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str =
     held = [np.bincount(terms, np.repeat(votes[:, k], np.diff(ends)), len(hashes)) for k in (1, 0)]
     scale = (np.log((1 + total) / (1 + n)) + 1) * (1 + telling * information(*held, n1, n0))
     model = Model(hashes, scale, math.log((1 + total) / 2) + 1, Index(ends, terms, tf * scale[terms], len(hashes)), votes, ids)
+    model.sent = spark.sparkContext.broadcast(model)  # TRAIN_ROWS examples and their words
     model.calibrate(*leave_one_out(spark, model))
     return model
 
 
 def leave_one_out(spark, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Votes, labels and numbers of equal examples, computed by tasks of a few hundred rows of the index each."""
+    """Votes, labels and numbers of equal examples, computed by a few tasks."""
     ship(spark)
-    sent = spark.sparkContext.broadcast(model)
+    sent = model.sent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
+        ends, terms, weights = m.index.vectors()
         for batch in batches:
-            out = [(r, *x) for r in batch.column(0).to_pylist() for x in m.left_out(r)]
+            out = [(r, *x) for r in batch.column(0).to_pylist() for x in m.left_out(r, terms[ends[r] : ends[r + 1]], weights[ends[r] : ends[r + 1]])]
             yield pa.RecordBatch.from_pylist([dict(zip(("r", "y", "n", "vote"), x, strict=True)) for x in out], pa.schema([("r", pa.int64()), ("y", pa.int64()), ("n", pa.int64()), ("vote", pa.float64())]))
 
-    found = spark.range(0, model.index.n, 1, max(1, min(64, model.index.n // 100))).mapInArrow(run, "r long, y long, n long, vote double").toArrow()
-    sent.destroy()
+    found = spark.range(0, model.index.n, 1, max(1, min(24, model.index.n // 100))).mapInArrow(run, "r long, y long, n long, vote double").toArrow()
     order = np.lexsort((found["y"].to_numpy(), found["r"].to_numpy()))
     return tuple(found[k].to_numpy()[order] for k in ("vote", "y", "n"))
 
@@ -327,7 +342,7 @@ def score(df: DataFrame, model: Model | float, text: str = "text", out: str = "s
     id_type = id_type or T.LongType()
     if isinstance(model, float):
         return df.withColumns({out: F.lit(round(model, 9)), evidence: F.array().cast(T.ArrayType(id_type))})
-    sent = df.sparkSession.sparkContext.broadcast(model)  # TRAIN_ROWS examples and their words
+    sent, curve = model.sent, (model.x, model.p)
     fields = [T.StructField(out, T.DoubleType()), T.StructField(evidence, T.ArrayType(id_type))]
 
     def make():
@@ -343,7 +358,7 @@ def score(df: DataFrame, model: Model | float, text: str = "text", out: str = "s
                     if len(seen) > SCORES:
                         seen.clear()
                     rows, cosine = m.nearest(t, numbers)
-                    seen[key] = (round(m.probability(m.vote(rows, cosine, m.votes[rows])), 9), [m.ids[i] for i in rows[:3].tolist()])
+                    seen[key] = (round(float(np.interp(m.vote(rows, cosine, m.votes[rows]), *curve)), 9), [m.ids[i] for i in rows[:3].tolist()])
                 scores.append(seen[key][0])
                 near.append(seen[key][1])
             return [scores, near]
