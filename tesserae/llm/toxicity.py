@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import append, filled, held_out, row_blocks
+from tesserae.llm.common import append, buffers, filled, held_out, row_blocks
 from tesserae.llm.quality import sample
 from tesserae.session import ship
 
@@ -47,7 +47,9 @@ NEAREST = 15
 TELLING = 300.0
 #: Rows a block of the index; terms whose lists are laid out in blocks.
 BLOCK_ROWS = 32
-COLUMNS = 64
+COLUMNS = 128
+#: Rows whose words are worked on at once while the index is built.
+PART = 1_000
 #: Words whose numbers a worker remembers; scores of texts that it remembers.
 REMEMBERED = 400_000
 SCORES = 20_000
@@ -92,7 +94,8 @@ def layout(rows: np.ndarray, size: int) -> np.ndarray:
         if len(part) <= size or not rows.shape[1]:
             out.append(part)
             continue
-        x = rows[part] - rows[part].mean(axis=0)
+        x = rows[part].astype(float)
+        x -= x.mean(axis=0)
         along = x @ np.linalg.eigh(x.T @ x)[1][:, -1]
         ranked = part[np.argsort(np.round(along, 6), kind="stable")]
         half = size * max(1, len(ranked) // size // 2)
@@ -108,43 +111,51 @@ class Index:
     """
 
     def __init__(self, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int, size: int = BLOCK_ROWS, columns: int = COLUMNS):
-        """Row i has terms[ends[i]:ends[i + 1]] with these weights, of any length."""
+        """Row i has terms[ends[i]:ends[i + 1]] with these weights, of any length; weights are changed."""
         n = self.n = len(ends) - 1
         self.blocks, self.size = -(-n // size), size
-        row = np.repeat(np.arange(n), np.diff(ends))
-        norm = np.sqrt(np.bincount(row, weights**2, n))
-        weights = (weights / np.where(norm > 0, norm, 1.0)[row]).astype(np.float32)
+        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(ends))
+        weights = weights.astype(np.float32, copy=False)
+        for a in range(0, n, PART):  # rows at a time, so that no array of double numbers is as long as all words
+            at = slice(ends[a], ends[min(n, a + PART)])
+            norm = np.sqrt(np.bincount(row[at] - a, weights[at].astype(float) ** 2, min(n, a + PART) - a))
+            weights[at] /= np.where(norm > 0, norm, 1.0).astype(np.float32)[row[at] - a]
         long = np.argsort(-np.bincount(terms, minlength=n_terms), kind="stable")[:columns]
         self.column = np.full(n_terms, -1, np.int32)
         self.column[long] = np.arange(len(long))
-        column = self.column[terms]
-        there = column >= 0
+        there = np.flatnonzero(self.column[terms] >= 0)
         dense = np.zeros((n, len(long)), np.float32)
-        dense[row[there], column[there]] = weights[there]
-        self.order = layout(dense.astype(float), size).astype(np.int32)
+        dense[row[there], self.column[terms[there]]] = weights[there]
+        self.order = layout(dense, size).astype(np.int32)
         self.place = np.argsort(self.order).astype(np.int32)
         self.dense = np.zeros((self.blocks, size, len(long)), np.float32)
         self.dense.reshape(self.blocks * size, len(long))[:n] = dense[self.order]
         self.most = self.dense.max(axis=1)
-        short = np.flatnonzero(~there)
-        short = short[np.lexsort((self.place[row[short]], terms[short]))]
-        self.at, self.weight = self.place[row[short]].astype(np.int64), weights[short]
+        short = np.flatnonzero(self.column[terms] < 0)
+        short = short[np.argsort(terms[short].astype(np.int64) * n + self.place[row[short]])]
+        self.at, self.weight = self.place[row[short]], weights[short]
         self.start = np.searchsorted(terms[short], np.arange(n_terms + 1))
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"at": self.at.astype(np.int32), "start": self.start.astype(np.int32)}
-
     def __setstate__(self, state: dict) -> None:
-        self.__dict__ = state | {"at": state["at"].astype(np.int64), "start": state["start"].astype(np.int64)}
-
-    def vectors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What the index was built from: ends, terms and weights (of length 1) by row."""
-        row, column = np.nonzero(self.dense.reshape(self.blocks * self.size, -1)[self.place])
-        rows = np.concatenate([row, self.order[self.at]])
-        terms = np.concatenate([np.argsort(self.column, kind="stable")[len(self.column) - self.dense.shape[2] :][column], np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))])
-        weights = np.concatenate([self.dense.reshape(self.blocks * self.size, -1)[self.place][row, column], self.weight])
-        by = np.lexsort((terms, rows))
-        return np.searchsorted(rows[by], np.arange(self.n + 1)), terms[by], weights[by]
+        """Tasks add up numbers of 64 bits, which are sent as 32."""
+        self.__dict__ = state | {"at": state["at"].astype(np.int64), "weight": state["weight"].astype(float)}
+
+    def vectors(self, first: int, last: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Rows first to last - 1 with their terms and weights, of length 1."""
+        long = np.argsort(self.column, kind="stable")[len(self.column) - self.dense.shape[2] :]
+        rows = self.order[self.at]
+        mine = np.flatnonzero((rows >= first) & (rows < last))
+        rows, weights = rows[mine], self.weight[mine]
+        terms = np.searchsorted(self.start, mine, side="right") - 1
+        by = np.argsort(rows, kind="stable")
+        ends = np.searchsorted(rows[by], np.arange(first, last + 1))
+        for r in range(first, last):
+            at = by[ends[r - first] : ends[r - first + 1]]
+            dense = self.dense.reshape(self.blocks * self.size, -1)[self.place[r]]
+            held = np.flatnonzero(dense)
+            found = np.concatenate([terms[at], long[held]])
+            order = np.argsort(found)
+            yield r, found[order], np.concatenate([weights[at], dense[held]])[order]
 
     def parts(self, blocks: np.ndarray, q: np.ndarray) -> np.ndarray:
         """What the columns add to the rows of these blocks."""
@@ -217,7 +228,7 @@ class Model:
     def left_out(self, row: int, terms: np.ndarray, weights: np.ndarray) -> list[tuple[int, int, float]]:
         """Of one row of the index: label, examples of that label, and the vote on one of them when it isn't asked."""
         alone = self.votes[row].sum() == 1
-        rows, cosine = self.index.nearest(terms, weights.astype(float), 1.0, without=row if alone else None)
+        rows, cosine = self.index.nearest(terms, weights, 1.0, without=row if alone else None)
         out = []
         for label in (0, 1):
             if self.votes[row, label]:
@@ -290,31 +301,46 @@ def examples(docs: DataFrame, labels: DataFrame, target: str, id_col: str, text:
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS, telling: float = TELLING) -> Model | float:
     spark = docs.sparkSession
     got = examples(docs, labels, target, id_col, text, rows)
-    y = np.array(got["_y"].to_pylist(), float)
+    y = got["_y"].to_numpy().astype(float)
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
     if min(n0, n1) < 3:
         return (n1 + 1) / (n0 + n1 + 2)
-    row, ids, votes, packs = {}, [], [], []
-    for i, label, h, c in zip(*(got[k].to_pylist() for k in ("_id", "_y", "_h", "_c")), strict=True):
-        at = row.setdefault(hashlib.blake2b(h + c, digest_size=16).digest(), len(ids))
+    packs = [c.cast(pa.large_binary()) for c in (got["_h"].combine_chunks(), got["_c"].combine_chunks())]
+    row, ids, votes, same = {}, [], [], []
+    for k, (i, label) in enumerate(zip(got["_id"].to_pylist(), y.tolist(), strict=True)):
+        at = row.setdefault(hashlib.blake2b(packs[0][k].as_buffer().to_pybytes() + packs[1][k].as_buffer().to_pybytes(), digest_size=16).digest(), len(ids))
         if at == len(ids):
             ids.append(i)
             votes.append([0, 0])
-            packs.append((h, c))
+            same.append(k)
         votes[at][int(label)] += 1
+    packs = [p.take(pa.array(same)) for p in packs]
     del got, row
     votes = np.array(votes, float)
-    ends = np.concatenate([[0], np.cumsum([len(h) // 8 for h, _ in packs])]).astype(np.int64)
-    hashes, terms = np.unique(np.frombuffer(b"".join(h for h, _ in packs), np.uint64), return_inverse=True)
-    tf = 1 + np.log(np.frombuffer(b"".join(c for _, c in packs), np.int32))
-    del packs
+    ends, every = buffers(packs[0])
+    ends, every = ends // 8, every.view(np.uint64)
+    hashes = np.unique(every)
+    terms = np.empty(len(every), np.int32)
+    tf = np.empty(len(every), np.float32)
+    times = buffers(packs[1])[1].view(np.int32)
+    for a in range(0, len(every), 1 << 18):
+        terms[a : a + (1 << 18)] = np.searchsorted(hashes, every[a : a + (1 << 18)])
+        tf[a : a + (1 << 18)] = 1 + np.log(times[a : a + (1 << 18)])
+    del packs, every, times
     total = docs.count()
     counted = document_counts(docs, text, spark.sparkContext.broadcast(hashes)).toArrow()  # a row a word of the examples
     n = np.zeros(len(hashes))
     n[counted["term"].to_numpy()] = counted["n"].to_numpy()
-    held = [np.bincount(terms, np.repeat(votes[:, k], np.diff(ends)), len(hashes)) for k in (1, 0)]
-    scale = (np.log((1 + total) / (1 + n)) + 1) * (1 + telling * information(*held, n1, n0))
-    model = Model(hashes, scale, math.log((1 + total) / 2) + 1, Index(ends, terms, tf * scale[terms], len(hashes)), votes, ids)
+    held = np.zeros((2, len(hashes)))
+    for r in range(0, len(ids), PART):
+        at = slice(ends[r], ends[min(len(ids), r + PART)])
+        sizes = np.diff(ends[r : r + PART + 1])
+        for k in (0, 1):
+            held[k] += np.bincount(terms[at], np.repeat(votes[r : r + PART, k], sizes), len(hashes))
+    scale = (np.log((1 + total) / (1 + n)) + 1) * (1 + telling * information(held[1], held[0], n1, n0))
+    tf *= scale.astype(np.float32)[terms]
+    model = Model(hashes, scale, math.log((1 + total) / 2) + 1, Index(ends, terms, tf, len(hashes)), votes, ids)
+    del terms, tf
     model.sent = spark.sparkContext.broadcast(model)  # TRAIN_ROWS examples and their words
     model.calibrate(*leave_one_out(spark, model))
     return model
@@ -327,9 +353,9 @@ def leave_one_out(spark, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        ends, terms, weights = m.index.vectors()
         for batch in batches:
-            out = [(r, *x) for r in batch.column(0).to_pylist() for x in m.left_out(r, terms[ends[r] : ends[r + 1]], weights[ends[r] : ends[r + 1]])]
+            ids = batch.column(0).to_numpy()  # a range
+            out = [(v[0], *x) for v in m.index.vectors(int(ids[0]), int(ids[-1]) + 1) for x in m.left_out(*v)] if len(ids) else []
             yield pa.RecordBatch.from_pylist([dict(zip(("r", "y", "n", "vote"), x, strict=True)) for x in out], pa.schema([("r", pa.int64()), ("y", pa.int64()), ("n", pa.int64()), ("vote", pa.float64())]))
 
     found = spark.range(0, model.index.n, 1, max(1, min(24, model.index.n // 100))).mapInArrow(run, "r long, y long, n long, vote double").toArrow()

@@ -22,6 +22,7 @@ def test_nearest_is_exact(vectors, query, k, size, columns, left):
     ends = np.cumsum([0, *map(len, vectors)])
     terms = np.array([t for v in vectors for t in v], np.int64)
     index = toxicity.Index(ends, terms, dense[np.repeat(np.arange(len(vectors)), np.diff(ends)), terms], 12, size, columns)
+    index.__setstate__(index.__dict__)
     unit = lambda m: m / np.maximum(1e-300, np.linalg.norm(m, axis=-1, keepdims=True))
     q = np.zeros(12)
     q[list(query)] = list(query.values())
