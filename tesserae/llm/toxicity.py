@@ -27,6 +27,7 @@ import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +48,15 @@ NEAREST = 15
 TELLING = 300.0
 #: Rows a block of the index; terms whose lists are laid out in blocks.
 BLOCK_ROWS = 32
-COLUMNS = 128
-#: Rows whose words are worked on at once while the index is built.
+COLUMNS = 512
+#: Rows whose words are worked on at once while the index is built; vectors that are looked up at once; blocks that are added up at once.
 PART = 1_000
-#: Words whose numbers a worker remembers; scores of texts that it remembers.
-REMEMBERED = 400_000
+BATCH = 128
+LIKELY = 4
+#: Sums of 32 bits are right to less than this; smaller cosines than LEAST are none.
+SLACK = 2e-5
+LEAST = 1e-6
+#: Scores of texts that a worker remembers.
 SCORES = 20_000
 
 LETTERS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -61,29 +66,29 @@ def words(text: str) -> list[bytes]:
     return text.lower().encode().translate(LETTERS).split()
 
 
-class Numbers(dict):
-    """A word's place among sorted hashes; -1 if it isn't there."""
+def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts: where each one's words end (from 0), the hashes of its distinct words, and how often it holds each."""
+    found = [Counter(words(t)) for t in texts]
+    ends = np.concatenate([[0], np.cumsum([len(c) for c in found])]).astype(np.int64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(found)), np.uint64, ends[-1])
+    return ends, hashes, np.fromiter(chain.from_iterable(c.values() for c in found), np.int32, ends[-1])
 
-    def __init__(self, hashes: np.ndarray):
-        super().__init__()
-        self.hashes = hashes
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        h = np.uint64(xxhash.xxh64_intdigest(word))
-        at = int(np.searchsorted(self.hashes, h))
-        self[word] = at = at if at < len(self.hashes) and self.hashes[at] == h else -1
-        return at
+def numbers(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places among the sorted known hashes, -1 for others."""
+    if not len(known):
+        return np.full(len(hashes), -1)
+    order = np.argsort(hashes)  # so that the search runs through the known ones once
+    at = np.empty(len(hashes), np.int64)
+    at[order] = np.minimum(np.searchsorted(known, hashes[order]), len(known) - 1)
+    return np.where(known[at] == hashes, at, -1)
 
 
-def hashed(text: str) -> tuple[bytes, bytes]:
-    """Sorted hashes of the distinct words (uint64) and their counts (int32)."""
-    found = Counter(words(text))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
-    n = np.fromiter(found.values(), np.int32, len(found))
-    order = np.argsort(h)
-    return h[order].tobytes(), n[order].tobytes()
+def packed(texts: list[str]) -> list[list[bytes]]:
+    """By text, the sorted hashes of its distinct words (uint64) and their counts (int32)."""
+    ends, hashes, times = bags(texts)
+    order = [a + np.argsort(hashes[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return [[hashes[o].tobytes() for o in order], [times[o].tobytes() for o in order]]
 
 
 def layout(rows: np.ndarray, size: int) -> np.ndarray:
@@ -140,8 +145,9 @@ class Index:
         """Tasks add up numbers of 64 bits, which are sent as 32."""
         self.__dict__ = state | {"at": state["at"].astype(np.int64), "weight": state["weight"].astype(float)}
 
-    def vectors(self, first: int, last: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Rows first to last - 1 with their terms and weights, of length 1."""
+    def vectors(self, first: int, last: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """Rows first to last - 1: their terms, weights and length, 1."""
+        out = []
         long = np.argsort(self.column, kind="stable")[len(self.column) - self.dense.shape[2] :]
         rows = self.order[self.at]
         mine = np.flatnonzero((rows >= first) & (rows < last))
@@ -151,47 +157,76 @@ class Index:
         ends = np.searchsorted(rows[by], np.arange(first, last + 1))
         for r in range(first, last):
             at = by[ends[r - first] : ends[r - first + 1]]
-            dense = self.dense.reshape(self.blocks * self.size, -1)[self.place[r]]
+            dense = self.dense.reshape(self.blocks * self.size, self.dense.shape[2])[self.place[r]]
             held = np.flatnonzero(dense)
             found = np.concatenate([terms[at], long[held]])
             order = np.argsort(found)
-            yield r, found[order], np.concatenate([weights[at], dense[held]])[order]
-
-    def parts(self, blocks: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """What the columns add to the rows of these blocks."""
-        return (self.dense[blocks].reshape(len(blocks) * self.size, len(q)) @ q).reshape(len(blocks), self.size)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, length: float, k: int = NEAREST, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows with the largest cosines to a vector of this length, and these; ties to the earlier row; without: a row left out."""
-        if not len(terms) or not self.n or not length:
-            return np.zeros(0, np.int64), np.zeros(0)
-        weights = weights / length
-        column = self.column[terms]
-        q = np.zeros(self.dense.shape[2], np.float32)
-        q[column[column >= 0]] = weights[column >= 0]
-        starts, stops = self.start[terms], self.start[terms + 1]
-        cosine = np.zeros(self.blocks * self.size)
-        lists = [slice(a, b) for a, b in zip(starts.tolist(), stops.tolist(), strict=True) if b > a]
-        if lists:
-            share = np.repeat(weights, stops - starts)
-            cosine = np.bincount(np.concatenate([self.at[s] for s in lists]), share * np.concatenate([self.weight[s] for s in lists]), len(cosine))
-        cosine = cosine.reshape(self.blocks, self.size)
-        if without is not None:
-            cosine[divmod(int(self.place[without]), self.size)] = -2.0
-        bound = cosine.max(axis=1) + self.most @ q
-        first = np.argsort(-bound, kind="stable")[: max(8, 4 * k // self.size)]
-        cosine[first] += self.parts(first, q)
-        least = float(np.partition(cosine[first].ravel(), -k)[-k]) if k < first.size * self.size else 0.0
-        bound[first] = -1.0
-        rest = np.flatnonzero(bound >= max(least - 2e-6, 5e-7))
-        cosine[rest] += self.parts(rest, q)
-        chosen = np.concatenate([first, rest])
-        got = cosine[chosen].ravel()
-        least = float(np.partition(got, -k)[-k]) if k < len(got) else 0.0
-        best = np.flatnonzero(got >= max(least - 2e-6, 1e-6))
-        rows, got = self.order[chosen[best // self.size] * self.size + best % self.size], np.round(got[best], 6)
-        order = np.lexsort((rows, -got))[:k]
-        return rows[order].astype(np.int64), got[order]
+            out.append((found[order], np.concatenate([weights[at], dense[held]])[order], 1.0))
+        return out
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray, float]], k: int = NEAREST, without: list[int | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For vectors (terms in order, weights, length): the rows with the largest cosines, and these; ties to the earlier row.
+
+        without: for each vector, a row that is left out, or None.
+        """
+        out = []
+        for s in range(0, len(queries), BATCH):
+            out += self._nearest(queries[s : s + BATCH], k, (without or [None] * len(queries))[s : s + BATCH])
+        return out
+
+    def _nearest(self, queries: list, k: int, without: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        if not self.n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        width = self.dense.shape[2]
+        q = np.zeros((len(queries), width))
+        short = np.zeros((len(queries), self.blocks, self.size))  # what the short lists add up to
+        for i, (terms, weights, length) in enumerate(queries):
+            weights = weights / (length or 1.0)
+            column = self.column[terms]
+            q[i, column[column >= 0]] = weights[column >= 0]
+            starts, stops = self.start[terms], self.start[terms + 1]
+            lists = [slice(a, b) for a, b in zip(starts.tolist(), stops.tolist(), strict=True) if b > a]
+            if lists:
+                share = np.repeat(weights, stops - starts)
+                share *= np.concatenate([self.weight[x] for x in lists])
+                short[i] = np.bincount(np.concatenate([self.at[x] for x in lists]), share, self.blocks * self.size).reshape(self.blocks, self.size)
+            if without[i] is not None:
+                short[i][divmod(int(self.place[without[i]]), self.size)] = -2.0
+        q32 = q.astype(np.float32)
+        bound = short.max(axis=2)
+        # the k-th best is no less than the k-th largest of the blocks' best rows, of which the likeliest blocks' are known at once
+        full = np.full(short.shape, -1.0)
+        bound += q32 @ self.most.T
+        likely = np.argpartition(-bound, min(max(1, LIKELY), self.blocks - 1), axis=1)[:, : max(1, LIKELY)]
+        for i, blocks in enumerate(likely):
+            full[i, blocks] = short[i, blocks] + (self.dense[blocks].reshape(len(blocks) * self.size, width) @ q32[i]).reshape(len(blocks), self.size)
+        least = np.maximum(self.kth(full[np.arange(len(queries))[:, None], likely].reshape(len(queries), -1), k), self.kth(short.max(axis=2), k))
+        open_ = bound >= np.maximum(least - SLACK, LEAST / 2)[:, None]
+        open_[np.arange(len(queries))[:, None], likely] = False
+        for b in np.flatnonzero(open_.any(axis=0)).tolist():
+            rows = np.flatnonzero(open_[:, b])
+            full[rows, b] = short[rows, b] + q32[rows] @ self.dense[b].T
+        return [self.best(short[i], full[i], q[i], k) for i in range(len(queries))]
+
+    @staticmethod
+    def kth(x: np.ndarray, k: int) -> np.ndarray:
+        return np.partition(x, -k, axis=1)[:, -k] if x.shape[1] >= k else np.full(len(x), -1.0)
+
+    def best(self, short: np.ndarray, full: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first k rows; sums of 32 bits propose them, each one's cosine is added up anew in 64."""
+        most = full.max(axis=1)
+        blocks = np.flatnonzero(most >= LEAST / 2)
+        if len(blocks) > k:
+            blocks = np.flatnonzero(most >= max(LEAST / 2, np.partition(most, -k)[-k] - SLACK))
+        got = full[blocks].ravel()
+        least = max(LEAST / 2, np.partition(got, -k)[-k] - SLACK if len(got) > k else 0.0)
+        at = np.flatnonzero(got >= least)
+        at = blocks[at // self.size] * self.size + at % self.size
+        cosine = np.round(short.ravel()[at] + (self.dense.reshape(self.blocks * self.size, len(q))[at] * q).sum(axis=1), 6)
+        rows = self.order[at]
+        order = np.lexsort((rows, -cosine))
+        order = order[cosine[order] >= LEAST][:k]
+        return rows[order].astype(np.int64), cosine[order]
 
 
 class Model:
@@ -204,15 +239,17 @@ class Model:
         total = votes.sum(axis=0)
         self.share = float((total[1] + 1) / (total.sum() + 2))
 
-    def nearest(self, text: str, numbers: Numbers) -> tuple[np.ndarray, np.ndarray]:
-        found = Counter(words(text))
-        terms = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
-        tf = 1 + np.log(np.fromiter(found.values(), float, len(found)))
-        known = terms >= 0
-        order = np.argsort(terms[known], kind="stable")
-        terms, weights = terms[known][order], (tf[known] * self.scale[terms[known]])[order]
-        outside = np.sort(tf[~known] * self.unknown)
-        return self.index.nearest(terms, weights, math.sqrt((weights**2).sum() + (outside**2).sum()))
+    def nearest(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        ends, hashes, times = bags(texts)
+        terms, tf = numbers(self.hashes, hashes), 1 + np.log(times)
+        weights = tf * np.where(terms >= 0, self.scale[terms], self.unknown)
+        queries = []
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            order = a + np.lexsort((weights[a:b], terms[a:b]))
+            length = math.sqrt((weights[order] ** 2).sum())
+            order = order[np.searchsorted(terms[order], 0) :]
+            queries.append((terms[order], weights[order], length))
+        return self.index.nearest(queries)
 
     def vote(self, rows: np.ndarray, cosine: np.ndarray, votes: np.ndarray) -> float:
         """Share of label 1 among rows with these votes, near ones counting more."""
@@ -225,18 +262,18 @@ class Model:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "sent"}
 
-    def left_out(self, row: int, terms: np.ndarray, weights: np.ndarray) -> list[tuple[int, int, float]]:
-        """Of one row of the index: label, examples of that label, and the vote on one of them when it isn't asked."""
-        alone = self.votes[row].sum() == 1
-        rows, cosine = self.index.nearest(terms, weights, 1.0, without=row if alone else None)
-        out = []
-        for label in (0, 1):
-            if self.votes[row, label]:
-                votes = self.votes[rows].copy()
-                if not alone:
-                    votes[rows == row, label] -= 1
-                out.append((label, int(self.votes[row, label]), self.vote(rows, cosine, votes)))
-        return out
+    def left_out(self, first: int, last: int) -> Iterator[tuple[int, int, int, float]]:
+        """Rows of the index: row, label, examples of that label, and the vote on one of them when it isn't asked."""
+        alone = self.votes.sum(axis=1) == 1
+        queries = self.index.vectors(first, last)
+        without = [r if alone[r] else None for r in range(first, last)]
+        for row, (rows, cosine) in zip(range(first, last), self.index.nearest(queries, without=without), strict=True):
+            for label in (0, 1):
+                if self.votes[row, label]:
+                    votes = self.votes[rows].copy()
+                    if not alone[row]:
+                        votes[rows == row, label] -= 1
+                    yield row, label, int(self.votes[row, label]), self.vote(rows, cosine, votes)
 
     def calibrate(self, raw: np.ndarray, y: np.ndarray, times: np.ndarray) -> None:
         self.x, self.p = monotone(np.repeat(raw, times), np.repeat(y, times))
@@ -265,13 +302,11 @@ def document_counts(docs: DataFrame, text: str, hashes: Broadcast) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(hashes.value)
-        n = np.zeros(len(hashes.value) + 1, np.int64)  # the last one: words that no example holds
+        known = hashes.value
+        n = np.zeros(len(known) + 1, np.int64)  # the last one: words that no example holds
         for batch in batches:
             for part in row_blocks(batch, text):
-                for t in filled(part.column(0)).to_pylist():
-                    found = set(words(t))
-                    n[np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))] += 1
+                n += np.bincount(numbers(known, bags(filled(part.column(0)).to_pylist())[1]) % len(n), minlength=len(n))
         seen = np.flatnonzero(n[:-1])
         for s in range(0, len(seen), 1 << 16):
             part = seen[s : s + (1 << 16)]
@@ -294,8 +329,8 @@ def examples(docs: DataFrame, labels: DataFrame, target: str, id_col: str, text:
     known = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")  # `rows` ids at most
     known = known.select("_id", "_y", "_text", F.xxhash64("_id", "_text").alias("_order"))
     fields = [T.StructField("_h", T.BinaryType()), T.StructField("_c", T.BinaryType())]
-    packed = append(known, "_text", fields, lambda: lambda a: [list(x) for x in zip(*map(hashed, a.to_pylist()), strict=True)] if len(a) else [[], []])
-    return packed.select("_id", "_y", "_h", "_c", "_order").orderBy("_order", "_y").limit(rows).toArrow()
+    found = append(known, "_text", fields, lambda: lambda a: packed(a.to_pylist()))
+    return found.select("_id", "_y", "_h", "_c", "_order").orderBy("_order", "_y").limit(rows).toArrow()
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS, telling: float = TELLING) -> Model | float:
@@ -355,7 +390,7 @@ def leave_one_out(spark, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarr
         m = sent.value
         for batch in batches:
             ids = batch.column(0).to_numpy()  # a range
-            out = [(v[0], *x) for v in m.index.vectors(int(ids[0]), int(ids[-1]) + 1) for x in m.left_out(*v)] if len(ids) else []
+            out = m.left_out(int(ids[0]), int(ids[-1]) + 1) if len(ids) else []
             yield pa.RecordBatch.from_pylist([dict(zip(("r", "y", "n", "vote"), x, strict=True)) for x in out], pa.schema([("r", pa.int64()), ("y", pa.int64()), ("n", pa.int64()), ("vote", pa.float64())]))
 
     found = spark.range(0, model.index.n, 1, max(1, min(24, model.index.n // 100))).mapInArrow(run, "r long, y long, n long, vote double").toArrow()
@@ -373,21 +408,17 @@ def score(df: DataFrame, model: Model | float, text: str = "text", out: str = "s
 
     def make():
         m = sent.value
-        numbers = Numbers(m.hashes)
         seen: dict[bytes, tuple] = {}
 
         def work(a: pa.Array) -> list:
-            scores, near = [], []
-            for t in a.to_pylist():
-                key = hashlib.blake2b(t.encode(), digest_size=16).digest()
-                if key not in seen:
-                    if len(seen) > SCORES:
-                        seen.clear()
-                    rows, cosine = m.nearest(t, numbers)
-                    seen[key] = (round(float(np.interp(m.vote(rows, cosine, m.votes[rows]), *curve)), 9), [m.ids[i] for i in rows[:3].tolist()])
-                scores.append(seen[key][0])
-                near.append(seen[key][1])
-            return [scores, near]
+            if len(seen) > SCORES:
+                seen.clear()
+            texts = a.to_pylist()
+            keys = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts]
+            new = {k: t for k, t in zip(keys, texts, strict=True) if k not in seen}
+            for k, (rows, cosine) in zip(new, m.nearest(list(new.values())), strict=True):
+                seen[k] = (round(float(np.interp(m.vote(rows, cosine, m.votes[rows]), *curve)), 9), [m.ids[i] for i in rows[:3].tolist()])
+            return [[seen[k][0] for k in keys], [seen[k][1] for k in keys]]
 
         return work
 

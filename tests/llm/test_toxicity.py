@@ -29,7 +29,7 @@ def test_nearest_is_exact(vectors, query, k, size, columns, left):
     cosine = unit(dense) @ unit(q)
     if left:
         cosine[0] = 0
-    rows, got = index.nearest(np.array(sorted(query), np.int64), q[sorted(query)], np.linalg.norm(q), k, 0 if left else None)
+    ((rows, got),) = index.nearest([(np.array(sorted(query), np.int64), q[sorted(query)], np.linalg.norm(q))], k, [0 if left else None])
     want = np.sort(cosine[cosine > 1e-4])[::-1][:k]
     assert np.allclose(got, want, atol=3e-6) and np.allclose(cosine[rows], got, atol=3e-6)
 
