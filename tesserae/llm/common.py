@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +107,32 @@ def span_text(spans: list[tuple]) -> str:
     return ",".join(f"{s[0]}:{s[1]}:{s[2]}" for s in spans)
 
 
+class Taken:
+    """Stretches of a text that are taken already; asks and additions take the logarithm of their number."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def free(self, start: int, end: int) -> bool:
+        at = bisect_left(self.starts, end)  # the stretches before it begin left of the end
+        return not at or self.ends[at - 1] <= start
+
+    def add(self, start: int, end: int) -> bool:
+        """Whether the stretch was free; it is taken now."""
+        if not self.free(start, end):
+            return False
+        at = bisect_left(self.starts, start)
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+        return True
+
+
 SPAN = T.StructType(
     [
         T.StructField("kind", T.StringType()),
