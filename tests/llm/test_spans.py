@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -64,11 +65,117 @@ def test_literals_of_any_length():
         assert [(x[0], text[x[1] : x[2]]) for x in secret_scan.find(text)] == [("literal", value)]
 
 
-def test_long_pairs_take_linear_time():
-    for c in ("a", "a.", "a ", "a=", 'a="', "a = ", "a:'b", "<a>", "<a>b", "=", " ", '"', "a=`b "):
-        secret_scan.pairs(c * 60_000)
-        secret_scan.pairs("key = " + c * 60_000)
-    secret_scan.pairs("a =" + " " * 200_000 + "\n")
+SECRET = "aB3$x9Kq2!zP"
+CODE = [
+    ('cfg["db_pwd"] = "{}"', [SECRET]),
+    ('m["a"]["db_pwd"] = "{}"', [SECRET]),
+    ('self.db_pwd = "{}"', [SECRET]),
+    ('db_pwd: str = "{}"', [SECRET]),
+    ('x = pwd = "{}"', [SECRET]),
+    ('x=pwd="{}"', [SECRET]),
+    ('db_pwd = "k9$f" + "Q2!zP0aa"', ["k9$f", "Q2!zP0aa"]),
+    ('A = "k9$fQ"\nB = "2!zP0aa"\ndb_pwd = A + B', ["k9$fQ", "2!zP0aa"]),
+    ('const dbPwd = (\n  "aB3$x9" +\n  "Kq2!zP"\n);', ["aB3$x9", "Kq2!zP"]),
+    ('db_pwd = """{}"""', [SECRET]),
+    ("db_pwd = 'a\\'B3$x9Kq2!zP'", ["a\\'B3$x9Kq2!zP"]),
+    ('db_pwd = LATER\nLATER = "{}"', [SECRET]),
+    ('A = "{}"\nB = A\nC = B\ndb_pwd = C', [SECRET]),
+    ('A = "{}"\ndb_pwd = A\nA = "something else"', [SECRET]),
+    ("db_pwd: |\n  aB3$x9Kq2!\n  zPq8\nother: 1", ["aB3$x9Kq2!\n  zPq8"]),
+    ("a:\n  db_pwd: >-\n    {}\n  b: 1", [SECRET]),
+    ("[db]\npwd={}\n", [SECRET]),
+    ("db_pwd    =    {}   # the key", [SECRET]),
+    ("export DB_PWD=${{X}}\nX={}", [SECRET]),
+    ('{{"db_pwd": "{}", "n": 1}}', [SECRET]),
+    ("{{'db_pwd' => '{}'}}", [SECRET]),
+    ('<add key="db_pwd" value="{}"/>', [SECRET]),
+    ("<db_pwd>{}</db_pwd>", [SECRET]),
+    ('# db_pwd = "{}"', [SECRET]),
+    ('/* db_pwd = "{}" */', [SECRET]),
+    ('# OLD = "{}"\ndb_pwd = OLD\n', []),
+    ('db_pwd = get("{}")', []),
+    ('db_pwd = conf["{}"]', []),
+    ("a = b\nb = a\ndb_pwd = a", []),
+    ("it's the key: don't \"quote\" = pass", []),
+    ('title = "{}"', []),
+    ('db_pwd == "{}"', []),
+    ("see http://key/{}", []),
+]
+
+
+def test_constructs():
+    for text, want in CODE:
+        text = text.format(SECRET) if "{" in text else text
+        assert [text[x[1] : x[2]] for x in secret_scan.find(text) if x[0] == "literal"] == want, text
+
+
+@settings(max_examples=800, deadline=None)
+@given(st.lists(st.sampled_from(["pwd", "a", " = ", ": ", "|\n", ">\n", "\n", "  ", '"', "'", '"""', "+", "(", ")", "[", "]", "#", "//", "/*", "*/", "<!--", "-->", "$", "{", "}", "\\", "aB3$x9Kq2!", "é", "<a>", "</a>", "=", ".", "key", "value"]), max_size=25).map("".join))
+def test_any_text_lexes(text):
+    spans = secret_scan.find(text)
+    added = [x for x in spans if not x[4]]
+    assert all(0 <= x[1] < x[2] <= len(text) for x in added)
+    assert all(a[2] <= b[1] for a, b in zip(added, added[1:]))
+    assert not any(a[1] < b[2] and b[1] < a[2] for a in added for b in spans if b[4])
+
+
+def seconds(f, text):
+    began = time.perf_counter()
+    f(text)
+    return time.perf_counter() - began
+
+
+def test_time_grows_with_the_text():
+    kinds = ["a", "a.", "a ", "a=", 'a="', "a = ", "a:'b", "<a>", "<a>b", "=", " ", '"', "a=`b ", "'\\", "/*", '"""', "a=a+", "a: |\n", "(", "a=(\n", "a=b\n", "pwd=x+\n", "<!--", "# ", "a=+", "a=.", "a=x ", "[", "a[b]=", "a=$", 'pwd="aB3$x9Kq2!" ', "pwd=1,"]
+    for c in kinds:
+        assert seconds(secret_scan.find, "key = " + c * 20_000) < 3, c
+    chain = "".join(f"x{i} = x{i - 1} + x{i - 1}\n" for i in range(1, 3000))
+    assert [x[0] for x in secret_scan.find('x0="aB3$"\n' + chain + "pwd = x2999")] == ["literal"]
+    for c in ("555-123-4567 phone ", "10.0.0.1 ", "call 212-555-0187, ", "DE89 3704 0044 0532 0130 00 ", "1.2.3." + "0" * 6_000 + " "):
+        assert seconds(pii.find, c * (20_000 if len(c) < 99 else 50)) < 5, c
+
+
+def test_long_numbers_and_names():
+    text = "1.2.3." + "0" * 5_000 + " and " + "9" * 6_000 + ".1.1.1"
+    assert [x[:3] for x in pii.find(text)] == [("ip", 0, 5_006)]
+    long = SECRET * 9_000
+    assert [text[x[1] : x[2]] for text in [f'{"n_" * 50_000}pwd = "{long}"'] for x in secret_scan.find(text)] == [long]
+
+
+def plain_further(text):
+    """Spans beside the base ones, one after another against all that were taken."""
+    taken = [x[1:] for x in plain_pii(text)]
+    out = []
+    for kind in pii.EXTRA:
+        if kind == "iban":
+            found = [(s, e) for s in range(len(text)) for e in range(s + 15, min(len(text), s + 70) + 1) if plain_iban(text, s, e)]
+        else:
+            pattern = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])" if kind == "ssn" else r"(?<![0-9+(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"
+            found = [m.span() for m in re.finditer(pattern, text)]
+            found = [(s, e) for s, e in found if kind != "ssn" or text[s : s + 3] not in ("000", "666") and text[s] != "9" and text[s + 4 : s + 6] != "00" and text[e - 4 : e] != "0000"]
+        for s, e in found:
+            words = re.split(r"[\W_]+", text[max(0, s - 40) : s].lower()) + re.split(r"[\W_]+", text[e : e + 20].lower())
+            near = any(w in pii.WORDS[kind].split() for w in words)
+            if (kind == "iban" or near) and not any(s < b and a < e for a, b in taken):
+                taken.append((s, e))
+                out.append((kind, s, e))
+    return sorted(out, key=lambda x: x[1])
+
+
+def plain_iban(text, s, e):
+    part = text[s:e]
+    code = part.replace(" ", "")
+    if re.match("[A-Za-z0-9]", text[s - 1 : s]) or re.match("[A-Za-z0-9]", text[e : e + 1]) or "  " in part or part[:1] == " " or part[-1:] == " " or " " in part[:4]:
+        return False
+    if not re.fullmatch("[A-Z]{2}[0-9]{2}[A-Z0-9]+", code) or pii.IBAN_OF.get(code[:2]) != len(code):
+        return False
+    return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 33", " IS MY", " ", ", ", "phone", "call", "ssn", "social ", "123-45-6789", "000-12-3456", "212-555-0187", "(212) 555 0187", "4111 1111 1111 1111", "10.1.2.3", "+1 212 555 0187", "a@b.co", "x" * 45, "é"]), max_size=12).map("".join))
+def test_further_spans(text):
+    assert [x[:3] for x in pii.find(text) if not x[4]] == plain_further(text)
 
 
 def test_spark(spark):
@@ -80,7 +187,9 @@ def test_spark(spark):
     assert got[3, "ip:13:21"].n_ip == 1
     assert got[1, "email:5:13,phone:15:32"].base_sha256 == hashlib.sha256(b"email:5:13,phone:15:32").hexdigest()
     assert got[2, ""].base_sha256 == hashlib.sha256(b"").hexdigest()
-    assert [r.n_assign for r in secret_scan.digests(df.where("doc_id = 3")).collect()] == [1]
+    secrets = secret_scan.digests(df).collect()
+    assert sorted((r.doc_id or 0, r.n_assign, r.spans) for r in secrets) == [(0, 0, ""), (1, 0, ""), (1, 0, ""), (2, 0, ""), (3, 1, "assign:22:41")]
+    assert secret_scan.detect(df).columns == ["doc_id", "text", "spans", "secrets"]
     assert pii.digests(df.where("false")).collect() == [] and secret_scan.digests(df.where("false")).count() == 0
     assert [r.text for r in pii.redacted(df).where("doc_id = 2").collect()] == [None]
     assert {r.text for r in pii.redacted(df).where("doc_id = 1").collect()} == {"mail <EMAIL>, <PHONE>"}
