@@ -3,8 +3,9 @@
 The trees are fitted on the driver on at most TRAIN_ROWS labelled rows, those of the smallest seeded hash, never on held-out
 rows; the statistics come from each whole text, and every row is scored. Labels, language, source and id are no features.
 
-Defined results: a null or empty text gets the score of an empty text; repeated rows get equal scores; an empty table gives an
-empty table; without usable labels, or with one class only, every score is the smoothed share of label 1 (0.5 without labels).
+Defined results: a null or empty text gets the score of an empty text; a very long text has one row of statistics; of splits of equal gain
+the first statistic and the lowest threshold win; repeated rows get equal scores; an empty table gives an empty table; extra columns are
+kept, and one named like a result is replaced; without usable labels, or with one class only, every score is the smoothed share of label 1 (0.5 without labels).
 """
 
 from __future__ import annotations
