@@ -111,3 +111,26 @@ def signal(c: Column, words: dict[str, Sequence[str]], default: str) -> Column:
 def hashed(c: Column) -> Column:
     """A pseudonym: the first 16 hexadecimal digits of SHA-256 over the trimmed lower-case text."""
     return F.substr(F.sha2(norm(c), 256), F.lit(1), F.lit(16))
+
+
+def without_suffix(c: Column, suffix: str) -> Column:
+    """A key without what the pattern finds at its end, trimmed."""
+    return F.trim(F.regexp_replace(F.trim(c), f"(?:{suffix})$", ""))
+
+
+def in_domains(url: Column, domains: Sequence[str]) -> Column:
+    """Whether the url holds one of the domains."""
+    out = F.lit(False)
+    for d in domains:
+        out = out | F.coalesce(F.contains(url, F.lit(d)), F.lit(False))
+    return out
+
+
+def markdown(md: Column) -> Column:
+    """A subset of Markdown as HTML: headings of two and three marks, bold, code, links, paragraphs; all else is escaped text."""
+    body = F.regexp_replace(strip_front_matter(md), "^\n+", "")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        body = F.replace(body, F.lit(a), F.lit(b))
+    for pattern, html in (("(?m)^### (.+)$", "<h4>$1</h4>"), ("(?m)^## (.+)$", "<h3>$1</h3>"), (r"\*\*([^*]+)\*\*", "<strong>$1</strong>"), ("`([^`]+)`", "<code>$1</code>"), (r"\[([^\]]+)\]\(([^)]+)\)", '<a href="$2">$1</a>'), ("\n\n", "</p><p>")):
+        body = F.regexp_replace(body, pattern, html)
+    return F.concat(F.lit("<p>"), F.regexp_replace(body, "^\n+", ""), F.lit("</p>"))

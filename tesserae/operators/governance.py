@@ -69,3 +69,33 @@ def normal_tags(tags: Column, replace: dict[str, str], most: int = 4) -> Column:
     """Synonyms replaced, repeats dropped, at most `most` kept."""
     table = F.create_map(*[F.lit(x) for kv in replace.items() for x in kv])
     return F.slice(F.array_distinct(F.transform(tags, lambda t: F.coalesce(F.element_at(table, t), t))), 1, most)
+
+
+def without_contained(rows: DataFrame, key: str, line: str) -> DataFrame:
+    """key, line: the distinct lines of a key that do not lie whole within another line of it.
+
+    Lines are grouped by key first, and compared within their own array, so no join by substring is needed.
+    """
+    kept = rows.groupBy(key).agg(F.collect_set(line).alias("_all"))
+    inside = lambda x: ~F.exists("_all", lambda y: (y != x) & F.contains(y, x))
+    return kept.select(key, F.explode(F.filter("_all", inside)).alias(line))
+
+
+def caveat_rules(level: Column, ref: Column, known: Sequence[str] = ("info", "warn", "stop")) -> list[tuple[str, str, Column]]:
+    """Rules on caveats: a known severity, and a named source for those that stop or warn."""
+    return [("severity", "error", ~level.isin(list(known))), ("legal_ref", "warning", level.isin("stop", "warn") & (F.trim(F.coalesce(ref, F.lit(""))) == ""))]
+
+
+def schema_rules(patterns: dict[str, str], required: Sequence[str], known: dict[str, Sequence[str]], one_of: Sequence[tuple[str, str]]) -> list[tuple[str, str, Column]]:
+    """Rules that a schema states, all of them errors; a null breaks a rule on required fields only."""
+    out = [(f"{c} pattern", "error", ~F.rlike(F.col(c), F.lit(p))) for c, p in patterns.items()]
+    out += [(f"{c} required", "error", F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "") for c in required]
+    out += [(f"{c} unknown", "error", ~F.col(c).isin(list(v))) for c, v in known.items()]
+    return out + [(f"{a} or {b}", "error", F.col(a).isNull() == F.col(b).isNull()) for a, b in one_of]
+
+
+def checked(found: DataFrame) -> DataFrame:
+    """The violations, if none of them is an error."""
+    if not found.where("severity = 'error'").isEmpty():
+        raise ValueError("the rows break rules of severity error")
+    return found

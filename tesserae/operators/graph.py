@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.session import ensure_checkpoint_dir
+
 
 def incoming(edges: DataFrame, nodes: DataFrame, k: int = 6) -> DataFrame:
     """dst, src, place, total: the first k citing nodes of each cited one that exists; dangling edges drop out. Edges are distinct.
@@ -37,34 +41,43 @@ def merged(manual: DataFrame, inferred: DataFrame) -> DataFrame:
     return manual.select("src", "dst").distinct().withColumn("inferred", F.lit(False)).unionByName(new.withColumn("inferred", F.lit(True)))
 
 
-def chains(next_of: DataFrame, most: int = 64) -> DataFrame:
-    """next_of: id, next (null: current). Gives id, last, steps, cycle, by pointer doubling; a chain of n takes log2 n rounds."""
-    rows = next_of.select("id", F.coalesce("next", "id").alias("last"), F.when(F.col("next").isNull() | (F.col("next") == F.col("id")), 0).otherwise(1).cast("long").alias("steps"))
-    done = 1
-    while done < most:
-        onward = rows.select(F.col("id").alias("last"), F.col("last").alias("_last"), F.col("steps").alias("_steps"))
-        rows = rows.join(onward, "last", "left").select("id", F.coalesce("_last", "last").alias("last"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"))
-        done *= 2
-    return rows.select("id", "last", F.least("steps", F.lit(most)).alias("steps"), (F.col("steps") >= most).alias("cycle"))
-
-
-FLOW_PATHS = """
-WITH RECURSIVE walk(flow, question, path, depth, conclude) AS (
-  SELECT flow, question, question, 0, CAST(NULL AS STRING) FROM {starts}
-  UNION ALL
-  SELECT w.flow, e.next, w.path || '>' || e.opt || coalesce('>' || e.next, ''), w.depth + 1, e.conclude
-  FROM walk w JOIN {edges} e ON w.flow = e.flow AND w.question = e.question
-  WHERE w.depth < {depth} AND (e.next IS NULL OR instr(w.path, e.next) = 0)
-)
-SELECT flow, path, depth, conclude FROM walk WHERE conclude IS NOT NULL"""
+def chains(next_of: DataFrame) -> DataFrame:
+    """next_of: id, next (null: current). Gives id, last, steps, cycle.
 
-
-def flow_paths(starts: DataFrame, edges: DataFrame, depth: int = 12) -> DataFrame:
-    """flow, path, depth, conclude: every way from a start to a conclusion that asks no question twice."""
-    spark = edges.sparkSession
-    starts.createOrReplaceTempView("_flow_starts")
-    edges.createOrReplaceTempView("_flow_edges")
-    return spark.sql(FLOW_PATHS.format(starts="_flow_starts", edges="_flow_edges", depth=depth))
+    Pointer doubling: a round doubles the steps that each row has gone, and is checkpointed, so plans stay short; rows that ended stay out
+    of the joins. While any chain is unfinished, some of its rows end in each round; when none does, the rest lead into cycles, which
+    have neither a last id nor a number of steps. A next id that has no row is an end.
+    """
+    ensure_checkpoint_dir(next_of.sparkSession)
+    ends = F.col("next").isNull() | (F.col("next") == F.col("id"))
+    rows = next_of.select("id", F.coalesce("next", "id").alias("last"), F.when(ends, 0).otherwise(1).cast("long").alias("steps"), ends.alias("ended")).checkpoint()
+    before = -1
+    while (left := rows.where("NOT ended").count()) not in (0, before):
+        before = left
+        onward = rows.select(F.col("id").alias("last"), F.col("last").alias("_last"), F.col("steps").alias("_steps"), F.col("ended").alias("_ended"))
+        gone = rows.where("NOT ended").join(onward, "last", "left")
+        gone = gone.select("id", F.coalesce("_last", "last").alias("last"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.coalesce("_ended", F.lit(True)).alias("ended"))
+        rows = rows.where("ended").union(gone).checkpoint()
+    known = lambda c: F.when(F.col("ended"), F.col(c)).alias(c)
+    return rows.select("id", known("last"), known("steps"), (~F.col("ended")).alias("cycle"))
+
+
+def flow_paths(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """flow, path, depth, conclude: every way from a start to a conclusion that asks no question twice.
+
+    A step a round, checkpointed, until no way is open; as no question is asked twice, a flow of n questions ends after n rounds.
+    """
+    ensure_checkpoint_dir(edges.sparkSession)
+    walk = starts.select("flow", "question", F.array("question").alias("seen"), F.col("question").alias("path"))
+    found, depth = [], 0
+    while not depth or not walk.isEmpty():
+        depth += 1
+        step = walk.join(edges, ["flow", "question"]).where(F.col("next").isNull() | ~F.array_contains("seen", F.col("next")))
+        path = F.concat_ws(">", "path", F.col("opt").cast("string"), "next")
+        step = step.select("flow", F.col("next").alias("question"), F.concat("seen", F.array("next")).alias("seen"), path.alias("path"), "conclude").checkpoint()
+        found.append(step.where("conclude IS NOT NULL").select("flow", "path", F.lit(depth).alias("depth"), "conclude"))
+        walk = step.where("question IS NOT NULL").drop("conclude")
+    return reduce(DataFrame.union, found)
 
 
 def flow_faults(edges: DataFrame, conclusions: DataFrame) -> DataFrame:
@@ -84,6 +97,24 @@ def topic_subgraph(edges: DataFrame, nodes: DataFrame, topic: str) -> DataFrame:
     return rows.select("src", "dst", (F.col("_a").isNull() | F.col("_b").isNull()).alias("across"))
 
 
+def status_counts(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+    """what, value, n: the numbers of nodes and edges, and of nodes by each of the columns."""
+    total = lambda rows, what: rows.agg(F.lit(what).alias("what"), F.lit(None).cast("string").alias("value"), F.count("*").alias("n"))
+    parts = [nodes.groupBy(F.lit(c).alias("what"), F.col(c).cast("string").alias("value")).agg(F.count("*").alias("n")) for c in by]
+    return reduce(DataFrame.union, [total(nodes, "nodes"), total(edges, "edges"), *parts])
+
+
+def cited(texts: DataFrame, nodes: DataFrame, pattern: str) -> DataFrame:
+    """texts: id, topic, body; nodes: id, topic, number. Gives src, dst, matched: citations of a number within the same topic.
+
+    pattern's first group is the number; numbers are looked up among the nodes of the citing text's own topic, and never lead to itself.
+    """
+    found = texts.select(F.col("id").alias("src"), "topic", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(pattern), F.lit(0)))).alias("matched"))
+    found = found.withColumn("number", F.regexp_extract("matched", pattern, 1))
+    to = nodes.select(F.col("id").alias("dst"), "topic", F.col("number").cast("string").alias("number"))
+    return found.join(to, ["topic", "number"]).where("src <> dst").select("src", "dst", "matched")
+
+
 def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id")))
     return nodes.join(ends, "id", "left_anti")

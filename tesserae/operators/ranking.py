@@ -1,4 +1,4 @@
-"""Places in a total order without one task holding a whole group."""
+"""Places in a total order, and joins by substring, without one task holding a whole group and without nested loops."""
 
 from __future__ import annotations
 
@@ -26,3 +26,16 @@ def places(rows: DataFrame, within: list[str], order: list[Column], out: str = "
     here = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_part", "_group").orderBy(*order)))
     met = here.join(offsets, (F.col("_part") == F.col("_p")) & (F.col("_group") == F.col("_g")))
     return met.withColumn(out, F.col("_at") + F.col("_before")).select(*rows.columns, out)
+
+
+def containing(hay: DataFrame, text: str, needles: DataFrame, part: str) -> DataFrame:
+    """All pairs in which hay's text contains the needle's part, both as they are; no needle is empty.
+
+    A needle is looked up by its last three characters (or all, if it has fewer) among all runs of that length of the texts, and met pairs
+    are verified. So the join is one by equality, whatever the size of either side.
+    """
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(n)))
+    some = F.array_distinct(F.filter(F.concat(runs(1), runs(2), runs(3)), lambda g: g != ""))
+    left = hay.withColumn("_run", F.explode(some))
+    right = needles.where(F.col(part) != "").withColumn("_key", F.right(F.col(part), F.least(F.length(part), F.lit(3))))
+    return left.join(right, F.col("_run") == F.col("_key")).where(F.contains(F.col(text), F.col(part))).drop("_run", "_key")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.text import has, norm
 from tesserae.functions.values import half_up, in_season, tier_bounds
+from tesserae.operators.ranking import containing
 
 
 def first_of(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -15,29 +16,29 @@ def first_of(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 
 def by_alias(queries: DataFrame, aliases: DataFrame) -> DataFrame:
-    """query, nation, kind, key: the first alias that equals, contains or lies in the query; cities before lands.
-
-    The aliases are a configured dictionary; it goes to every task.
-    """
+    """query, nation, kind, key: the first alias that equals, contains or lies in the query; cities before lands."""
     q = queries.select("query", norm(F.col("query")).alias("_q")).where("_q <> ''").distinct()
-    k = F.lower("key")
-    met = q.join(F.broadcast(aliases), (k == F.col("_q")) | F.contains(k, F.col("_q")) | F.contains(F.col("_q"), k))
+    k = aliases.withColumn("_k", F.lower("key"))
+    met = containing(k, "_k", q, "_q").unionByName(containing(q, "_q", k, "_k").select(*k.columns, *q.columns))
     return first_of(met, "query", [F.when(F.col("kind") == "city", 0).otherwise(1), F.col("ord")]).select("query", "nation", "kind", "key")
 
 
-def lookup(queries: DataFrame, rates: DataFrame, aliases: DataFrame) -> DataFrame:
+def lookup(queries: DataFrame, rates: DataFrame, aliases: DataFrame, other: Column | None = None) -> DataFrame:
     """query, how (exact, partial, alias, none), city, country, rate: one row a query.
 
-    queries: a stated set, a block of a query log; rates are scanned once for it. Exact hits meet by equality, partial ones by substring
-    against the distinct queries, aliases through the country's first rate.
+    Exact hits meet by equality, partial ones by substring, aliases through the rate row of the country that is marked as its other places
+    (other: a condition on rates); countries meet if the row's country contains the alias's. Of several rows the first by ord counts.
     """
     q = queries.select("query", norm(F.col("query")).alias("_q")).distinct()
     cols = ["city", "country", "rate", "ord"]
-    exact = rates.join(q, F.lower("city") == F.col("_q")).select("query", F.lit(0).alias("pri"), F.lit("exact").alias("how"), *cols)
-    partial = rates.join(F.broadcast(q.where("_q <> ''")), F.contains(F.lower("city"), F.col("_q"))).select("query", F.lit(1).alias("pri"), F.lit("partial").alias("how"), *cols)
-    nation_first = rates.groupBy("country").agg(F.min_by(F.struct(*cols), "ord").alias("x")).select("x.*")
-    other = by_alias(queries, aliases).join(nation_first, F.col("nation") == F.col("country")).select("query", F.lit(2).alias("pri"), F.lit("alias").alias("how"), *cols)
-    best = exact.unionByName(partial).unionByName(other).groupBy("query").agg(F.min_by(F.struct("how", *cols), F.struct("pri", "ord")).alias("x"))
+    low = rates.select(*cols, F.lower("city").alias("_city"))
+    exact = low.join(q, F.col("_city") == F.col("_q")).select("query", F.lit(0).alias("pri"), F.lit("exact").alias("how"), *cols)
+    partial = containing(low, "_city", q, "_q").select("query", F.lit(1).alias("pri"), F.lit("partial").alias("how"), *cols)
+    marked = (rates if other is None else rates.where(other)).select(*cols, F.lower("country").alias("_land"))
+    marked = marked.groupBy("_land").agg(F.min_by(F.struct(*cols), "ord").alias("x")).select("x.*", "_land")
+    wanted = by_alias(queries, aliases).withColumn("_nation", F.lower("nation"))
+    aliased = containing(marked, "_land", wanted, "_nation").select("query", F.lit(2).alias("pri"), F.lit("alias").alias("how"), *cols)
+    best = exact.unionByName(partial).unionByName(aliased).groupBy("query").agg(F.min_by(F.struct("how", *cols), F.struct("pri", "ord")).alias("x"))
     return q.select("query").join(best, "query", "left").select("query", F.coalesce("x.how", F.lit("none")).alias("how"), "x.city", "x.country", "x.rate")
 
 
@@ -48,7 +49,7 @@ def seasonal(rows: DataFrame, day: str, seasons: DataFrame) -> DataFrame:
     """
     spark = rows.sparkSession
     days = spark.range(366).select(F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")), "MM-dd").alias("_md"))
-    met = days.join(F.broadcast(seasons), in_season(F.col("_md"), F.col("first"), F.col("last")))
+    met = days.join(seasons, in_season(F.col("_md"), F.col("first"), F.col("last")))
     found = met.groupBy("_md").agg(F.min_by("pct", "ord").alias("pct"))
     return rows.withColumn("_md", F.date_format(day, "MM-dd")).join(F.broadcast(found), "_md", "left").withColumn("pct", F.coalesce("pct", F.lit(100))).drop("_md")
 
@@ -76,7 +77,7 @@ def allowance(rate: Column, days: Column, pct: Column, fx: Column) -> tuple[Colu
 
 def premium(asked: DataFrame, table: DataFrame) -> DataFrame:
     """asked: kind, days. table: kind, days, total. The total and its share a day; days outside 1 to 365 give nulls."""
-    met = asked.where("days BETWEEN 1 AND 365").join(F.broadcast(table), ["kind", "days"], "left")
+    met = asked.where("days BETWEEN 1 AND 365").join(table, ["kind", "days"], "left")
     return met.withColumn("a_day", half_up(F.col("total") / F.col("days"), 2))
 
 

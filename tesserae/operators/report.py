@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.values import living_fee
@@ -64,3 +64,20 @@ def checklist(headers: DataFrame, items: list[tuple[str, str | None, str, str]])
 def applied(days: DataFrame, **values: object) -> DataFrame:
     """One value for a field of all days; the fees are computed anew."""
     return fees(days.withColumns({k: F.lit(v) for k, v in values.items()}))
+
+
+def placed(days: DataFrame, default: Column, names: DataFrame) -> DataFrame:
+    """days: city, place. A blank city is the trip's default; a blank place is the city's name (names: city, name), if it has one."""
+    own = days.withColumn("city", F.coalesce(F.nullif(F.col("city"), F.lit("")), default))
+    return own.join(names, "city", "left").withColumn("place", F.coalesce(F.nullif(F.col("place"), F.lit("")), "name", F.lit(""))).drop("name")
+
+
+def fee_note(rate: Column, fx: Column, lodged: Column, breakfast: Column, lunch: Column, dinner: Column) -> Column:
+    """The fee's formula as text: rate, exchange rate, and the share that lodging and meals leave; empty without either rate."""
+    base = F.when(F.coalesce(lodged, F.lit(False)), 30).otherwise(100)
+    meals = sum((F.when(F.coalesce(m, F.lit(False)), share).otherwise(0) for m, share in ((breakfast, 4), (lunch, 8), (dinner, 8))), F.lit(0))
+    text = lambda c: c.cast("string")
+    left = F.concat(text(F.greatest(F.lit(0), base - meals)), F.lit("%"))
+    share = F.when(meals > 0, F.concat(F.lit("("), text(base), F.lit("%-"), text(meals), F.lit("%)="), left)).otherwise(left)
+    known = (F.coalesce(rate, F.lit(0)) != 0) & (F.coalesce(fx, F.lit(0)) != 0)
+    return F.when(known, F.concat(F.lit("$"), text(rate), F.lit("×"), text(fx), F.lit("×"), share)).otherwise("")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import grams, has, norm
+from tesserae.operators.ranking import containing
 
 #: What a synonym's match is worth. A double: as a decimal, 90, 170 and 180 would round otherwise.
 SYNONYM_SHARE = 0.7
@@ -15,16 +19,18 @@ def expand(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     """queries: query. Gives query, term, ord in the order of first sight; ord 0 is the query itself.
 
     After the query come the words of the group that holds it exactly (the last such group), then those of each group with a word
-    that contains it or lies in it. The synonyms are a configured list and go to every task; the join is by substring.
+    that contains it or lies in it. Substrings are proposed by a run of letters and then verified, so both sides may grow.
     """
     q = queries.select("query", norm(F.col("query")).alias("_q")).distinct()
     s = synonyms.select("grp", "ord", F.lower("word").alias("word"))
     winner = s.groupBy("word").agg(F.max("grp").alias("_exact"))
-    near = q.join(F.broadcast(s.select(F.col("grp").alias("_g"), F.col("word").alias("_w"))), (F.col("_q") != "") & (F.contains(F.col("_w"), F.col("_q")) | F.contains(F.col("_q"), F.col("_w"))))
-    groups = near.join(F.broadcast(winner.withColumnRenamed("word", "_x")), F.col("_q") == F.col("_x"), "left")
+    own = q.where("_q <> ''")
+    other = s.select(F.col("grp").alias("_g"), F.col("word").alias("_w"))
+    near = containing(other, "_w", own, "_q").unionByName(containing(own, "_q", other, "_w")).select("query", "_q", "_g", "_w").distinct()
+    groups = near.join(winner.withColumnRenamed("word", "_x"), F.col("_q") == F.col("_x"), "left")
     groups = groups.groupBy("query", "_q", "_g").agg(F.min(F.when(F.col("_g") == F.col("_exact"), 0).otherwise(1)).alias("_rank"))
-    terms = groups.join(F.broadcast(s), F.col("_g") == F.col("grp")).select("query", F.col("word").alias("term"), F.struct("_rank", "_g", F.col("ord").alias("_o")).alias("_at"))
-    own = q.where("_q <> ''").select("query", F.col("_q").alias("term"), F.struct(F.lit(-1).alias("_rank"), F.lit(-1).alias("_g"), F.lit(-1).alias("_o")).alias("_at"))
+    terms = groups.join(s, F.col("_g") == F.col("grp")).select("query", F.col("word").alias("term"), F.struct("_rank", "_g", F.col("ord").alias("_o")).alias("_at"))
+    own = own.select("query", F.col("_q").alias("term"), F.struct(F.lit(-1).alias("_rank"), F.lit(-1).alias("_g"), F.lit(-1).alias("_o")).alias("_at"))
     seen = own.union(terms).groupBy("query", "term").agg(F.min("_at").alias("_at"))
     return seen.select("query", "term", (F.row_number().over(Window.partitionBy("query").orderBy("_at")) - 1).alias("ord"))
 
@@ -46,38 +52,64 @@ def search(cards: DataFrame, terms: list[str], weights: dict[str, int]) -> DataF
     return cards.withColumns({"score": sum(scores[1:], scores[0]).cast("long"), "via": first}).where("score > 0")
 
 
-def ranked(found: DataFrame, limit: int | None = None) -> DataFrame:
-    """Best first; ties in load order."""
-    out = found.orderBy(F.col("score").desc(), "load_ord")
+def ranked(found: DataFrame, limit: int | None = None, relevant: DataFrame | None = None) -> DataFrame:
+    """Best first: by the scenario's score if one is chosen (relevant: id, relevance), then the query's; ties in load order."""
+    order = [F.col("score").desc(), F.col("load_ord")]
+    if relevant is not None:
+        found, order = found.join(relevant, "id"), [F.col("relevance").desc(), *order]
+    out = found.orderBy(*order)
     return out.limit(limit) if limit else out
 
 
-def postings(cards: DataFrame) -> DataFrame:
-    """gram, id: the inverted index in long form, over title, id, tags and summary."""
-    text = F.concat_ws("\n", "title", F.col("id").cast("string"), F.array_join("tags", " "), "summary")
-    both = F.concat(grams(text, 2), grams(text, 3))
+def indexed(cards: DataFrame) -> Column:
+    """What the index holds of a card."""
+    return F.concat_ws("\n", "title", F.col("id").cast("string"), F.array_join("tags", " "), "summary")
+
+
+def postings(cards: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """gram, id: the inverted index in long form; only: the grams that are wanted, sorted out before rows are made of them."""
+    both = F.concat(grams(indexed(cards), 2), grams(indexed(cards), 3))
+    if only is not None:
+        both = F.filter(both, lambda g: g.isin(only))
     return cards.select("id", F.explode(both).alias("gram"))
 
 
-def candidates(index: DataFrame, terms: list[str], spark: SparkSession) -> DataFrame:
-    """Ids whose postings hold all grams of some term: three-letter grams if it has any, else two-letter ones.
+def wanted(terms: list[str]) -> dict[str, list[str]]:
+    """By term its grams: of three letters if it has any, else of two. A term of one character has none, as the index is a prefilter of
+    longer queries."""
+    cut = lambda t, n: sorted({t.lower()[i : i + n] for i in range(len(t) - n + 1) if t[i] != " " and t[i + n - 1] != " "})
+    return {t: cut(t, 3) or cut(t, 2) for t in terms}
+
+
+def candidates(index: DataFrame, terms: list[str]) -> DataFrame:
+    """Ids whose postings hold all grams of some term. Only the wanted grams' postings are read from the index, and dealt out once."""
+    need = {t: g for t, g in wanted(terms).items() if g}
+    hits = index.where(F.col("gram").isin(sorted({x for g in need.values() for x in g})))
+    n = hits.groupBy("id").agg(*[F.count_if(F.col("gram").isin(g)).alias(f"_{i}") for i, g in enumerate(need.values())] or [F.lit(0).alias("_0")])
+    full = [F.col(f"_{i}") == len(g) for i, g in enumerate(need.values())]
+    return n.where(reduce(or_, full, F.lit(False))).select("id")
 
-    A term of one character has no grams and contributes nothing, as the index is a prefilter of longer queries.
-    """
-    wanted = spark.createDataFrame([(t,) for t in terms], "term string")
-    three = F.array_compact(grams(F.col("term"), 3))
-    two = F.array_compact(grams(F.col("term"), 2))
-    wanted = wanted.select("term", F.explode(F.when(F.size(three) > 0, three).otherwise(two)).alias("gram"))
-    wanted = wanted.withColumn("_need", F.count("*").over(Window.partitionBy("term")))
-    hits = index.join(F.broadcast(wanted), "gram").groupBy("id", "term", "_need").agg(F.count("*").alias("_n"))
-    return hits.where("_n = _need").select("id").distinct()
 
+def prefiltered(cards: DataFrame, terms: list[str], least: int = 2) -> DataFrame:
+    """The cards that hold all grams of some term, in one pass without an index; the filter acts only if a term has `least` characters."""
+    need = [g for t, g in wanted(terms).items() if len(t) >= least and g]
+    if not need:
+        return cards
+    text = F.lower(indexed(cards))
+    return cards.where(reduce(or_, [reduce(and_, [F.contains(text, F.lit(x)) for x in g]) for g in need]))
 
-def palette(items: DataFrame, terms: list[str], kinds: dict[str, int], limit: int = 60) -> DataFrame:
-    """items: kind, label, haystack, ord. Kind's worth, and 50 if the label holds the query itself."""
+
+def palette(items: DataFrame, terms: list[str], kinds: dict[str, int], limit: int = 60, scenarios: int = 12) -> DataFrame:
+    """items: kind, label, haystack, ord. Kind's worth, and 50 if the label holds the query itself; ranked by kind and order after that.
+
+    Without a query: all views, then the first scenarios (kind rule), each worth its kind.
+    """
+    worth = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("kind")), F.lit(0))
+    if not terms:
+        first = items.where("kind = 'rule'").orderBy("ord").limit(scenarios)
+        return items.where("kind = 'view'").unionByName(first).withColumn("score", worth).orderBy(F.col("score").desc(), "kind", "ord").limit(limit)
     any_ = F.lit(False)
     for t in terms:
         any_ = any_ | has(F.col("haystack"), t)
-    worth = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("kind")), F.lit(0))
     score = worth + F.when(has(F.col("label"), terms[0]), 50).otherwise(0)
     return items.where(any_).withColumn("score", score).orderBy(F.col("score").desc(), "kind", "ord").limit(limit)

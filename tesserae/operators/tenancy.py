@@ -20,7 +20,7 @@ def visible_to(cards: DataFrame, tenants: DataFrame, topics: list[str], tenant:
     """Cards whose topic isn't hidden from the tenant; an unknown tenant sees all but the known topics."""
     one = tenants.where(F.col("tenant_id") == tenant).limit(1)
     hidden = hidden_topics(one, topics)
-    return cards.join(F.broadcast(hidden.select("topic")), "topic", "left_anti")
+    return cards.join(hidden.select("topic"), "topic", "left_anti")
 
 
 def effective(keys: DataFrame, licences: DataFrame, now: Column, default: str) -> DataFrame:

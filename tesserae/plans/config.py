@@ -17,29 +17,10 @@ ALIASES = [("city", "port", "NATION_3"), ("city", "portside", "NATION_4"), ("cit
 #: first and last day (MM-dd), factor; in order, with an overlap and a turn of the year.
 SEASONS = [("12-15", "01-15", 150), ("07-01", "08-31", 130), ("08-15", "09-10", 120), ("04-01", "04-01", 110)]
 TIERS = ["999 and below", "1,000-2,999", "3000 – 5999", "6000~7999", "8,000 and above", "unreadable"]
-#: id, topic, category, primary ids, tags, deprecated, source.
-RULES = [
-    (1, "Brand#4", "red", [3, 17], ["red", "widget", "band1"], False, None),
-    (2, "Brand#2", "bolt", [2], ["bolt", "small", "band0"], False, "hand"),
-    (3, "Brand#17", "none", [], ["small", "large"], False, None),
-    (4, "Brand#9", "blue", [5, 999_999_999], ["blue", "ring", "band3", "band2"], True, None),
-    (5, "Brand#1", "other", [11], ["green", "gear", "band4"], False, "auto"),
-]
-#: flow, question, option, next question, conclusion.
-FLOW = [
-    ("f1", "q1", 1, "q2", None), ("f1", "q1", 2, None, "c1"), ("f1", "q2", 1, "q3", None), ("f1", "q2", 2, None, "c2"),
-    ("f1", "q3", 1, None, "c3"), ("f1", "q3", 2, "q1", None), ("f2", "q1", 1, None, "c9"), ("f2", "q1", 2, "q7", None),
-]
-CONCLUSIONS = [("f1", "c1", None), ("f1", "c2", "f2"), ("f1", "c3", None), ("f2", "c8", None)]
-STARTS = [("f1", "q1"), ("f2", "q1")]
 #: Events: allowed types, longest target and context.
 EVENT_TYPES = ["click", "purchase", "signup", "view"]
 
 
-def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, "rule int, topic string, category string, primary_ids array<long>, tags array<string>, deprecated boolean, source string")
-
-
 def synonyms(spark: SparkSession) -> DataFrame:
     rows = [(g, i, w) for g, words in enumerate(SYNONYMS) for i, w in enumerate(words)]
     return spark.createDataFrame([(g, n, w) for n, (g, _, w) in enumerate(rows)], "grp int, ord int, word string")
@@ -57,17 +38,8 @@ def tiers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(TIERS)), "ord int, label string")
 
 
-def flow(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FLOW, "flow string, question string, opt int, next string, conclude string")
-
-
-def conclusions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CONCLUSIONS, "flow string, conclude string, redirect string")
-
-
 #: Attachment baselines by category, questions with the rule they lead to, references of conclusions, labels that were renamed.
 BASELINES = [("red", "Red list", 2), ("bolt", "Bolt list", 1), ("blue", "Blue list", 4)]
-FAQS = [(1, "why red", 1), (2, "which bolt", 2), (3, "lost", 99)]
+FAQS = [(1, "why this", 3), (2, "which one", 43), (3, "lost", 99)]
 REFERENCES = [("f1", "c1", [3, 999_999_999]), ("f1", "c2", []), ("f1", "c3", [2, 11])]
 RENAMED = {"none": "general", "other": "residual"}
-ROOTS = [(1, True, [2, 3]), (2, False, [4]), (3, True, []), (4, None, None)]

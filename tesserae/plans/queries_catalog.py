@@ -12,7 +12,7 @@ from tesserae.plans import config as c
 from tesserae.plans.registry import query, values
 from tesserae.plans.spec import QuerySpec
 from tesserae.sources.readers import overlaid
-from tesserae.sources.tables import CARDS, CITATIONS, cards, citations, table
+from tesserae.sources.tables import CARDS, CITATIONS, CONCLUSIONS, FLOWS_SQL, SCENARIOS, cards, citations, flow_conclusions, flows, scenarios, table
 
 TERMS = ["ring", "band", "loop"]
 ORDERED = {k: "CASE {} " + " ".join(f"WHEN '{v}' THEN {i}" for i, v in enumerate(vs)) for k, vs in (("topic", c.TOPIC_ORDER), ("klass", c.CLASS_ORDER))}
@@ -55,7 +55,7 @@ def search_synonyms(spark: SparkSession, d: str) -> DataFrame:
 
 
 TEXT = "lower(title || chr(10) || id || chr(10) || array_to_string(tags, ' ') || chr(10) || summary)"
-GRAMS = f"""(SELECT DISTINCT id, substr({TEXT}, i::INT, n::INT) AS gram FROM {CARDS}, range(2, 4) m(n), range(1, 200) r(i)
+GRAMS = f"""(SELECT DISTINCT id, substr({TEXT}, i::INT, n::INT) AS gram FROM {CARDS}, range(2, 4) m(n), range(1, (SELECT max(length(p_name) + length(p_type) + length(p_brand)) * 2 + 60 FROM part)) r(i)
   WHERE i <= length({TEXT}) - n + 1 AND substr({TEXT}, i::INT, 1) <> ' ' AND substr({TEXT}, (i + n - 1)::INT, 1) <> ' ') AS g"""
 
 
@@ -76,29 +76,48 @@ NEED = {"widget": ["wid", "idg", "dge", "get"], "red": ["red"]}
 
 @query(" UNION ".join(f"SELECT id FROM {GRAMS} WHERE gram IN ({', '.join(repr(x) for x in g)}) GROUP BY id HAVING count(*) = {len(g)}" for g in NEED.values()))
 def ngram_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return search.candidates(search.postings(cards(spark, d)), list(NEED), spark)
+    only = sorted({g for found in search.wanted(list(NEED)).values() for g in found})
+    return search.candidates(search.postings(cards(spark, d), only), list(NEED))
 
 
 @query(f"SELECT id FROM {CARDS} WHERE contains({TEXT}, 'bolt')")
 def ngram_equals_contains(spark: SparkSession, d: str) -> DataFrame:
-    """The index's candidates, verified: the same as a plain scan."""
-    rows = cards(spark, d)
-    found = search.candidates(search.postings(rows), ["bolt"], spark)
-    text = F.concat_ws("\n", "title", F.col("id").cast("string"), F.array_join("tags", " "), "summary")
-    return rows.join(found, "id", "left_semi").where(tx.has(text, "bolt")).select("id")
+    """The prefilter's candidates, verified: the same as a plain scan, in one pass."""
+    found = search.prefiltered(cards(spark, d), ["bolt"])
+    return found.where(tx.has(search.indexed(found), "bolt")).select("id")
+
+
+@query(f"SELECT id FROM {CARDS} WHERE contains({TEXT}, 'z') OR contains({TEXT}, 'o')")
+def ngram_short_query(spark: SparkSession, d: str) -> DataFrame:
+    """A query of one character passes the prefilter whole; the scan decides."""
+    found = search.prefiltered(cards(spark, d), ["z", "o"])
+    return found.where(tx.has(search.indexed(found), "z") | tx.has(search.indexed(found), "o")).select("id")
 
 
 @query(f"""WITH items AS (SELECT 'view' AS kind, r_name AS label, lower(r_name) AS hay, r_regionkey::BIGINT AS ord FROM region
-    UNION ALL SELECT 'rule', category, lower(topic || ' ' || category), rule FROM {values([(r[0], r[1], r[2]) for r in c.RULES], 'r(rule, topic, category)')}
+    UNION ALL SELECT 'rule', category, lower(topic || ' ' || category), rule FROM {SCENARIOS}
     UNION ALL SELECT 'card', title, lower(title || ' ' || topic), id FROM {CARDS})
   SELECT kind, label, ord, (CASE kind WHEN 'view' THEN 30 WHEN 'rule' THEN 20 ELSE 10 END + CASE WHEN contains(lower(label), 'red') THEN 50 ELSE 0 END) AS score FROM items
   WHERE contains(hay, 'red') OR contains(hay, 'crimson') OR contains(hay, 'america') ORDER BY score DESC, kind, ord LIMIT 60""")
 def palette_search(spark: SparkSession, d: str) -> DataFrame:
+    return search.palette(palette_items(spark, d), ["red", "crimson", "america"], KINDS).select("kind", "label", "ord", "score")
+
+
+KINDS = {"view": 30, "rule": 20, "card": 10}
+
+
+def palette_items(spark: SparkSession, d: str) -> DataFrame:
     views = table(spark, d, "region").select(F.lit("view").alias("kind"), F.col("r_name").alias("label"), F.lower("r_name").alias("haystack"), F.col("r_regionkey").cast("long").alias("ord"))
-    rules = c.rules(spark).select(F.lit("rule").alias("kind"), F.col("category").alias("label"), F.concat_ws(" ", "topic", "category").alias("haystack"), F.col("rule").cast("long").alias("ord"))
+    rules = scenarios(spark, d).select(F.lit("rule").alias("kind"), F.col("category").alias("label"), F.concat_ws(" ", "topic", "category").alias("haystack"), F.col("rule").cast("long").alias("ord"))
     nodes = cards(spark, d).select(F.lit("card").alias("kind"), F.col("title").alias("label"), F.concat_ws(" ", "title", "topic").alias("haystack"), F.col("id").alias("ord"))
-    found = search.palette(views.unionByName(rules).unionByName(nodes), ["red", "crimson", "america"], {"view": 30, "rule": 20, "card": 10})
-    return found.select("kind", "label", "ord", F.col("score").alias("score"))
+    return views.unionByName(rules).unionByName(nodes)
+
+
+@query(f"""SELECT * FROM (SELECT 'view' AS kind, r_name AS label, r_regionkey::BIGINT AS ord, 30 AS score FROM region UNION ALL
+  SELECT 'rule', category, rule, 20 FROM (SELECT * FROM {SCENARIOS} ORDER BY rule LIMIT 12)) ORDER BY score DESC, kind, ord LIMIT 60""")
+def palette_empty(spark: SparkSession, d: str) -> DataFrame:
+    """Without a query: all views and twelve scenarios."""
+    return search.palette(palette_items(spark, d), [], KINDS).select("kind", "label", "ord", "score")
 
 
 @query(f"SELECT id, regexp_replace(regexp_replace(title, '(widget|red)', '<mark>\\1</mark>', 'gi'), 'zz', '') AS marked FROM {CARDS}")
@@ -119,29 +138,40 @@ def load_filter(spark: SparkSession, d: str) -> DataFrame:
     return catalog.visible(cards(spark, d), c.HIDDEN_TOPICS).select("id", "topic", "klass")
 
 
-@query(f"SELECT id, row_number() OVER (PARTITION BY topic ORDER BY {place('topic', -1)}, klass, ord <= 0, ord, id)::INT AS pos FROM {CARDS}")
+@query(f"SELECT id, row_number() OVER (ORDER BY {place('topic', -1)}, klass, ord <= 0, ord, id)::INT AS pos FROM {CARDS}")
 def load_order(spark: SparkSession, d: str) -> DataFrame:
-    return places(cards(spark, d), ["topic"], catalog.load_order(c.TOPIC_ORDER)).select("id", "pos")
+    """One order over all cards, by ranges and offsets."""
+    return places(cards(spark, d), [], catalog.load_order(c.TOPIC_ORDER)).select("id", "pos")
 
 
-BROWSE = f"{place('klass', 99)}, CASE WHEN klass = 'PROMO' THEN ord END NULLS LAST, ord NULLS LAST, load_ord"
+BROWSE = f"{place('topic', 99)}, {place('klass', 99)}, CASE WHEN klass = 'PROMO' THEN ord END NULLS LAST, ord NULLS LAST, load_ord"
 
 
-@query(f"SELECT id, row_number() OVER (PARTITION BY topic ORDER BY {BROWSE})::INT AS pos FROM {LIVE}")
+@query(f"SELECT id, row_number() OVER (ORDER BY {BROWSE})::INT AS pos FROM {LIVE}")
 def browse_order(spark: SparkSession, d: str) -> DataFrame:
-    """The topic leads the order, so places are given within it; a topic of very many cards spreads over tasks."""
+    """The topic's rank leads, unknown topics come last."""
     rows = catalog.visible(cards(spark, d), c.HIDDEN_TOPICS)
-    return places(rows, ["topic"], catalog.browse_order(c.TOPIC_ORDER, c.CLASS_ORDER, "PROMO")).select("id", "pos")
+    return places(rows, [], catalog.browse_order(c.TOPIC_ORDER, c.CLASS_ORDER, "PROMO")).select("id", "pos")
 
 
 CAT = "CASE " + " ".join(f"WHEN list_contains(tags, '{t}') THEN {i}" for i, t in enumerate(c.CONCRETE)) + f" ELSE {len(c.CONCRETE)} END"
-GROUPED = f"CASE WHEN klass = 'PROMO' THEN 0 ELSE 1 END, CASE WHEN klass = 'PROMO' THEN 0 ELSE {CAT} END, CASE WHEN klass = 'PROMO' THEN 0 ELSE {place('klass', 99)} END, ord NULLS LAST, load_ord"
+GROUPED = f"{place('topic', 99)}, CASE WHEN klass = 'PROMO' THEN 0 ELSE 1 END, CASE WHEN klass = 'PROMO' THEN 0 ELSE {CAT} END, CASE WHEN klass = 'PROMO' THEN 0 ELSE {place('klass', 99)} END, ord NULLS LAST, load_ord"
 
 
-@query(f"SELECT id, {CAT} AS category, row_number() OVER (PARTITION BY topic ORDER BY {GROUPED})::INT AS pos FROM {LIVE}")
+@query(f"SELECT id, {CAT} AS category, row_number() OVER (ORDER BY {GROUPED})::INT AS pos FROM {LIVE}")
 def grouped_order(spark: SparkSession, d: str) -> DataFrame:
     rows = catalog.visible(cards(spark, d), c.HIDDEN_TOPICS).withColumn("category", catalog.first_category(c.CONCRETE))
-    return catalog.numbered(rows, catalog.grouped_order(c.TOPIC_ORDER, c.CLASS_ORDER, "PROMO", F.col("category")), ["topic"]).select("id", "category", "pos")
+    return places(rows, [], catalog.grouped_order(c.TOPIC_ORDER, c.CLASS_ORDER, "PROMO", F.col("category"))).select("id", "category", "pos")
+
+
+@query(f"""SELECT id, pos, (SELECT count(*) FROM {LIVE}) AS of, 'shown ' || least(pos, (SELECT count(*) FROM {LIVE})) || ' of ' || (SELECT count(*) FROM {LIVE}) AS shown
+  FROM (SELECT id, row_number() OVER (ORDER BY {BROWSE})::INT AS pos FROM {LIVE}) WHERE pos % 30 = 0""")
+def shown_of_total(spark: SparkSession, d: str) -> DataFrame:
+    """After each chunk of thirty cards, how many are shown, and of how many."""
+    rows = catalog.visible(cards(spark, d), c.HIDDEN_TOPICS)
+    total = rows.agg(F.count("*")).scalar()
+    ordered = places(rows, [], catalog.browse_order(c.TOPIC_ORDER, c.CLASS_ORDER, "PROMO")).where("pos % 30 = 0").withColumn("of", total)
+    return ordered.select("id", "pos", "of", F.concat_ws(" ", F.lit("shown"), F.col("pos").cast("string"), F.lit("of"), F.col("of").cast("string")).alias("shown"))
 
 
 @query(f"""WITH k AS (SELECT *, {CAT} AS category FROM {LIVE})
@@ -214,7 +244,7 @@ def facet_topk_selected(spark: SparkSession, d: str) -> DataFrame:
     return facets.shortened(n, 6, "Brand#1")
 
 
-RULES = values([(r[0], r[1], r[2], r[3], r[4], r[5], r[6]) for r in c.RULES], "rules(rule, topic, category, primary_ids, tags, deprecated, source)")
+RULES = SCENARIOS
 RELEVANT = f"""(SELECT rule, id, ctopic, rtopic, CASE WHEN p THEN 1000 + s ELSE s + sp END AS score FROM (
   SELECT rule, id, cards.topic AS ctopic, rules.topic AS rtopic, list_contains(primary_ids, id) AS p, len(list_filter(cards.tags, lambda x: list_contains(rules.tags, x))) AS s,
   len(list_filter(cards.tags, lambda x: list_contains(rules.tags, x) AND x NOT IN ('small', 'large'))) AS sp,
@@ -223,39 +253,43 @@ RELEVANT = f"""(SELECT rule, id, ctopic, rtopic, CASE WHEN p THEN 1000 + s ELSE
 
 @query(f"SELECT rule, id, score FROM {RELEVANT}")
 def scenario_scores(spark: SparkSession, d: str) -> DataFrame:
-    return scenario.scored(cards(spark, d), c.rules(spark), c.GENERIC, c.CONCRETE)
+    return scenario.scored(cards(spark, d), scenarios(spark, d), c.GENERIC, c.CONCRETE)
 
 
 @query(f"SELECT rule, (SELECT count(*) FROM {RELEVANT} WHERE rel.rule = rules.rule AND ctopic = rtopic) AS n FROM {RULES}")
 def scenario_counts(spark: SparkSession, d: str) -> DataFrame:
-    return scenario.match_counts(cards(spark, d), c.rules(spark), c.GENERIC, c.CONCRETE)
+    return scenario.match_counts(cards(spark, d), scenarios(spark, d), c.GENERIC, c.CONCRETE)
+
+
+LISTED = [f"Brand#{i}" for i in range(1, 21)]
 
 
-@query(f"SELECT rule FROM {RULES} WHERE NOT deprecated AND coalesce(source, '') <> 'auto' AND contains(lower(array_to_string(tags, ' ') || ' ' || topic || ' ' || category), 'sm')")
+@query(f"SELECT rule FROM {RULES} WHERE NOT deprecated AND coalesce(source, '') <> 'auto' AND topic IN ({', '.join(map(repr, LISTED))}) AND contains(lower(array_to_string(tags, ' ') || ' ' || topic || ' ' || category), 'd')")
 def scenario_list(spark: SparkSession, d: str) -> DataFrame:
-    return scenario.listed(c.rules(spark), c.TOPIC_ORDER, "Sm").select("rule")
+    return scenario.listed(scenarios(spark, d), LISTED, "D").select("rule")
 
 
-@query(f"SELECT topic, category, string_agg(rule::VARCHAR, ',' ORDER BY rule NOT IN (3), rule) AS rules, row_number() OVER (PARTITION BY topic ORDER BY category) = 1 AS first, CASE topic WHEN 'Brand#4' THEN 1 WHEN 'Brand#2' THEN 2 WHEN 'Brand#17' THEN 3 WHEN 'Brand#9' THEN 4 WHEN 'Brand#1' THEN 5 END AS place FROM {RULES} GROUP BY topic, category")
+@query(f"""SELECT topic, category, rules, place, place = min(place) OVER (PARTITION BY topic) AS first FROM (SELECT topic, category, string_agg(rule::VARCHAR, ',' ORDER BY rule NOT IN (43, 123), rule) AS rules,
+  row_number() OVER (ORDER BY {place('topic', 99)}, topic, CASE category {" ".join(f"WHEN '{v}' THEN {i}" for i, v in enumerate(c.CONCRETE))} ELSE 99 END, category)::INT AS place FROM {RULES} GROUP BY topic, category)""")
 def scenario_sections(spark: SparkSession, d: str) -> DataFrame:
-    return scenario.sections(c.rules(spark), c.TOPIC_ORDER, [3])
+    return scenario.sections(scenarios(spark, d), c.TOPIC_ORDER, c.CONCRETE, [43, 123])
 
 
 @query(f"SELECT topic, category, count(*) AS n FROM {RULES} WHERE NOT deprecated GROUP BY topic, category")
 def scenario_facets(spark: SparkSession, d: str) -> DataFrame:
-    return c.rules(spark).where(~F.col("deprecated")).groupBy("topic", "category").agg(F.count("*").alias("n"))
+    return scenarios(spark, d).where(~F.col("deprecated")).groupBy("topic", "category").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT rule, coalesce(CASE WHEN rule <= 2 THEN 'detail ' || rule END, topic) AS topic, category FROM {RULES}")
+@query(f"SELECT rule, CASE WHEN rule % 3 = 0 THEN 'detail ' || rule ELSE topic END AS topic, category FROM {RULES}")
 def scenario_merge(spark: SparkSession, d: str) -> DataFrame:
-    light = c.rules(spark).select("rule", "topic", "category")
-    detail = c.rules(spark).where("rule <= 2").select("rule", F.concat(F.lit("detail "), F.col("rule").cast("string")).alias("topic"))
+    light = scenarios(spark, d).select("rule", "topic", "category")
+    detail = scenarios(spark, d).where("rule % 3 = 0").select("rule", F.concat(F.lit("detail "), F.col("rule").cast("string")).alias("topic"))
     return overlaid(light, detail, "rule")
 
 
 @query(f"SELECT rule AS id, row_number() OVER (PARTITION BY rule ORDER BY p)::INT AS place, other FROM (SELECT rule, unnest(primary_ids) AS other, generate_subscripts(primary_ids, 1) AS p FROM {RULES}) WHERE other IN (SELECT p_partkey FROM part)")
 def scenario_primary(spark: SparkSession, d: str) -> DataFrame:
-    lists = c.rules(spark).select(F.col("rule").alias("id"), F.col("primary_ids").alias("related"))
+    lists = scenarios(spark, d).select(F.col("rule").alias("id"), F.col("primary_ids").alias("related"))
     return graph.related(lists, cards(spark, d))
 
 
@@ -290,44 +324,67 @@ def topic_subgraph(spark: SparkSession, d: str) -> DataFrame:
     return graph.topic_subgraph(citations(spark, d), cards(spark, d), "Brand#4")
 
 
-@query(f"SELECT id FROM {CARDS} WHERE id NOT IN (SELECT src FROM {CITATIONS}) AND id NOT IN (SELECT dst FROM {CITATIONS}) UNION ALL SELECT -1")
+SPARSE = "(SELECT DISTINCT l_orderkey % 500 AS src, l_partkey AS dst FROM lineitem WHERE l_quantity >= 45) AS sparse"
+
+
+@query(f"SELECT id FROM {CARDS} WHERE id NOT IN (SELECT src FROM {SPARSE}) AND id NOT IN (SELECT dst FROM {SPARSE})")
 def isolated_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return graph.isolated(cards(spark, d), citations(spark, d)).select("id").union(spark.range(-1, 0).select("id"))
+    """Cards that no citation of large orders touches."""
+    few = table(spark, d, "lineitem").where("l_quantity >= 45").select((F.col("l_orderkey") % 500).alias("src"), F.col("l_partkey").alias("dst"))
+    return graph.isolated(cards(spark, d), few).select("id")
 
 
-@query("""WITH RECURSIVE w(id, last, steps) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL
-    SELECT id, last // 2, steps + 1 FROM w WHERE last > 0 AND last % 3 <> 0 AND steps < 60)
-  SELECT id, max_by(last, steps) AS last, max(steps)::BIGINT AS steps, false AS cycle FROM w GROUP BY id""")
-def replacement_chain(spark: SparkSession, d: str) -> DataFrame:
-    """A part is replaced by the one of half its number, unless three divides it."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
-    return graph.chains(p.select("id", F.when(F.col("id") % 3 != 0, F.floor(F.col("id") / 2)).alias("next")))
+@query(f"""SELECT 'nodes' AS what, NULL::VARCHAR AS value, count(*) AS n FROM {CARDS} UNION ALL SELECT 'edges', NULL, count(*) FROM {CITATIONS}
+  UNION ALL SELECT 'status', CASE WHEN obsolete THEN 'obsolete' ELSE 'current' END, count(*) FROM {CARDS} GROUP BY 2 UNION ALL SELECT 'klass', klass, count(*) FROM {CARDS} GROUP BY 2""")
+def index_meta(spark: SparkSession, d: str) -> DataFrame:
+    """What an index says of itself: numbers of nodes and edges, and of nodes by status and class."""
+    rows = cards(spark, d).withColumn("status", F.when(F.col("obsolete"), "obsolete").otherwise("current"))
+    return graph.status_counts(rows, citations(spark, d), ["status", "klass"])
 
 
-FLOW = values(c.FLOW, "e(flow, question, opt, next, conclude)")
+@query(f"""SELECT t.doc_id AS src, c.c_custkey AS dst, m.matched FROM (SELECT doc_id, lang, unnest(list_distinct(regexp_extract_all('see No. ' || (doc_id % 40) || ' and No. 7; ' || text, 'No\\. [0-9]+'))) AS matched FROM documents) m
+  JOIN documents t USING (doc_id) JOIN (SELECT c_custkey, ['en', 'de', 'fr', 'es'][1 + c_custkey % 4] AS lang, c_custkey % 50 AS number FROM customer WHERE c_custkey < 400) c
+  ON c.lang = t.lang AND c.number = regexp_extract(m.matched, 'No\\. ([0-9]+)', 1)::INT AND c.c_custkey <> t.doc_id""")
+def edges_cited_in_topic(spark: SparkSession, d: str) -> DataFrame:
+    """Citations by number, resolved among the nodes of the text's own topic (here its language)."""
+    body = F.concat(F.lit("see No. "), (F.col("doc_id") % 40).cast("string"), F.lit(" and No. 7; "), F.col("text"))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("topic"), body.alias("body"))
+    langs = F.array(*map(F.lit, ["en", "de", "fr", "es"]))
+    nodes = table(spark, d, "customer").where("c_custkey < 400").select(F.col("c_custkey").alias("id"), F.get(langs, (F.col("c_custkey") % 4).cast("int")).alias("topic"), (F.col("c_custkey") % 50).alias("number"))
+    return graph.cited(texts, nodes, r"No\. ([0-9]+)")
 
 
-@query(f"""WITH RECURSIVE walk AS (SELECT flow, question, question AS path, 0 AS depth, NULL::VARCHAR AS conclude FROM {values(c.STARTS, 's(flow, question)')} UNION ALL
-  SELECT w.flow, e.next, w.path || '>' || e.opt || coalesce('>' || e.next, ''), w.depth + 1, e.conclude FROM walk w JOIN {FLOW} ON w.flow = e.flow AND w.question = e.question WHERE w.depth < 12 AND (e.next IS NULL OR NOT contains(w.path, e.next)))
-  SELECT flow, path, depth, conclude FROM walk WHERE conclude IS NOT NULL""")
-def flow_paths(spark: SparkSession, d: str) -> DataFrame:
-    return graph.flow_paths(spark.createDataFrame(c.STARTS, "flow string, question string"), c.flow(spark))
+NEXT = "CASE WHEN id % 150 = 0 THEN NULL WHEN id % 450 = 100 THEN id + 5 ELSE id - 1 END"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT p_partkey AS id, max(p_partkey) OVER () AS most FROM part), n AS (SELECT id, {NEXT} AS next FROM p),
+  w(id, last, steps) AS (SELECT id, id, 0 FROM n UNION ALL SELECT w.id, n.next, w.steps + 1 FROM w JOIN n ON w.last = n.id WHERE n.next IS NOT NULL AND w.steps < 400),
+  f AS (SELECT id, max_by(last, steps) AS last, max(steps)::BIGINT AS steps, max(steps) >= 400 AS cycle FROM w GROUP BY id)
+  SELECT id, CASE WHEN NOT cycle THEN last END AS last, CASE WHEN NOT cycle THEN steps END AS steps, cycle FROM f""")
+def replacement_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Each part is replaced by the one before, up to 149 steps; some point onward and so make a cycle, into which others lead."""
+    return graph.chains(table(spark, d, "part").select(F.col("p_partkey").alias("id")).selectExpr("id", f"{NEXT} AS next"))
 
 
-CONCLUDE = values(c.CONCLUSIONS, "k(flow, conclude, redirect)")
+@query(f"""WITH RECURSIVE walk AS (SELECT DISTINCT flow, 'q0' AS question, ['q0'] AS seen, 'q0' AS path, 0 AS depth, NULL::VARCHAR AS conclude FROM {FLOWS_SQL} UNION ALL
+  SELECT w.flow, e.next, list_append(w.seen, e.next), w.path || '>' || e.opt || coalesce('>' || e.next, ''), w.depth + 1, e.conclude FROM walk w JOIN {FLOWS_SQL} ON w.flow = e.flow AND w.question = e.question WHERE e.next IS NULL OR NOT list_contains(w.seen, e.next))
+  SELECT flow, path, depth, conclude FROM walk WHERE conclude IS NOT NULL""")
+def flow_paths(spark: SparkSession, d: str) -> DataFrame:
+    edges = flows(spark, d)
+    return graph.flow_paths(edges.select("flow", F.lit("q0").alias("question")).distinct(), edges)
 
 
-@query(f"""SELECT DISTINCT 'question' AS kind, flow, next AS name FROM {FLOW} WHERE next IS NOT NULL AND (flow, next) NOT IN (SELECT (flow, question) FROM {FLOW})
-  UNION ALL SELECT DISTINCT 'conclusion', flow, conclude FROM {FLOW} WHERE conclude IS NOT NULL AND (flow, conclude) NOT IN (SELECT (flow, conclude) FROM {CONCLUDE})
-  UNION ALL SELECT 'unreached', flow, conclude FROM {CONCLUDE} WHERE (flow, conclude) NOT IN (SELECT (flow, conclude) FROM {FLOW} WHERE conclude IS NOT NULL)""")
+@query(f"""WITH f AS (SELECT * FROM {FLOWS_SQL}), k AS (SELECT * FROM {CONCLUSIONS}) SELECT DISTINCT 'question' AS kind, flow, next AS name FROM f WHERE next IS NOT NULL AND (flow, next) NOT IN (SELECT (flow, question) FROM f)
+  UNION ALL SELECT DISTINCT 'conclusion', flow, conclude FROM f WHERE conclude IS NOT NULL AND (flow, conclude) NOT IN (SELECT (flow, conclude) FROM k)
+  UNION ALL SELECT DISTINCT 'unreached', flow, conclude FROM k WHERE (flow, conclude) NOT IN (SELECT (flow, conclude) FROM f WHERE conclude IS NOT NULL)""")
 def flow_faults(spark: SparkSession, d: str) -> DataFrame:
-    return graph.flow_faults(c.flow(spark), c.conclusions(spark))
+    return graph.flow_faults(flows(spark, d), flow_conclusions(spark, d))
 
 
-@query(f"SELECT k.flow, k.conclude, k.redirect, s.question AS restart FROM {CONCLUDE} LEFT JOIN {values(c.STARTS, 's(flow, question)')} ON k.redirect = s.flow")
+@query(f"SELECT k.flow, k.conclude, k.redirect, s.question AS restart FROM {CONCLUSIONS} LEFT JOIN (SELECT DISTINCT flow, 'q0' AS question FROM {FLOWS_SQL}) s ON k.redirect = s.flow")
 def flow_redirects(spark: SparkSession, d: str) -> DataFrame:
-    starts = spark.createDataFrame(c.STARTS, "redirect string, restart string")
-    return c.conclusions(spark).join(F.broadcast(starts), "redirect", "left").select("flow", "conclude", "redirect", "restart")
+    starts = flows(spark, d).select(F.col("flow").alias("redirect"), F.lit("q0").alias("restart")).distinct()
+    return flow_conclusions(spark, d).join(starts, "redirect", "left").select("flow", "conclude", "redirect", "restart")
 
 
 @query("SELECT p_partkey AS id, k::INT AS pos, 'v' || (p_size - k) AS version, k = 0 AS latest FROM part, range(3) r(k) WHERE k <= p_size % 3")
@@ -349,12 +406,12 @@ def card_projection(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT rule, title, items FROM {RULES} LEFT JOIN {values(c.BASELINES, 'b(category, title, items)')} USING (category)")
 def scenario_baseline(spark: SparkSession, d: str) -> DataFrame:
     base = spark.createDataFrame(c.BASELINES, "category string, title string, items int")
-    return c.rules(spark).join(F.broadcast(base), "category", "left").select("rule", "title", "items")
+    return scenarios(spark, d).join(base, "category", "left").select("rule", "title", "items")
 
 
 @query(f"SELECT faq, q, rule, topic FROM {values(c.FAQS, 'f(faq, q, rule)')} JOIN {RULES} USING (rule)")
 def faq_navigation(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(c.FAQS, "faq int, q string, rule int").join(c.rules(spark), "rule").select("faq", "q", "rule", "topic")
+    return spark.createDataFrame(c.FAQS, "faq int, q string, rule int").join(scenarios(spark, d), "rule").select("faq", "q", "rule", "topic")
 
 
 @query(f"SELECT flow, conclude, ref, p_name AS title FROM (SELECT flow, conclude, unnest(refs) AS ref FROM {values(c.REFERENCES, 'r(flow, conclude, refs)')}) LEFT JOIN part ON ref = p_partkey")
@@ -367,15 +424,29 @@ def conclusion_refs(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT rule, CASE category WHEN 'none' THEN 'general' WHEN 'other' THEN 'residual' ELSE category END AS label FROM {RULES}")
 def label_rename(spark: SparkSession, d: str) -> DataFrame:
     table_ = F.create_map(*[F.lit(x) for kv in c.RENAMED.items() for x in kv])
-    return c.rules(spark).select("rule", F.coalesce(F.element_at(table_, F.col("category")), "category").alias("label"))
+    return scenarios(spark, d).select("rule", F.coalesce(F.element_at(table_, F.col("category")), "category").alias("label"))
 
 
-@query(f"SELECT r.rule, coalesce(flow_root, false) AND coalesce(len(subs), 0) > 0 AS root, coalesce(len(subs), 0)::INT AS n_subs, s.flow IS NOT NULL AS has_flow FROM {values(c.ROOTS, 'r(rule, flow_root, subs)')} LEFT JOIN {values(c.STARTS, 's(flow, question)')} ON s.flow = 'f' || r.rule")
+@query(f"SELECT rule, rule % 2 = 1 AND len(subs) > 0 AS root, len(subs)::INT AS n_subs, s.flow IS NOT NULL AS has_flow FROM (SELECT rule, list_filter(primary_ids, lambda x: x % 40 = 3) AS subs FROM {RULES}) LEFT JOIN (SELECT DISTINCT flow FROM {FLOWS_SQL}) s ON s.flow = 'f' || (rule % 20)")
 def scenario_roots(spark: SparkSession, d: str) -> DataFrame:
-    roots = spark.createDataFrame(c.ROOTS, "rule int, flow_root boolean, subs array<int>").withColumn("flow", F.concat(F.lit("f"), F.col("rule").cast("string")))
-    starts = spark.createDataFrame(c.STARTS, "flow string, question string")
-    n = F.coalesce(F.array_size("subs"), F.lit(0))
-    return roots.join(F.broadcast(starts), "flow", "left").select("rule", (F.coalesce("flow_root", F.lit(False)) & (n > 0)).alias("root"), n.alias("n_subs"), F.col("question").isNotNull().alias("has_flow"))
+    roots = scenarios(spark, d).select("rule", F.filter("primary_ids", lambda x: x % 40 == 3).alias("subs"), F.concat(F.lit("f"), (F.col("rule") % 20).cast("string")).alias("flow"))
+    starts = flows(spark, d).select("flow", F.lit(True).alias("has")).distinct()
+    return roots.join(starts, "flow", "left").select("rule", ((F.col("rule") % 2 == 1) & (F.size("subs") > 0)).alias("root"), F.size("subs").alias("n_subs"), F.col("has").isNotNull().alias("has_flow"))
+
+
+@query(f"SELECT rule, coalesce(source, '') = 'hand' OR category IN ('red', 'cold') OR topic = 'Brand#4' AND category = 'small' AS linked FROM {RULES}")
+def calculator_link(spark: SparkSession, d: str) -> DataFrame:
+    """A flag, a category that always does, or one that does within a topic."""
+    linked = scenario.calculator_link(F.col("source") == "hand", F.col("category"), F.col("topic"), ["red", "cold"], {"Brand#4": ["small"]})
+    return scenarios(spark, d).select("rule", linked.alias("linked"))
+
+
+@query(f"""SELECT s.id, s.score, r.score AS relevance FROM {SCORED} JOIN {RELEVANT} ON s.id = r.id WHERE s.score > 0 AND r.rule = (SELECT min(rule) FROM {RULES}) ORDER BY r.score DESC, s.score DESC, load_ord LIMIT 30""".replace(") AS rel ON", ") AS r ON"))
+def relevance_order(spark: SparkSession, d: str) -> DataFrame:
+    """Search within a chosen scenario: its score comes first, then the query's, then the load order."""
+    one = scenarios(spark, d).orderBy("rule").limit(1)
+    relevant = scenario.scored(cards(spark, d), one, c.GENERIC, c.CONCRETE).select("id", F.col("score").alias("relevance"))
+    return search.ranked(search.search(cards(spark, d), TERMS, c.WEIGHTS), 30, relevant).select("id", "score", "relevance")
 
 
 @query("SELECT p_brand AS topic, p_partkey AS id FROM part WHERE p_brand IN (SELECT DISTINCT p_brand FROM part ORDER BY 1 LIMIT 3 OFFSET 3)")
@@ -384,4 +455,4 @@ def sections_page(spark: SparkSession, d: str) -> DataFrame:
     rows = cards(spark, d)
     w = Window.partitionBy("_all").orderBy("topic")
     chosen = rows.select("topic").distinct().withColumn("_all", F.lit(1)).withColumn("_place", F.row_number().over(w)).where("_place BETWEEN 4 AND 6")
-    return rows.join(F.broadcast(chosen.select("topic")), "topic", "left_semi").select("topic", "id")
+    return rows.join(chosen.select("topic"), "topic", "left_semi").select("topic", "id")

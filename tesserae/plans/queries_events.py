@@ -37,29 +37,35 @@ def top_hashed(spark: SparkSession, d: str) -> DataFrame:
     return ev.top_targets(rows, "signup", 20, keep_null=False)
 
 
-@query(f"SELECT CASE WHEN type NOT IN ({TYPES}) THEN 'type' WHEN length(target) > 100 THEN 'target' WHEN length(context) > 500 THEN 'context' END AS reason, count(*) AS n FROM {EVENTS} GROUP BY 1")
+LONG = f"(SELECT id, ts, type, user_id, value, repeat(target, (id % 90)::INT) AS target, repeat(context, (id % 80)::INT) AS context FROM {EVENTS}) AS ev"
+
+
+@query(f"SELECT CASE WHEN type NOT IN ({TYPES}) THEN 'type' WHEN length(target) > 100 THEN 'target' WHEN length(context) > 500 THEN 'context' END AS reason, count(*) AS n FROM {LONG} GROUP BY 1")
 def event_reject_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).groupBy(ev.reject_reason(c.EVENT_TYPES).alias("reason")).agg(F.count("*").alias("n"))
+    """Targets and contexts are repeated up to 89 and 79 times, so that every limit is met."""
+    rows = events(spark, d).withColumns({"target": F.repeat("target", (F.col("id") % 90).cast("int")), "context": F.repeat("context", (F.col("id") % 80).cast("int"))})
+    return rows.groupBy(ev.reject_reason(c.EVENT_TYPES).alias("reason")).agg(F.count("*").alias("n"))
+
+
+BATCH = "CASE id % 4 WHEN 0 THEN 'a' || user_id WHEN 1 THEN 'b' || (user_id % 40) ELSE 'c' || user_id END"
 
 
-@query(f"""SELECT user_id AS batch, count(*) AS n, sum(value) AS total FROM {EVENTS}
-  WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING count(*) BETWEEN 1 AND 50) AND type IN ({TYPES}) GROUP BY user_id
-  UNION ALL SELECT -1, 0, 0.0""")
+@query(f"""WITH b AS (SELECT *, {BATCH} AS batch FROM {EVENTS}) SELECT batch, count(*) AS n, round(sum(value), 6) AS total FROM b
+  WHERE batch IN (SELECT batch FROM b GROUP BY batch HAVING count(*) BETWEEN 1 AND 50) AND type IN ({TYPES}) GROUP BY batch""")
 def event_batch_guard(spark: SparkSession, d: str) -> DataFrame:
-    """A batch is a user's events; the arrays exist only for users within the guard's reach, as a batch is one request."""
-    rows = events(spark, d)
-    sized = rows.groupBy("user_id").agg(F.count("*").alias("_n")).where("_n <= 50")
-    batches = rows.join(sized, "user_id").groupBy(F.col("user_id").alias("batch")).agg(F.collect_list(F.struct("id", "type", "target", "context", "value")).alias("items"))
-    got = ev.unbatched(batches, c.EVENT_TYPES).groupBy("batch").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
-    return got.unionByName(spark.createDataFrame([(-1, 0, 0.0)], "batch long, n long, total double"))
+    """Requests of some twenty to seventy events; the arrays exist only for those within the guard's reach, as a batch is one request."""
+    rows = events(spark, d).withColumn("batch", F.expr(BATCH))
+    sized = rows.groupBy("batch").agg(F.count("*").alias("_n")).where("_n <= 50")
+    batches = rows.join(sized, "batch").groupBy("batch").agg(F.collect_list(F.struct("id", "type", "target", "context", "value")).alias("items"))
+    return ev.unbatched(batches, c.EVENT_TYPES).groupBy("batch").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
-@query(f"""SELECT id, type, CASE WHEN type = 'signup' AND target IS NOT NULL THEN substr(sha256(target), 1, 16) ELSE target END AS target, substr('user ' || user_id || ' of the table', 1, 16) AS agent
+@query(f"""SELECT id, type, CASE WHEN type = 'signup' AND target IS NOT NULL THEN substr(sha256(target), 1, 16) ELSE target END AS target, substr('user ' || user_id || ' of the table', 1, 16) AS agent, context
   FROM {EVENTS} WHERE type IN ({TYPES})""")
 def event_ingest(spark: SparkSession, d: str) -> DataFrame:
     agent = F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" of the table"))
     rows = ev.sanitised(ev.accepted(events(spark, d), c.EVENT_TYPES), "signup", agent, F.lit("2024-01-01").cast("timestamp_ntz"))
-    return rows.select("id", "type", "target", "agent")
+    return rows.select("id", "type", "target", "agent", "context")
 
 
 @query("SELECT count(*) AS n, min(ts) AS first_ts FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 10 DAY FROM events)")
@@ -118,7 +124,7 @@ def event_active_users(spark: SparkSession, d: str) -> DataFrame:
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     rows = streams.stream(spark, d, "events.parquet", table(spark, d, "events").schema)
-    return rows.select(F.col("event_id").alias("id"), "ts", F.col("event_type").alias("type"), "user_id", "value")
+    return rows.select(F.col("event_id").alias("id"), "ts", F.col("event_type").alias("type"), "user_id", "value", F.get_json_object("props", "$.k").alias("target"), F.col("props").alias("context"))
 
 
 @query(DAILY)
@@ -129,8 +135,7 @@ def stream_daily(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id AS id, event_type AS type FROM events WHERE event_type IN (" + TYPES + ")")
 def stream_accepted(spark: SparkSession, d: str) -> DataFrame:
-    rows = _stream(spark, d).withColumns({"target": F.lit(None).cast("string"), "context": F.lit(None).cast("string")})
-    return streams.run_to_end(ev.accepted(rows, c.EVENT_TYPES).select("id", "type"), spark, "stream-accepted")
+    return streams.run_to_end(ev.accepted(_stream(spark, d), c.EVENT_TYPES).select("id", "type"), spark, "stream-accepted")
 
 
 @query("SELECT DISTINCT user_id, event_type AS type FROM events")

@@ -27,7 +27,8 @@ def dq_dangling(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""SELECT rule, severity, id::VARCHAR AS key FROM (
   SELECT id, 'ordinal' AS rule, 'warning' AS severity FROM {CARDS} WHERE ord > 45 UNION ALL SELECT id, 'topic', 'error' FROM {CARDS} WHERE NOT regexp_matches(topic, '^Brand#[0-9]$')
-  UNION ALL SELECT id, 'superseded', 'error' FROM {CARDS} WHERE obsolete AND effective IS NULL UNION ALL SELECT id, 'tags', 'warning' FROM {CARDS} WHERE len(tags) > 2)""")
+  UNION ALL SELECT id, 'superseded', 'error' FROM {CARDS} WHERE obsolete AND effective IS NULL UNION ALL SELECT id, 'tags', 'warning' FROM {CARDS} WHERE len(tags) > 2
+  UNION ALL SELECT id, 'letter', 'error' FROM {CARDS} WHERE upper(title[1]) = klass[1])""")
 def dq_violations(spark: SparkSession, d: str) -> DataFrame:
     rules = [
         ("ordinal", "warning", F.col("ord") > 45),
@@ -35,6 +36,8 @@ def dq_violations(spark: SparkSession, d: str) -> DataFrame:
         ("superseded", "error", F.col("obsolete") & F.col("effective").isNull()),
         ("tags", "warning", F.size("tags") > 2),
         ("version", "error", F.try_to_date(F.coalesce("effective", F.lit("1999")), "yyyy").isNull()),
+        ("class", "error", F.substr("klass", F.lit(1), F.lit(1)) != F.substr("summary", F.lit(1), F.lit(1))),
+        ("letter", "error", F.upper(F.substr("title", F.lit(1), F.lit(1))) == F.substr("klass", F.lit(1), F.lit(1))),
     ]
     return gv.violations(cards(spark, d), "id", rules)
 
@@ -210,3 +213,68 @@ def falsy_defaults(spark: SparkSession, d: str) -> DataFrame:
     text = F.when(F.col("o_custkey") % 5 == 0, "").otherwise(F.col("o_orderpriority"))
     num = F.when(F.col("o_custkey") % 7 == 0, 0).otherwise(F.col("o_custkey"))
     return o.select("o_orderkey", vl.falsy_or(text, F.lit("none")).alias("priority"), vl.falsy_or(num, F.lit(99), "number").alias("cust"))
+
+
+@query("""SELECT o_orderkey AS id, 'legal_ref' AS rule, 'warning' AS severity FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderkey % 6 = 0
+  UNION ALL SELECT o_orderkey, 'severity', 'error' FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 4 = 1""")
+def dq_caveats(spark: SparkSession, d: str) -> DataFrame:
+    """A caveat that stops or warns should name its source; its severity must be a known one."""
+    level = F.when((F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 4 == 1), "other").when(F.col("o_orderstatus") == "F", "stop").when(F.col("o_orderstatus") == "P", "warn").otherwise("info")
+    ref = F.when(F.col("o_orderkey") % 6 == 0, "").otherwise("art. 1")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), level.alias("level"), ref.alias("ref"))
+    found = gv.violations(rows, "id", gv.caveat_rules(F.col("level"), F.col("ref")))
+    return found.select(F.col("key").cast("long").alias("id"), "rule", "severity")
+
+
+@query("""SELECT 's' || s_suppkey AS key, x.rule, 'error' AS severity FROM supplier, (VALUES ('id pattern', 0), ('topic required', 1), ('kind unknown', 2), ('next or conclude', 3)) x(rule, k)
+  WHERE CASE k WHEN 0 THEN s_suppkey % 10 = 3 WHEN 1 THEN s_suppkey % 7 = 2 WHEN 2 THEN s_suppkey % 5 = 4 ELSE s_suppkey % 4 IN (0, 3) END""")
+def dq_scenario_schema(spark: SparkSession, d: str) -> DataFrame:
+    """Rows against a schema: patterns, required fields, known values, and exactly one of two fields (here none or both at times)."""
+    k = F.col("s_suppkey")
+    columns = {
+        "id": F.when(k % 10 == 3, "S 1").otherwise(F.lower("s_name")),
+        "topic": F.when(k % 7 == 2, " ").otherwise("t"),
+        "kind": F.when(k % 5 == 4, "odd").otherwise("question"),
+        "next": F.when(k % 4 != 0, F.when(k % 4 != 2, "q1")),
+        "conclude": F.when(k % 4 > 1, "c1"),
+    }
+    rows = table(spark, d, "supplier").select(F.concat(F.lit("s"), k.cast("string")).alias("key"), *[v.alias(n) for n, v in columns.items()])
+    rules = gv.schema_rules(patterns={"id": "^[a-z]+#[0-9]+$"}, required=["topic"], known={"kind": ["question", "conclusion"]}, one_of=[("next", "conclude")])
+    return gv.violations(rows, "key", rules).select("key", "rule", "severity")
+
+
+@query("SELECT doc_id AS id, source || '/' || doc_id || '.md' AS file FROM documents WHERE doc_id % 11 = 0")
+def dq_missing_files(spark: SparkSession, d: str) -> DataFrame:
+    """Named source files that aren't there."""
+    named = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"))
+    there = named.where("id % 11 <> 0").select(F.col("file").alias("path"))
+    return gv.dangling(named, "file", there, "path").select("id", "file")
+
+
+@query("SELECT page_id, contains(url, 'example.org') OR contains(url, 'casino-win.example.com') AS allowed FROM pages")
+def url_allowed(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", tx.in_domains(F.col("url"), ["example.org", "casino-win.example.com"]).alias("allowed"))
+
+
+@query("SELECT s_suppkey AS id, trim(regexp_replace(s_name || CASE WHEN s_suppkey % 2 = 0 THEN ' (old)' ELSE '' END, '\\s*\\((old|new)\\)$', '')) AS key FROM supplier")
+def key_cleanup(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat(F.col("s_name"), F.when(F.col("s_suppkey") % 2 == 0, " (old)").otherwise(""))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), tx.without_suffix(name, r"\s*\((?:old|new)\)").alias("key"))
+
+
+MD = "'## Part ' || p_partkey || chr(10) || '**' || p_name || '** is <' || p_type || '> & [' || p_brand || '](/b/' || p_size || ')' || chr(10) || chr(10) || '### End' || chr(10) || '`x' || p_size || '`'"
+
+
+@query("""SELECT p_partkey AS id, '<p><h3>Part ' || p_partkey || '</h3>' || chr(10) || '<strong>' || p_name || '</strong> is &lt;' || p_type || '&gt; &amp; <a href="/b/' || p_size || '">' || p_brand || '</a></p><p><h4>End</h4>' || chr(10) || '<code>x' || p_size || '</code></p>' AS html FROM part""")
+def markdown_html(spark: SparkSession, d: str) -> DataFrame:
+    md = F.expr(MD.replace("chr(10)", "char(10)"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), tx.markdown(md).alias("html"))
+
+
+@query("""WITH l AS (SELECT DISTINCT ps AS key, line FROM (SELECT p_brand AS ps, p_name AS line FROM part UNION ALL SELECT p_brand, p_name || ' ' || p_type FROM part WHERE p_size % 2 = 0))
+  SELECT key, line FROM l WHERE NOT EXISTS (SELECT 1 FROM l m WHERE m.key = l.key AND m.line <> l.line AND contains(m.line, l.line))""")
+def lines_contained(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a topic without those that lie within another one."""
+    p = table(spark, d, "part")
+    lines = p.select(F.col("p_brand").alias("key"), F.col("p_name").alias("line")).union(p.where("p_size % 2 = 0").select("p_brand", F.concat_ws(" ", "p_name", "p_type")))
+    return gv.without_contained(lines, "key", "line")

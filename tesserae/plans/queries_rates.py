@@ -30,11 +30,12 @@ def alias_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH r AS (SELECT * FROM {RATES}), q AS (SELECT query, lower(trim(query)) AS k FROM {ASK}),
   f AS (SELECT query, 0 AS pri, r.* FROM q JOIN r ON lower(city) = k UNION ALL SELECT query, 1, r.* FROM q JOIN r ON contains(lower(city), k)
-    UNION ALL SELECT query, 2, r.* FROM {BY_ALIAS} JOIN r ON nation = country),
+    UNION ALL SELECT query, 2, r.* FROM {BY_ALIAS} JOIN r ON contains(lower(country), lower(nation)) AND r.ord % 3 = 1),
   b AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY pri, ord) AS rn FROM f)
   SELECT q.query, CASE pri WHEN 0 THEN 'exact' WHEN 1 THEN 'partial' WHEN 2 THEN 'alias' ELSE 'none' END AS how, city, country, rate FROM q LEFT JOIN (SELECT * FROM b WHERE rn = 1) b USING (query)""")
 def rate_lookup_chain(spark: SparkSession, d: str) -> DataFrame:
-    return rt.lookup(asked(spark), rates(spark, d), c.aliases(spark))
+    """Every third rate is marked as one of its country's other places; an alias leads to the first of these."""
+    return rt.lookup(asked(spark), rates(spark, d), c.aliases(spark), F.col("ord") % 3 == 1)
 
 
 @query(f"SELECT ord, rate, CASE WHEN rate <= 999 AND rate >= 0 THEN '999 and below' WHEN rate BETWEEN 1000 AND 2999 THEN '1,000-2,999' WHEN rate BETWEEN 3000 AND 5999 THEN '3000 – 5999' WHEN rate BETWEEN 6000 AND 7999 THEN '6000~7999' WHEN rate >= 8000 THEN '8,000 and above' END AS tier FROM {RATES}")
@@ -209,3 +210,24 @@ def report_batch_apply(spark: SparkSession, d: str) -> DataFrame:
     days = rp.spine(trips(spark, d)).withColumns({"rate": F.lit(299.0), "fx": F.lit(31.5), "locked": F.lit(False), "manual": F.lit(0).cast("long")})
     done = rp.applied(days, lodged=False, breakfast=False, lunch=False, dinner=False)
     return done.groupBy("trip").agg(F.count("*").alias("n"), F.sum("fee").alias("fees"))
+
+
+@query("""SELECT o_orderkey AS row, CASE WHEN o_orderkey % 3 = 0 THEN 'c' || o_custkey ELSE 'home' END AS city, CASE WHEN o_orderkey % 5 = 0 THEN o_orderstatus ELSE coalesce(c_name, '') END AS place
+  FROM orders LEFT JOIN customer ON c_custkey = CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END""")
+def city_default(spark: SparkSession, d: str) -> DataFrame:
+    """A day's city is its own, else the trip's; its place is what was entered, else the city's name."""
+    o = table(spark, d, "orders")
+    days = o.select(F.col("o_orderkey").alias("row"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("c"), F.col("o_custkey").cast("string"))).otherwise("").alias("city"), F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderstatus")).otherwise("").alias("place"))
+    names = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("city"), F.col("c_name").alias("name"))
+    return rp.placed(days, F.lit("home"), names).select("row", "city", "place")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_extendedprice = 0 OR l_quantity % 7 = 0 OR l_partkey = 0 OR l_suppkey = 0 THEN '' ELSE '$' || l_partkey || '×' || l_suppkey || '×' ||
+    CASE WHEN m > 0 THEN '(' || b || '%-' || m || '%)=' || greatest(0, b - m) || '%' ELSE greatest(0, b - m) || '%' END END AS note
+  FROM (SELECT *, CASE WHEN l_linestatus = 'O' THEN 30 ELSE 100 END AS b, CASE WHEN l_returnflag = 'A' THEN 4 ELSE 0 END + CASE WHEN l_linenumber % 2 = 0 THEN 8 ELSE 0 END + CASE WHEN l_linenumber % 3 = 0 THEN 8 ELSE 0 END AS m FROM lineitem)""")
+def fee_note(spark: SparkSession, d: str) -> DataFrame:
+    """How a fee came about, as text; empty without a rate or an exchange rate."""
+    rows = table(spark, d, "lineitem")
+    rate = F.when((F.col("l_extendedprice") != 0) & (F.col("l_quantity") % 7 != 0), F.col("l_partkey"))
+    note = rp.fee_note(rate, F.col("l_suppkey"), F.col("l_linestatus") == "O", F.col("l_returnflag") == "A", F.col("l_linenumber") % 2 == 0, F.col("l_linenumber") % 3 == 0)
+    return rows.select("l_orderkey", "l_linenumber", note.alias("note"))

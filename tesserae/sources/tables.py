@@ -71,3 +71,51 @@ def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RATES = """(SELECT s_suppkey AS ord, lower(s_name) AS city, n_name AS country, r_name AS region, s_acctbal AS rate
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) AS rates"""
+
+
+def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fortieth part is a scenario: rule, topic, category, primary_ids, tags, deprecated, source."""
+    p = table(spark, sf_dir, "part").where("p_partkey % 40 = 3")
+    words = F.split("p_name", " ")
+    return p.select(
+        F.col("p_partkey").cast("int").alias("rule"),
+        F.col("p_brand").alias("topic"),
+        F.get(words, F.lit(0)).alias("category"),
+        F.array(F.col("p_partkey") + 1, F.col("p_partkey") * 7, F.lit(999_999_999).cast("long")).alias("primary_ids"),
+        F.concat(words, F.array(F.concat(F.lit("band"), F.floor(F.col("p_size") / 10).cast("string")))).alias("tags"),
+        (F.col("p_size") % 7 == 0).alias("deprecated"),
+        F.when(F.col("p_size") % 5 == 0, "auto").when(F.col("p_size") % 5 == 1, "hand").alias("source"),
+    )
+
+
+SCENARIOS = """(SELECT p_partkey::INT AS rule, p_brand AS topic, string_split(p_name, ' ')[1] AS category, [p_partkey + 1, p_partkey * 7, 999999999] AS primary_ids,
+  list_append(string_split(p_name, ' '), 'band' || (p_size // 10)) AS tags, p_size % 7 = 0 AS deprecated,
+  CASE p_size % 5 WHEN 0 THEN 'auto' WHEN 1 THEN 'hand' END AS source FROM part WHERE p_partkey % 40 = 3) AS rules"""
+
+
+#: Decision flows of thirteen questions each from suppliers: the next question, one further on, one back, a conclusion.
+FLOWS = """(WITH s AS (SELECT s_suppkey AS k, 'f' || {div} AS flow, s_suppkey % 13 AS q FROM supplier)
+  SELECT flow, 'q' || q AS question, 1 AS opt, CASE WHEN q < 12 THEN 'q' || (q + 1) END AS next, CASE WHEN q = 12 THEN 'c' || k END AS conclude FROM s
+  UNION ALL SELECT flow, 'q' || q, 2, 'q' || (q + 2), NULL FROM s WHERE k % 4 = 1
+  UNION ALL SELECT flow, 'q' || q, 3, 'q' || {half}, NULL FROM s WHERE k % 3 = 0
+  UNION ALL SELECT flow, 'q' || q, 4, NULL, 'c' || (k % 7) FROM s WHERE k % 5 = 0) AS e"""
+
+
+def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """flow, question, opt, next, conclude."""
+    s = table(spark, sf_dir, "supplier")
+    return spark.sql("SELECT * FROM " + FLOWS.format(div="(s_suppkey DIV 13)", half="(q DIV 2)").replace("FROM supplier", "FROM {s}"), s=s)
+
+
+FLOWS_SQL = FLOWS.format(div="(s_suppkey // 13)", half="(q // 2)")
+
+
+def flow_conclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """flow, conclude, redirect: what some flows may conclude, and the flow that goes on from there."""
+    s = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0")
+    flow = lambda k: F.concat(F.lit("f"), F.floor(k / 13).cast("string"))
+    return s.select(flow(F.col("s_suppkey")).alias("flow"), F.concat(F.lit("c"), (F.col("s_suppkey") % 7).cast("string")).alias("conclude"), F.when(F.col("s_suppkey") % 4 == 0, flow(F.col("s_suppkey") + 13)).alias("redirect")).distinct()
+
+
+CONCLUSIONS = """(SELECT DISTINCT 'f' || (s_suppkey // 13) AS flow, 'c' || (s_suppkey % 7) AS conclude, CASE WHEN s_suppkey % 4 = 0 THEN 'f' || ((s_suppkey + 13) // 13) END AS redirect
+  FROM supplier WHERE s_suppkey % 2 = 0) AS k"""

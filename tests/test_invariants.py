@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 from tesserae.functions import text as tx
 from tesserae.operators import events as ev
 from tesserae.operators import facets, graph, search
+from tesserae.operators.ranking import containing
 from tesserae.plans import config as c
 from tesserae.plans.spec import QuerySpec
+from tesserae.session import ensure_checkpoint_dir
 from tesserae.sources.tables import cards
 from tesserae.streaming import events as streams
 
@@ -31,10 +34,10 @@ def test_facets_add_up(spark):
 @given(st.lists(st.text(alphabet="ab c", min_size=1, max_size=12), min_size=1, max_size=20), st.text(alphabet="abc", min_size=2, max_size=4))
 def test_index_equals_scan(spark, titles, term):
     rows = spark.createDataFrame([(i, t, ["x"], "") for i, t in enumerate(titles)], "id long, title string, tags array<string>, summary string")
-    found = {r.id for r in search.candidates(search.postings(rows), [term], spark).collect()}
+    found = {r.id for r in search.candidates(search.postings(rows), [term]).collect()}
     text = F.concat_ws("\n", "title", F.col("id").cast("string"), F.array_join("tags", " "), "summary")
     scan = {r.id for r in rows.where(tx.has(text, term)).collect()}
-    assert scan <= found
+    assert scan <= found == {r.id for r in search.prefiltered(rows, [term]).collect()}
     assert {r.id for r in rows.where(F.col("id").isin(list(found)) & tx.has(text, term)).collect()} == scan if found else not scan
 
 
@@ -69,9 +72,60 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_chains(spark):
-    df = spark.createDataFrame([(1, 2), (2, 3), (3, None), (4, 5), (5, 4), (6, 6)], "id long, next long")
-    got = {r.id: (r.last, r.steps, r.cycle) for r in graph.chains(df, 16).collect()}
-    assert {k: got[k] for k in (1, 2, 3, 6)} == {1: (3, 2, False), 2: (3, 1, False), 3: (3, 0, False), 6: (6, 0, False)} and got[4][2] and got[5][2]
+    rows = [(1, 2), (2, 3), (3, None), (4, 5), (5, 4), (6, 6), (7, 4), (8, 999)] + [(i, i + 1) for i in range(1000, 1300)] + [(1300, None)]
+    got = {r.id: (r.last, r.steps, r.cycle) for r in graph.chains(spark.createDataFrame(rows, "id long, next long")).collect()}
+    assert [got[k] for k in (1, 2, 3, 6, 8)] == [(3, 2, False), (3, 1, False), (3, 0, False), (6, 0, False), (999, 1, False)]
+    assert [got[k] for k in (4, 5, 7)] == [(None, None, True)] * 3
+    assert all(got[i] == (1300, 1300 - i, False) for i in range(1000, 1301))
+    assert graph.chains(spark.createDataFrame([], "id long, next long")).count() == 0
+
+
+def plain_paths(edges, question, seen, path):
+    for q, opt, after, conclude in edges:
+        if q == question and (after is None or after not in seen):
+            here = f"{path}>{opt}" + (f">{after}" if after else "")
+            if conclude:
+                yield here, len(seen), conclude
+            if after:
+                yield from plain_paths(edges, after, [*seen, after], here)
+
+
+def test_flow_paths(spark):
+    deep = [(f"q{i}", 1, f"q{i + 1}", None) for i in range(21)] + [("q21", 1, None, "end")]
+    alike = [("q10", 1, "q1", None), ("q1", 1, None, "end"), ("q1", 2, "q10", None), ("q10", 2, None, "other")]
+    loops = [(f"q{i}", o, f"q{(i * 3 + o) % 6}", None) for i in range(6) for o in (1, 2)] + [("q4", 3, None, "c"), ("q5", 3, None, "d")]
+    flows = {"deep": (deep, "q0"), "alike": (alike, "q10"), "loops": (loops, "q0")}
+    rows = [(f, *e) for f, (es, _) in flows.items() for e in es]
+    starts = spark.createDataFrame([(f, q) for f, (_, q) in flows.items()], "flow string, question string")
+    got = graph.flow_paths(starts, spark.createDataFrame(rows, "flow string, question string, opt int, next string, conclude string"))
+    want = [(f, *x) for f, (es, q) in flows.items() for x in plain_paths(es, q, [q], q)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 5
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet="abé ", max_size=8), max_size=12), st.lists(st.text(alphabet="abé ", max_size=5), max_size=12))
+def test_substring_join(spark, texts, parts):
+    hay, needles = spark.createDataFrame(list(enumerate(texts)), "i int, t string"), spark.createDataFrame(list(enumerate(parts)), "j int, p string")
+    got = sorted((r.i, r.j) for r in containing(hay, "t", needles, "p").collect())
+    assert got == sorted((i, j) for i, t in enumerate(texts) for j, p in enumerate(parts) if p and p in t)
+
+
+def test_checkpoint_folder_must_be_named_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+        def getConf(self):  # noqa: N802
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
 
 
 def test_drill_and_focus():
