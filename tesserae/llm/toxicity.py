@@ -49,6 +49,8 @@ TELLING = 300.0
 #: Rows a block of the index; terms whose lists are laid out in blocks.
 BLOCK_ROWS = 32
 COLUMNS = 512
+#: The longest lists, by which rows are laid out so that those of a block are alike.
+AXES = 64
 #: Rows whose words are worked on at once while the index is built; vectors that are looked up at once; blocks that are added up at once.
 PART = 1_000
 BATCH = 128
@@ -129,12 +131,15 @@ class Index:
         self.column = np.full(n_terms, -1, np.int32)
         self.column[long] = np.arange(len(long))
         there = np.flatnonzero(self.column[terms] >= 0)
-        dense = np.zeros((n, len(long)), np.float32)
-        dense[row[there], self.column[terms[there]]] = weights[there]
-        self.order = layout(dense, size).astype(np.int32)
+        axes = np.zeros((n, min(AXES, len(long))), np.float32)
+        first = there[self.column[terms[there]] < AXES]
+        axes[row[first], self.column[terms[first]]] = weights[first]
+        self.order = layout(axes, size).astype(np.int32)
         self.place = np.argsort(self.order).astype(np.int32)
-        self.dense = np.zeros((self.blocks, size, len(long)), np.float32)
-        self.dense.reshape(self.blocks * size, len(long))[:n] = dense[self.order]
+        del axes, first
+        self.dense = np.zeros((self.blocks * size, len(long)), np.float32)
+        self.dense[self.place[row[there]], self.column[terms[there]]] = weights[there]
+        self.dense = self.dense.reshape(self.blocks, size, len(long))
         self.most = self.dense.max(axis=1)
         short = np.flatnonzero(self.column[terms] < 0)
         short = short[np.argsort(terms[short].astype(np.int64) * n + self.place[row[short]])]
