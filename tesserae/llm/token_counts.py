@@ -8,14 +8,16 @@ in a worker while they fit a bound; texts take time linear in their length.
 
 Special strings inside a text count as the library has it by default: one token each, with no merge across them.
 
-Defined results: a null text is an empty text of no tokens; repeated rows each get their own result; an empty table gives an empty
-table.
+Defined results: a null text is an empty text of no tokens; very long texts and pieces are read whole; of prefixes that fit the budget the
+longest counts, also where a longer prefix takes fewer tokens than a shorter one; repeated rows each get their own result; an empty table
+gives an empty table; extra columns are kept, and one named like a result is replaced.
 """
 
 from __future__ import annotations
 
 import json
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
 
@@ -51,6 +53,9 @@ class PrefixTable:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        cut = spec["pre_tokenizer"] or {}
+        if spec["model"]["type"] != "BPE" or spec.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+            raise ValueError("a byte-level vocabulary without normalizer, prefix space and other split patterns is wanted")
         letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         self.special = [x["content"] for x in spec["added_tokens"] if not x["normalized"]]
@@ -166,18 +171,41 @@ class PrefixTable:
         return sum(self.counts(text)[1])
 
     def measure(self, text: str, budget: int) -> tuple[int, int]:
-        """Tokens of the text, and characters of the longest run of whole pieces from the start that takes at most `budget`."""
+        """Tokens of the text, and the most characters from its start that take at most `budget` tokens."""
         pieces, counts = self.counts(text)
         total = sum(counts)
         if total <= budget:
             return total, len(text)
-        used = chars = 0
-        for piece, n in zip(pieces, counts, strict=True):
-            used += n
-            if used > budget:
-                break
-            chars += len(piece)
-        return total, chars
+        ends, tokens = [0, *accumulate(map(len, pieces))], [0, *accumulate(counts)]
+        over = bisect_right(tokens, budget) - 1  # the piece that passes the budget
+        for k in self.near(pieces[over], max(0, budget - tokens[over])):
+            if self.upto(text, ends[over] + k, pieces, ends, tokens) <= budget:
+                return total, ends[over] + k
+        k = ends[over]  # a cut before the piece may join what stands before it with other pieces
+        while k and self.upto(text, k, pieces, ends, tokens) > budget:
+            k -= 1
+        return total, k
+
+    def near(self, piece: str, budget: int) -> Iterator[int]:
+        """Characters of the piece, more before fewer, whose prefix takes about the budget by the piece's table."""
+        if piece in self.special:
+            yield from range(len(piece), 0, -1)
+            return
+        table = self.prefix(piece)
+        size = len(piece.encode())
+        for k in range(len(piece), 0, -1):
+            if k <= 2 or table[size] <= budget + 2:  # a cut can change how the pieces around it are split
+                yield k
+            size -= len(piece[k - 1].encode())
+
+    def upto(self, text: str, k: int, pieces: list[str], ends: list[int], tokens: list[int]) -> int:
+        """Tokens of the first k characters: of all pieces that the cut can't touch, and of the rest, split anew."""
+        at = max(0, bisect_left(ends, k) - 1)
+        whole = 0
+        while at and whole < 2:
+            at -= 1
+            whole += not pieces[at].isspace()
+        return tokens[at] + self.count(text[ends[at] : k])
 
     def boundaries(self, text: str) -> tuple[list[int], list[int]]:
         """Bytes and tokens up to the end of each piece."""
@@ -212,7 +240,7 @@ def loaded(name: str) -> PrefixTable:
 
 
 def count_tokens(df: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_50k.json", budget: int = LIMIT) -> DataFrame:
-    """df with n_bytes, n_tokens, and fit_chars: the characters that whole pieces within the budget hold."""
+    """df with n_bytes, n_tokens, and fit_chars: the most characters from the start that take at most `budget` tokens."""
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("fit_chars", T.LongType())]
 
     def make():

@@ -35,6 +35,23 @@ def test_at_and_fit():
         assert library(text[: TABLE.fit(text, budget)]) <= budget or budget == 0
 
 
+PARTS = st.lists(st.sampled_from(["the ", " <|endoftext|>", "ing", "  ", "don't", "12345", "!!", "été", "\u3000", "\r\n", "internationalization", " ", "'re", "😀", "zzzzzzzz"]), max_size=14).map("".join)
+
+
+@settings(max_examples=500, deadline=None)
+@given(PARTS, st.integers(0, 20))
+def test_fit_is_the_longest(text, budget):
+    k = TABLE.fit(text, budget)
+    assert library(text[:k]) <= budget
+    assert all(library(text[:j]) > budget for j in range(k + 1, len(text) + 1))
+
+
+def test_fit_inside_a_long_piece():
+    for text in ("ab" * 1_500, "ththndea" * 700, " " * 40_000 + "x", "é" * 3_000, "1" * 5_000, "a" + "!" * 9_000):
+        k = TABLE.fit(text, 512)
+        assert library(text[:k]) <= 512 < library(text) and all(library(text[:j]) > 512 for j in range(k + 1, k + 40) if j <= len(text))
+
+
 def test_long_piece():
     for text in ("a" * 50_000, "ab1" * 20_000, " " * 50_000, "é" * 20_000):
         assert TABLE.count(text) == library(text)
