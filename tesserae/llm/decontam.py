@@ -4,10 +4,11 @@ A shard is a block of whole documents in a task. Its words become numbers of the
 an occurrence, so it separates runs, and runs shorter than the shortest window are left out. Windows found are located by sampled
 positions, and their spans are merged.
 
-The benchmark goes to the tasks in panels of at most PANEL_WORDS words, one after another: a larger benchmark means more panels, each
-searched against all documents, not a larger one. Its rows pass through the driver a panel at a time.
+The benchmark goes to the tasks in panels of at most PANEL_WORDS words: a larger benchmark means more panels, all of them searched in one
+pass over the documents. Its rows pass through the driver a panel at a time.
 
-Defined results: a null text has no words, no hits and is not contaminated; a null or wordless item has no window; windows of an item with
+Defined results: very long texts are blocks of their own, read whole; extra columns are kept, and one named like a result is replaced; items
+are in the order of their ids as text; a null text has no words, no hits and is not contaminated; a null or wordless item has no window; windows of an item with
 a null id hit words but name no item; rows of equal item ids are one item; repeated documents each get their own result; an empty table
 of documents gives an empty table, an empty benchmark no hits.
 """
@@ -104,7 +105,7 @@ class Panel:
         text = np.repeat(np.arange(len(raw)), sizes)
         window, first = self.occurrences(np.array(ids, np.int64), text)
         spans: list[list[dict]] = [[] for _ in raw]
-        items: list[list[str]] = [[] for _ in raw]
+        items: list[list] = [[] for _ in raw]
         if not len(window):
             return sizes, spans, items
         cover = np.zeros(len(ids) + 1, np.int64)
@@ -119,10 +120,13 @@ class Panel:
             mine = text[edge] == t
             for a, b in zip((edge[mine] - base[t]).tolist(), (stop[mine] - base[t]).tolist(), strict=True):
                 spans[t].append({"first_word": a, "end_word": b, "start": places[a][0], "end": places[b - 1][1]})
-        size = np.diff(self.owner_ends, prepend=0)[window]
-        owner = self.owners[np.repeat(self.owner_ends[window] - np.cumsum(size), size) + np.arange(size.sum())]
-        for pair in np.unique(np.repeat(text[first], size) * len(self.names) + owner).tolist() if len(self.names) else []:
-            items[pair // len(self.names)].append(self.names[pair % len(self.names)])
+        if len(self.names):
+            # a window that occurs many times in a text is one pair before its owners are looked up
+            pairs = np.unique(text[first] * len(self.length) + window)
+            for t, w in zip((pairs // len(self.length)).tolist(), (pairs % len(self.length)).tolist(), strict=True):
+                owners = self.owners[self.owner_ends[w - 1] if w else 0 : self.owner_ends[w]]
+                items[t].append(owners)
+            items = [[self.names[x] for x in np.unique(np.concatenate(found)).tolist()] if found else [] for found in items]
         return sizes, spans, items
 
 
@@ -141,25 +145,27 @@ def panels(benchmark: DataFrame, id_col: str, text: str, panel_words: int) -> It
 
 def detect(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_col: str = "item_id", item_text: str = "text", panel_words: int = PANEL_WORDS) -> DataFrame:
     """docs with n_words, hits (merged spans, in words and in code points, a panel's after another's), items, n_hit, contaminated."""
-    spark = docs.sparkSession
-    out, parts = docs, []
-    for k, panel in enumerate(panels(benchmark, item_col, item_text, panel_words)):
-        sent = spark.sparkContext.broadcast(panel)  # PANEL_WORDS at most, whatever the benchmark's size
-        fields = [T.StructField(f"_words{k}", T.IntegerType()), T.StructField(f"_hits{k}", T.ArrayType(HIT)), T.StructField(f"_items{k}", T.ArrayType(T.StringType()))]
-        out = append(out, text, fields, (lambda sent: lambda: sent.value.search)(sent))
-        parts.append(k)
-    if not parts:
-        counter = lambda a: [[len(words(t)) for t in a.cast(pa.large_binary()).to_pylist()]]
-        out = append(out, text, [T.StructField("_words0", T.IntegerType())], lambda: counter)
-        out = out.withColumns({"_hits0": F.array().cast(T.ArrayType(HIT)), "_items0": F.array().cast("array<string>")})
-        parts = [0]
-    hits = F.array_sort(F.concat(*[f"_hits{k}" for k in parts]))
+    context = docs.sparkSession.sparkContext
+    sent = [context.broadcast(p) for p in panels(benchmark, item_col, item_text, panel_words)]  # panel_words at most each
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(HIT)), T.StructField("items", T.ArrayType(T.StringType()))]
+
+    def make():
+        """One pass over the texts for all panels."""
+
+        def work(texts: pa.Array) -> list:
+            if not sent:
+                return [[len(words(t)) for t in texts.cast(pa.large_binary()).to_pylist()], [[]] * len(texts), [[]] * len(texts)]
+            found = [panel.value.search(texts) for panel in sent]
+            hits = [sorted((h for part in parts for h in part), key=lambda h: (h["first_word"], h["end_word"])) for parts in zip(*(f[1] for f in found), strict=True)]
+            return [found[0][0], hits, [sorted({x for part in parts for x in part}) for parts in zip(*(f[2] for f in found), strict=True)]]
+
+        return work
+
+    out = append(docs, text, fields, make)
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto"))
     step = lambda s, h: F.struct((s["n"] + F.greatest(F.lit(0), h["end_word"] - F.greatest(h["first_word"], s["upto"]))).alias("n"), F.greatest(s["upto"], h["end_word"]).alias("upto"))
-    out = out.withColumns({"n_words": F.col("_words0").cast("long"), "hits": hits, "items": F.array_sort(F.array_distinct(F.concat(*[f"_items{k}" for k in parts])))})
     out = out.withColumn("n_hit", F.aggregate("hits", zero, step)["n"].cast("long"))
-    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (ONE_IN * F.col("n_hit") >= F.col("n_words")))
-    return out.drop(*[f"_{n}{k}" for k in parts for n in ("words", "hits", "items")])
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (ONE_IN * F.col("n_hit") >= F.col("n_words")))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
