@@ -12,7 +12,8 @@
 5. Links join into components by star contraction.
 
 Defined results: a text without words (null, empty, white space) has fingerprint zero and is linked like any other; rows with a null id
-never name a component; repeated rows are of one component; an empty table gives an empty table.
+never name a component; very long texts are read whole; ties of a bit go to 0; repeated rows are of one component; an empty table gives an
+empty table; of documents, only the id and the text are read, so names of other columns can't clash.
 """
 
 from __future__ import annotations
@@ -134,8 +135,9 @@ def links(fp: np.ndarray, choice: np.ndarray, ends: np.ndarray) -> tuple[np.ndar
         s, e = ends[r] - size[r], ends[r]
         part, c = fp[s:e], choice[s:e]
         if len(part) <= PAIRWISE:
+            seats = packed(part)
             for k in range(0, len(part), 256):
-                i, j = np.nonzero(np.bitwise_count(part[k : k + 256, None] ^ part[None, :]) <= RADIUS)
+                i, j = np.nonzero(manhattan(seats[k : k + 256, None], seats[None, :]) <= RADIUS)  # the bound, then the exact distance
                 i += k
                 i, j = i[i < j], j[i < j]
                 keep = linked(part[i], part[j], c[i])
@@ -236,15 +238,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component, as it is: that of the smallest id (a null id comes last, then the text's hash decides).
+    """docs with one row of each component, as it is: that of the smallest id (a null id comes last, then the text's hash decides; of rows
+    equal in both, the first by all columns as JSON).
 
-    Texts are dealt out once, to meet the rows that stay; those are a few numbers each and are what is held in memory.
+    Texts are dealt out once, to meet the rows that stay.
     """
     rows = grouped(docs, id_col, text).groupBy("root", id_col, "_text").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.col("_text").alias("t"), "n"))
     stay = rows.groupBy("root").agg(first.alias("x")).select(F.col("x.id").alias("_id"), F.col("x.t").alias("_t"), F.col("x.n").alias("_n")).checkpoint()
     named, back = aside(docs, id_col, text)
-    met = named.withColumn("_h", F.xxhash64(text)).join(stay.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_t")))
+    met = named.withColumn("_h", F.xxhash64(text)).join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_t")))
     if stay.where("_n > 1").limit(1).count():  # rows that are equal in id and text
-        met = met.where("_n = 1").unionByName(met.where("_n > 1").dropDuplicates(["_id", "_t"]))
+        every = F.struct(*[F.col(f"`{c}`") for c in met.columns])
+        one = met.where("_n > 1").groupBy("_id", "_t").agg(F.min_by(every, F.to_json(every)).alias("x")).select("x.*")
+        met = met.where("_n = 1").unionByName(one)
     return met.select(*back)
