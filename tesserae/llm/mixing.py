@@ -14,7 +14,8 @@ Only DataFrame functions. The steps:
 Shards follow the input, so no task gets a whole source, however large. A rerun gives the same rows.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source of its own, the last in order; rows with equal ids
-and texts share an order and are told apart only by it; an empty table gives an empty table; if all sizes are 0, all targets are 0.
+and texts share an order and are told apart only by it, and where more than EQUAL rows share an id, each EQUAL of them get an order of their own; very long texts are
+counted whole; no column but id, text and source is read, so names of others can't clash; an empty table gives an empty table; if all sizes are 0, all targets are 0.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.operators.ranking import places
 from tesserae.session import ensure_checkpoint_dir
 
 WEIGHTS = (3, 1, 2)
@@ -30,6 +32,8 @@ CAP = 2
 SEED = 20_240
 #: Words that a shard holds, about.
 SHARD_WORDS = 200_000
+#: Rows that may share an id (or have none) before they are given orders of their own.
+EQUAL = 1_000
 #: A table of so many sources at most is sent to every task; each is a few dozen bytes and a name.
 SOURCES_SENT = 10_000
 #: Words a block: a source's target is met to about half a block, so small targets get small blocks.
@@ -49,17 +53,18 @@ def apportion(parties: DataFrame, votes: str, seats: str, by: list[str], key: li
     a party by half a seat at most. What the first bound takes away from a party's certain seats is in dispute, about one seat a party
     and one for its share of the n/2.
     """
-    group = Window.partitionBy(*by)
-    d = parties.withColumn("_n", F.count("*").over(group) / 2 + 1).withColumn("_total", F.sum(votes).over(group))
+    # counts and sums are added up before they are dealt out; places among disputed seats come from ranges, however many parties a group has
+    sums = parties.groupBy(*by).agg((F.count("*") / 2 + 1).alias("_n"), F.sum(votes).alias("_total"))
+    d = parties.join(sums, by)
     ratio = F.when(F.col("_total") > 0, F.col(votes) / F.col("_total")).otherwise(0.0)
     d = d.withColumn("_low", F.greatest(F.lit(0), F.floor(ratio * (F.col(seats) - F.col("_n")) + 0.5) - 1).cast("long"))
-    d = d.withColumn("_high", F.when(ratio > 0, F.ceil(ratio * (F.col(seats) + F.col("_n")) + 0.5) + 1).otherwise(0).cast("long"))
-    d = d.withColumn("_open", F.col(seats) - F.sum("_low").over(group))
-    disputed = d.where("_high > _low").select(*by, *key, "_open", votes, F.explode(F.sequence("_low", F.col("_high") - 1)).alias("_seat"))
-    best = Window.partitionBy(*by).orderBy((F.col(votes) / (2 * F.col("_seat") + 1)).desc(), *[F.col(k).asc_nulls_last() for k in key], "_seat")
-    won = disputed.withColumn("_place", F.row_number().over(best)).where("_place <= _open").groupBy(*by, *key).agg(F.count("*").alias("_won"))
+    d = d.withColumn("_high", F.when(ratio > 0, F.ceil(ratio * (F.col(seats) + F.col("_n")) + 0.5) + 1).otherwise(0).cast("long")).checkpoint()
+    open_ = d.groupBy(*by).agg((F.max(seats) - F.sum("_low")).alias("_open"))
+    disputed = d.where("_high > _low").select(*by, *key, votes, F.explode(F.sequence("_low", F.col("_high") - 1)).alias("_seat"))
+    best = [(F.col(votes) / (2 * F.col("_seat") + 1)).desc(), *[F.col(k).asc_nulls_last() for k in key], F.col("_seat").asc()]
+    won = places(disputed, by, best, "_place").join(open_, by).where("_place <= _open").groupBy(*by, *key).agg(F.count("*").alias("_won"))
     joined = d.join(won, [*by, *key], "left")
-    return joined.withColumn(out, F.col("_low") + F.coalesce("_won", F.lit(0))).drop("_n", "_total", "_low", "_high", "_open", "_won")
+    return joined.withColumn(out, F.col("_low") + F.coalesce("_won", F.lit(0))).drop("_n", "_total", "_low", "_high", "_won")
 
 
 def targets(sources: DataFrame, share_percent: int = SHARE_PERCENT, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -88,12 +93,25 @@ def seeded(id_col: Column, seed: int = SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))).cast("binary"))
 
 
+def split_equal(narrow: DataFrame, id_col: str) -> DataFrame:
+    """Rows of an order that more than EQUAL rows share get orders of their own, EQUAL rows each, so that no shard is large."""
+    many = narrow.groupBy("_order").agg(F.count("*").alias("_n")).where(F.col("_n") > EQUAL).select(F.col("_order").alias("_many")).checkpoint()
+    if many.isEmpty():
+        return narrow
+    # met on a hash of the row, by which neither side is dealt out: few orders can be shared by so many, and they are sent to every task if their size allows it
+    same = narrow.join(many, F.col("_order") == F.col("_many")).drop("_many")
+    placed = places(same, ["_order"], [F.col("source_key"), F.col("size"), F.col(id_col)], "_at")
+    apart = placed.withColumn("_order", F.md5(F.concat("_order", F.lit(":"), F.floor((F.col("_at") - 1) / EQUAL).cast("string")).cast("binary"))).drop("_at")
+    return narrow.join(many, F.col("_order") == F.col("_many"), "left_anti").unionByName(apart).checkpoint()
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", share_percent: int = SHARE_PERCENT, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
     """id, size, source_size, target, taken."""
     ensure_checkpoint_dir(docs.sparkSession)
     named = F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source).cast("string")))
     narrow = docs.select(id_col, named.alias("source_key"), words(F.col(text)).alias("size"), seeded(F.col(id_col), seed).alias("_order"))
     narrow = narrow.checkpoint()  # the texts are read once; a lost executor rereads these rows from the shared folder
+    narrow = split_equal(narrow, id_col)
 
     sources = narrow.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     t = targets(sources, share_percent, weights, cap).withColumn("_all", F.lit(1)).withColumn("_votes", F.round(F.col("target") * 16).cast("long"))
@@ -126,7 +144,9 @@ ORACLE_SQL = """
 WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k,
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         md5('20240:' || coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
+         md5('20240:' || coalesce(doc_id::VARCHAR, '')) AS o0 FROM documents),
+e AS (SELECT *, count(*) OVER (PARTITION BY o0) AS same, row_number() OVER (PARTITION BY o0 ORDER BY k, size, doc_id) AS nth FROM d0),
+d AS (SELECT doc_id, k, size, CASE WHEN same > 1000 THEN md5(o0 || ':' || ((nth - 1) // 1000)) ELSE o0 END AS o FROM e),
 s AS (SELECT k, sum(size)::BIGINT AS source_size, count(*) AS n, [3, 1, 2][1 + (row_number() OVER (ORDER BY k) - 1) % 3] AS w FROM d GROUP BY k),
 f AS (SELECT *, ((SELECT sum(source_size) FROM s) * 150 / 100 - 2 * coalesce(sum(source_size) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / sum(w) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv, row_number() OVER f AS place

@@ -91,3 +91,17 @@ def test_tables(spark):
     check(got, [(r.doc_id, r.text, r.source) for r in df.collect()])
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS FROM '{path}'")
     assert sorted(map(tuple, got)) == sorted(duckdb.sql(mixing.ORACLE_SQL).fetchall())
+
+
+def test_rows_of_one_id_are_split(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = pd.DataFrame([(None if i % 3 else i, "w " * (i % 40), f"s{i % 2}") for i in range(6000)], columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})
+    df = spark.createDataFrame([(None if pd.isna(i) else int(i), t, s) for i, t, s in rows.itertuples(index=False)], "doc_id long, text string, source string")
+    narrow = df.selectExpr("doc_id", "source as source_key", "size(split(text, ' ')) as size").withColumn("_order", mixing.seeded(mixing.F.col("doc_id")))
+    apart = mixing.split_equal(narrow.checkpoint(), "doc_id").groupBy("_order").count()
+    assert apart.agg({"count": "max"}).first()[0] == mixing.EQUAL and apart.agg({"count": "sum"}).first()[0] == 6000
+    con = duckdb.connect()
+    con.register("documents", rows)
+    assert sorted(map(str, map(tuple, mixing.mix(df).collect()))) == sorted(map(str, con.sql(mixing.ORACLE_SQL).fetchall()))
