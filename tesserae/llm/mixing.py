@@ -141,7 +141,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
 
 #: The contract's mix in DuckDB's SQL: seats are dealt by listing every quotient.
 ORACLE_SQL = """
-WITH d AS (
+WITH d0 AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k,
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
          md5('20240:' || coalesce(doc_id::VARCHAR, '')) AS o0 FROM documents),
