@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import aside
 from tesserae.operators.ranking import places
 from tesserae.session import ensure_checkpoint_dir
 
@@ -105,11 +106,11 @@ def split_equal(narrow: DataFrame, id_col: str) -> DataFrame:
     return narrow.join(many, F.col("_order") == F.col("_many"), "left_anti").unionByName(apart).checkpoint()
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", share_percent: int = SHARE_PERCENT, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
-    """id, size, source_size, target, taken."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", share_percent: int = SHARE_PERCENT, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shard_words: int = SHARD_WORDS, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, size, source_size, target, taken, and the columns that are carried along (short ones)."""
     ensure_checkpoint_dir(docs.sparkSession)
     named = F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source).cast("string")))
-    narrow = docs.select(id_col, named.alias("source_key"), words(F.col(text)).alias("size"), seeded(F.col(id_col), seed).alias("_order"))
+    narrow = docs.select(id_col, named.alias("source_key"), words(F.col(text)).alias("size"), seeded(F.col(id_col), seed).alias("_order"), *carry)
     narrow = narrow.checkpoint()  # the texts are read once; a lost executor rereads these rows from the shared folder
     narrow = split_equal(narrow, id_col)
 
@@ -136,7 +137,33 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     tape = Window.partitionBy("source_key", "shard").orderBy("_order", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = narrow.withColumn("_start", F.coalesce(F.sum("size").over(tape), F.lit(0))).join(q, ["source_key", "shard"])
     more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_more") - F.col("_start")))
-    return placed.select(id_col, "size", "source_size", "target", (F.col("passes") * F.col("size") + more).cast("long").alias("taken"))
+    return placed.select(id_col, "size", "source_size", "target", (F.col("passes") * F.col("size") + more).cast("long").alias("taken"), *carry)
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """The mixed corpus: docs with the text that the mix takes of each, and size, source_size, target, taken.
+
+    A text is repeated whole, a line each, as often as its taken words allow; where words are left over, the first ones follow, a space
+    between them. Rows of which nothing is taken have an empty text. Texts are dealt out once, to meet what is taken of them; rows equal
+    in id, source and text are numbered on both sides.
+    """
+    named, back = aside(docs, id_col, text, source)
+    rows = named.withColumns({"_hash": F.xxhash64(text), "_source": F.coalesce(F.concat(F.lit("0"), F.col(source).cast("string")), F.lit("1"))})
+    taken = mix(rows, id_col, text, source, carry=("_hash", "_source"), **how).withColumnRenamed(id_col, "_id").checkpoint()
+    key = ["_id", "_hash", "_source"]
+    if taken.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        taken, rows = taken.withColumn("_at", F.lit(1)), rows.withColumn("_at", F.lit(1))
+    else:
+        taken = places(taken, key, [F.col("taken").desc()], "_at")
+        rows = places(rows.withColumn("_id", F.col(id_col)), key, [F.lit(0)], "_at").drop("_id")
+    taken = taken.withColumnsRenamed({"_hash": "_h", "_source": "_s", "_at": "_n"})
+    met = rows.join(taken, F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_hash").eqNullSafe(F.col("_h")) & (F.col("_source") == F.col("_s")) & (F.col("_at") == F.col("_n")))
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    left = (F.col("taken") - whole * F.col("size")).cast("int")
+    first = F.array_join(F.slice(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, left), " ")
+    out = F.concat_ws("\n", F.array_repeat(F.col(text), whole), F.when(left > 0, first))
+    new = ["size", "source_size", "target", "taken"]
+    return met.withColumn(text, out).select(*[c for c, n in zip(back, docs.columns, strict=True) if n not in new], *new)
 
 
 #: The contract's mix in DuckDB's SQL: seats are dealt by listing every quotient.

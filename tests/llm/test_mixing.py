@@ -105,3 +105,19 @@ def test_rows_of_one_id_are_split(spark):
     con = duckdb.connect()
     con.register("documents", rows)
     assert sorted(map(str, map(tuple, mixing.mix(df).collect()))) == sorted(map(str, con.sql(mixing.ORACLE_SQL).fetchall()))
+
+
+def test_mixed_corpus(spark):
+    rows = [(i % 50 if i < 60 else None if i % 9 == 0 else i, f"w{i % 50} x\ty\nz " * (i % 5), [None, "a", "b"][i % 3], i) for i in range(400)]
+    rows += [rows[-1]] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    got, plan = mixing.mixed(df, shard_words=100).collect(), mixing.mix(df, shard_words=100).collect()
+    assert sorted(map(str, ((r.doc_id, r.size, r.taken) for r in got))) == sorted(map(str, ((r.doc_id, r.size, r.taken) for r in plan)))
+    texts = {}
+    for i, t, s, _ in rows:
+        texts.setdefault((i, s), set()).add(t)
+    for r in got:
+        assert len(r.text.split()) == r.taken
+        whole = r.taken // r.size if r.size else 0
+        assert any(len(t.split()) == r.size and r.text.split() == t.split() * whole + t.split()[: r.taken - whole * r.size] for t in texts[r.doc_id, r.source])
+    assert len(got) == len(rows) and mixing.mixed(df.where("false")).count() == 0

@@ -1,5 +1,7 @@
 """Each stage against plain code on a small table, and the whole."""
 
+import re
+
 import pytest
 
 import corpus_pipeline as cp
@@ -53,7 +55,9 @@ def test_stages(spark, docs):
 def test_run(spark):
     assert [n for n, _ in cp.STAGES] == ["quality", "simhash", "decontamination", "pii", "mixing"]
     rows = cp.run(spark, DIR).collect()
-    assert len(rows) > 400 and rows[0].asDict().keys() == {"doc_id", "size", "source_size", "target", "taken"}
+    assert len(rows) > 400 and rows[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars", "size", "source_size", "target", "taken"}
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    assert all(len(split(r.text)) == r.taken and len(r.text) == r.n_chars for r in rows) and sum(r.taken for r in rows) > sum(r.size for r in rows)
 
 
 def test_one_of_each(spark):
