@@ -94,25 +94,45 @@ def seeded(id_col: Column, seed: int = SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))).cast("binary"))
 
 
-def split_equal(narrow: DataFrame, id_col: str) -> DataFrame:
-    """Rows of an order that more than EQUAL rows share get orders of their own, EQUAL rows each, so that no shard is large."""
+def split_equal(narrow: DataFrame, id_col: str) -> tuple[DataFrame, bool]:
+    """Rows of an order that more than EQUAL rows share get orders of their own, EQUAL rows each, so that no shard is large; whether any do."""
     many = narrow.groupBy("_order").agg(F.count("*").alias("_n")).where(F.col("_n") > EQUAL).select(F.col("_order").alias("_many")).checkpoint()
     if many.isEmpty():
-        return narrow
+        return narrow, False
     # met on a hash of the row, by which neither side is dealt out: few orders can be shared by so many, and they are sent to every task if their size allows it
     same = narrow.join(many, F.col("_order") == F.col("_many")).drop("_many")
     placed = places(same, ["_order"], [F.col("source_key"), F.col("size"), F.col(id_col)], "_at")
     apart = placed.withColumn("_order", F.md5(F.concat("_order", F.lit(":"), F.floor((F.col("_at") - 1) / EQUAL).cast("string")).cast("binary"))).drop("_at")
-    return narrow.join(many, F.col("_order") == F.col("_many"), "left_anti").unionByName(apart).checkpoint()
+    return narrow.join(many, F.col("_order") == F.col("_many"), "left_anti").unionByName(apart).checkpoint(), True
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", share_percent: int = SHARE_PERCENT, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shard_words: int = SHARD_WORDS, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
-    """id, size, source_size, target, taken, and the columns that are carried along (short ones)."""
-    ensure_checkpoint_dir(docs.sparkSession)
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """id, size, source_size, target, taken. how: what `tape` takes further."""
+    placed, _, _ = tape(docs, id_col, text, source, **how)
+    more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_more") - F.col("_start")))
+    return placed.select(id_col, "size", "source_size", "target", (F.col("passes") * F.col("size") + more).cast("long").alias("taken"))
+
+
+def described(docs: DataFrame, id_col: str, text: str, source: str, seed: int) -> DataFrame:
+    """docs with source_key, size and _order."""
     named = F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source).cast("string")))
-    narrow = docs.select(id_col, named.alias("source_key"), words(F.col(text)).alias("size"), seeded(F.col(id_col), seed).alias("_order"), *carry)
-    narrow = narrow.checkpoint()  # the texts are read once; a lost executor rereads these rows from the shared folder
-    narrow = split_equal(narrow, id_col)
+    return docs.withColumns({"source_key": named, "size": words(F.col(text)), "_order": seeded(F.col(id_col), seed)})
+
+
+def sharded(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows with their shard; sources: source_key, shards."""
+    number = F.conv(F.substring("_order", 1, 8), 16, 10).cast("long")
+    few = F.broadcast if sources.count() <= SOURCES_SENT else (lambda x: x)  # beyond, a join whose hot keys are split at run time
+    return rows.join(few(sources), "source_key").withColumn("shard", F.floor(number * F.col("shards") / 2**32).cast("long")).drop("shards")
+
+
+def tape(docs: DataFrame, id_col: str, text: str, source: str, share_percent: int = SHARE_PERCENT, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shard_words: int = SHARD_WORDS, seed: int = SEED) -> tuple[DataFrame, DataFrame, bool]:
+    """Documents on the tapes of their shards: where each begins (_start), how often its tape is passed over whole (passes) and up to where
+    once more (_more); then the number of shards by source, and whether rows of one id were given orders of their own."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    # the texts are read once; a lost executor rereads these rows from the shared folder
+    first = described(docs.select(id_col, text, source), id_col, text, source, seed).select(id_col, "source_key", "size", "_order").checkpoint()
+    narrow, apart = split_equal(first, id_col)
 
     sources = narrow.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     t = targets(sources, share_percent, weights, cap).withColumn("_all", F.lit(1)).withColumn("_votes", F.round(F.col("target") * 16).cast("long"))
@@ -125,45 +145,53 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     t = apportion(t, "_votes", "_blocks", ["_all"], ["source_key"], "source_quota")
     t = t.select("source_key", "source_size", "target", "block", "source_quota", "shards").checkpoint()
 
-    number = F.conv(F.substring("_order", 1, 8), 16, 10).cast("long")
-    few = F.broadcast if t.count() <= SOURCES_SENT else (lambda x: x)  # beyond, a join whose hot keys are split at run time
-    narrow = narrow.join(few(t.select("source_key", "shards")), "source_key").withColumn("shard", F.floor(number * F.col("shards") / 2**32).cast("long")).drop("shards")
+    narrow = sharded(narrow, t.select("source_key", "shards"))
     per_shard = narrow.groupBy("source_key", "shard").agg(F.sum("size").alias("shard_size"))
-    q = apportion(per_shard.join(few(t), "source_key"), "shard_size", "source_quota", ["source_key"], ["shard"], "quota")
+    q = apportion(per_shard.join(t, "source_key"), "shard_size", "source_quota", ["source_key"], ["shard"], "quota")
     q = q.withColumn("_words", F.least(F.col("quota") * F.col("block"), cap * F.col("shard_size")))
     q = q.withColumn("passes", F.when(F.col("shard_size") > 0, F.floor(F.col("_words") / F.col("shard_size"))).otherwise(F.lit(0)).cast("long"))
     q = q.select("source_key", "shard", "source_size", "target", "passes", (F.col("_words") - F.col("passes") * F.col("shard_size")).alias("_more"))
 
-    tape = Window.partitionBy("source_key", "shard").orderBy("_order", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = narrow.withColumn("_start", F.coalesce(F.sum("size").over(tape), F.lit(0))).join(q, ["source_key", "shard"])
-    more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_more") - F.col("_start")))
-    return placed.select(id_col, "size", "source_size", "target", (F.col("passes") * F.col("size") + more).cast("long").alias("taken"), *carry)
+    along = Window.partitionBy("source_key", "shard").orderBy("_order", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = narrow.withColumn("_start", F.coalesce(F.sum("size").over(along), F.lit(0))).join(q, ["source_key", "shard"])
+    return placed, t.select("source_key", "shards"), apart
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, **how) -> DataFrame:
     """The mixed corpus: docs with the text that the mix takes of each, and size, source_size, target, taken.
 
     A text is repeated whole, a line each, as often as its taken words allow; where words are left over, the first ones follow, a space
-    between them. Rows of which nothing is taken have an empty text. Texts are dealt out once, to meet what is taken of them; rows equal
-    in id, source and text are numbered on both sides.
+    between them. Rows of which nothing is taken have an empty text.
+
+    A shard's tape is cut in one place: what lies before it is taken once more, and what lies there in part. So documents meet a row a
+    shard, not a row a document, and texts are dealt out only where the shards are too many to be sent to every task.
     """
     named, back = aside(docs, id_col, text, source)
-    rows = named.withColumns({"_hash": F.xxhash64(text), "_source": F.coalesce(F.concat(F.lit("0"), F.col(source).cast("string")), F.lit("1"))})
-    taken = mix(rows, id_col, text, source, carry=("_hash", "_source"), **how).withColumnRenamed(id_col, "_id").checkpoint()
-    key = ["_id", "_hash", "_source"]
-    if taken.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        taken, rows = taken.withColumn("_at", F.lit(1)), rows.withColumn("_at", F.lit(1))
+    placed, shards, apart = tape(named, id_col, text, source, seed=seed, **how)
+    placed = placed.withColumn("_key", F.struct("_order", F.col(id_col).alias("i"), "size")).checkpoint()
+    shard = ["source_key", "shard"]
+    cuts = placed.groupBy(*shard, "source_size", "target", "passes", "_more").agg(F.min(F.when(F.col("_start") + F.col("size") > F.col("_more"), F.col("_key"))).alias("_cut"))
+    ties = placed.join(cuts.select(*shard, "_cut"), shard).where("_key = _cut").groupBy(*shard).agg(F.min("_start").alias("_first"), F.count("*").alias("_equal"))
+    cuts = cuts.join(ties, shard, "left").checkpoint()
+
+    rows = described(named, id_col, text, source, seed)
+    if apart:  # rows that share an id get the same orders as on the tapes, up to which of equal ones gets which
+        rows = split_equal(rows, id_col)[0]
+    rows = sharded(rows, shards).join(cuts, shard).withColumn("_key", F.struct("_order", F.col(id_col).alias("i"), "size"))
+    tied = F.coalesce((F.col("_key") == F.col("_cut")) & (F.col("_equal") > 1), F.lit(False))
+    if cuts.where("_equal > 1").isEmpty():
+        rows = rows.withColumn("_nth", F.lit(1))
     else:
-        taken = places(taken, key, [F.col("taken").desc()], "_at")
-        rows = places(rows.withColumn("_id", F.col(id_col)), key, [F.lit(0)], "_at").drop("_id")
-    taken = taken.withColumnsRenamed({"_hash": "_h", "_source": "_s", "_at": "_n"})
-    met = rows.join(taken, F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_hash").eqNullSafe(F.col("_h")) & (F.col("_source") == F.col("_s")) & (F.col("_at") == F.col("_n")))
-    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    left = (F.col("taken") - whole * F.col("size")).cast("int")
-    first = F.array_join(F.slice(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, left), " ")
-    out = F.concat_ws("\n", F.array_repeat(F.col(text), whole), F.when(left > 0, first))
+        rows = rows.where(~tied).withColumn("_nth", F.lit(1)).unionByName(places(rows.where(tied), shard, [F.lit(0)], "_nth"))
+    at_cut = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_more") - F.col("_first") - (F.col("_nth") - 1) * F.col("size")))
+    left = F.coalesce(F.when(F.col("_key") < F.col("_cut"), F.col("size")).when(F.col("_key") == F.col("_cut"), at_cut), F.lit(0)).cast("int")
+    taken = (F.col("passes") * F.col("size") + left).cast("long")
+    rows = rows.withColumns({"taken": taken, "_whole": F.when(F.col("size") > 0, F.floor(taken / F.col("size"))).otherwise(0).cast("int")})
+    part = (F.col("taken") - F.col("_whole") * F.col("size")).cast("int")
+    first = F.array_join(F.slice(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, part), " ")
+    out = F.concat_ws("\n", F.array_repeat(F.col(text), F.col("_whole")), F.when(part > 0, first))
     new = ["size", "source_size", "target", "taken"]
-    return met.withColumn(text, out).select(*[c for c, n in zip(back, docs.columns, strict=True) if n not in new], *new)
+    return rows.withColumn(text, out).select(*[c for c, n in zip(back, docs.columns, strict=True) if n not in new], *new)
 
 
 #: The contract's mix in DuckDB's SQL: seats are dealt by listing every quotient.

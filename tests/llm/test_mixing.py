@@ -100,13 +100,22 @@ def test_rows_of_one_id_are_split(spark):
     rows = pd.DataFrame([(None if i % 3 else i, "w " * (i % 40), f"s{i % 2}") for i in range(6000)], columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})
     df = spark.createDataFrame([(None if pd.isna(i) else int(i), t, s) for i, t, s in rows.itertuples(index=False)], "doc_id long, text string, source string")
     narrow = df.selectExpr("doc_id", "source as source_key", "size(split(text, ' ')) as size").withColumn("_order", mixing.seeded(mixing.F.col("doc_id")))
-    apart = mixing.split_equal(narrow.checkpoint(), "doc_id").groupBy("_order").count()
+    apart = mixing.split_equal(narrow.checkpoint(), "doc_id")[0].groupBy("_order").count()
     assert apart.agg({"count": "max"}).first()[0] == mixing.EQUAL and apart.agg({"count": "sum"}).first()[0] == 6000
     con = duckdb.connect()
     con.register("documents", rows)
     assert sorted(map(str, map(tuple, mixing.mix(df).collect()))) == sorted(map(str, con.sql(mixing.ORACLE_SQL).fetchall()))
 
 
+def test_mixed_corpus_of_one_id(spark):
+    """So many rows without an id that they are split, and equal ones at the cuts."""
+    rows = [(None if i % 3 else i, "v w x y z " * (i % 4), f"s{i % 2}") for i in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got, plan = mixing.mixed(df, shard_words=2000).collect(), mixing.mix(df, shard_words=2000).collect()
+    assert sorted(map(str, ((r.doc_id, r.size, r.taken) for r in got))) == sorted(map(str, ((r.doc_id, r.size, r.taken) for r in plan)))
+    assert all(len(r.text.split()) == r.taken for r in got)
+
+
 def test_mixed_corpus(spark):
     rows = [(i % 50 if i < 60 else None if i % 9 == 0 else i, f"w{i % 50} x\ty\nz " * (i % 5), [None, "a", "b"][i % 3], i) for i in range(400)]
     rows += [rows[-1]] * 3
