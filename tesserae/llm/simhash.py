@@ -241,13 +241,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     """docs with one row of each component, as it is: that of the smallest id (a null id comes last, then the text's hash decides; of rows
     equal in both, the first by all columns as JSON).
 
-    Texts are dealt out once, to meet the rows that stay.
+    Texts are dealt out once, to meet the rows that stay; those are a few numbers each and are what is held in memory. Sorting the texts
+    instead would let the join spill, but costs five times the input on disk.
     """
     rows = grouped(docs, id_col, text).groupBy("root", id_col, "_text").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.col("_text").alias("t"), "n"))
     stay = rows.groupBy("root").agg(first.alias("x")).select(F.col("x.id").alias("_id"), F.col("x.t").alias("_t"), F.col("x.n").alias("_n")).checkpoint()
     named, back = aside(docs, id_col, text)
-    met = named.withColumn("_h", F.xxhash64(text)).join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_t")))
+    met = named.withColumn("_h", F.xxhash64(text)).join(stay.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_t")))
     if stay.where("_n > 1").limit(1).count():  # rows that are equal in id and text
         every = F.struct(*[F.col(f"`{c}`") for c in met.columns])
         one = met.where("_n > 1").groupBy("_id", "_t").agg(F.min_by(every, F.to_json(every)).alias("x")).select("x.*")
