@@ -37,6 +37,8 @@ SHARD_WORDS = 200_000
 EQUAL = 1_000
 #: A table of so many sources at most is sent to every task; each is a few dozen bytes and a name.
 SOURCES_SENT = 10_000
+#: A table of so many shards at most is sent to every task, about 200 bytes each; beyond, documents are dealt out by shard.
+SHARDS_SENT = 100_000
 #: Words a block: a source's target is met to about half a block, so small targets get small blocks.
 BLOCK_WORDS = 256
 BLOCKS_AT_LEAST = 400
@@ -173,11 +175,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     cuts = placed.groupBy(*shard, "source_size", "target", "passes", "_more").agg(F.min(F.when(F.col("_start") + F.col("size") > F.col("_more"), F.col("_key"))).alias("_cut"))
     ties = placed.join(cuts.select(*shard, "_cut"), shard).where("_key = _cut").groupBy(*shard).agg(F.min("_start").alias("_first"), F.count("*").alias("_equal"))
     cuts = cuts.join(ties, shard, "left").checkpoint()
+    sent = F.broadcast if cuts.count() <= SHARDS_SENT else (lambda x: x)
 
     rows = described(named, id_col, text, source, seed)
     if apart:  # rows that share an id get the same orders as on the tapes, up to which of equal ones gets which
         rows = split_equal(rows, id_col)[0]
-    rows = sharded(rows, shards).join(cuts, shard).withColumn("_key", F.struct("_order", F.col(id_col).alias("i"), "size"))
+    rows = sharded(rows, shards).join(sent(cuts), shard).withColumn("_key", F.struct("_order", F.col(id_col).alias("i"), "size"))
     tied = F.coalesce((F.col("_key") == F.col("_cut")) & (F.col("_equal") > 1), F.lit(False))
     if cuts.where("_equal > 1").isEmpty():
         rows = rows.withColumn("_nth", F.lit(1))
