@@ -130,15 +130,24 @@ class Index:
         long = np.argsort(-np.bincount(terms, minlength=n_terms), kind="stable")[:columns]
         self.column = np.full(n_terms, -1, np.int32)
         self.column[long] = np.arange(len(long))
-        there = np.flatnonzero(self.column[terms] >= 0)
+
+        def cells(columns: int):
+            """Row, column and weight of what the first columns hold, some rows at a time."""
+            for a in range(0, n, PART):
+                at = slice(ends[a], ends[min(n, a + PART)])
+                column = self.column[terms[at]]
+                held = np.flatnonzero((column >= 0) & (column < columns))
+                yield row[at][held], column[held], weights[at][held]
+
         axes = np.zeros((n, min(AXES, len(long))), np.float32)
-        first = there[self.column[terms[there]] < AXES]
-        axes[row[first], self.column[terms[first]]] = weights[first]
+        for r, c, w in cells(AXES):
+            axes[r, c] = w
         self.order = layout(axes, size).astype(np.int32)
         self.place = np.argsort(self.order).astype(np.int32)
-        del axes, first
+        del axes
         self.dense = np.zeros((self.blocks * size, len(long)), np.float32)
-        self.dense[self.place[row[there]], self.column[terms[there]]] = weights[there]
+        for r, c, w in cells(len(long)):
+            self.dense[self.place[r], c] = w
         self.dense = self.dense.reshape(self.blocks, size, len(long))
         self.most = self.dense.max(axis=1)
         short = np.flatnonzero(self.column[terms] < 0)
