@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import decontam, mixing, pii, quality, rules, secret_scan, simhash, token_counts, toxicity, url_filter
+from tesserae.llm import decontam, divergence, line_dedup, mixing, pii, prefix_trie, quality, rules, secret_scan, simhash, token_counts, toxicity, url_filter
 from tesserae.llm.common import table
 
 
@@ -18,6 +18,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -54,4 +66,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items(), key=lambda x: x[0]) if k.startswith("op")}
 
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.ORACLE_SQL, "op5_decontamination": decontam.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": mixing.ORACLE_SQL,
+    "op5_decontamination": decontam.ORACLE_SQL,
+    "op11_prefix_trie": prefix_trie.ORACLE_SQL,
+    "op12_line_dedup": line_dedup.ORACLE_SQL,
+    "op13_divergence": divergence.ORACLE_SQL,
+}
