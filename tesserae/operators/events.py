@@ -93,5 +93,31 @@ def first_over(events: DataFrame, keys: list[str], measure: str, thresholds: lis
     return over.groupBy(*keys, "threshold").agg(F.min("ts").alias("ts"))
 
 
+def reached(events: DataFrame, keys: list[str], opens: Column, measure: str, thresholds: list[int]) -> DataFrame:
+    """keys, part, threshold, ts: the first event at or over each threshold since the last opening, which forgets what came before it.
+
+    Parts are a running count of openings; what lies before the first one is part 0.
+    """
+    w = Window.partitionBy(*keys).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = events.withColumn("part", F.count_if(F.coalesce(opens, F.lit(False))).over(w))
+    return first_over(parts, [*keys, "part"], measure, thresholds)
+
+
+def flushed(events: DataFrame, key: str, most: int, gap: str) -> DataFrame:
+    """key, batch, n, first_ts, last_ts: a client's events in batches of at most `most`, cut where nothing came for the gap."""
+    w = Window.partitionBy(key).orderBy("ts", "id")
+    pause = F.col("ts") - F.lag("ts").over(w) >= F.expr(f"INTERVAL {gap}")
+    bursts = events.withColumn("_burst", F.count_if(F.coalesce(pause, F.lit(False))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    placed = bursts.withColumn("_chunk", F.floor((F.row_number().over(Window.partitionBy(key, "_burst").orderBy("ts", "id")) - 1) / most))
+    found = placed.groupBy(key, "_burst", "_chunk").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return found.withColumn("batch", F.row_number().over(Window.partitionBy(key).orderBy("_burst", "_chunk"))).select(key, "batch", "n", "first_ts", "last_ts")
+
+
+def unanswered(asked: DataFrame, answers: DataFrame, key: str, within: str) -> DataFrame:
+    """asked (key, ts, id) without an answer (key, ts) from its time on up to `within` later."""
+    b = answers.select(F.col(key).alias("_key"), F.col("ts").alias("_ts"))
+    return asked.join(b, F.expr(f"{key} = _key AND _ts >= ts AND _ts <= ts + INTERVAL {within}"), "left_anti")
+
+
 def active_users(events: DataFrame) -> DataFrame:
     return events.groupBy(F.to_date("ts").alias("day")).agg(F.countDistinct("user_id").alias("users"))

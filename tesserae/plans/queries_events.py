@@ -11,6 +11,7 @@ from tesserae.plans import config as c
 from tesserae.plans.registry import query
 from tesserae.sources.tables import EVENTS, events, table
 from tesserae.streaming import events as streams
+from tesserae.streaming import keyed
 
 TYPES = ", ".join(f"'{t}'" for t in c.EVENT_TYPES)
 WEEK = f"(SELECT * FROM {EVENTS} WHERE ts >= (SELECT max(ts) - INTERVAL 7 DAY FROM events)) AS w"
@@ -142,3 +143,66 @@ def stream_accepted(spark: SparkSession, d: str) -> DataFrame:
 def stream_once_each(spark: SparkSession, d: str) -> DataFrame:
     """One event a user and type within a watermark longer than the table."""
     return streams.run_to_end(streams.once_each(_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), ["user_id", "type"], "90 days").select("user_id", "type"), spark, "stream-once")
+
+
+#: What a stream has given out at its end: the watermark stands a day before the last event, in whole milliseconds.
+PASSED = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM events)"
+FLUSHED = """(WITH g AS (SELECT user_id, ts, event_id, coalesce(ts - lag(ts) OVER w >= INTERVAL 3 HOUR, false) AS pause FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  b AS (SELECT *, count(*) FILTER (pause) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM g),
+  k AS (SELECT *, (row_number() OVER (PARTITION BY user_id, burst ORDER BY ts, event_id) - 1) // 10 AS chunk FROM b),
+  f AS (SELECT user_id, burst, chunk, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM k GROUP BY ALL)
+  SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY burst, chunk)::BIGINT AS batch, n, first_ts, last_ts FROM f) AS flushed"""
+
+
+@query(f"SELECT * FROM {FLUSHED}")
+def event_flush(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of at most ten events of a user, cut where nothing came for three hours."""
+    rows = events(spark, d)
+    return ev.flushed(rows, "user_id", 10, "3 HOURS").withColumn("batch", F.col("batch").cast("long"))
+
+
+@query(f"SELECT user_id, batch, n::INT AS n, first_ts, last_ts, CASE n WHEN 10 THEN 'size' ELSE 'gap' END AS why FROM {FLUSHED} WHERE n = 10 AND last_ts <= {PASSED} OR last_ts + INTERVAL 3 HOUR <= {PASSED}")
+def stream_flush(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a stream: what a full buffer or a timer has sent when the stream ends."""
+    out = keyed.flushed(_timed(spark, d), "user_id", 10, 3 * 3600, "1 day")
+    return streams.run_to_end(out, spark, "stream-flush").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_ts", "last_ts")})
+
+
+REACHED = """(SELECT user_id, part, threshold, min(ts) AS ts FROM (SELECT *, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS part FROM events),
+  (VALUES (25), (50), (75), (100)) t(threshold) WHERE value >= threshold GROUP BY user_id, part, threshold) AS reached"""
+
+
+@query(f"SELECT * FROM {REACHED}")
+def event_threshold_reset(spark: SparkSession, d: str) -> DataFrame:
+    """Thresholds once each, and again after the user has signed up anew."""
+    return ev.reached(events(spark, d), ["user_id"], F.col("type") == "signup", "value", [25, 50, 75, 100])
+
+
+@query(f"SELECT user_id, part, threshold, ts FROM {REACHED} WHERE ts <= {PASSED}")
+def stream_threshold_reset(spark: SparkSession, d: str) -> DataFrame:
+    out = keyed.reached(_timed(spark, d), "user_id", F.col("type") == "signup", [25, 50, 75, 100], "1 day")
+    return streams.run_to_end(out, spark, "stream-thresholds").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+#: The same for two streams: the slower one counts.
+BOTH_PASSED = "(SELECT date_trunc('millisecond', min(ts)) - INTERVAL 1 DAY FROM (SELECT max(ts) AS ts FROM events WHERE event_type IN ('view', 'click') GROUP BY event_type))"
+UNANSWERED = "FROM events a WHERE event_type = 'view' AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'click' AND b.user_id = a.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 12 HOUR)"
+
+
+@query(f"SELECT user_id, ts, event_id AS id {UNANSWERED}")
+def event_unanswered(spark: SparkSession, d: str) -> DataFrame:
+    """Views that no click of the same user follows within twelve hours."""
+    rows = events(spark, d)
+    return ev.unanswered(rows.where("type = 'view'").select("user_id", "ts", "id"), rows.where("type = 'click'"), "user_id", "12 HOURS")
+
+
+@query(f"SELECT user_id, ts, event_id AS id {UNANSWERED} AND ts + INTERVAL 12 HOUR <= {BOTH_PASSED}")
+def stream_unanswered(spark: SparkSession, d: str) -> DataFrame:
+    """The same by an outer join of two streams, for the views whose time is over when they end."""
+    rows = _timed(spark, d)
+    out = keyed.unanswered(rows.where("type = 'view'").select("user_id", "ts", "id"), rows.where("type = 'click'"), "user_id", "12 HOURS", "1 day")
+    return streams.run_to_end(out, spark, "stream-unanswered").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def _timed(spark: SparkSession, d: str) -> DataFrame:
+    return _stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))

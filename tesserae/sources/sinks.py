@@ -15,7 +15,7 @@ def batch_writer(path: str):
     """For foreachBatch: a batch that is written again replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/micro_batch={number}")
 
     return write
 

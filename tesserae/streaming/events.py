@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tesserae.operators import events as ev
 from tesserae.session import ensure_checkpoint_dir
 from tesserae.sources.sinks import batch_writer
+from tesserae.streaming.keyed import with_state
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -38,11 +39,12 @@ def sessions(events: DataFrame, key: str, gap: str, late: str = "1 day") -> Data
 def run_to_end(out: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
     """Read all there is, write each batch once, and give back what was written. The checkpoint lies in the shared folder."""
     folder = shared_folder(spark, name)
-    job = out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(batch_writer(f"{folder}/rows")).start()
-    job.awaitTermination()
-    rows = spark.read.schema(T.StructType([*out.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{folder}/rows")
+    with with_state(spark):
+        job = out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(batch_writer(f"{folder}/rows")).start()
+        job.awaitTermination()
+    rows = spark.read.schema(T.StructType([*out.schema.fields, T.StructField("micro_batch", T.IntegerType())])).parquet(f"{folder}/rows")
     if mode == "complete":  # each batch holds all rows so far
-        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+        rows = rows.where(F.col("micro_batch") == rows.agg(F.max("micro_batch")).first()[0])
     return rows.select(*out.columns)
 
 
