@@ -5,7 +5,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tesserae.sources import readers, sinks
+from tesserae.sources import readers, sinks, store
 
 
 def put(path, value):
@@ -60,8 +60,8 @@ def test_rates_and_points(spark, tmp_path):
     assert [tuple(r) for r in rates.collect()] == [("r", "c", "k", "n", 5)] and [tuple(r) for r in seasons.collect()] == [("k", 0, "12-01", "01-31", 9)]
     flat = put(tmp_path / "f.json", {"entries": [{"node_id": "a", "value": "1", "is_other": True}]})
     assert [(r.node_id, r.is_other) for r in readers.flat_rates(spark, flat).collect()] == [("a", True)]
-    store = spark.createDataFrame([("k", 1)], "key string, v int")
-    assert readers.point_read(None, "k") == 503 and readers.point_read(store, "z") == 404 and readers.point_read(store, "k").count() == 1
+    kv = spark.createDataFrame([("k", 1)], "key string, v int")
+    assert readers.point_read(None, "k") == 503 and readers.point_read(kv, "z") == 404 and readers.point_read(kv, "k").count() == 1
 
 
 def test_sinks(spark, tmp_path):
@@ -72,7 +72,7 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(path).count() == 4
     sinks.retain(spark.read.parquet(path).drop("event_date"), str(tmp_path / "kept"), F.lit("2024-02-01").cast("timestamp"))
     assert spark.read.parquet(str(tmp_path / "kept")).count() == 2
-    assert sinks.put({"a": df, "b": df}, str(tmp_path / "kv"), {"a"}) == {"a": "ok", "b": "ignored"}
+    assert store.put({"a": df, "b": df}, str(tmp_path / "kv"), {"a"}) == {"a": "ok", "b": "ignored"}
     write = sinks.batch_writer(str(tmp_path / "st"))
     write(df, 0)
     write(df, 0)
