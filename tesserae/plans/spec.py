@@ -32,21 +32,24 @@ class QuerySpec:
     def without(self, *facets: str) -> QuerySpec:
         return replace(self, **dict.fromkeys(facets))
 
-    def predicates(self, concrete: list[str], residual: str) -> list[Column]:
+    def predicates_by_facet(self, concrete: list[str], residual: str) -> dict[str, Column]:
         """Cheap ones first; null means no restriction. Text and scenario are joins and not among them."""
-        out = []
+        out = {}
         if not self.show_obsolete:
-            out.append(~F.coalesce(F.col("obsolete"), F.lit(False)))
+            out["status"] = ~F.coalesce(F.col("obsolete"), F.lit(False))
         if self.topic is not None:
-            out.append(F.col("topic") == self.topic)
+            out["topic"] = F.col("topic") == self.topic
         if self.klass is not None:
-            out.append(F.col("klass") == self.klass)
+            out["klass"] = F.col("klass") == self.klass
         if self.category is not None:
-            out.append(in_category(self.category, concrete, residual))
+            out["category"] = in_category(self.category, concrete, residual)
         if self.tag is not None:
-            out.append(F.array_contains("tags", self.tag))
+            out["tag"] = F.array_contains("tags", self.tag)
         return out
 
+    def predicates(self, concrete: list[str], residual: str) -> list[Column]:
+        return list(self.predicates_by_facet(concrete, residual).values())
+
     def apply(self, cards: DataFrame, concrete: list[str], residual: str) -> DataFrame:
         for p in self.predicates(concrete, residual):
             cards = cards.where(p)

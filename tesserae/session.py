@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -54,3 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not named and not context.master.startswith("local"):
             raise ValueError("name a folder that the driver and all executors share in spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tesserae-checkpoint-"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors see."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

@@ -52,15 +52,15 @@ def _named(spark: SparkSession, folder: str, version: int) -> str:
     return spark.read.text(_pointer(folder, version)).first()[0]
 
 
-def commit(df: DataFrame, folder: str, expected: int | None = None, by: tuple[str, ...] = ()) -> int:
+def commit(df: DataFrame, folder: str, expected: int | None = None, by: tuple[str, ...] = (), **options: str) -> int:
     """Write df as the next version of the folder's relation and give its number.
 
     expected: the version that df was made from; if another one has come since, nothing is committed. Without it the last writer wins.
-    by: columns that make folders.
+    by: columns that make folders; options: the writer's.
     """
     spark = df.sparkSession
     data = f"data-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(f"{folder}/{data}")
+    df.write.partitionBy(*by).options(**options).parquet(f"{folder}/{data}")
     note = f"{folder}/_note-{uuid.uuid4().hex}"
     out = _files(spark, note).create(_path(spark, note), False)
     out.write(bytearray(data.encode()))

@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserae.operators import events as ev
-from tesserae.session import ensure_checkpoint_dir
+from tesserae.session import shared_folder
 from tesserae.sources.sinks import batch_writer
 from tesserae.streaming.keyed import with_state
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def stream(spark: SparkSession, folder: str, glob: str, schema, files: int = 16) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files).parquet(folder)
 
