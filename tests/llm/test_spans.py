@@ -100,6 +100,34 @@ CODE = [
     ('title = "{}"', []),
     ('db_pwd == "{}"', []),
     ("see http://key/{}", []),
+    ('db_pwd = "$ecretP4ss!9zQ"', ["$ecretP4ss!9zQ"]),
+    ('db_pwd = "$DB_PASS_WORD_1"', []),
+    ('db_pwd = "${{DB_PASS_WORD_1}}"', []),
+    ('db_pwd = "aB3x 9Kq2!zPq7"', ["aB3x 9Kq2!zPq7"]),
+    ('db_pwd = "correct horse battery staple"', ["correct horse battery staple"]),
+    ('db_pwd = "a sentence that tells the user what a good word would have to look like"', []),
+    ('user, db_pwd = "somebody", "{}"', [SECRET]),
+    ('user, db_pwd, n = "somebody", "{}", 12', [SECRET]),
+    ('connect(user, db_pwd="{}")', [SECRET]),
+    ('db_pwd = x or "{}"', [SECRET]),
+    ('db_pwd = x || y || "{}"', [SECRET]),
+    ('db_pwd = get("n") ?? "{}"', [SECRET]),
+    ('db_pwd = os.environ.get("n", f(x)) or "{}"', [SECRET]),
+    ('db_pwd = x ?: "{}"', [SECRET]),
+    ('db_pwd = x ? "{}" : "y"', [SECRET]),
+    ('db_pwd = x ? "y" : "{}"', [SECRET]),
+    ('db_pwd = "{}" if x else "y"', [SECRET]),
+    ('db_pwd = "y" if len(x) > 3 else "{}"', [SECRET]),
+    ('A = "{}"\ndb_pwd = x or A', [SECRET]),
+    ('#define DB_PWD "{}"\n', [SECRET]),
+    ('#define LIT "{}"\nchar *db_pwd = LIT;', [SECRET]),
+    ('db_pwd <- "{}"', [SECRET]),
+    ("define('DB_PWD', '{}');", [SECRET]),
+    ('os.environ.setdefault("DB_PWD", "{}")', [SECRET]),
+    ('print("pwd", "{}")', []),
+    ("db_pwd: &a {}\n", [SECRET]),
+    ("db_pwd: !str {}\n", [SECRET]),
+    ("//registry.x/:_authToken={}", [SECRET]),
 ]
 
 
@@ -119,6 +147,62 @@ def test_any_text_lexes(text):
     assert not any(a[1] < b[2] and b[1] < a[2] for a in added for b in spans if b[4])
 
 
+NAMES = ["db_pwd", "apiToken", "SIGNING_SECRET", "color", "path", "n", "A", "B"]
+WAYS = ['{n} = {v}', '{n}: {v}', 'let {n} = {v};', 'self.{n} = {v}', 'export {n}={v}', '{n} := {v}', '{n} <- {v}', 'if x: {n} = x or {v}', '{n} = c ? {v} : 1', '  {n} = (\n  {v})', '{n} = {v} # note', '{n} = f(1) || {v}']
+
+
+@st.composite
+def programs(draw):
+    """A text of assignments, and the literals that reach a sensitive name, by what was written and not by reading it."""
+    lines, bound, at, n = [], [], 0, draw(st.integers(1, 8))
+    for k in range(n):
+        name, way = draw(st.sampled_from(NAMES)), draw(st.sampled_from(WAYS))
+        kind = draw(st.sampled_from(["strong", "strong", "weak", "name", "both"]))
+        strong = f"aB{k}$x9Kq2!zP"
+        ref = draw(st.sampled_from(["A", "B"]))
+        parts = {"strong": [strong], "weak": ["ab"], "name": [(ref,)], "both": [(ref,), strong]}[kind]
+        if "self." in way or ":" in way and "?" not in way:
+            bound_name = f"self.{name}" if "self." in way else name
+        else:
+            bound_name = name
+        value = " + ".join(p[0] if isinstance(p, tuple) else f'"{p}"' for p in parts)
+        lines.append(way.format(n=name, v=value))
+        bound.append((bound_name, parts))
+    return "\n".join(lines) + "\n", bound
+
+
+@settings(max_examples=500, deadline=None)
+@given(programs())
+def test_programs(program):
+    text, bound = program
+
+    def behind(i, ref, seen):
+        """Which assignment a name on the right of assignment i stands for."""
+        before = [k for k in range(i) if bound[k][0] == ref]
+        after = [k for k in range(i + 1, len(bound)) if bound[k][0] == ref]
+        return before[-1] if before else after[0] if after else None
+
+    def literals_of(i, seen):
+        if i in seen:
+            return []
+        out = []
+        for p in bound[i][1]:
+            if not isinstance(p, tuple):
+                out.append(p)
+            elif (k := behind(i, p[0], seen)) is not None:
+                out += literals_of(k, seen | {i})
+        return out
+
+    want = set()
+    for i, (name, _) in enumerate(bound):
+        if any(x in name.lower() for x in ("pwd", "token", "secret")):
+            found = literals_of(i, frozenset())
+            if any(len(x) > 8 for x in found):
+                want |= {x for x in found if len(x) > 8}
+    got = {text[x[1] : x[2]] for x in secret_scan.find(text) if not x[4]}
+    assert {x for x in got if len(x) > 8} == {x for x in want if not any(b[4] and text[b[1] : b[2]].rstrip('"').endswith(x) for b in secret_scan.find(text))}, text
+
+
 def seconds(f, text):
     began = time.perf_counter()
     f(text)
@@ -126,11 +210,13 @@ def seconds(f, text):
 
 
 def test_time_grows_with_the_text():
-    kinds = ["a", "a.", "a ", "a=", 'a="', "a = ", "a:'b", "<a>", "<a>b", "=", " ", '"', "a=`b ", "'\\", "/*", '"""', "a=a+", "a: |\n", "(", "a=(\n", "a=b\n", "pwd=x+\n", "<!--", "# ", "a=+", "a=.", "a=x ", "[", "a[b]=", "a=$", 'pwd="aB3$x9Kq2!" ', "pwd=1,"]
+    kinds = ["a", "a.", "a ", "a=", 'a="', "a = ", "a:'b", "<a>", "<a>b", "=", " ", '"', "a=`b ", "'\\", "/*", '"""', "a=a+", "a: |\n", "(", "a=(\n", "a=b\n", "pwd=x+\n", "<!--", "# ", "a=+", "a=.", "a=x ", "[", "a[b]=", "a=$", 'pwd="aB3$x9Kq2!" ', "pwd=1,", "a,", "a,b=", "a if ", "a or ", "a=b?", "a=b||", "a=f(", "define('a','b", "#define a\n", "a:&b "]
     for c in kinds:
         assert seconds(secret_scan.find, "key = " + c * 20_000) < 3, c
     chain = "".join(f"x{i} = x{i - 1} + x{i - 1}\n" for i in range(1, 3000))
     assert [x[0] for x in secret_scan.find('x0="aB3$"\n' + chain + "pwd = x2999")] == ["literal"]
+    many = "A = x" + ' or "aB3$x9Kq2!"' * 10_000 + "\n"
+    assert seconds(secret_scan.find, many + "pwd = A\n" * 10_000) < 6
     for c in ("555-123-4567 phone ", "10.0.0.1 ", "call 212-555-0187, ", "DE89 3704 0044 0532 0130 00 ", "1.2.3." + "0" * 6_000 + " "):
         assert seconds(pii.find, c * (20_000 if len(c) < 99 else 50)) < 5, c
 
