@@ -11,10 +11,11 @@ Only DataFrame functions. The steps:
 4. in each (source, shard), documents lie on a tape in seeded order. A quota of q passes over the tape r times whole and once
    up to a point in it; a document takes what of it was passed over. No document is taken more than CAP times.
 
+The order is a hash of id and text. Rows that are equal in both are one entry of the tape with their number, so no shard grows with them.
 Shards follow the input, so no task gets a whole source, however large. A rerun gives the same rows.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source of its own, the last in order; rows with equal ids
-and texts share an order and are told apart only by it, and where more than EQUAL rows share an id, each EQUAL of them get an order of their own; very long texts are
+and texts lie side by side on the tape and are told apart only by that; very long texts are
 counted whole; no column but id, text and source is read, so names of others can't clash; an empty table gives an empty table; if all sizes are 0, all targets are 0.
 """
 
@@ -33,8 +34,8 @@ CAP = 2
 SEED = 20_240
 #: Words that a shard holds, about.
 SHARD_WORDS = 200_000
-#: Rows that may share an id (or have none) before they are given orders of their own.
-EQUAL = 1_000
+#: Copies of a row that are listed at once.
+COPIES = 1_000
 #: A table of so many sources at most is sent to every task; each is a few dozen bytes and a name.
 SOURCES_SENT = 10_000
 #: A table of so many shards at most is sent to every task, about 200 bytes each; beyond, documents are dealt out by shard.
@@ -91,34 +92,25 @@ def targets(sources: DataFrame, share_percent: int = SHARE_PERCENT, weights: tup
     return s.withColumn("target", F.coalesce(F.least(most, F.col("_level") * F.col("weight")), most)).drop("_all", "_budget", "_place", "_fits", "_level")
 
 
-def seeded(id_col: Column, seed: int = SEED) -> Column:
+def seeded(id_col: Column, text: Column, seed: int = SEED) -> Column:
     """A hexadecimal order that another engine can make too."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))).cast("binary"))
-
-
-def split_equal(narrow: DataFrame, id_col: str) -> tuple[DataFrame, bool]:
-    """Rows of an order that more than EQUAL rows share get orders of their own, EQUAL rows each, so that no shard is large; whether any do."""
-    many = narrow.groupBy("_order").agg(F.count("*").alias("_n")).where(F.col("_n") > EQUAL).select(F.col("_order").alias("_many")).checkpoint()
-    if many.isEmpty():
-        return narrow, False
-    # met on a hash of the row, by which neither side is dealt out: few orders can be shared by so many, and they are sent to every task if their size allows it
-    same = narrow.join(many, F.col("_order") == F.col("_many")).drop("_many")
-    placed = places(same, ["_order"], [F.col("source_key"), F.col("size"), F.col(id_col)], "_at")
-    apart = placed.withColumn("_order", F.md5(F.concat("_order", F.lit(":"), F.floor((F.col("_at") - 1) / EQUAL).cast("string")).cast("binary"))).drop("_at")
-    return narrow.join(many, F.col("_order") == F.col("_many"), "left_anti").unionByName(apart).checkpoint(), True
+    key = F.coalesce(F.concat(F.lit("="), id_col.cast("string")), F.lit(""))
+    return F.md5(F.concat(F.lit(f"{seed}:"), key, F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """id, size, source_size, target, taken. how: what `tape` takes further."""
-    placed, _, _ = tape(docs, id_col, text, source, **how)
-    more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_more") - F.col("_start")))
-    return placed.select(id_col, "size", "source_size", "target", (F.col("passes") * F.col("size") + more).cast("long").alias("taken"))
+    placed, _ = tape(docs, id_col, text, source, **how)
+    some = placed.withColumn("_c", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES))))
+    each = some.withColumn("_nth", F.explode(F.sequence(F.col("_c") * COPIES, F.least(F.col("n"), (F.col("_c") + 1) * COPIES) - 1)))
+    more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_more") - F.col("_start") - F.col("_nth") * F.col("size")))
+    return each.select(id_col, "size", "source_size", "target", (F.col("passes") * F.col("size") + more).cast("long").alias("taken"))
 
 
 def described(docs: DataFrame, id_col: str, text: str, source: str, seed: int) -> DataFrame:
     """docs with source_key, size and _order."""
     named = F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source).cast("string")))
-    return docs.withColumns({"source_key": named, "size": words(F.col(text)), "_order": seeded(F.col(id_col), seed)})
+    return docs.withColumns({"source_key": named, "size": words(F.col(text)), "_order": seeded(F.col(id_col), F.col(text), seed)})
 
 
 def sharded(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -128,15 +120,14 @@ def sharded(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(few(sources), "source_key").withColumn("shard", F.floor(number * F.col("shards") / 2**32).cast("long")).drop("shards")
 
 
-def tape(docs: DataFrame, id_col: str, text: str, source: str, share_percent: int = SHARE_PERCENT, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shard_words: int = SHARD_WORDS, seed: int = SEED) -> tuple[DataFrame, DataFrame, bool]:
-    """Documents on the tapes of their shards: where each begins (_start), how often its tape is passed over whole (passes) and up to where
-    once more (_more); then the number of shards by source, and whether rows of one id were given orders of their own."""
+def tape(docs: DataFrame, id_col: str, text: str, source: str, share_percent: int = SHARE_PERCENT, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shard_words: int = SHARD_WORDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """Documents on the tapes of their shards, those of equal id and text in one row with their number n: where each begins (_start), how often
+    its tape is passed over whole (passes) and up to where once more (_more); then the number of shards by source."""
     ensure_checkpoint_dir(docs.sparkSession)
     # the texts are read once; a lost executor rereads these rows from the shared folder
-    first = described(docs.select(id_col, text, source), id_col, text, source, seed).select(id_col, "source_key", "size", "_order").checkpoint()
-    narrow, apart = split_equal(first, id_col)
+    narrow = described(docs.select(id_col, text, source), id_col, text, source, seed).groupBy(id_col, "source_key", "size", "_order").agg(F.count("*").alias("n")).checkpoint()
 
-    sources = narrow.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
+    sources = narrow.groupBy("source_key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("_rows"))
     t = targets(sources, share_percent, weights, cap).withColumn("_all", F.lit(1)).withColumn("_votes", F.round(F.col("target") * 16).cast("long"))
     everything = Window.partitionBy("_all")
     least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything)
@@ -148,15 +139,15 @@ def tape(docs: DataFrame, id_col: str, text: str, source: str, share_percent: in
     t = t.select("source_key", "source_size", "target", "block", "source_quota", "shards").checkpoint()
 
     narrow = sharded(narrow, t.select("source_key", "shards"))
-    per_shard = narrow.groupBy("source_key", "shard").agg(F.sum("size").alias("shard_size"))
+    per_shard = narrow.groupBy("source_key", "shard").agg(F.sum(F.col("size") * F.col("n")).alias("shard_size"))
     q = apportion(per_shard.join(t, "source_key"), "shard_size", "source_quota", ["source_key"], ["shard"], "quota")
     q = q.withColumn("_words", F.least(F.col("quota") * F.col("block"), cap * F.col("shard_size")))
     q = q.withColumn("passes", F.when(F.col("shard_size") > 0, F.floor(F.col("_words") / F.col("shard_size"))).otherwise(F.lit(0)).cast("long"))
     q = q.select("source_key", "shard", "source_size", "target", "passes", (F.col("_words") - F.col("passes") * F.col("shard_size")).alias("_more"))
 
-    along = Window.partitionBy("source_key", "shard").orderBy("_order", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = narrow.withColumn("_start", F.coalesce(F.sum("size").over(along), F.lit(0))).join(q, ["source_key", "shard"])
-    return placed, t.select("source_key", "shards"), apart
+    along = Window.partitionBy("source_key", "shard").orderBy("_order", id_col).rowsBetween(Window.unboundedPreceding, -1)
+    placed = narrow.withColumn("_start", F.coalesce(F.sum(F.col("size") * F.col("n")).over(along), F.lit(0))).join(q, ["source_key", "shard"])
+    return placed, t.select("source_key", "shards")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, **how) -> DataFrame:
@@ -169,25 +160,21 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     shard, not a row a document, and texts are dealt out only where the shards are too many to be sent to every task.
     """
     named, back = aside(docs, id_col, text, source)
-    placed, shards, apart = tape(named, id_col, text, source, seed=seed, **how)
-    placed = placed.withColumn("_key", F.struct("_order", F.col(id_col).alias("i"), "size")).checkpoint()
+    placed, shards = tape(named, id_col, text, source, seed=seed, **how)
     shard = ["source_key", "shard"]
-    cuts = placed.groupBy(*shard, "source_size", "target", "passes", "_more").agg(F.min(F.when(F.col("_start") + F.col("size") > F.col("_more"), F.col("_key"))).alias("_cut"))
-    ties = placed.join(cuts.select(*shard, "_cut"), shard).where("_key = _cut").groupBy(*shard).agg(F.min("_start").alias("_first"), F.count("*").alias("_equal"))
-    cuts = cuts.join(ties, shard, "left").checkpoint()
+    cut = F.min(F.when(F.col("_start") + F.col("n") * F.col("size") > F.col("_more"), F.struct("_order", F.col("_start").alias("first"), F.col("n").alias("equal"))))
+    cuts = placed.groupBy(*shard, "source_size", "target", "passes", "_more").agg(cut.alias("_cut")).checkpoint()
     sent = F.broadcast if cuts.count() <= SHARDS_SENT else (lambda x: x)
 
-    rows = described(named, id_col, text, source, seed)
-    if apart:  # rows that share an id get the same orders as on the tapes, up to which of equal ones gets which
-        rows = split_equal(rows, id_col)[0]
-    rows = sharded(rows, shards).join(sent(cuts), shard).withColumn("_key", F.struct("_order", F.col(id_col).alias("i"), "size"))
-    tied = F.coalesce((F.col("_key") == F.col("_cut")) & (F.col("_equal") > 1), F.lit(False))
-    if cuts.where("_equal > 1").isEmpty():
+    rows = sharded(described(named, id_col, text, source, seed), shards).join(sent(cuts), shard)
+    tied = F.coalesce((F.col("_order") == F.col("_cut.`_order`")) & (F.col("_cut.equal") > 1), F.lit(False))
+    if cuts.where("_cut.equal > 1").isEmpty():
         rows = rows.withColumn("_nth", F.lit(1))
-    else:
+    else:  # equal rows at a cut: any order of them gives the same rows
         rows = rows.where(~tied).withColumn("_nth", F.lit(1)).unionByName(places(rows.where(tied), shard, [F.lit(0)], "_nth"))
-    at_cut = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_more") - F.col("_first") - (F.col("_nth") - 1) * F.col("size")))
-    left = F.coalesce(F.when(F.col("_key") < F.col("_cut"), F.col("size")).when(F.col("_key") == F.col("_cut"), at_cut), F.lit(0)).cast("int")
+    at_cut = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_more") - F.col("_cut.first") - (F.col("_nth") - 1) * F.col("size")))
+    before, at = F.col("_order") < F.col("_cut.`_order`"), F.col("_order") == F.col("_cut.`_order`")
+    left = F.coalesce(F.when(before, F.col("size")).when(at, at_cut), F.lit(0)).cast("int")
     taken = (F.col("passes") * F.col("size") + left).cast("long")
     rows = rows.withColumns({"taken": taken, "_whole": F.when(F.col("size") > 0, F.floor(taken / F.col("size"))).otherwise(0).cast("int")})
     part = (F.col("taken") - F.col("_whole") * F.col("size")).cast("int")
@@ -199,12 +186,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
 
 #: The contract's mix in DuckDB's SQL: seats are dealt by listing every quotient.
 ORACLE_SQL = """
-WITH d0 AS (
+WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k,
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         md5('20240:' || coalesce(doc_id::VARCHAR, '')) AS o0 FROM documents),
-e AS (SELECT *, count(*) OVER (PARTITION BY o0) AS same, row_number() OVER (PARTITION BY o0 ORDER BY k, size, doc_id) AS nth FROM d0),
-d AS (SELECT doc_id, k, size, CASE WHEN same > 1000 THEN md5(o0 || ':' || ((nth - 1) // 1000)) ELSE o0 END AS o FROM e),
+         md5('20240:' || coalesce('=' || doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS o FROM documents),
 s AS (SELECT k, sum(size)::BIGINT AS source_size, count(*) AS n, [3, 1, 2][1 + (row_number() OVER (ORDER BY k) - 1) % 3] AS w FROM d GROUP BY k),
 f AS (SELECT *, ((SELECT sum(source_size) FROM s) * 150 / 100 - 2 * coalesce(sum(source_size) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / sum(w) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv, row_number() OVER f AS place

@@ -93,20 +93,29 @@ def test_tables(spark):
     assert sorted(map(tuple, got)) == sorted(duckdb.sql(mixing.ORACLE_SQL).fetchall())
 
 
-def test_rows_of_one_id_are_split(spark):
+def test_many_rows_of_one_id_and_many_equal_rows(spark):
+    """Against the SQL; rows of one id are dealt out to shards by their texts, equal ones are one entry of a tape."""
     import duckdb
     import pandas as pd
 
-    rows = pd.DataFrame([(None if i % 3 else i, "w " * (i % 40), f"s{i % 2}") for i in range(6000)], columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})
+    rows = pd.DataFrame([(None if i % 3 else i, "w " * (i % 40), f"s{i % 2}") for i in range(4000)] + [(7, f"v{i} w", "s0") for i in range(1001)] + [(8, "a b c", "s1")] * 2500, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})
     df = spark.createDataFrame([(None if pd.isna(i) else int(i), t, s) for i, t, s in rows.itertuples(index=False)], "doc_id long, text string, source string")
-    narrow = df.selectExpr("doc_id", "source as source_key", "size(split(text, ' ')) as size").withColumn("_order", mixing.seeded(mixing.F.col("doc_id")))
-    apart = mixing.split_equal(narrow.checkpoint(), "doc_id")[0].groupBy("_order").count()
-    assert apart.agg({"count": "max"}).first()[0] == mixing.EQUAL and apart.agg({"count": "sum"}).first()[0] == 6000
+    placed, shards = mixing.tape(df, "doc_id", "text", "source", shard_words=500)
+    sizes = placed.groupBy("source_key", "shard").count().agg({"count": "max"}).first()[0]
+    assert placed.where("doc_id = 8").count() == 1 and sizes < 120 and shards.agg({"shards": "sum"}).first()[0] > 100
     con = duckdb.connect()
     con.register("documents", rows)
     assert sorted(map(str, map(tuple, mixing.mix(df).collect()))) == sorted(map(str, con.sql(mixing.ORACLE_SQL).fetchall()))
 
 
+def test_equal_ids_of_unequal_texts_are_told_apart(spark):
+    """Also at the cuts, however the input is dealt out: the mixed corpus is the same."""
+    rows = [(1, f"w{i} x y z", "a") for i in range(60)] + [(1, "e f g h", "a")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [sorted((r.text, r.taken) for r in mixing.mixed(df.repartition(k), shard_words=37).collect()) for k in (1, 3, 7)]
+    assert got[0] == got[1] == got[2]
+
+
 def test_mixed_corpus_of_one_id(spark):
     """So many rows without an id that they are split, and equal ones at the cuts."""
     rows = [(None if i % 3 else i, "v w x y z " * (i % 4), f"s{i % 2}") for i in range(5000)]
