@@ -126,11 +126,45 @@ def in_domains(url: Column, domains: Sequence[str]) -> Column:
     return out
 
 
+def _between(c: Column, mark: str, tag: str, outside=lambda x: x) -> Column:
+    """What stands between two marks in a tag; a last mark without a partner stays. outside: for what isn't between."""
+    parts = F.split(c, "\\Q" + mark + "\\E")
+    last = F.size(parts) - 1
+    lone = last % 2 == 1  # the last mark has no partner
+
+    def shown(x: Column, i: Column) -> Column:
+        inside = (i % 2 == 1) & ~(lone & (i == last))
+        return F.when(inside, F.concat(F.lit(f"<{tag}>"), x, F.lit(f"</{tag}>"))).otherwise(F.concat(F.when(lone & (i == last), mark).otherwise(""), outside(x)))
+
+    return F.array_join(F.transform(parts, shown), "")
+
+
+def _inline(c: Column) -> Column:
+    """Code spans first, whose text is taken as it is; elsewhere links, then strong text."""
+    link = lambda x: F.regexp_replace(x, r"\[([^\[\]]*+)\]\(([^()\s]*+)\)", '<a href="$2">$1</a>')
+    return _between(c, "`", "code", lambda x: _between(link(x), "**", "strong"))
+
+
 def markdown(md: Column) -> Column:
-    """A subset of Markdown as HTML: headings of two and three marks, bold, code, links, paragraphs; all else is escaped text."""
-    body = F.regexp_replace(strip_front_matter(md), "^\n+", "")
+    """A subset of Markdown as HTML, a block a line: headings of two marks (h3) and three (h4), paragraphs of the lines between them and blank
+    lines, with code, strong text and links; all else is escaped text."""
+    lines = F.split(strip_front_matter(md), "\r?\n")
+    level = lambda x: F.length(F.regexp_extract(x, r"^(#{2,3})[ \t]+\S", 1))
+    text = lambda x: F.trim(F.regexp_replace(x, r"^#{2,3}[ \t]+", ""))
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        body = F.replace(body, F.lit(a), F.lit(b))
-    for pattern, html in (("(?m)^### (.+)$", "<h4>$1</h4>"), ("(?m)^## (.+)$", "<h3>$1</h3>"), (r"\*\*([^*]+)\*\*", "<strong>$1</strong>"), ("`([^`]+)`", "<code>$1</code>"), (r"\[([^\]]+)\]\(([^)]+)\)", '<a href="$2">$1</a>'), ("\n\n", "</p><p>")):
-        body = F.regexp_replace(body, pattern, html)
-    return F.concat(F.lit("<p>"), F.regexp_replace(body, "^\n+", ""), F.lit("</p>"))
+        lines = F.transform(lines, _replacer(a, b))
+    # each line says what it is; lines of a paragraph stay together, all others end one
+    line = lambda x: F.when(level(x) > 0, F.concat(F.lit("\n\n"), level(x).cast("string"), text(x), F.lit("\n\n"))).when(F.trim(x) == "", F.lit("\n\n")).otherwise(F.concat(F.lit("p"), x, F.lit("\n")))
+    blocks = F.filter(F.split(F.array_join(F.transform(lines, line), ""), "\n{2,}"), lambda x: F.trim(x) != "")
+
+    def block(x: Column) -> Column:
+        heading = F.regexp_extract(x, "^([23])", 1)
+        body = _inline(F.substr(x, F.lit(2)))
+        lines_ = _inline(F.regexp_replace(F.regexp_replace(x, "(?m)^p", ""), "\\n$", ""))
+        return F.when(heading == "2", F.concat(F.lit("<h3>"), body, F.lit("</h3>"))).when(heading == "3", F.concat(F.lit("<h4>"), body, F.lit("</h4>"))).otherwise(F.concat(F.lit("<p>"), lines_, F.lit("</p>")))
+
+    return F.array_join(F.transform(blocks, block), "\n")
+
+
+def _replacer(a: str, b: str):
+    return lambda x: F.replace(x, F.lit(a), F.lit(b))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -100,15 +103,26 @@ def formal_amount(n: int | None) -> str | None:
 
 
 def formal_amounts(c: Column) -> Column:
-    ship(SparkSession.active())
-
-    @F.pandas_udf("string")
-    def convert(values: pd.Series) -> pd.Series:
-        from tesserae.functions.values import formal_amount
-
-        return values.map(lambda v: None if pd.isna(v) else formal_amount(int(v)))
-
-    return convert(c.cast("long"))
+    """formal_amount as one expression: every digit with its place, then what zeros leave out is cut away."""
+    n = c.cast("long")
+    digits = F.split(F.regexp_replace(n.cast("string"), "^-", ""), "")
+    digits = F.filter(digits, lambda x: x != "")
+    size = F.size(digits)
+
+    def worded(x: Column, i: Column) -> Column:
+        right = size - 1 - i  # digits that follow
+        place = F.element_at(F.array(*map(F.lit, PLACES)), (right % 4 + 1).cast("int"))
+        group = F.element_at(F.array(*map(F.lit, GROUPS)), (F.floor(right / 4) + 1).cast("int"))
+        word = F.translate(x, "0123456789", DIGITS)
+        return F.concat(word, F.when(x == "0", "").otherwise(place), F.when(right % 4 == 0, group).otherwise(""))
+
+    zero, marks = DIGITS[0], "".join(GROUPS[1:])
+    text = F.array_join(F.transform(digits, worded), "")
+    text = F.regexp_replace(text, f"{zero}+", zero)
+    text = F.regexp_replace(text, f"{zero}([{marks}])", "$1")
+    text = F.regexp_replace(text, f"([{marks}])[{marks}]+", f"$1{zero}")  # groups of zeros
+    text = F.regexp_replace(F.regexp_replace(text, f"{zero}+", zero), f"{zero}$", "")
+    return F.when(n == 0, zero).otherwise(F.concat(F.when(n < 0, "負").otherwise(""), text))
 
 
 def nfkc(c: Column) -> Column:
@@ -117,8 +131,6 @@ def nfkc(c: Column) -> Column:
 
     @F.pandas_udf("string")
     def convert(values: pd.Series) -> pd.Series:
-        import unicodedata
-
         return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
     return convert(c)
@@ -135,3 +147,43 @@ def numeral(c: Column) -> Column:
     part = lambda unit, size: F.when(F.instr(c, unit) > 0, F.greatest(digit(at(unit)), F.lit(1)) * size).otherwise(0)
     ones = digit(F.regexp_extract(c, "([一二三四五六七八九])$", 1))
     return F.when(F.rlike(c, F.lit("^[〇零一二三四五六七八九十百千]+$")), part("千", 1000) + part("百", 100) + part("十", 10) + ones)
+
+
+WORDED = "〇零一二三四五六七八九十百千"
+
+
+def natural_key(c: Column) -> Column:
+    """number, sub, text: what a label is ordered by. A number in digits or numerals, maybe between its marks, and one below it after a dash or
+    its mark; a label of another form has no number and is ordered by its text, after all numbers."""
+    one = f"([0-9]{{1,9}}|[{WORDED}]+)"
+    form = f"^第?{one}[條点點項號号]?(?:[之-]{one})?$"
+    label = F.trim(c)
+    value = lambda k: F.coalesce(F.regexp_extract(label, form, k).try_cast("int"), numeral(F.regexp_extract(label, form, k)))
+    fits = F.rlike(label, F.lit(form))
+    return F.struct(F.when(fits, value(1)).alias("number"), F.when(fits, F.coalesce(value(2), F.lit(0))).alias("sub"), F.when(fits, "").otherwise(label).alias("text"))
+
+
+def natural_order(key: str) -> list[Column]:
+    """The order of a natural_key column."""
+    return [F.col(f"{key}.number").asc_nulls_last(), F.col(f"{key}.sub"), F.col(f"{key}.text")]
+
+
+#: Characters that stand for radicals: two blocks of the character set.
+RADICALS = (0x2E80, 0x2FD5)
+
+
+@cache
+def unified_pairs() -> tuple[str, str]:
+    """The radicals that have a unified character, and these, by the standard's own decompositions."""
+    found = [(chr(x), unicodedata.normalize("NFKC", chr(x))) for x in range(RADICALS[0], RADICALS[1] + 1)]
+    found = [(a, b) for a, b in found if a != b and len(b) == 1]
+    return "".join(a for a, _ in found), "".join(b for _, b in found)
+
+
+def has_radicals(c: Column) -> Column:
+    return F.rlike(c, F.lit(f"[{chr(RADICALS[0])}-{chr(RADICALS[1])}]"))
+
+
+def unified(c: Column) -> Column:
+    """A text with unified characters in place of radicals that stand for them."""
+    return F.translate(c, *unified_pairs())

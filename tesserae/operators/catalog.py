@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.operators.ranking import beside
+
 
 def visible(cards: DataFrame, hidden_topics: list[str], show_obsolete: bool = False) -> DataFrame:
     """Without hidden topics, and without obsolete cards that have no effective period; an empty period is none."""
@@ -50,11 +55,18 @@ def numbered(rows: DataFrame, order: list[Column], within: list[str], out: str =
     return rows.withColumn(out, F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
 
 
-def headers(rows: DataFrame, key: str, order: list[str], within: list[str]) -> DataFrame:
+def headers(rows: DataFrame, key: str, order: list[Column], within: list[str]) -> DataFrame:
     """A header where the key differs from the row before; it shows the key's whole count, and a key can have several headers."""
-    w = Window.partitionBy(*within).orderBy(*order)
-    before = F.lag(key).over(w)
-    return rows.withColumns({"header": (F.row_number().over(w) == 1) | ~before.eqNullSafe(F.col(key)), "of_key": F.count("*").over(Window.partitionBy(*within, key))})
+    met = beside(rows, within, order, [key], "_place")
+    counted = _with_count(met, [*within, key], "of_key")
+    header = (F.col("_place") == 1) | ~F.col(f"before_{key}").eqNullSafe(F.col(key))
+    return counted.withColumn("header", header).select(*rows.columns, "header", "of_key")
+
+
+def _with_count(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """Rows with the number of rows of their key: counts are added up before they are dealt out, and met by key."""
+    n = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias(out))
+    return rows.join(n, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])).drop(*[f"_{k}" for k in keys])
 
 
 def page(rows: DataFrame, pos: str, number: int, size: int) -> DataFrame:
@@ -62,10 +74,10 @@ def page(rows: DataFrame, pos: str, number: int, size: int) -> DataFrame:
     return rows.where(F.col(pos).between(number * size + 1, (number + 1) * size))
 
 
-def neighbours(rows: DataFrame, order: list[str], within: list[str]) -> DataFrame:
+def neighbours(rows: DataFrame, order: list[Column], within: list[str]) -> DataFrame:
     """The card before and after, the place and how many there are; no wrapping around."""
-    w, every = Window.partitionBy(*within).orderBy(*order), Window.partitionBy(*within)
-    return rows.withColumns({"before": F.lag("id").over(w), "after": F.lead("id").over(w), "place": F.row_number().over(w), "of": F.count("*").over(every)})
+    met = beside(rows, within, order, ["id"]).withColumnsRenamed({"before_id": "before", "after_id": "after"})
+    return _with_count(met, within, "of")
 
 
 def compared(cards: DataFrame, ids: list[int], least: int = 2, most: int = 3) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.operators.ranking import containing
+
 
 def violations(rows: DataFrame, key: str, rules: Sequence[tuple[str, str, Column]]) -> DataFrame:
     """rules: name, severity, what is wrong. A row a violation, in one pass; a rule that is null isn't broken."""
@@ -32,9 +34,12 @@ def completeness(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
     return one.select("_n", F.explode(listed).alias("x")).select("x.field", "x.vacant", F.when(F.col("_n") > 0, F.round(F.col("x.vacant") / F.col("_n"), 4)).alias("rate"))
 
 
-def inventory(rows: DataFrame, tags: str, key: str) -> DataFrame:
-    """tag, n, ids: the ids in order. Long lists stay in long form: see long_inventory."""
-    return rows.select(key, F.explode(F.array_distinct(tags)).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(key)).alias("ids"))
+def inventory(rows: DataFrame, tags: str, key: str, block: int = 1_000) -> DataFrame:
+    """tag, n, block, ids: the tag's count, and its ids in order, cut by their range into lists of `block` ids at most."""
+    one = long_inventory(rows, tags, key)
+    total = one.groupBy("tag").agg(F.count("*").alias("n"))
+    lists = one.groupBy("tag", F.floor(F.col("id") / block).alias("block")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return lists.join(total, "tag").select("tag", "n", "block", "ids")
 
 
 def long_inventory(rows: DataFrame, tags: str, key: str) -> DataFrame:
@@ -74,11 +79,18 @@ def normal_tags(tags: Column, replace: dict[str, str], most: int = 4) -> Column:
 def without_contained(rows: DataFrame, key: str, line: str) -> DataFrame:
     """key, line: the distinct lines of a key that do not lie whole within another line of it.
 
-    Lines are grouped by key first, and compared within their own array, so no join by substring is needed.
+    Lines meet those that could hold them by key and their rarest run of characters, so no key's lines are gathered in one place.
     """
-    kept = rows.groupBy(key).agg(F.collect_set(line).alias("_all"))
-    inside = lambda x: ~F.exists("_all", lambda y: (y != x) & F.contains(y, x))
-    return kept.select(key, F.explode(F.filter("_all", inside)).alias(line))
+    lines = rows.select(key, line).distinct()
+    inner = lines.select(F.col(key).alias("_key_"), F.col(line).alias("_inner"))
+    inside = containing(lines, line, inner, "_inner", {key: "_key_"}).where(F.col(line) != F.col("_inner"))
+    gone = inside.select(F.col("_key_").alias(key), F.col("_inner").alias(line)).distinct()
+    return lines.where(F.col(line) != "").join(gone, [key, line], "left_anti").union(_lone_empty(lines, key, line))
+
+
+def _lone_empty(lines: DataFrame, key: str, line: str) -> DataFrame:
+    """An empty line lies within any other one; it stays where it is the only one."""
+    return lines.groupBy(key).agg(F.max(line).alias(line)).where(F.col(line) == "")
 
 
 def caveat_rules(level: Column, ref: Column, known: Sequence[str] = ("info", "warn", "stop")) -> list[tuple[str, str, Column]]:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions.values import natural_key
 from tesserae.session import ensure_checkpoint_dir
 
 
@@ -89,12 +91,17 @@ def flow_faults(edges: DataFrame, conclusions: DataFrame) -> DataFrame:
     return lost.union(unknown).union(unreached).distinct()
 
 
-def topic_subgraph(edges: DataFrame, nodes: DataFrame, topic: str) -> DataFrame:
-    """src, dst, across: edges with an end in the topic."""
+def topic_subgraph(edges: DataFrame, nodes: DataFrame, topic: str, relations: list[str] | None = None, isolated_too: bool = False) -> DataFrame:
+    """src, dst, across: edges with an end in the topic. relations: those that are shown (column relation), else all; isolated_too: the topic's
+    nodes without any shown edge come as rows without dst."""
     inside = nodes.where(F.col("topic") == topic).select("id")
+    shown = edges if relations is None else edges.where(F.col("relation").isin(relations))
     a, b = inside.select(F.col("id").alias("src"), F.lit(True).alias("_a")), inside.select(F.col("id").alias("dst"), F.lit(True).alias("_b"))
-    rows = edges.join(a, "src", "left").join(b, "dst", "left").where("_a OR _b")
-    return rows.select("src", "dst", (F.col("_a").isNull() | F.col("_b").isNull()).alias("across"))
+    rows = shown.join(a, "src", "left").join(b, "dst", "left").where("_a OR _b")
+    out = rows.select("src", "dst", (F.col("_a").isNull() | F.col("_b").isNull()).alias("across"))
+    if not isolated_too:
+        return out
+    return out.union(isolated(inside, shown).select(F.col("id").alias("src"), F.lit(None).cast(out.schema["dst"].dataType).alias("dst"), F.lit(False)))
 
 
 def status_counts(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
@@ -115,6 +122,24 @@ def cited(texts: DataFrame, nodes: DataFrame, pattern: str) -> DataFrame:
     return found.join(to, ["topic", "number"]).where("src <> dst").select("src", "dst", "matched")
 
 
+def cited_forms(texts: DataFrame, nodes: DataFrame, forms: dict[str, str]) -> DataFrame:
+    """texts: id, topic, body; nodes: id, topic, kind, number, sub. Gives src, dst, kind, matched: citations in any of the forms.
+
+    forms: by kind a pattern without groups but one, the label. All are searched in one pass, the earlier form first at one place; a label is
+    read as a natural key, and looked up among the nodes of its kind in the citing text's own topic, never itself.
+    """
+    either = "|".join(f"(?:{re.sub(r'(?<!\\)\((?!\?)', '(?:', p)})" for p in forms.values())
+    found = texts.select(F.col("id").alias("src"), "topic", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(either), F.lit(0)))).alias("matched"))
+    kind, label = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, p in reversed(forms.items()):
+        whole = F.rlike("matched", F.lit(f"^(?:{p})$"))
+        kind, label = F.when(whole, k).otherwise(kind), F.when(whole, F.regexp_extract("matched", f"^(?:{p})$", 1)).otherwise(label)
+    found = found.withColumn("kind", kind).withColumn("_key", natural_key(label))
+    found = found.select("src", "topic", "matched", "kind", F.col("_key.number").alias("number"), F.col("_key.sub").alias("sub")).where("number IS NOT NULL")
+    to = nodes.select(F.col("id").alias("dst"), "topic", "kind", "number", "sub")
+    return found.join(to, ["topic", "kind", "number", "sub"]).where("src <> dst").select("src", "dst", "kind", "matched")
+
+
 def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id")))
     return nodes.join(ends, "id", "left_anti")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,14 +31,52 @@ def places(rows: DataFrame, within: list[str], order: list[Column], out: str = "
     return met.withColumn(out, F.col("_at") + F.col("_before")).select(*rows.columns, out)
 
 
-def containing(hay: DataFrame, text: str, needles: DataFrame, part: str) -> DataFrame:
+def beside(rows: DataFrame, within: list[str], order: list[Column], columns: list[str], pos: str = "place") -> DataFrame:
+    """rows with their place in the group, and the columns of the row before it (before_x) and after it (after_x); null at the ends.
+
+    Neighbours meet by place, so a group of any size is spread over many tasks. Nulls in `within` are one group.
+    """
+    placed = places(rows, within, order, pos).checkpoint()
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in within]
+
+    def other(name: str, step: int) -> DataFrame:
+        moved = [F.col(c).alias(f"_{c}") for c in within]
+        return placed.select(*moved, (F.col(pos) + step).alias(f"_{pos}"), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+
+    out = placed
+    for name, step in (("before", 1), ("after", -1)):
+        met = out.join(other(name, step), reduce(and_, [*on, F.col(pos) == F.col(f"_{pos}")]), "left")
+        out = met.drop(f"_{pos}", *[f"_{c}" for c in within])
+    return out
+
+
+def containing(hay: DataFrame, text: str, needles: DataFrame, part: str, by: dict[str, str] | None = None) -> DataFrame:
     """All pairs in which hay's text contains the needle's part, both as they are; no needle is empty.
 
-    A needle is looked up by its last three characters (or all, if it has fewer) among all runs of that length of the texts, and met pairs
-    are verified. So the join is one by equality, whatever the size of either side.
+    A needle is looked up by a run of three of its characters (or all, if it has fewer) among all runs of that length of the texts: by that of
+    its runs which the fewest texts hold, so a run that all have is used only where a needle has no other. Met pairs are verified. So the
+    join is one by equality, whatever the size of either side. by: columns of hay and of needles that must be equal too.
     """
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(n)))
-    some = F.array_distinct(F.filter(F.concat(runs(1), runs(2), runs(3)), lambda g: g != ""))
+    by = by or {}
+    runs = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+    some = F.array_distinct(F.filter(F.concat(*[runs(F.col(text), n) for n in (1, 2, 3)]), lambda g: g != ""))
     left = hay.withColumn("_run", F.explode(some))
-    right = needles.where(F.col(part) != "").withColumn("_key", F.right(F.col(part), F.least(F.length(part), F.lit(3))))
-    return left.join(right, F.col("_run") == F.col("_key")).where(F.contains(F.col(text), F.col(part))).drop("_run", "_key")
+    counts = left.groupBy(*by, "_run").agg(F.count("*").alias("_n")).withColumnsRenamed({h: f"_{n}" for h, n in by.items()})
+    asked = needles.where(F.col(part) != "").select(*[F.col(n).alias(f"_{n}") for n in by.values()], F.col(part).alias("_part")).distinct()
+    proposed = asked.withColumn("_run", F.explode(_distinct_runs("_part")))
+    # a run that no text holds isn't met, and its needle can be in none
+    known = proposed.join(counts, [*[f"_{n}" for n in by.values()], "_run"], "left")
+    rarest = known.groupBy(*[f"_{n}" for n in by.values()], "_part").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_run")).alias("_best")).where("_best.n > 0")
+    keys = rarest.select(*[F.col(f"_{n}") for n in by.values()], "_part", F.col("_best._run").alias("_key"))
+    same = reduce(and_, [F.col(n) == F.col(f"_{n}") for n in by.values()], F.col(part) == F.col("_part"))
+    right = needles.join(keys, same).drop("_part", *[f"_{n}" for n in by.values()])
+    equal = reduce(and_, [left[h] == right[n] for h, n in by.items()], F.col("_run") == F.col("_key"))
+    met = left.join(right, equal).where(F.contains(F.col(text), F.col(part)))
+    return met.drop("_run", "_key", *[right[n] for n in by.values() if n in hay.columns])
+
+
+def _distinct_runs(part: str) -> Column:
+    """The runs of three characters of a text, or all of it if it has fewer."""
+    c = F.col(part)
+    three = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))
+    return F.array_distinct(F.when(F.length(c) >= 3, three).otherwise(F.array(c)))

@@ -83,19 +83,20 @@ def premium(asked: DataFrame, table: DataFrame) -> DataFrame:
 
 def table_rows(rows: DataFrame, section: str, term: str, cells: list[str], order: list[str], preview: int = 8) -> DataFrame:
     """Rows whose cells together hold the term; a section without any is hidden. Each row has its section's count, and how many lie
-    beyond the preview."""
+    beyond the preview. Only `preview` rows a section and task are dealt out, and counts."""
     kept = rows.where(has(F.concat_ws("", *[F.col(c).cast("string") for c in cells]), term.lower()))
-    w = Window.partitionBy(section)
-    kept = kept.withColumn("in_section", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy(*order)))
-    return kept.where(F.col("place") <= preview).withColumn("beyond", F.greatest(F.lit(0), F.col("in_section") - preview))
+    first = kept.withColumn("place", F.row_number().over(Window.partitionBy(section).orderBy(*order))).where(F.col("place") <= preview)
+    counts = kept.groupBy(F.col(section).alias("_section")).agg(F.count("*").alias("in_section"))
+    met = first.join(counts, F.col(section).eqNullSafe(F.col("_section"))).drop("_section")
+    return met.withColumn("beyond", F.greatest(F.lit(0), F.col("in_section") - preview))
 
 
 def options(rates: DataFrame, query: str) -> DataFrame:
     """Cities whose city, country and region hold the query, with the region's header count, and whether only one is left."""
     kept = rates.where(has(F.concat("city", "country", "region"), query.lower()))
-    total = kept.agg(F.count("*").alias("of")).scalar()
-    grouped = kept.withColumn("in_region", F.count("*").over(Window.partitionBy("region")))
-    return grouped.withColumn("only", total == 1)
+    counts = kept.groupBy(F.col("region").alias("_region")).agg(F.count("*").alias("in_region"))
+    total = counts.agg(F.sum("in_region").alias("of")).scalar()
+    return kept.join(counts, F.col("region").eqNullSafe(F.col("_region"))).drop("_region").withColumn("only", total == 1)
 
 
 def flattened(tree: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -53,9 +53,11 @@ def source_summary(spark: SparkSession, d: str) -> DataFrame:
     return met.groupBy("source").agg(F.count("*").alias("n"), F.count("seen").alias("reviewed"), F.round(F.avg("len"), 6).alias("mean_length"))
 
 
-@query(f"SELECT tag, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM (SELECT id, unnest(list_distinct(tags)) AS tag FROM {CARDS}) GROUP BY tag")
+@query(f"""SELECT tag, (sum(count(*)) OVER (PARTITION BY tag))::BIGINT AS n, id // 1000 AS block, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids
+  FROM (SELECT id, unnest(list_distinct(tags)) AS tag FROM {CARDS}) GROUP BY tag, id // 1000""")
 def tag_inventory(spark: SparkSession, d: str) -> DataFrame:
-    return gv.inventory(cards(spark, d), "tags", "id").select("tag", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    """Each tag's count and ids, a row for a thousand ids."""
+    return gv.inventory(cards(spark, d), "tags", "id").select("tag", "n", "block", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 TENANTS = [("t1", False, ["Brand#1", "Brand#2"], ["Brand#3"]), ("t2", True, [], []), ("t3", False, [], [])]
@@ -265,7 +267,7 @@ def key_cleanup(spark: SparkSession, d: str) -> DataFrame:
 MD = "'## Part ' || p_partkey || chr(10) || '**' || p_name || '** is <' || p_type || '> & [' || p_brand || '](/b/' || p_size || ')' || chr(10) || chr(10) || '### End' || chr(10) || '`x' || p_size || '`'"
 
 
-@query("""SELECT p_partkey AS id, '<p><h3>Part ' || p_partkey || '</h3>' || chr(10) || '<strong>' || p_name || '</strong> is &lt;' || p_type || '&gt; &amp; <a href="/b/' || p_size || '">' || p_brand || '</a></p><p><h4>End</h4>' || chr(10) || '<code>x' || p_size || '</code></p>' AS html FROM part""")
+@query("""SELECT p_partkey AS id, '<h3>Part ' || p_partkey || '</h3>' || chr(10) || '<p><strong>' || p_name || '</strong> is &lt;' || p_type || '&gt; &amp; <a href="/b/' || p_size || '">' || p_brand || '</a></p>' || chr(10) || '<h4>End</h4>' || chr(10) || '<p><code>x' || p_size || '</code></p>' AS html FROM part""")
 def markdown_html(spark: SparkSession, d: str) -> DataFrame:
     md = F.expr(MD.replace("chr(10)", "char(10)"))
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), tx.markdown(md).alias("html"))

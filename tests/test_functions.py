@@ -1,5 +1,6 @@
 """Column functions on the hazards: white space, ties, halves, falsy values, odd numbers and dates."""
 
+import random
 import unicodedata
 
 import pytest
@@ -90,6 +91,45 @@ def test_formal_amount(n, want):
     assert vl.formal_amount(n) == want
 
 
+def test_formal_amounts(spark):
+    rng = random.Random(4)
+    numbers = [0, -20, 10**12, 10**16, 10**18, 10_305, 100_010_000, 2**62, -(2**62), 20_000_300_000, *range(1, 1200, 7)]
+    numbers += [int("".join(rng.choice("0001234567") for _ in range(rng.randrange(1, 18)))) for _ in range(600)]
+    df = spark.createDataFrame([(n,) for n in numbers] + [(None,)], "n long")
+    got = df.select("n", vl.formal_amounts(F.col("n")).alias("x")).collect()
+    assert [(r.n, r.x) for r in got if r.x != vl.formal_amount(r.n)] == []
+
+
+@pytest.mark.parametrize(("s", "want"), [("第十二條之一", (12, 1, "")), ("第十二條", (12, 0, "")), ("12-3", (12, 3, "")), ("７", (None, None, "７")), ("一百零五", (105, 0, "")), ("甲", (None, None, "甲")), ("第三點之十", (3, 10, "")), (" 4 ", (4, 0, "")), ("4-x", (None, None, "4-x")), ("", (None, None, "")), (None, (None, None, None))])
+def test_natural_key(spark, s, want):
+    assert tuple(one(spark, vl.natural_key(F.col("s")), s=s)) == want
+
+
+def test_radicals(spark):
+    every = [chr(x) for x in range(0x2E80, 0x2FD6)] + ["x", "一⼀", ""]
+    df = spark.createDataFrame([(t,) for t in every], "t string")
+    got = df.select("t", vl.unified(F.col("t")).alias("u"), vl.has_radicals(F.col("t")).alias("r")).collect()
+    assert all(r.u == (unicodedata.normalize("NFKC", r.t) if len(unicodedata.normalize("NFKC", r.t)) == len(r.t) else r.t) for r in got)
+    assert all(r.r == any(0x2E80 <= ord(ch) <= 0x2FD5 for ch in r.t) for r in got)
+
+
+@pytest.mark.parametrize(
+    ("md", "want"),
+    [
+        ("## A `x` b\none **two**\nthree\n\n### C\nlast", "<h3>A <code>x</code> b</h3>\n<p>one <strong>two</strong>\nthree</p>\n<h4>C</h4>\n<p>last</p>"),
+        ("a `**b** [c](d)` e", "<p>a <code>**b** [c](d)</code> e</p>"),
+        ("one ` mark and ** another", "<p>one ` mark and ** another</p>"),
+        ("[a](/b?c) <i> & **[x](y)**", '<p><a href="/b?c">a</a> &lt;i&gt; &amp; <strong><a href="y">x</a></strong></p>'),
+        ("---\nid: 1\n---\n\n# one\n#### four\n##none", "<p># one\n#### four\n##none</p>"),
+        ("p\nprose", "<p>p\nprose</p>"),
+        ("", ""),
+        ("\n \n", ""),
+    ],
+)
+def test_markdown(spark, md, want):
+    assert one(spark, tx.markdown(F.col("s")), s=md) == want
+
+
 def test_nfkc(spark):
     rows = ["ﬁ Ａ①", "é", None, ""]
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, s string")
