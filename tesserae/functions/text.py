@@ -108,6 +108,11 @@ def signal(c: Column, words: dict[str, Sequence[str]], default: str) -> Column:
     return out
 
 
+def has_contents(c: Column) -> Column:
+    """Whether a line is left of a table of contents: a title, dots or an ellipsis, and a page number at its end."""
+    return F.coalesce(F.rlike(c, F.lit(r"(?m)^\S[^\n]*?(?:\.{3,}|…)[ \t]*+[0-9]++[ \t]*+$")), F.lit(False))
+
+
 def hashed(c: Column) -> Column:
     """A pseudonym: the first 16 hexadecimal digits of SHA-256 over the trimmed lower-case text."""
     return F.substr(F.sha2(norm(c), 256), F.lit(1), F.lit(16))

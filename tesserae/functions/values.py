@@ -180,6 +180,11 @@ def unified_pairs() -> tuple[str, str]:
     return "".join(a for a, _ in found), "".join(b for _, b in found)
 
 
+def radical_block() -> str:
+    """The second block, in order."""
+    return "".join(chr(x) for x in range(0x2F00, RADICALS[1] + 1))
+
+
 def has_radicals(c: Column) -> Column:
     return F.rlike(c, F.lit(f"[{chr(RADICALS[0])}-{chr(RADICALS[1])}]"))
 

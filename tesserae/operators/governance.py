@@ -59,8 +59,9 @@ def title_defect(title: Column, least: int, most: int, boilerplate: Sequence[str
 
 
 def batches(rows: DataFrame, key: str, n: int = 16, salt: int = 7) -> DataFrame:
-    """Work in n batches of nearly equal size by a hash: no order over all rows is needed."""
-    return rows.withColumn("batch", F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(n)).cast("int"))
+    """Work in n batches of nearly equal size by a hash that other engines have too: no order over all rows is needed."""
+    number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{salt}:"), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return rows.withColumn("batch", (number % n).cast("int"))
 
 
 def reviewed(rows: DataFrame, verdicts: DataFrame, key: str, force: bool = False) -> DataFrame:

@@ -11,9 +11,6 @@ CONCRETE = ["red", "blue", "small", "widget", "bolt"]
 RESIDUAL = "other"
 GENERIC = ["small", "large"]
 WEIGHTS = {"title": 100, "id": 80, "tags": 60, "summary": 30}
-SYNONYMS = [["ring", "band", "loop"], ["bolt", "screw", "pin"], ["red", "crimson", "scarlet"], ["loop", "coil"], ["widget", "gadget", "in"]]
-#: kind, key, nation; in order.
-ALIASES = [("city", "port", "NATION_3"), ("city", "portside", "NATION_4"), ("city", "lake", "NATION_9"), ("land", "nation_1", "NATION_11"), ("land", "isle", "NATION_7")]
 #: first and last day (MM-dd), factor; in order, with an overlap and a turn of the year.
 SEASONS = [("12-15", "01-15", 150), ("07-01", "08-31", 130), ("08-15", "09-10", 120), ("04-01", "04-01", 110)]
 TIERS = ["999 and below", "1,000-2,999", "3000 – 5999", "6000~7999", "8,000 and above", "unreadable"]
@@ -21,15 +18,6 @@ TIERS = ["999 and below", "1,000-2,999", "3000 – 5999", "6000~7999", "8,000 an
 EVENT_TYPES = ["click", "purchase", "signup", "view"]
 
 
-def synonyms(spark: SparkSession) -> DataFrame:
-    rows = [(g, i, w) for g, words in enumerate(SYNONYMS) for i, w in enumerate(words)]
-    return spark.createDataFrame([(g, n, w) for n, (g, _, w) in enumerate(rows)], "grp int, ord int, word string")
-
-
-def aliases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *a) for i, a in enumerate(ALIASES)], "ord int, kind string, key string, nation string")
-
-
 def seasons(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *s) for i, s in enumerate(SEASONS)], "ord int, first string, last string, pct int")
 
@@ -42,4 +30,4 @@ def tiers(spark: SparkSession) -> DataFrame:
 BASELINES = [("red", "Red list", 2), ("bolt", "Bolt list", 1), ("blue", "Blue list", 4)]
 FAQS = [(1, "why this", 3), (2, "which one", 43), (3, "lost", 99)]
 REFERENCES = [("f1", "c1", [3, 999_999_999]), ("f1", "c2", []), ("f1", "c3", [2, 11])]
-RENAMED = {"none": "general", "other": "residual"}
+RENAMED = {"red": "crimson list", "bolt": "fasteners"}

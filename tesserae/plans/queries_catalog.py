@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as tx
+from tesserae.functions import values as values_
 from tesserae.operators import catalog, facets, graph, scenario, search
 from tesserae.operators.ranking import places
 from tesserae.plans import config as c
 from tesserae.plans.registry import query, values
 from tesserae.plans.spec import QuerySpec
+from tesserae.sources import readers
 from tesserae.sources.readers import overlaid
 from tesserae.sources.tables import CARDS, CITATIONS, CONCLUSIONS, FLOWS_SQL, SCENARIOS, cards, citations, flow_conclusions, flows, scenarios, table
 
@@ -41,17 +45,33 @@ def search_matched_term(spark: SparkSession, d: str) -> DataFrame:
     return search.search(cards(spark, d), TERMS, c.WEIGHTS).select("id", "score", "via")
 
 
-QUERIES = ["Ring", " bolt ", "red", "loop", "in", "gad", "crimson tide", "zzz"]
-SYN = values([(g, n, w) for n, (g, w) in enumerate((g, w) for g, ws in enumerate(c.SYNONYMS) for w in ws)], "syn(grp, ord, word)")
+#: Groups of synonyms: a region's name, then those of its nations; asked for: whole names and parts of them.
+SYN = """(SELECT r_regionkey AS grp, r_regionkey * 100 AS ord, lower(r_name) AS word FROM region UNION ALL
+  SELECT n_regionkey, n_regionkey * 100 + 1 + n_nationkey, lower(n_name) FROM nation UNION ALL SELECT (n_regionkey + 1) % 5, (n_regionkey + 1) % 5 * 100 + 50 + n_nationkey, lower(n_name) FROM nation WHERE n_nationkey % 6 = 0) AS syn"""
+ASKED = "(SELECT ' ' || n_name AS query FROM nation UNION ALL SELECT lower(r_name) FROM region UNION ALL SELECT DISTINCT right(n_name, 2) FROM nation UNION ALL SELECT r_name || ' and more' FROM region UNION ALL SELECT DISTINCT c_mktsegment FROM customer) AS asked"
 
 
-@query(f"""WITH q AS (SELECT query, lower(trim(query)) AS k FROM {values([(q,) for q in QUERIES], 'v(query)')}), syn AS (SELECT * FROM {SYN}),
+@query(f"""WITH q AS (SELECT query, lower(trim(query)) AS k FROM {ASKED}), syn AS (SELECT * FROM {SYN}),
   g AS (SELECT DISTINCT query, k, grp, CASE WHEN grp = (SELECT max(grp) FROM syn x WHERE x.word = k) THEN 0 ELSE 1 END AS r FROM q, syn WHERE contains(word, k) OR contains(k, word)),
   t AS (SELECT query, k AS term, -1 AS r, -1 AS grp, -1 AS ord FROM q UNION ALL SELECT query, word, r, g.grp, ord FROM g JOIN syn USING (grp)),
   f AS (SELECT query, term, min((r, grp, ord)) AS spot FROM t GROUP BY query, term)
   SELECT query, term, (row_number() OVER (PARTITION BY query ORDER BY spot) - 1)::INT AS ord FROM f""")
 def search_synonyms(spark: SparkSession, d: str) -> DataFrame:
-    return search.expand(spark.createDataFrame([(q,) for q in QUERIES], "query string"), c.synonyms(spark))
+    tables = {t: table(spark, d, t) for t in ("region", "nation", "customer")}
+    read = lambda sql: spark.sql("SELECT * FROM " + re.sub(r"FROM (region|nation|customer)", r"FROM {\1}", sql), **tables)
+    return search.expand(read(ASKED), read(SYN))
+
+
+@query("""WITH w AS (SELECT r_regionkey AS grp, 0 AS p, lower(r_name) AS word FROM region UNION ALL SELECT n_regionkey, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::INT, lower(n_name) FROM nation
+    UNION ALL SELECT n_regionkey, 90, 'nation' FROM nation)
+  SELECT word, max(grp)::INT AS grp, min(grp * 1000 + p)::BIGINT AS spot FROM w GROUP BY word""")
+def synonym_index(spark: SparkSession, d: str) -> DataFrame:
+    """Words of groups inverted; one that several groups share goes to the last of them, at its first place."""
+    names = table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("r")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]).alias("names"))
+    padded = F.concat("names", F.array_repeat(F.lit(None).cast("string"), 89 - F.size("names")), F.array(F.lit("Nation")))
+    groups = table(spark, d, "region").join(names, F.col("r_regionkey") == F.col("r")).select(F.col("r_regionkey").cast("int").alias("grp"), F.col("r_name").alias("canonical"), padded.alias("aliases"))
+    found = readers.synonym_index(groups).where("word IS NOT NULL")
+    return found.select("word", "grp", (F.col("ord.grp") * 1000 + F.col("ord.p")).cast("long").alias("spot"))
 
 
 TEXT = "lower(title || chr(10) || id || chr(10) || array_to_string(tags, ' ') || chr(10) || summary)"
@@ -324,6 +344,27 @@ def topic_subgraph(spark: SparkSession, d: str) -> DataFrame:
     return graph.topic_subgraph(citations(spark, d), cards(spark, d), "Brand#4")
 
 
+RELATED = "(SELECT DISTINCT l_orderkey % 500 AS src, l_partkey AS dst, CASE WHEN l_quantity >= 45 THEN 'cites' ELSE 'explains' END AS relation FROM lineitem) AS related"
+
+
+@query(f"""WITH c AS (SELECT * FROM {RELATED} WHERE relation = 'cites') SELECT src, dst, s.p_brand IS DISTINCT FROM 'Brand#4' OR t.p_brand IS DISTINCT FROM 'Brand#4' AS across
+  FROM c LEFT JOIN part s ON src = s.p_partkey LEFT JOIN part t ON dst = t.p_partkey WHERE s.p_brand = 'Brand#4' OR t.p_brand = 'Brand#4'
+  UNION ALL SELECT p_partkey, NULL, false FROM part WHERE p_brand = 'Brand#4' AND p_partkey NOT IN (SELECT src FROM c) AND p_partkey NOT IN (SELECT dst FROM c)""")
+def topic_subgraph_toggled(spark: SparkSession, d: str) -> DataFrame:
+    """One relation only, and the topic's nodes that are left without an edge."""
+    edges = table(spark, d, "lineitem").select((F.col("l_orderkey") % 500).alias("src"), F.col("l_partkey").alias("dst"), F.when(F.col("l_quantity") >= 45, "cites").otherwise("explains").alias("relation")).distinct()
+    return graph.topic_subgraph(edges, cards(spark, d), "Brand#4", ["cites"], isolated_too=True)
+
+
+@query(f"SELECT id, klass FROM {CARDS} WHERE NOT obsolete AND topic = (SELECT topic FROM {CARDS} WHERE id = 7)")
+def widening_jump(spark: SparkSession, d: str) -> DataFrame:
+    """A node is opened from a narrow selection: all of its topic is shown, without the other predicates."""
+    rows = cards(spark, d)
+    spec = QuerySpec(topic="Brand#1", klass="PROMO", tag="red", category="bolt", query="x", scenario="3")
+    opened = spec.focus(rows.where("id = 7").first()["topic"])
+    return opened.apply(rows, c.CONCRETE, c.RESIDUAL).select("id", "klass")
+
+
 SPARSE = "(SELECT DISTINCT l_orderkey % 500 AS src, l_partkey AS dst FROM lineitem WHERE l_quantity >= 45) AS sparse"
 
 
@@ -354,6 +395,36 @@ def edges_cited_in_topic(spark: SparkSession, d: str) -> DataFrame:
     return graph.cited(texts, nodes, r"No\. ([0-9]+)")
 
 
+#: Numbers below a hundred in words, for both engines: {n} is the number.
+WORDED = "concat(CASE WHEN {n} >= 20 THEN substr('一二三四五六七八九', CAST(floor({n} / 10) AS INT), 1) ELSE '' END, CASE WHEN {n} >= 10 THEN '十' ELSE '' END, CASE WHEN {n} % 10 > 0 THEN substr('一二三四五六七八九', CAST({n} % 10 AS INT), 1) ELSE '' END)"
+#: What a text cites, by its id: an article with or without a number below it, an item, and a question.
+BODY = f"concat('see 第', {WORDED.format(n='(1 + doc_id % 40)')}, '條', CASE WHEN doc_id % 3 = 0 THEN concat('之', {WORDED.format(n='(1 + doc_id % 4)')}) ELSE '' END, ', item ', 1 + doc_id % 30, ' and Q', 1 + doc_id % 25, '; ', coalesce(text, ''))"
+NODES = "(SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' ELSE 'es' END AS topic, CASE c_custkey % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'item' ELSE 'question' END AS kind, 1 + c_custkey % 50 AS number, CASE WHEN c_custkey % 6 = 0 THEN c_custkey % 5 ELSE 0 END AS sub FROM customer) AS nodes"
+
+
+@query(f"""WITH t AS (SELECT doc_id AS src, lang AS topic, doc_id, {BODY} AS body FROM documents),
+  m AS (SELECT src, topic, 'article' AS kind, regexp_extract(body, '第[一二三四五六七八九十]+條(之[一二三四五六七八九十]+)?', 0) AS matched, 1 + doc_id % 40 AS number, CASE WHEN doc_id % 3 = 0 THEN 1 + doc_id % 4 ELSE 0 END AS sub FROM t
+    UNION ALL SELECT src, topic, 'item', 'item ' || (1 + doc_id % 30), 1 + doc_id % 30, 0 FROM t UNION ALL SELECT src, topic, 'question', 'Q' || (1 + doc_id % 25), 1 + doc_id % 25, 0 FROM t)
+  SELECT src, id AS dst, m.kind, matched FROM m JOIN {NODES} USING (topic, kind, number, sub) WHERE src <> id""")
+def edges_cited_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Articles (maybe with a number below), items and questions, each looked up in its class."""
+    texts = table(spark, d, "documents").selectExpr("doc_id AS id", "lang AS topic", f"{BODY} AS body")
+    nodes = spark.sql("SELECT * FROM " + NODES.replace("FROM customer", "FROM {customer}"), customer=table(spark, d, "customer"))
+    forms = {"article": "(第[一二三四五六七八九十]+條(?:之[一二三四五六七八九十]+)?)", "item": "item ([0-9]+)", "question": r"\bQ([0-9]+)"}
+    return graph.cited_forms(texts, nodes, forms)
+
+
+@query(f"""WITH k AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size END AS number, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN p_partkey % 9 + 1 ELSE 0 END AS sub, CASE WHEN p_partkey % 7 = 0 THEN p_name ELSE '' END AS text FROM part)
+  SELECT id, number::INT AS number, sub::INT AS sub, row_number() OVER (ORDER BY number NULLS LAST, sub, text, id)::INT AS pos FROM k""")
+def natural_order(spark: SparkSession, d: str) -> DataFrame:
+    """Labels with numerals, digits, numbers below, or none of them, in the order of what they say."""
+    below = f"CASE WHEN p_partkey % 3 = 0 THEN concat(CASE WHEN p_partkey % 2 = 0 THEN '之' ELSE '-' END, {WORDED.format(n='(p_partkey % 9 + 1)')}) ELSE '' END"
+    label = f"CASE WHEN p_partkey % 7 = 0 THEN p_name WHEN p_partkey % 2 = 0 THEN concat('第', {WORDED.format(n='p_size')}, '條', {below}) ELSE concat(p_size, {below}) END"
+    rows = table(spark, d, "part").selectExpr("p_partkey AS id", f"{label} AS label").withColumn("key", values_.natural_key(F.col("label")))
+    placed = places(rows, [], [*values_.natural_order("key"), F.col("id")])
+    return placed.select("id", "key.number", "key.sub", "pos")
+
+
 NEXT = "CASE WHEN id % 150 = 0 THEN NULL WHEN id % 450 = 100 THEN id + 5 ELSE id - 1 END"
 
 
@@ -421,7 +492,7 @@ def conclusion_refs(spark: SparkSession, d: str) -> DataFrame:
     return refs.join(cards(spark, d).select(F.col("id").alias("ref"), "title"), "ref", "left").select("flow", "conclude", "ref", "title")
 
 
-@query(f"SELECT rule, CASE category WHEN 'none' THEN 'general' WHEN 'other' THEN 'residual' ELSE category END AS label FROM {RULES}")
+@query(f"SELECT rule, CASE category WHEN 'red' THEN 'crimson list' WHEN 'bolt' THEN 'fasteners' ELSE category END AS label FROM {RULES}")
 def label_rename(spark: SparkSession, d: str) -> DataFrame:
     table_ = F.create_map(*[F.lit(x) for kv in c.RENAMED.items() for x in kv])
     return scenarios(spark, d).select("rule", F.coalesce(F.element_at(table_, F.col("category")), "category").alias("label"))

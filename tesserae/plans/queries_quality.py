@@ -28,18 +28,26 @@ def dq_dangling(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT rule, severity, id::VARCHAR AS key FROM (
   SELECT id, 'ordinal' AS rule, 'warning' AS severity FROM {CARDS} WHERE ord > 45 UNION ALL SELECT id, 'topic', 'error' FROM {CARDS} WHERE NOT regexp_matches(topic, '^Brand#[0-9]$')
   UNION ALL SELECT id, 'superseded', 'error' FROM {CARDS} WHERE obsolete AND effective IS NULL UNION ALL SELECT id, 'tags', 'warning' FROM {CARDS} WHERE len(tags) > 2
-  UNION ALL SELECT id, 'letter', 'error' FROM {CARDS} WHERE upper(title[1]) = klass[1])""")
+  UNION ALL SELECT id, 'version', 'error' FROM {CARDS} WHERE ord % 13 = 0 OR ord % 31 = 30 UNION ALL SELECT id, 'class', 'error' FROM {CARDS} WHERE ord % 17 = 0 AND klass[1] <> 'Z'
+  UNION ALL SELECT id, 'folder', 'error' FROM {CARDS} WHERE ord % 19 = 0 UNION ALL SELECT id, 'letter', 'error' FROM {CARDS} WHERE upper(title[1]) = klass[1])""")
 def dq_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Versions aren't dates, ids have another class's letter, and files lie in another folder, each at some ordinals."""
+    ord_, letter = F.col("ord"), F.substr("klass", F.lit(1), F.lit(1))
+    version = F.when(ord_ % 13 == 0, "soon").otherwise(F.concat(F.lit("2024-02-"), F.when(ord_ % 31 == 30, "30").otherwise("11")))
+    code = F.concat(F.when(ord_ % 17 == 0, "Z").otherwise(letter), F.lit("-"), F.col("id").cast("string"))
+    file = F.concat(F.when(ord_ % 19 == 0, "misc").otherwise(F.lower("klass")), F.lit("/"), F.col("id").cast("string"), F.lit(".md"))
+    rows = cards(spark, d).withColumns({"version": version, "code": code, "file": file})
     rules = [
         ("ordinal", "warning", F.col("ord") > 45),
         ("topic", "error", ~F.rlike("topic", F.lit("^Brand#[0-9]$"))),
         ("superseded", "error", F.col("obsolete") & F.col("effective").isNull()),
         ("tags", "warning", F.size("tags") > 2),
-        ("version", "error", F.try_to_date(F.coalesce("effective", F.lit("1999")), "yyyy").isNull()),
-        ("class", "error", F.substr("klass", F.lit(1), F.lit(1)) != F.substr("summary", F.lit(1), F.lit(1))),
-        ("letter", "error", F.upper(F.substr("title", F.lit(1), F.lit(1))) == F.substr("klass", F.lit(1), F.lit(1))),
+        ("version", "error", F.try_to_date("version", "yyyy-MM-dd").isNull()),
+        ("class", "error", F.substring_index("code", "-", 1) != letter),
+        ("folder", "error", F.substring_index("file", "/", 1) != F.lower("klass")),
+        ("letter", "error", F.upper(F.substr("title", F.lit(1), F.lit(1))) == letter),
     ]
-    return gv.violations(cards(spark, d), "id", rules)
+    return gv.violations(rows, "id", rules)
 
 
 @query(f"SELECT 'effective' AS field, count(*) FILTER (coalesce(effective, '') = '') AS vacant, round(count(*) FILTER (coalesce(effective, '') = '') / count(*), 4) AS rate FROM {CARDS} UNION ALL SELECT 'title', count(*) FILTER (coalesce(trim(title), '') = ''), round(count(*) FILTER (coalesce(trim(title), '') = '') / count(*), 4) FROM {CARDS}")
@@ -73,9 +81,18 @@ def tenant_visible(spark: SparkSession, d: str) -> DataFrame:
     return tn.visible_to(cards(spark, d), tenants(spark), TOPICS, "t1").select("id", "topic")
 
 
-@query("SELECT tenant_id, topic FROM (VALUES ('t1'), ('t3')) t(tenant_id), (SELECT 'Brand#' || k AS topic FROM range(1, 21) r(k)) WHERE tenant_id = 't3' OR topic NOT IN ('Brand#1', 'Brand#2', 'Brand#3')")
+@query("""WITH t AS (SELECT r_name AS tenant_id, r_regionkey = 1 AS visible_all, 1 + r_regionkey AS k FROM region), b AS (SELECT DISTINCT p_brand AS topic, split_part(p_brand, '#', 2)::INT AS n FROM part)
+  SELECT tenant_id, topic FROM t, b WHERE NOT visible_all AND n % 5 <> k - 1 AND NOT (n % 7 = 3)""")
 def tenant_hidden(spark: SparkSession, d: str) -> DataFrame:
-    return tn.hidden_topics(tenants(spark), TOPICS)
+    """A tenant a region: each sees a fifth of the topics and owns some; one sees all."""
+    topics = sorted(r[0] for r in table(spark, d, "part").select("p_brand").distinct().collect())  # the catalogue's topics, a fixed list
+    number = lambda t: int(t.split("#")[1])
+    r = table(spark, d, "region")
+    visible = F.when(F.lit(False), F.array().cast("array<string>"))
+    for k in range(5):
+        visible = visible.when(F.col("r_regionkey") == k, F.array(*[F.lit(t) for t in topics if number(t) % 5 == k]).cast("array<string>"))
+    own = F.array(*[F.lit(t) for t in topics if number(t) % 7 == 3]).cast("array<string>")
+    return tn.hidden_topics(r.select(F.col("r_name").alias("tenant_id"), (F.col("r_regionkey") == 1).alias("visible_all"), visible.alias("visible"), own.alias("own")), topics)
 
 
 LICENCES = [(0, "t1", "2030-01-01"), (1, "t2", "2001-01-01"), (2, "t3", "not a date"), (3, "t4", None)]
@@ -142,10 +159,12 @@ def section_extract(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", "turn", tx.section(md, "Summary").alias("summary"), tx.first_section(md, ["None", "Notes"]).alias("notes"), F.startswith(body, F.lit("## Notes")).alias("stripped"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(lower(text), 'copyright') OR contains(lower(text), 'license') THEN 'contested' WHEN contains(lower(text), 'apache') THEN 'inferred' ELSE 'explicit' END AS certainty, regexp_matches(text, '[|]{1} *[a-z]+$') AS residue FROM documents")
+@query("""SELECT doc_id, CASE WHEN contains(lower(text), 'rights reserved') THEN 'contested' WHEN contains(lower(text), 'license') OR contains(lower(text), 'apache') THEN 'inferred' ELSE 'explicit' END AS certainty, doc_id % 9 = 0 AS residue FROM documents""")
 def certainty_mark(spark: SparkSession, d: str) -> DataFrame:
-    words = {"contested": ["copyright", "license"], "inferred": ["apache"]}
-    return table(spark, d, "documents").select("doc_id", tx.signal(F.col("text"), words, "explicit").alias("certainty"), F.rlike("text", F.lit(r"[|]{1} *[a-z]+$(?![\s\S])")).alias("residue"))
+    """Signal words by level; and lines of a table of contents, which a ninth of the texts get at their end."""
+    words = {"contested": ["rights reserved"], "inferred": ["license", "apache"]}
+    t = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 9 == 0, "\nScope of all ........ 12\nend").otherwise("\nand so on ... 3 of 4"))
+    return table(spark, d, "documents").select("doc_id", tx.signal(t, words, "explicit").alias("certainty"), tx.has_contents(t).alias("residue"))
 
 
 @query(f"SELECT id, array_to_string(list_distinct_ordered[1:2], ',') AS tags FROM (SELECT id, CASE WHEN t[1] = t[2] THEN [t[1], t[3]] ELSE t END AS list_distinct_ordered FROM (SELECT id, list_transform(tags, lambda x: CASE x WHEN 'red' THEN 'colour' WHEN 'blue' THEN 'colour' WHEN 'bolt' THEN 'colour' ELSE x END) AS t FROM {CARDS}))")
@@ -162,9 +181,8 @@ def review_merge(spark: SparkSession, d: str) -> DataFrame:
     return gv.reviewed(rows, verdicts, "id").select("id", "value", "verdict")
 
 
-@query()
+@query("SELECT (('0x' || substr(md5('7:' || p_partkey), 1, 8))::BIGINT % 16)::INT AS batch, count(*) AS n FROM part GROUP BY 1")
 def work_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Sixteen batches by a hash that SQL elsewhere hasn't."""
     return gv.batches(table(spark, d, "part"), "p_partkey").groupBy("batch").agg(F.count("*").alias("n"))
 
 
@@ -174,10 +192,23 @@ def nfkc_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(vl.nfkc(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query("SELECT * FROM (VALUES ('十', 10), ('二十三', 23), ('一百零五', 105), ('三千二百一十', 3210), ('七', 7), ('甲', NULL)) t(word, n)")
+#: Numbers below ten thousand in words, without zeros between.
+NUMERAL = """concat(CASE WHEN {n} >= 1000 THEN concat(substr('一二三四五六七八九', CAST(floor({n} / 1000) AS INT), 1), '千') ELSE '' END, CASE WHEN {n} % 1000 >= 100 THEN concat(substr('一二三四五六七八九', CAST(floor({n} % 1000 / 100) AS INT), 1), '百') ELSE '' END,
+  CASE WHEN {n} % 100 >= 20 OR {n} > 100 AND {n} % 100 >= 10 THEN substr('一二三四五六七八九', CAST(floor({n} % 100 / 10) AS INT), 1) ELSE '' END, CASE WHEN {n} % 100 >= 10 THEN '十' ELSE '' END, CASE WHEN {n} % 10 > 0 THEN substr('一二三四五六七八九', CAST({n} % 10 AS INT), 1) ELSE '' END)"""
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 1 + o_orderkey % 9999 END::INT AS n FROM orders")
 def numerals(spark: SparkSession, d: str) -> DataFrame:
-    words = spark.createDataFrame([("十",), ("二十三",), ("一百零五",), ("三千二百一十",), ("七",), ("甲",)], "word string")
-    return words.select("word", vl.numeral(F.col("word")).alias("n"))
+    """Order numbers in words and back; a fifth has a character that is no numeral."""
+    word = F.expr(NUMERAL.format(n="(1 + o_orderkey % 9999)"))
+    return table(spark, d, "orders").select("o_orderkey", vl.numeral(F.when(F.col("o_orderkey") % 5 == 0, F.concat(word, F.lit("甲"))).otherwise(word)).cast("int").alias("n"))
+
+
+@query(f"SELECT p_partkey AS id, p_size % 4 = 0 AS marked, CASE WHEN p_size % 4 = 0 THEN translate('no. ' || chr(12032 + p_size::INT), '{vl.unified_pairs()[0]}', '{vl.unified_pairs()[1]}') ELSE 'no. ' || p_size END AS text FROM part")
+def radicals(spark: SparkSession, d: str) -> DataFrame:
+    """Characters that stand for radicals are found and replaced."""
+    t = F.concat(F.lit("no. "), F.when(F.col("p_size") % 4 == 0, F.substr(F.lit(vl.radical_block()), F.col("p_size") + 1, F.lit(1))).otherwise(F.col("p_size").cast("string")))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), vl.has_radicals(t).alias("marked"), vl.unified(t).alias("text"))
 
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}', '[mail]', 'g'), '[+][0-9]+ [(][0-9]+[)] [0-9-]+', '[phone]', 'g') AS text FROM documents")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,20 +14,22 @@ from tesserae.plans import config as c
 from tesserae.plans.registry import query, values
 from tesserae.sources.tables import RATES, rates, table
 
-ASKED = ["supplier#000000003", "000000007", " Portside", "the lake", "isle", "nowhere", "nation_1"]
-ASK = values([(q,) for q in ASKED], "v(query)")
-ALIAS = values([(i, *a) for i, a in enumerate(c.ALIASES)], "a(ord, kind, key, nation)")
+#: Asked for: suppliers' names, whole, cut and odd, nations, and what none has. Aliases: places named after nations, and nations themselves.
+ASK = """(SELECT s_name AS query FROM supplier WHERE s_suppkey % 37 = 3 UNION ALL SELECT right(s_name, 8) FROM supplier WHERE s_suppkey % 53 = 7 UNION ALL SELECT ' ' || upper(n_name) FROM nation
+  UNION ALL SELECT 'the port of ' || n_name || ' east' FROM nation WHERE n_nationkey % 4 = 1 UNION ALL SELECT 'nowhere ' || r_name FROM region) AS v"""
+ALIAS = """(SELECT n_nationkey AS ord, 'city' AS kind, 'port of ' || lower(n_name) AS key, 'NATION_' || ((n_nationkey * 7 + 1) % 25) AS nation FROM nation WHERE n_nationkey % 2 = 1
+  UNION ALL SELECT 100 + n_nationkey, 'land', lower(n_name), 'NATION_' || ((n_nationkey + 3) % 25) FROM nation) AS a"""
 BY_ALIAS = f"""(SELECT query, nation, kind, key FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY kind <> 'city', ord) AS rn FROM (SELECT query, lower(trim(query)) AS k FROM {ASK}) q, {ALIAS}
   WHERE key = k OR contains(key, k) OR contains(k, key)) WHERE rn = 1) AS al"""
 
 
-def asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(q,) for q in ASKED], "query string")
+def derived(spark: SparkSession, d: str, sql: str) -> DataFrame:
+    return spark.sql("SELECT * FROM " + re.sub(r"FROM (region|nation|supplier|part)\b", r"FROM {\1}", sql), **{t: table(spark, d, t) for t in ("region", "nation", "supplier", "part")})
 
 
 @query(f"SELECT * FROM {BY_ALIAS}")
 def alias_fallback(spark: SparkSession, d: str) -> DataFrame:
-    return rt.by_alias(asked(spark), c.aliases(spark))
+    return rt.by_alias(derived(spark, d, ASK), derived(spark, d, ALIAS))
 
 
 @query(f"""WITH r AS (SELECT * FROM {RATES}), q AS (SELECT query, lower(trim(query)) AS k FROM {ASK}),
@@ -35,7 +39,7 @@ def alias_fallback(spark: SparkSession, d: str) -> DataFrame:
   SELECT q.query, CASE pri WHEN 0 THEN 'exact' WHEN 1 THEN 'partial' WHEN 2 THEN 'alias' ELSE 'none' END AS how, city, country, rate FROM q LEFT JOIN (SELECT * FROM b WHERE rn = 1) b USING (query)""")
 def rate_lookup_chain(spark: SparkSession, d: str) -> DataFrame:
     """Every third rate is marked as one of its country's other places; an alias leads to the first of these."""
-    return rt.lookup(asked(spark), rates(spark, d), c.aliases(spark), F.col("ord") % 3 == 1)
+    return rt.lookup(derived(spark, d, ASK), rates(spark, d), derived(spark, d, ALIAS), F.col("ord") % 3 == 1)
 
 
 @query(f"SELECT ord, rate, CASE WHEN rate <= 999 AND rate >= 0 THEN '999 and below' WHEN rate BETWEEN 1000 AND 2999 THEN '1,000-2,999' WHEN rate BETWEEN 3000 AND 5999 THEN '3000 – 5999' WHEN rate BETWEEN 6000 AND 7999 THEN '6000~7999' WHEN rate >= 8000 THEN '8,000 and above' END AS tier FROM {RATES}")
@@ -43,10 +47,16 @@ def rate_tier_range(spark: SparkSession, d: str) -> DataFrame:
     return rt.in_tier(rates(spark, d), "rate", c.tiers(spark)).select("ord", "rate", "tier")
 
 
-@query("SELECT * FROM (VALUES (0, 0.0::DOUBLE, 999.0::DOUBLE, false), (1, 1000, 2999, false), (2, 3000, 5999, false), (3, 6000, 7999, false), (4, 8000, NULL, true)) t(ord, low, high, open)")
+TIER_LABELS = """(SELECT p_partkey AS ord, CASE p_partkey % 6 WHEN 0 THEN concat(p_size, ' and below') WHEN 1 THEN concat(p_size, ',500-', p_size + 1, ',499') WHEN 2 THEN concat(p_size, ' – ', p_size * 10) WHEN 3 THEN concat(p_size, '~', p_size + 7)
+  WHEN 4 THEN concat(p_size, ',000 and above') ELSE p_name END AS label FROM part) AS labels"""
+
+
+@query("""SELECT p_partkey AS ord, CASE p_partkey % 6 WHEN 0 THEN 0 WHEN 1 THEN p_size * 1000 + 500 WHEN 4 THEN p_size * 1000 ELSE p_size END::DOUBLE AS low,
+  CASE p_partkey % 6 WHEN 0 THEN p_size WHEN 1 THEN (p_size + 1) * 1000 + 499 WHEN 2 THEN p_size * 10 WHEN 3 THEN p_size + 7 END::DOUBLE AS high, p_partkey % 6 = 4 AS open FROM part WHERE p_partkey % 6 < 5""")
 def tier_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Tiers written in five ways, and what is none."""
     open_ = F.col("high") == float("inf")
-    return rt.parsed_tiers(c.tiers(spark)).select("ord", "low", F.when(~open_, F.col("high")).alias("high"), open_.alias("open"))
+    return rt.parsed_tiers(derived(spark, d, TIER_LABELS)).select("ord", "low", F.when(~open_, F.col("high")).alias("high"), open_.alias("open"))
 
 
 SEASON = values([(i, *s) for i, s in enumerate(c.SEASONS)], "s(ord, first, last, pct)")
@@ -182,10 +192,14 @@ def number_parse(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", vl.thousands(F.round("c_acctbal").cast("long")).alias("shown"), vl.number(text).alias("parsed"))
 
 
-@query()
+@query("""WITH n AS (SELECT c_custkey, floor(c_acctbal * 100 * (1 + c_custkey % 3 * 1000) + 0.5)::BIGINT * CASE WHEN c_custkey % 11 = 0 THEN 100000000 ELSE 1 END AS n FROM customer), d AS (SELECT *, string_split(abs(n)::VARCHAR, '') AS ds FROM n),
+  w AS (SELECT *, array_to_string(list_transform(range(1, len(ds) + 1), lambda i: translate(ds[i], '0123456789', '零壹貳參肆伍陸柒捌玖') || CASE WHEN ds[i] = '0' THEN '' ELSE ['', '拾', '佰', '仟'][(len(ds) - i) % 4 + 1] END
+    || CASE WHEN (len(ds) - i) % 4 = 0 THEN ['', '萬', '億', '兆', '京'][(len(ds) - i) // 4 + 1] ELSE '' END), '') AS t FROM d)
+  SELECT c_custkey, CASE WHEN n = 0 THEN '零' ELSE CASE WHEN n < 0 THEN '負' ELSE '' END || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '零+', '零', 'g'), '零([萬億兆京])', '\\1', 'g'), '([萬億兆京])[萬億兆京]+', '\\1零', 'g'), '零+', '零', 'g'), '零$', '') END AS words FROM w""")
 def formal_amounts(spark: SparkSession, d: str) -> DataFrame:
-    """Amounts in words have no SQL; tests/test_functions.py holds them against known readings."""
-    return table(spark, d, "customer").select("c_custkey", vl.formal_amounts(F.round(F.col("c_acctbal") * 100)).alias("words"))
+    """Amounts in words; tests/test_functions.py holds them against a plain reading too."""
+    n = F.floor(F.col("c_acctbal") * 100 * (1 + F.col("c_custkey") % 3 * 1000) + 0.5) * F.when(F.col("c_custkey") % 11 == 0, 100_000_000).otherwise(1)
+    return table(spark, d, "customer").select("c_custkey", vl.formal_amounts(n).alias("words"))
 
 
 @query("""SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_custkey % 4 = 0 THEN 'name' END, CASE WHEN c_custkey % 5 = 0 THEN 'order' END, CASE WHEN c_acctbal IS NULL OR NOT c_acctbal BETWEEN 20 AND 50 THEN 'rate' END], lambda x: x IS NOT NULL), ',') AS reasons FROM customer""")

@@ -19,7 +19,7 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_name").alias("title"),
         F.col("p_brand").alias("topic"),
         F.col("p_type").alias("klass"),
-        F.concat(words, F.array(F.concat(F.lit("band"), F.floor(F.col("p_size") / 10).cast("string")))).alias("tags"),
+        F.concat(words, F.array(F.concat(F.lit("grade"), F.floor(F.col("p_size") / 10).cast("string")))).alias("tags"),
         F.col("p_size").alias("ord"),
         F.concat_ws(" ", "p_type", "p_brand").alias("summary"),
         (F.col("p_size") % 10 == 0).alias("obsolete"),
@@ -30,7 +30,7 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same view in DuckDB's SQL.
 CARDS = """(SELECT p_partkey AS id, p_name AS title, p_brand AS topic, p_type AS klass,
-  list_append(string_split(p_name, ' '), 'band' || (p_size // 10)) AS tags, p_size AS ord, p_type || ' ' || p_brand AS summary,
+  list_append(string_split(p_name, ' '), 'grade' || (p_size // 10)) AS tags, p_size AS ord, p_type || ' ' || p_brand AS summary,
   p_size % 10 = 0 AS obsolete, CASE WHEN p_size = 50 THEN '1999' END AS effective, p_partkey AS load_ord FROM part) AS cards"""
 
 
@@ -82,14 +82,14 @@ def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_brand").alias("topic"),
         F.get(words, F.lit(0)).alias("category"),
         F.array(F.col("p_partkey") + 1, F.col("p_partkey") * 7, F.lit(999_999_999).cast("long")).alias("primary_ids"),
-        F.concat(words, F.array(F.concat(F.lit("band"), F.floor(F.col("p_size") / 10).cast("string")))).alias("tags"),
+        F.concat(words, F.array(F.concat(F.lit("grade"), F.floor(F.col("p_size") / 10).cast("string")))).alias("tags"),
         (F.col("p_size") % 7 == 0).alias("deprecated"),
         F.when(F.col("p_size") % 5 == 0, "auto").when(F.col("p_size") % 5 == 1, "hand").alias("source"),
     )
 
 
 SCENARIOS = """(SELECT p_partkey::INT AS rule, p_brand AS topic, string_split(p_name, ' ')[1] AS category, [p_partkey + 1, p_partkey * 7, 999999999] AS primary_ids,
-  list_append(string_split(p_name, ' '), 'band' || (p_size // 10)) AS tags, p_size % 7 = 0 AS deprecated,
+  list_append(string_split(p_name, ' '), 'grade' || (p_size // 10)) AS tags, p_size % 7 = 0 AS deprecated,
   CASE p_size % 5 WHEN 0 THEN 'auto' WHEN 1 THEN 'hand' END AS source FROM part WHERE p_partkey % 40 = 3) AS rules"""
 
 

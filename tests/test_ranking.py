@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tesserae.operators.ranking import places
+from tesserae.operators.ranking import beside, containing, places
 
 
 def test_places(spark):
@@ -16,3 +16,20 @@ def test_places(spark):
     assert {r.id: r.pos for r in got.collect()} == want and got.columns == ["id", "k", "v", "pos"]
     assert {r.id: r.pos for r in places(rows, [], order, parts=8).collect()} == {r.id: r.pos for r in rows.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))).collect()}
     assert places(rows.where("false"), ["k"], order).count() == 0
+
+
+def test_beside(spark):
+    rows = spark.range(400).select("id", F.when(F.col("id") % 3 == 0, None).otherwise((F.col("id") % 5).cast("string")).alias("k"), F.pmod(F.xxhash64("id"), F.lit(9)).alias("v"))
+    order = [F.col("v"), F.col("id")]
+    w = Window.partitionBy("k").orderBy(*order)
+    want = rows.select("id", F.row_number().over(w).alias("place"), F.lag("id").over(w).alias("b"), F.lead("id").over(w).alias("a"))
+    got = beside(rows, ["k"], order, ["id"]).select("id", "place", F.col("before_id").alias("b"), F.col("after_id").alias("a"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_containing_within_a_key(spark):
+    words = ["", "a", "ab", "abc", "xabcx", "abcd", "000", "a000", "000000", "supplier#0001", "supplier#0002", "0001"]
+    hay = spark.createDataFrame([(k, w) for k in "pq" for w in words] + [("p", "only here 77")], "k string, t string")
+    needles = spark.createDataFrame([(k, w) for k in "qp" for w in [*words, "77", "zzz"]], "k string, n string")
+    got = sorted((r[0], r[1], r[2]) for r in containing(hay, "t", needles, "n", {"k": "k"}).select(hay["k"], "t", "n").collect())
+    assert got == sorted((k, t, n) for k, t in [tuple(r) for r in hay.collect()] for n in [*words, "77", "zzz"] if n and n in t)
