@@ -18,7 +18,7 @@ from tesserae.sources import readers
 from tesserae.sources.readers import overlaid
 from tesserae.sources.tables import CARDS, CITATIONS, CONCLUSIONS, FLOWS_SQL, SCENARIOS, cards, citations, flow_conclusions, flows, scenarios, table
 
-TERMS = ["ring", "band", "loop"]
+TERMS = ["ring", "bolt", "gear"]
 ORDERED = {k: "CASE {} " + " ".join(f"WHEN '{v}' THEN {i}" for i, v in enumerate(vs)) for k, vs in (("topic", c.TOPIC_ORDER), ("klass", c.CLASS_ORDER))}
 
 
@@ -40,7 +40,7 @@ def search_weighted(spark: SparkSession, d: str) -> DataFrame:
     return search.ranked(search.search(cards(spark, d), TERMS, c.WEIGHTS), 20).select("id", "title", "score")
 
 
-@query(f"SELECT id, score, CASE WHEN contains(lower(title || ' ' || id || ' ' || array_to_string(tags, ' ') || ' ' || summary), 'band') THEN 'band' WHEN contains(lower(title || id || array_to_string(tags, ' ') || summary), 'loop') THEN 'loop' END AS via FROM {SCORED} WHERE score > 0")
+@query(f"SELECT id, score, CASE WHEN contains(lower(title || ' ' || id || ' ' || array_to_string(tags, ' ') || ' ' || summary), '{TERMS[1]}') THEN '{TERMS[1]}' WHEN contains(lower(title || ' ' || id || ' ' || array_to_string(tags, ' ') || ' ' || summary), '{TERMS[2]}') THEN '{TERMS[2]}' END AS via FROM {SCORED} WHERE score > 0")
 def search_matched_term(spark: SparkSession, d: str) -> DataFrame:
     return search.search(cards(spark, d), TERMS, c.WEIGHTS).select("id", "score", "via")
 

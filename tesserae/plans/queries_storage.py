@@ -113,3 +113,97 @@ def typed_defaults(spark: SparkSession, d: str) -> DataFrame:
     broken = F.when(F.col("k") == 0, F.concat(F.lit("["), "all")).when(F.col("k") == 1, F.concat(F.lit('{"faqs": ['), "all", F.lit("]}"))).otherwise(F.concat(F.lit("["), "all", F.lit("]")))
     files.select("topic", broken.alias("value")).write.partitionBy("topic").text(folder)
     return loose.whole(spark, folder, "array<struct<q:string,n:int>>").select("topic", "q", "n")
+
+
+def arrays(df: DataFrame, folder: str, by: str, wrap: str | None = None) -> None:
+    """A file of one JSON array of df's other columns for each value of `by`, in the shared folder; wrap: a field that holds the array."""
+    others = F.struct(*[c for c in df.columns if c != by])
+    text = F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(others)), ", "), F.lit("]"))  # a file is one value, so it is made as one
+    if wrap:
+        text = F.when(F.pmod(F.xxhash64(by), F.lit(2)) == 0, F.concat(F.lit('{"' + wrap + '": '), text, F.lit("}"))).otherwise(text)
+    df.groupBy(by).agg(text.alias("value")).write.partitionBy(by).text(folder)
+
+
+@query("SELECT 'A-' || p_partkey AS id, p_name AS title, p_brand AS parent, len(string_split(p_name, ' '))::INT AS n_tags, CASE WHEN p_size % 10 = 0 THEN 'obsolete' END AS status FROM part")
+def read_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes as JSON arrays, a file a class, read with the model's schema; fields that aren't there are null."""
+    folder, p = shared_folder(spark, "nodes"), table(spark, d, "part")
+    arrays(p.select(F.concat(F.lit("A-"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("parent"), F.split("p_name", " ").alias("tags"), F.when(F.col("p_size") % 10 == 0, "obsolete").alias("status"), F.lit(1).alias("unknown"), F.col("p_type").alias("k")), folder, "k")
+    return readers.catalogue(spark, folder).select("id", "title", "parent", F.size("tags").alias("n_tags"), "status")
+
+
+@query("SELECT DISTINCT 's' || (l_orderkey % 500) AS src, 'd' || l_partkey AS dst, l_returnflag AS relation FROM lineitem WHERE l_quantity >= 40")
+def read_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges in bare arrays and in objects that hold one, and a file that isn't there, which has none."""
+    folder = shared_folder(spark, "edges")
+    e = table(spark, d, "lineitem").where("l_quantity >= 40").select(F.concat(F.lit("s"), (F.col("l_orderkey") % 500).cast("string")).alias("from"), F.concat(F.lit("d"), F.col("l_partkey").cast("string")).alias("to"), F.col("l_returnflag").alias("relation"), F.pmod(F.col("l_partkey"), F.lit(16)).alias("k")).distinct()
+    arrays(e, folder, "k", "edges")
+    return readers.edges(spark, folder).union(readers.edges(spark, f"{folder}-none")).select(F.col("from").alias("src"), F.col("to").alias("dst"), "relation")
+
+
+@query("SELECT 'S' || p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'long ' || p_name ELSE p_name END AS title, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS subtitle FROM part WHERE p_partkey % 40 = 3")
+def read_scenarios(spark: SparkSession, d: str) -> DataFrame:
+    """A light index, and details over it where they are."""
+    folder, p = shared_folder(spark, "scenarios"), table(spark, d, "part").where("p_partkey % 40 = 3")
+    id_ = F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("id")
+    arrays(p.select(id_, F.col("p_name").alias("title"), F.col("p_brand").alias("k")), f"{folder}/light", "k")
+    arrays(p.where("p_partkey % 3 = 0").select(id_, F.concat(F.lit("long "), "p_name").alias("title"), F.col("p_type").alias("subtitle"), F.col("p_brand").alias("k")), f"{folder}/detail", "k")
+    return readers.scenarios(spark, f"{folder}/light", f"{folder}/detail").select("id", "title", "subtitle")
+
+
+@query("SELECT (row_number() OVER (ORDER BY n_name DESC) - 1)::INT AS ord, n_name AS key, r_name AS value FROM nation JOIN region ON n_regionkey = r_regionkey")
+def read_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    """A JSON object of nations in descending order, which is kept."""
+    folder = shared_folder(spark, "dictionary")
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    pairs = F.sort_array(F.collect_list(F.struct("n_name", "r_name")), asc=False)  # 25 nations
+    text = F.array_join(F.transform(pairs, lambda x: F.concat(F.lit('"'), x["n_name"], F.lit('": "'), x["r_name"], F.lit('"'))), ", ")
+    n.agg(F.concat(F.lit("{"), text, F.lit("}")).alias("value")).write.text(folder)
+    return readers.dictionary(spark, folder)
+
+
+@query("SELECT n_name AS name, '# ' || n_name || chr(10) || 'in region ' || n_regionkey AS text FROM nation WHERE n_nationkey % 2 = 0")
+def read_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """A whole file a row, joined to what names it by its path."""
+    folder, n = shared_folder(spark, "markdown"), table(spark, d, "nation")
+    n.where("n_nationkey % 2 = 0").select("n_name", F.concat(F.lit("# "), "n_name", F.lit("\nin region "), F.col("n_regionkey").cast("string")).alias("value")).write.partitionBy("n_name").text(folder)
+    found = readers.documents(spark, folder, "*.txt").withColumn("name", F.regexp_extract("path", "n_name=([^/]+)", 1))
+    return n.join(found, n.n_name == found.name).select("name", F.rtrim(F.col("text"), F.lit("\n")).alias("text"))
+
+
+@query("SELECT 'nation/' || n_name AS key, n_regionkey AS value, 200 AS status FROM nation WHERE n_name = 'NATION_7' UNION ALL SELECT 'nation/none', NULL, 404 UNION ALL SELECT 'nation/unbound', NULL, 503")
+def read_point(spark: SparkSession, d: str) -> DataFrame:
+    """One key of a stored relation, a key that isn't there, and no store."""
+    folder = shared_folder(spark, "points")
+    store.put({"nation": table(spark, d, "nation").select(F.col("n_name").alias("key"), F.col("n_regionkey").alias("value"))}, folder, {"nation"})
+    kv = store.read(spark, f"{folder}/nation")
+
+    def row(key: str, found: DataFrame | int) -> DataFrame:
+        name = F.lit(f"nation/{key}").alias("key")
+        if isinstance(found, int):
+            return kv.limit(0).agg(name, F.first("value").alias("value"), F.lit(found).alias("status"))
+        return found.select(name, "value", F.lit(200).alias("status"))
+
+    return row("NATION_7", readers.point_read(kv, "NATION_7")).union(row("none", readers.point_read(kv, "none"))).union(row("unbound", readers.point_read(None, "x")))
+
+
+@query("""SELECT doc_id || '.pdf' AS filename, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN source ELSE lang END AS category, CASE WHEN doc_id % 3 = 0 THEN 'a "quoted", ' || lang ELSE 'from the head' END AS agency FROM documents""")
+def read_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest in CSV beside files: its values where it has one, else what the file's head says."""
+    folder, docs = shared_folder(spark, "manifest"), table(spark, d, "documents").select("doc_id", "lang", "source")
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename")
+    listed = docs.where("doc_id % 3 = 0").select(name, F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(" ").alias("category"), F.lit(None).cast("string").alias("parent"), F.concat(F.lit('a "quoted", '), "lang").alias("agency"), F.lit("1").alias("version"), F.lit("x\ny").alias("notes"))
+    listed.write.option("header", True).option("escape", '"').csv(folder)
+    files = docs.select(name, "lang")
+    return readers.described(files, readers.manifest(spark, folder), {"category": F.col("lang"), "agency": F.lit("from the head")}).select("filename", "category", "agency")
+
+
+@query("""SELECT CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_name END AS name, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE '2024-03-01' END AS start, CASE WHEN c_custkey % 5 = 0 THEN c_custkey::VARCHAR ELSE '31.5' END AS rate, count(*) AS n
+  FROM customer WHERE c_custkey % 12 <> 0 GROUP BY ALL""")
+def drafts_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Drafts exported as JSON and read back over the defaults; those without both a name and a first day are refused."""
+    folder, k = shared_folder(spark, "drafts"), F.col("c_custkey")
+    heads = table(spark, d, "customer").select(F.when(k % 4 != 0, F.col("c_name")).alias("name"), F.when(k % 6 != 0, "2024-03-01").alias("startDate"), F.when(k % 5 == 0, k.cast("string")).alias("exchangeRate"))
+    sinks.export_json(heads, folder)
+    rows = readers.draft(spark, folder, {"exchangeRate": "31.5"}, lines=True)
+    return rows.groupBy("name", F.col("startDate").alias("start"), F.col("exchangeRate").alias("rate")).agg(F.count("*").alias("n"))

@@ -92,7 +92,7 @@ def flat_rates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).csv(path, header=True, multiLine=True) if _exists(spark, path) else empty(spark, MANIFEST)
+    return spark.read.schema(MANIFEST).csv(path, header=True, multiLine=True, escape='"') if _exists(spark, path) else empty(spark, MANIFEST)
 
 
 def described(files: DataFrame, manifest_: DataFrame, inferred: dict[str, Column]) -> DataFrame:
@@ -101,9 +101,9 @@ def described(files: DataFrame, manifest_: DataFrame, inferred: dict[str, Column
     return met.withColumns({k: F.coalesce(F.nullif(F.trim(F.col(k)), F.lit("")), v) for k, v in inferred.items()})
 
 
-def draft(spark: SparkSession, path: str, defaults: dict[str, str]) -> DataFrame:
-    """A saved draft over the defaults; one without both name and first day is refused."""
-    rows = spark.read.schema(DRAFT).json(path, multiLine=True)
+def draft(spark: SparkSession, path: str, defaults: dict[str, str], lines: bool = False) -> DataFrame:
+    """A saved draft over the defaults; one without both name and first day is refused. lines: a draft a line, as exports have them."""
+    rows = spark.read.schema(DRAFT).json(path, multiLine=not lines)
     rows = rows.where((F.coalesce("name", F.lit("")) != "") | (F.coalesce("startDate", F.lit("")) != ""))
     return rows.withColumns({k: F.coalesce(F.col(k), F.lit(v)) for k, v in defaults.items()})
 
