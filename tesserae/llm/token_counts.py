@@ -3,8 +3,10 @@
 A text is cut into pieces by the tokenizer's own pattern; merges never cross a piece. In a piece of n bytes, the encoding of
 each prefix is that of a shorter prefix plus one last token: of the vocabulary's tokens that end there, the longest whose
 pair with the last token before it survives the merges. So one pass of n steps gives the last token and the count at every
-prefix, and truncation and budget questions are answered from the table without encoding again. Tables of pieces are kept
-in a worker while they fit a bound; texts take time linear in their length.
+prefix; a step looks back as far as the longest token, so no more states are held. Truncation and budget questions are answered from
+the table of the piece in which the budget ends, without encoding again: a cut changes how a text is split only where it leaves white space,
+half of a contraction, or half of a special string at its end. Counts of short pieces are kept in a worker while they fit a bound; texts take
+time linear in their length.
 
 Special strings inside a text count as the library has it by default: one token each, with no merge across them.
 
@@ -67,6 +69,11 @@ class PrefixTable:
         for i, (a, b) in enumerate(self.rank):
             self.made.setdefault(a + b, (i, a, b))
         self.widest = max(map(len, self.vocab))
+        tails: dict[bytes, set[int]] = {}
+        for token in self.vocab:
+            if len(token) > 2:
+                tails.setdefault(token[-3:], set()).add(len(token))
+        self.tails = {tail: tuple(sorted(sizes, reverse=True)) for tail, sizes in tails.items()}  # longest tokens first
         self.split = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.totals: dict[str, int] = {}
@@ -106,26 +113,29 @@ class PrefixTable:
     def step(self, piece: bytes, end: int, at) -> tuple[int, bytes]:
         """Tokens of piece[:end] and the last of them; at(start) gives the same for a shorter prefix."""
         vocab, survives = self.vocab, self.survives
-        for start in range(max(0, end - self.widest), end):
-            token = piece[start:end]
-            if token in vocab:
+        for size in (*self.tails.get(piece[max(0, end - 3) : end], ()), 2, 1):
+            start = end - size
+            if start >= 0 and (token := piece[start:end]) in vocab:
                 count, before = at(start)
                 if survives(before, token) if start else self.whole(token):
                     return count + 1, token
         raise ValueError("a byte is missing in the vocabulary")
 
-    def table(self, piece: bytes) -> list[tuple[int, bytes]]:
-        """Tokens of the prefixes of 0, 1, ... bytes, and the last token of each."""
-        found = [(0, b"")]
-        for end in range(1, len(piece) + 1):
-            found.append(self.step(piece, end, found.__getitem__))
-        return found
+    def walk(self, piece: bytes, upto: int | None = None) -> Iterator[int]:
+        """Tokens of the prefixes of 1, 2, ... bytes; of the states, only those are held that a token can reach back to."""
+        held = self.widest + 1
+        ring = [(0, b"")] * held
+        for end in range(1, (len(piece) if upto is None else min(upto, len(piece))) + 1):
+            ring[end % held] = found = self.step(piece, end, lambda start: ring[start % held] if start else (0, b""))
+            yield found[0]
 
     def last(self, piece: bytes) -> int:
         """Tokens of the whole piece: its prefixes are looked up among those that earlier pieces have left, and left for later ones."""
         states = self.states
         if len(piece) > KEPT_PIECE:
-            return self.table(piece)[-1][0]
+            for count in self.walk(piece):
+                pass
+            return count
         if len(states) >= KEPT:
             states.clear()
         known = len(piece)
@@ -137,7 +147,7 @@ class PrefixTable:
         return at(len(piece))[0]
 
     def prefix(self, piece: str) -> tuple[int, ...]:
-        return tuple(n for n, _ in self.table(piece.encode()))
+        return 0, *self.walk(piece.encode())
 
     def total(self, piece: str) -> int:
         found = self.totals.get(piece)
@@ -178,28 +188,42 @@ class PrefixTable:
             return total, len(text)
         ends, tokens = [0, *accumulate(map(len, pieces))], [0, *accumulate(counts)]
         over = bisect_right(tokens, budget) - 1  # the piece that passes the budget
-        for k in self.near(pieces[over], max(0, budget - tokens[over])):
-            if self.upto(text, ends[over] + k, pieces, ends, tokens) <= budget:
-                return total, ends[over] + k
-        k = ends[over]  # a cut before the piece may join what stands before it with other pieces
-        while k and self.upto(text, k, pieces, ends, tokens) > budget:
-            k -= 1
-        return total, k
-
-    def near(self, piece: str, budget: int) -> Iterator[int]:
-        """Characters of the piece, more before fewer, whose prefix takes about the budget by the piece's table."""
-        if piece in self.special:
-            yield from range(len(piece), 0, -1)
-            return
-        table = self.prefix(piece)
-        size = len(piece.encode())
-        for k in range(len(piece), 0, -1):
-            if k <= 2 or table[size] <= budget + 2:  # a cut can change how the pieces around it are split
-                yield k
-            size -= len(piece[k - 1].encode())
+        if self.blanks(pieces, over) and over + 1 < len(pieces) and pieces[over + 1][0].isspace():
+            k = ends[over + 1] + 1  # white space that one character more might write in fewer tokens
+            if self.blank(text, k, over, ends, tokens) <= budget:
+                return total, k
+        while over >= 0 and not (k := self.within(text, over, pieces, ends, tokens, budget)):
+            over -= 1
+        return total, k if over >= 0 else 0
+
+    def within(self, text: str, p: int, pieces: list[str], ends: list[int], tokens: list[int], budget: int) -> int:
+        """The last cut in piece p, its end included, up to which the text takes at most the budget; 0 if there is none."""
+        piece = pieces[p]
+        if piece in self.special or piece[0] == "'":
+            return next((ends[p] + k for k in range(len(piece), 0, -1) if self.upto(text, ends[p] + k, pieces, ends, tokens) <= budget), 0)
+        left, raw = budget - tokens[p], piece.encode()
+        joined = piece[0].isspace() and self.blanks(pieces, p - 1)
+        found = at = k = 0
+        # a token has `widest` bytes at most, so no prefix of more than that many a token fits
+        for count in self.walk(raw, max(0, left) * self.widest):
+            at += 1
+            if at == len(raw) or raw[at] & 0xC0 != 0x80:  # a character ends here
+                k += 1
+                if count <= left and not (k == 1 and joined):
+                    found = k
+        if joined and not found and self.blank(text, ends[p] + 1, p - 1, ends, tokens) <= budget:
+            found = 1
+        return ends[p] + found if found else 0
+
+    def blanks(self, pieces: list[str], p: int) -> bool:
+        return p >= 0 and pieces[p].isspace()
+
+    def blank(self, text: str, k: int, p: int, ends: list[int], tokens: list[int]) -> int:
+        """Tokens up to k, where the text from piece p on is white space: at the end of a text it is one piece."""
+        return tokens[p] + self.total(text[ends[p] : k])
 
     def upto(self, text: str, k: int, pieces: list[str], ends: list[int], tokens: list[int]) -> int:
-        """Tokens of the first k characters: of all pieces that the cut can't touch, and of the rest, split anew."""
+        """Tokens of the first k characters: of all pieces that the cut can't touch, and of the few characters of the rest, split anew."""
         at = max(0, bisect_left(ends, k) - 1)
         whole = 0
         while at and whole < 2:

@@ -1,5 +1,9 @@
 """The prefix table against the library, on whole texts and on every prefix of a piece."""
 
+import random
+import time
+import tracemalloc
+
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -46,6 +50,39 @@ def test_fit_is_the_longest(text, budget):
     assert all(library(text[:j]) > budget for j in range(k + 1, len(text) + 1))
 
 
+@settings(max_examples=2500, deadline=None)
+@given(st.one_of(st.text(alphabet=" \n\t\x1c\x85\u2003  'sSllavre1é!-<|endoftext|>", max_size=40), st.lists(st.sampled_from([" ", "  ", "   ", "\n", "\n\n", "\t", "a", " b", "'ll", "'l", "'", "!", " !!", "1", "<|endoftext|>", "----", "        "]), max_size=12).map("".join)), st.integers(0, 12))
+def test_fit_at_every_kind_of_cut(text, budget):
+    k = TABLE.fit(text, budget)
+    assert library(text[:k]) <= budget
+    assert all(library(text[:j]) > budget for j in range(k + 1, len(text) + 1))
+
+
+def seconds(f, *args):
+    began = time.perf_counter()
+    f(*args)
+    return time.perf_counter() - began
+
+
+def test_budgets_cost_no_second_encoding():
+    rng = random.Random(1)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(150_000))
+    for text in ("-" * 40_000, letters, " " * 60_000 + "x", "a1" * 20_000):
+        fresh = lambda: token_counts.PrefixTable(public_tokenizers.path(NAME))
+        plain, both = min(seconds(fresh().count, text) for _ in range(2)), min(seconds(fresh().measure, text, 512) for _ in range(2))
+        assert both < 1.5 * plain + 0.3, text[:9]
+
+
+def test_memory_of_a_long_piece_is_flat():
+    letters = "".join(random.Random(2).choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    TABLE.count(letters[:5_000])
+    tracemalloc.start()
+    TABLE.measure(letters, 512)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(letters) + 20_000_000  # the text itself in bytes, and caches with a bound
+
+
 def test_fit_inside_a_long_piece():
     for text in ("ab" * 1_500, "ththndea" * 700, " " * 40_000 + "x", "é" * 3_000, "1" * 5_000, "a" + "!" * 9_000):
         k = TABLE.fit(text, 512)
