@@ -46,6 +46,8 @@ THRESHOLD = 0.3
 NEAREST = 15
 #: Picked by leave-one-out votes of the labelled rows that may be learnt from.
 TELLING = 300.0
+#: Equal examples weigh together as their number to this power, however many they are.
+COPIES = 0.5
 #: Rows a block of the index; terms whose lists are laid out in blocks.
 BLOCK_ROWS = 32
 COLUMNS = 512
@@ -268,9 +270,7 @@ class Model:
     def vote(self, rows: np.ndarray, cosine: np.ndarray, votes: np.ndarray) -> float:
         """Share of label 1 among rows with these votes, near ones counting more."""
         total = votes.sum(axis=1)
-        # a row of many equal examples counts as many, but not without end
-        many = np.where(total > 0, np.minimum(total, NEAREST) / np.maximum(total, 1), 0.0)
-        weight = many / (0.05 + 1 - cosine)
+        weight = np.maximum(total, 1) ** (COPIES - 1) / (0.05 + 1 - cosine)
         return float((0.5 * self.share + (weight * votes[:, 1]).sum()) / (0.5 + (weight * total).sum()))
 
     def __getstate__(self) -> dict:
