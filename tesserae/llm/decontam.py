@@ -4,8 +4,8 @@ A shard is a block of whole documents in a task. Its words become numbers of the
 an occurrence, so it separates runs, and runs shorter than the shortest window are left out. Windows found are located by sampled
 positions, and their spans are merged.
 
-The benchmark goes to the tasks in panels of at most PANEL_WORDS words: a larger benchmark means more panels, all of them searched in one
-pass over the documents. Its rows pass through the driver a panel at a time.
+The benchmark goes to the tasks as one vocabulary and its windows, in panels of at most PANEL_WORDS words. A shard is split into words and
+indexed once, however many panels search it. Each worker holds the whole benchmark, whose rows pass through the driver: it is the small side.
 
 Defined results: very long texts are blocks of their own, read whole; extra columns are kept, and one named like a result is replaced; items
 are in the order of their ids as text; a null text has no words, no hits and is not contaminated; a null or wordless item has no window; windows of an item with
@@ -15,7 +15,6 @@ of documents gives an empty table, an empty benchmark no hits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -45,16 +44,14 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Panel:
-    """Windows of some items, as rows of numbers."""
+    """Windows of some items, as rows of numbers; `number` is the vocabulary of all panels, and grows."""
 
-    def __init__(self, items: list[tuple[str | None, list[bytes]]]):
-        number: dict[bytes, int] = {}
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], number: dict[bytes, int]):
         owners: dict[tuple[int, ...], set[str]] = {}
         for item, found in items:
             ids = [number.setdefault(w, len(number) + 1) for w in found]
             for i in range(max(1, len(ids) - WINDOW + 1)):
                 owners.setdefault(tuple(ids[i : i + WINDOW]), set()).update([] if item is None else [item])
-        self.number = number
         self.length = np.array([len(w) for w in owners], np.int64)
         self.patterns = np.zeros((len(owners), WINDOW), np.int64)
         for k, w in enumerate(owners):
@@ -63,13 +60,26 @@ class Panel:
         place = {x: i for i, x in enumerate(self.names)}
         self.owners = np.array([place[x] for s in owners.values() for x in s], np.int64)
         self.owner_ends = np.cumsum([len(s) for s in owners.values()])
-        self.least = int(self.length.min())
 
-    def occurrences(self, ids: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """ids: numbers of the words of a shard, 0 for other words; text: whose word it is. Gives windows and their first words."""
-        none = np.zeros(0, np.int64)
+    def items(self, text: np.ndarray, window: np.ndarray, out: list[list[str]]) -> None:
+        """Adds to out, by text, the items whose windows occur in it."""
+        # a window that occurs many times in a text is one pair before its owners are looked up
+        pairs = np.unique(text * len(self.length) + window)
+        at, w = pairs // len(self.length), pairs % len(self.length)
+        size = self.owner_ends[w] - np.where(w > 0, self.owner_ends[w - 1], 0)
+        owner = self.owners[np.repeat(self.owner_ends[w] - np.cumsum(size), size) + np.arange(size.sum())]
+        each = np.unique(np.repeat(at, size) * max(1, len(self.names)) + owner)
+        for t, x in zip((each // max(1, len(self.names))).tolist(), (each % max(1, len(self.names))).tolist(), strict=True):
+            out[t].append(self.names[x])
+
+
+class Shard:
+    """The index of a shard's runs of known words. ids: numbers of its words, 0 for others; text: whose word it is."""
+
+    def __init__(self, ids: np.ndarray, text: np.ndarray, least: int):
+        self.index = None
         if not len(ids):
-            return none, none
+            return
         known = ids > 0
         begins = known.copy()
         begins[1:] &= ~known[:-1] | (text[1:] != text[:-1])
@@ -77,94 +87,90 @@ class Panel:
         ends = known.copy()
         ends[:-1] &= ~known[1:] | (text[1:] != text[:-1])
         size = np.flatnonzero(ends) + 1 - starts
-        starts, size = starts[size >= self.least], size[size >= self.least]
+        starts, size = starts[size >= least], size[size >= least]
         if not len(starts):
-            return none, none
+            return
         # the runs, with a 0 after each, and where each place of them is in the shard
         into = np.cumsum(size + 1) - size - 1
-        place = np.repeat(starts - into, size + 1) + np.arange(size.sum() + len(size))
-        runs = ids[np.minimum(place, len(ids) - 1)]
+        self.place = np.repeat(starts - into, size + 1) + np.arange(size.sum() + len(size))
+        runs = ids[np.minimum(self.place, len(ids) - 1)]
         runs[into + size] = 0
-        index = FMIndex(runs)
-        low, high = index.search(self.patterns, self.length)
+        self.index = FMIndex(runs)
+
+    def occurrences(self, panel: Panel) -> tuple[np.ndarray, np.ndarray]:
+        """Windows that occur, and their first words."""
+        if self.index is None:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        low, high = self.index.search(panel.patterns, panel.length)
         found = np.flatnonzero(low < high)
         many = high[found] - low[found]
         rows = np.repeat(low[found] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        return np.repeat(found, many), place[index.locate(rows)]
-
-    def search(self, texts: pa.Array) -> tuple[list[int], list[list[dict]], list[list[str]]]:
-        """By text: number of words, merged spans, items with a window that occurs."""
-        raw = texts.cast(pa.large_binary()).to_pylist()
-        ids: list[int] = []
-        sizes = []
-        get = self.number.get
-        for t in raw:
-            found = words(t)
-            sizes.append(len(found))
-            ids.extend(map(get, found, repeat(0)))
-        text = np.repeat(np.arange(len(raw)), sizes)
-        window, first = self.occurrences(np.array(ids, np.int64), text)
-        spans: list[list[dict]] = [[] for _ in raw]
-        items: list[list] = [[] for _ in raw]
-        if not len(window):
-            return sizes, spans, items
-        cover = np.zeros(len(ids) + 1, np.int64)
-        np.add.at(cover, first, 1)
-        np.add.at(cover, first + self.length[window], -1)
-        hit = np.cumsum(cover[:-1]) > 0
-        edge = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1] & (text[1:] == text[:-1])]))
-        stop = np.flatnonzero(hit & ~np.concatenate([hit[1:] & (text[1:] == text[:-1]), [False]])) + 1
-        base = np.cumsum(sizes) - sizes
-        for t in np.unique(text[edge]).tolist():
-            places = [m.span() for m in WORD.finditer(raw[t].decode())]
-            mine = text[edge] == t
-            for a, b in zip((edge[mine] - base[t]).tolist(), (stop[mine] - base[t]).tolist(), strict=True):
-                spans[t].append({"first_word": a, "end_word": b, "start": places[a][0], "end": places[b - 1][1]})
-        if len(self.names):
-            # a window that occurs many times in a text is one pair before its owners are looked up
-            pairs = np.unique(text[first] * len(self.length) + window)
-            for t, w in zip((pairs // len(self.length)).tolist(), (pairs % len(self.length)).tolist(), strict=True):
-                owners = self.owners[self.owner_ends[w - 1] if w else 0 : self.owner_ends[w]]
-                items[t].append(owners)
-            items = [[self.names[x] for x in np.unique(np.concatenate(found)).tolist()] if found else [] for found in items]
+        return np.repeat(found, many), self.place[self.index.locate(rows)]
+
+
+def search(texts: pa.Array, number: dict[bytes, int], panels: list[Panel]) -> tuple[list[int], list[list[dict]], list[list[str]]]:
+    """By text: number of words, merged spans, items with a window that occurs."""
+    raw = texts.cast(pa.large_binary()).to_pylist()
+    ids: list[int] = []
+    sizes = []
+    for t in raw:
+        found = words(t)
+        sizes.append(len(found))
+        ids.extend(map(number.get, found, repeat(0)))
+    text = np.repeat(np.arange(len(raw)), sizes)
+    spans: list[list[dict]] = [[] for _ in raw]
+    items: list[list[str]] = [[] for _ in raw]
+    if not panels:
         return sizes, spans, items
-
-
-def panels(benchmark: DataFrame, id_col: str, text: str, panel_words: int) -> Iterator[Panel]:
-    part, size = [], 0
+    shard = Shard(np.array(ids, np.int64), text, min(int(p.length.min()) for p in panels))
+    cover = np.zeros(len(ids) + 1, np.int64)
+    for panel in panels:
+        window, first = shard.occurrences(panel)
+        if len(window):
+            np.add.at(cover, first, 1)
+            np.add.at(cover, first + panel.length[window], -1)
+            panel.items(text[first], window, items)
+    hit = np.cumsum(cover[:-1]) > 0
+    edge = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1] & (text[1:] == text[:-1])])) if len(hit) else np.zeros(0, np.int64)
+    stop = np.flatnonzero(hit & ~np.concatenate([hit[1:] & (text[1:] == text[:-1]), [False]])) + 1 if len(hit) else edge
+    base = np.cumsum(sizes) - sizes
+    for t in np.unique(text[edge]).tolist():
+        places = [m.span() for m in WORD.finditer(raw[t].decode())]
+        mine = text[edge] == t
+        for a, b in zip((edge[mine] - base[t]).tolist(), (stop[mine] - base[t]).tolist(), strict=True):
+            spans[t].append({"first_word": a, "end_word": b, "start": places[a][0], "end": places[b - 1][1]})
+    return sizes, spans, [sorted(set(found)) for found in items]
+
+
+def read(benchmark: DataFrame, id_col: str, text: str, panel_words: int) -> tuple[dict[bytes, int], list[Panel]]:
+    """The vocabulary of all items, and their windows in panels."""
+    number: dict[bytes, int] = {}
+    panels, part, size = [], [], 0
     for row in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text).alias("t")).where("t IS NOT NULL").toLocalIterator():
         if found := words(row.t.encode()):
             part.append((row.i, found))
             size += len(found)
         if size >= panel_words:
-            yield Panel(part)
+            panels.append(Panel(part, number))
             part, size = [], 0
-    if part:
-        yield Panel(part)
+    return number, panels + ([Panel(part, number)] if part else [])
 
 
 def detect(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_col: str = "item_id", item_text: str = "text", panel_words: int = PANEL_WORDS) -> DataFrame:
-    """docs with n_words, hits (merged spans, in words and in code points, a panel's after another's), items, n_hit, contaminated."""
+    """docs with n_words, hits (merged spans, in words and in code points), items, n_hit, contaminated."""
     context = docs.sparkSession.sparkContext
-    sent = [context.broadcast(p) for p in panels(benchmark, item_col, item_text, panel_words)]  # panel_words at most each
+    number, panels = read(benchmark, item_col, item_text, panel_words)
+    sent = context.broadcast(number), [context.broadcast(p) for p in panels]  # the benchmark is taken to be the small side
     fields = [T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(HIT)), T.StructField("items", T.ArrayType(T.StringType()))]
 
     def make():
         """One pass over the texts for all panels."""
-
-        def work(texts: pa.Array) -> list:
-            if not sent:
-                return [[len(words(t)) for t in texts.cast(pa.large_binary()).to_pylist()], [[]] * len(texts), [[]] * len(texts)]
-            found = [panel.value.search(texts) for panel in sent]
-            hits = [sorted((h for part in parts for h in part), key=lambda h: (h["first_word"], h["end_word"])) for parts in zip(*(f[1] for f in found), strict=True)]
-            return [found[0][0], hits, [sorted({x for part in parts for x in part}) for parts in zip(*(f[2] for f in found), strict=True)]]
-
-        return work
+        known, parts = sent[0].value, [p.value for p in sent[1]]
+        return lambda texts: list(search(texts, known, parts))
 
     out = append(docs, text, fields, make)
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto"))
-    step = lambda s, h: F.struct((s["n"] + F.greatest(F.lit(0), h["end_word"] - F.greatest(h["first_word"], s["upto"]))).alias("n"), F.greatest(s["upto"], h["end_word"]).alias("upto"))
-    out = out.withColumn("n_hit", F.aggregate("hits", zero, step)["n"].cast("long"))
+    hit = F.aggregate("hits", F.lit(0), lambda n, h: n + h["end_word"] - h["first_word"])
+    out = out.withColumn("n_hit", hit.cast("long"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (ONE_IN * F.col("n_hit") >= F.col("n_words")))
 
 

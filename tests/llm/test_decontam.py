@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -74,6 +75,22 @@ def test_report(spark):
     assert decontam.without(docs, bench).columns == docs.columns
 
 
+def test_panels_share_one_index(monkeypatch):
+    """However many panels: the same words, spans and items, and each shard is indexed once."""
+    rng = np.random.default_rng(3)
+    word = lambda: f"w{rng.integers(40)}"
+    items = [(str(k), [word().encode() for _ in range(int(rng.integers(1, 30)))]) for k in range(60)]
+    texts = pa.array([" ".join([word() for _ in range(int(rng.integers(0, 60)))] + [x.decode() for x in items[int(rng.integers(60))][1]]) for _ in range(50)], pa.large_string())
+    made = []
+    monkeypatch.setattr(decontam, "FMIndex", lambda runs: made.append(1) or FMIndex(runs))
+    got = []
+    for size in (1, 7, 60):
+        number: dict = {}
+        panels = [decontam.Panel(items[i : i + size], number) for i in range(0, 60, size)]
+        got.append(decontam.search(texts, number, panels))
+    assert got[0] == got[1] == got[2] and len(made) == 3 and any(got[0][2])
+
+
 def test_tables(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     windows = windows_of([tuple(r) for r in bench.collect()])
