@@ -57,6 +57,8 @@ AXES = 64
 PART = 1_000
 BATCH = 128
 LIKELY = 4
+#: Words of short lists that are sorted at once.
+SORTED = 1 << 19
 #: Sums of 32 bits are right to less than this; smaller cosines than LEAST are none.
 SLACK = 2e-5
 LEAST = 1e-6
@@ -152,10 +154,15 @@ class Index:
             self.dense[self.place[r], c] = w
         self.dense = self.dense.reshape(self.blocks, size, len(long))
         self.most = self.dense.max(axis=1)
-        short = np.flatnonzero(self.column[terms] < 0)
-        short = short[np.argsort(terms[short].astype(np.int64) * n + self.place[row[short]])]
-        self.at, self.weight = self.place[row[short]], weights[short]
-        self.start = np.searchsorted(terms[short], np.arange(n_terms + 1))
+        many = np.where(self.column < 0, np.bincount(terms, minlength=n_terms), 0)
+        self.start = np.concatenate([[0], np.cumsum(many)]).astype(np.int64)
+        self.at, self.weight = np.empty(self.start[-1], np.int32), np.empty(self.start[-1], np.float32)
+        cuts = np.unique(np.searchsorted(self.start, np.arange(0, self.start[-1] + SORTED, SORTED)).clip(0, n_terms))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # some terms at a time, so that no key is held for all words
+            mine = np.flatnonzero((terms >= a) & (terms < b) & (self.column[terms] < 0))
+            mine = mine[np.argsort(terms[mine].astype(np.int64) * n + self.place[row[mine]])]
+            here = slice(self.start[a], self.start[b])
+            self.at[here], self.weight[here] = self.place[row[mine]], weights[mine]
 
     def __setstate__(self, state: dict) -> None:
         """Tasks add up numbers of 64 bits, which are sent as 32."""
@@ -365,6 +372,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str =
         votes[at][int(label)] += 1
     packs = [p.take(pa.array(same)) for p in packs]
     del got, row
+    pa.default_memory_pool().release_unused()
     votes = np.array(votes, float)
     ends, every = buffers(packs[0])
     ends, every = ends // 8, every.view(np.uint64)
@@ -376,6 +384,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str =
         terms[a : a + (1 << 18)] = np.searchsorted(hashes, every[a : a + (1 << 18)])
         tf[a : a + (1 << 18)] = 1 + np.log(times[a : a + (1 << 18)])
     del packs, every, times
+    pa.default_memory_pool().release_unused()
     total = docs.count()
     counted = document_counts(docs, text, spark.sparkContext.broadcast(hashes)).toArrow()  # a row a word of the examples
     n = np.zeros(len(hashes))
