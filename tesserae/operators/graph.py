@@ -82,6 +82,30 @@ def flow_paths(starts: DataFrame, edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, found)
 
 
+def flow_reach(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """flow, kind (question or conclusion), name, depth: all that can be reached, and in how few steps. Linear in the flow's options a step,
+    however many ways there are.
+
+    Each round meets only the questions that are new; it is checkpointed, and ends when none is.
+    """
+    ensure_checkpoint_dir(edges.sparkSession)
+    new = starts.select("flow", "question").distinct().checkpoint()
+    seen, depth = new.withColumn("depth", F.lit(0)), 0
+    ends = []
+    while not new.isEmpty():
+        depth += 1
+        step = new.join(edges, ["flow", "question"]).select("flow", "next", "conclude").distinct().checkpoint()
+        ends.append(step.where("conclude IS NOT NULL").select("flow", "conclude", F.lit(depth).alias("depth")).distinct())
+        asked = step.where("next IS NOT NULL").select("flow", F.col("next").alias("question")).distinct()
+        new = asked.join(seen.select("flow", "question"), ["flow", "question"], "left_anti").checkpoint()
+        seen = seen.union(new.withColumn("depth", F.lit(depth))).checkpoint()
+    questions = seen.select("flow", F.lit("question").alias("kind"), F.col("question").alias("name"), "depth")
+    if not ends:
+        return questions
+    last = reduce(DataFrame.union, ends).groupBy("flow", "conclude").agg(F.min("depth").alias("depth"))
+    return questions.union(last.select("flow", F.lit("conclusion"), "conclude", "depth"))
+
+
 def flow_faults(edges: DataFrame, conclusions: DataFrame) -> DataFrame:
     """kind, flow, name: options that lead nowhere, and conclusions that nothing leads to."""
     questions = edges.select("flow", F.col("question").alias("next")).distinct()

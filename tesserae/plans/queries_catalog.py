@@ -445,6 +445,15 @@ def flow_paths(spark: SparkSession, d: str) -> DataFrame:
     return graph.flow_paths(edges.select("flow", F.lit("q0").alias("question")).distinct(), edges)
 
 
+@query(f"""WITH RECURSIVE walk AS (SELECT DISTINCT flow, 'q0' AS question, 0 AS depth FROM {FLOWS_SQL} UNION SELECT w.flow, e.next, w.depth + 1 FROM walk w JOIN {FLOWS_SQL} ON w.flow = e.flow AND w.question = e.question WHERE e.next IS NOT NULL AND w.depth < 30)
+  SELECT flow, 'question' AS kind, question AS name, min(depth)::INT AS depth FROM walk GROUP BY ALL
+  UNION ALL SELECT w.flow, 'conclusion', e.conclude, (min(w.depth) + 1)::INT FROM walk w JOIN {FLOWS_SQL} ON w.flow = e.flow AND w.question = e.question WHERE e.conclude IS NOT NULL GROUP BY ALL""")
+def flow_reach(spark: SparkSession, d: str) -> DataFrame:
+    """What can be reached from each flow's first question, and in how few steps."""
+    edges = flows(spark, d)
+    return graph.flow_reach(edges.select("flow", F.lit("q0").alias("question")).distinct(), edges)
+
+
 @query(f"""WITH f AS (SELECT * FROM {FLOWS_SQL}), k AS (SELECT * FROM {CONCLUSIONS}) SELECT DISTINCT 'question' AS kind, flow, next AS name FROM f WHERE next IS NOT NULL AND (flow, next) NOT IN (SELECT (flow, question) FROM f)
   UNION ALL SELECT DISTINCT 'conclusion', flow, conclude FROM f WHERE conclude IS NOT NULL AND (flow, conclude) NOT IN (SELECT (flow, conclude) FROM k)
   UNION ALL SELECT DISTINCT 'unreached', flow, conclude FROM k WHERE (flow, conclude) NOT IN (SELECT (flow, conclude) FROM f WHERE conclude IS NOT NULL)""")

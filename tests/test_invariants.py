@@ -102,6 +102,14 @@ def test_flow_paths(spark):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 5
 
 
+def test_flow_reach_in_a_dense_flow(spark):
+    """Every question leads to every other one: far too many ways to list, and few questions."""
+    edges = spark.createDataFrame([("f", f"q{i}", j, f"q{j}", None) for i in range(40) for j in range(40)] + [("f", "q39", 99, None, "c")], "flow string, question string, opt int, next string, conclude string")
+    got = {(r.kind, r.name): r.depth for r in graph.flow_reach(spark.createDataFrame([("f", "q0"), ("g", "q0")], "flow string, question string"), edges).collect() if r.flow == "f"}
+    assert got == {("question", "q0"): 0, ("conclusion", "c"): 2} | {("question", f"q{i}"): 1 for i in range(1, 40)}
+    assert graph.flow_reach(spark.createDataFrame([], "flow string, question string"), edges).count() == 0
+
+
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet="abé ", max_size=8), max_size=12), st.lists(st.text(alphabet="abé ", max_size=5), max_size=12))
 def test_substring_join(spark, texts, parts):
