@@ -125,12 +125,12 @@ class Index:
         """Row i has terms[ends[i]:ends[i + 1]] with these weights, of any length; weights are changed."""
         n = self.n = len(ends) - 1
         self.blocks, self.size = -(-n // size), size
-        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(ends))
+        rows = lambda a, b: np.repeat(np.arange(a, b), np.diff(ends[a : b + 1]))  # noqa: E731  of the words of rows a to b - 1
         weights = weights.astype(np.float32, copy=False)
         for a in range(0, n, PART):  # rows at a time, so that no array of double numbers is as long as all words
-            at = slice(ends[a], ends[min(n, a + PART)])
-            norm = np.sqrt(np.bincount(row[at] - a, weights[at].astype(float) ** 2, min(n, a + PART) - a))
-            weights[at] /= np.where(norm > 0, norm, 1.0).astype(np.float32)[row[at] - a]
+            at, row = slice(ends[a], ends[min(n, a + PART)]), rows(a, min(n, a + PART)) - a
+            norm = np.sqrt(np.bincount(row, weights[at].astype(float) ** 2, min(n, a + PART) - a))
+            weights[at] /= np.where(norm > 0, norm, 1.0).astype(np.float32)[row]
         long = np.argsort(-np.bincount(terms, minlength=n_terms), kind="stable")[:columns]
         self.column = np.full(n_terms, -1, np.int32)
         self.column[long] = np.arange(len(long))
@@ -141,7 +141,7 @@ class Index:
                 at = slice(ends[a], ends[min(n, a + PART)])
                 column = self.column[terms[at]]
                 held = np.flatnonzero((column >= 0) & (column < columns))
-                yield row[at][held], column[held], weights[at][held]
+                yield rows(a, min(n, a + PART))[held], column[held], weights[at][held]
 
         axes = np.zeros((n, min(AXES, len(long))), np.float32)
         for r, c, w in cells(AXES):
@@ -154,15 +154,17 @@ class Index:
             self.dense[self.place[r], c] = w
         self.dense = self.dense.reshape(self.blocks, size, len(long))
         self.most = self.dense.max(axis=1)
-        many = np.where(self.column < 0, np.bincount(terms, minlength=n_terms), 0)
+        short = self.column < 0
+        many = np.where(short, np.bincount(terms, minlength=n_terms), 0)
         self.start = np.concatenate([[0], np.cumsum(many)]).astype(np.int64)
         self.at, self.weight = np.empty(self.start[-1], np.int32), np.empty(self.start[-1], np.float32)
         cuts = np.unique(np.searchsorted(self.start, np.arange(0, self.start[-1] + SORTED, SORTED)).clip(0, n_terms))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # some terms at a time, so that no key is held for all words
-            mine = np.flatnonzero((terms >= a) & (terms < b) & (self.column[terms] < 0))
-            mine = mine[np.argsort(terms[mine].astype(np.int64) * n + self.place[row[mine]])]
+            mine = np.flatnonzero((terms >= a) & (terms < b) & short[terms])
+            place = self.place[np.searchsorted(ends, mine, side="right") - 1]
+            order = np.argsort(terms[mine].astype(np.int64) * n + place)
             here = slice(self.start[a], self.start[b])
-            self.at[here], self.weight[here] = self.place[row[mine]], weights[mine]
+            self.at[here], self.weight[here] = place[order], weights[mine[order]]
 
     def __setstate__(self, state: dict) -> None:
         """Tasks add up numbers of 64 bits, which are sent as 32."""
@@ -386,9 +388,12 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str =
     del packs, every, times
     pa.default_memory_pool().release_unused()
     total = docs.count()
-    counted = document_counts(docs, text, spark.sparkContext.broadcast(hashes)).toArrow()  # a row a word of the examples
+    known = spark.sparkContext.broadcast(hashes)
+    counted = document_counts(docs, text, known).toArrow()  # a row a word of the examples
+    known.destroy()
     n = np.zeros(len(hashes))
     n[counted["term"].to_numpy()] = counted["n"].to_numpy()
+    del counted
     held = np.zeros((2, len(hashes)))
     for r in range(0, len(ids), PART):
         at = slice(ends[r], ends[min(len(ids), r + PART)])
@@ -401,6 +406,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str =
     del terms, tf
     model.sent = spark.sparkContext.broadcast(model)  # TRAIN_ROWS examples and their words
     model.calibrate(*leave_one_out(spark, model))
+    model.index = None  # the tasks have it
     return model
 
 
