@@ -25,11 +25,16 @@ THRESHOLD = 0.7
 WANTED = np.arange(len(FEATURES))
 
 
-def sample(labels: DataFrame, target: str, rows: int = TRAIN_ROWS, id_col: str = "doc_id") -> DataFrame:
-    """At most `rows` labelled ids that are not held out, chosen by a seeded hash; ids with contrary labels are left out."""
+def labelled(labels: DataFrame, target: str, id_col: str = "doc_id") -> DataFrame:
+    """Labelled ids that are not held out, with _y; ids with contrary labels are left out."""
     one = labels.where(F.col(id_col).isNotNull() & F.col(target).isin(0, 1) & ~held_out(F.col(id_col)))
     one = one.groupBy(F.col(id_col)).agg(F.min(target).alias("_low"), F.max(target).alias("_y")).where("_low = _y")
-    return one.select(id_col, "_y").orderBy(F.xxhash64(F.lit(17), F.col(id_col)), id_col).limit(rows)
+    return one.select(id_col, "_y")
+
+
+def sample(labels: DataFrame, target: str, rows: int = TRAIN_ROWS, id_col: str = "doc_id") -> DataFrame:
+    """At most `rows` of the labelled ids, chosen by a seeded hash."""
+    return labelled(labels, target, id_col).orderBy(F.xxhash64(F.lit(17), F.col(id_col)), id_col).limit(rows)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, target: str, id_col: str, text: str, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:

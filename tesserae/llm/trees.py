@@ -87,13 +87,22 @@ def mean_path(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
 
 
-def isolate(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 7) -> dict:
-    """Random splits of random samples; a leaf's value is its path length, with the mean path of what it still holds."""
+def draws(n: int, trees: int, sample: int, seed: int = 11) -> np.ndarray:
+    """The places, of n, that each tree draws: a row a tree, without repeats in it."""
     rng = np.random.default_rng(seed)
-    sample = min(sample, len(x))
+    return np.array([rng.choice(n, min(sample, n), replace=False, shuffle=False) for _ in range(trees)])
+
+
+def isolate(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 7, picked: np.ndarray | None = None) -> dict:
+    """Random splits of random samples; a leaf's value is its path length, with the mean path of what it still holds.
+
+    picked: the rows of x that each tree draws, where x holds only what is drawn.
+    """
+    rng = np.random.default_rng(seed)
+    sample = min(sample, len(x)) if picked is None else picked.shape[1]
     depth = max(1, int(np.ceil(np.log2(max(2, sample)))))
     out = []
-    for _ in range(trees):
+    for k in range(trees):
         nodes = []
 
         def grow(part: np.ndarray, level: int, nodes=nodes) -> int:
@@ -110,7 +119,7 @@ def isolate(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 7) -
                     nodes[me] = (j, t, left, right, 0.0)
             return me
 
-        grow(x[rng.choice(len(x), sample, replace=False)], 0)
+        grow(x[rng.choice(len(x), sample, replace=False) if picked is None else picked[k]], 0)
         out.append(nodes)
     return flat(out, depth) | {"norm": max(1e-9, mean_path(sample)), "trees": trees}
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tesserae.llm import docstats, quality, rules, trees
 
@@ -156,3 +157,26 @@ def test_leaves_hold_path_lengths():
             where.setdefault((at, steps), []).append(i)
         for (at, steps), rows in where.items():
             assert np.isclose(forest["value"][t, at], steps + trees.mean_path(len(rows)))
+
+
+def test_rules_learn_from_all_labelled_rows(spark):
+    """More labelled rows than a fit ever held at once: the threshold is that of all of them."""
+    n = 28_000
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(14)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("doc_id", i), F.lit(40)).cast("string"))), F.repeat(F.lit("#"), (F.pmod(F.xxhash64("doc_id"), F.lit(97)) / 8).cast("int")))
+    docs = spark.range(n).select(F.col("id").alias("doc_id")).withColumn("text", text)
+    labels = docs.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(97)) < 90).cast("int").alias("quality"))
+    model = rules.fit(docs, labels)
+    learnt = {r.doc_id: r.quality for r in labels.where("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").collect()}
+    assert len(learnt) > quality.TRAIN_ROWS
+    rows = [r for r in docs.collect() if r.doc_id in learnt]
+    c = docstats.counts(pa.array([r.text for r in rows], pa.large_string()))
+    score = np.round(trees.anomaly(model, docstats.features(c)[:, rules.USED]), 9)
+    y = np.array([learnt[r.doc_id] for r in rows])
+    used = (c["n_words"] >= 10) & (100 * c["n_repeat_words"] <= 20 * c["n_words"])
+    score, y = score[used], y[used]
+    good, bad = np.sort(score[y == 1]), np.sort(score[y == 0])
+    cuts = np.unique(score[score >= good[int(np.ceil((1 - rules.MOST_LOST) * (len(good) - 1)))]])
+    gain = (len(bad) - np.searchsorted(bad, cuts, side="right")) * len(good) - (len(good) - np.searchsorted(good, cuts, side="right")) * len(bad)
+    at = int(np.argmax(gain))
+    want = (cuts[at] + (cuts[at + 1] if at + 1 < len(cuts) else cuts[at] + 1e-9)) / 2
+    assert abs(model["cut"] - want) < 1e-12 and 0 < at < len(cuts) - 1
