@@ -57,3 +57,30 @@ def test_all_facets_as_one_by_one(spark):
             assert {v: n for (f, v), n in have.items() if f == facet} == want, (spec, facet)
         tags = spec.apply(cards, concrete, "other").select(F.explode(F.array_distinct("tags")).alias("t")).where(~F.col("t").isin(concrete))
         assert {v: n for (f, v), n in have.items() if f == "tag" and v is not None} == {r.t: r["count"] for r in tags.groupBy("t").count().collect()}
+
+
+def test_grams_are_made_in_all_partitions(spark, tmp_path):
+    """A file that one task reads; blanks, line ends and characters beyond the basic plane against plain code."""
+    cards = some_cards(spark).union(spark.createDataFrame([(99_999, "\U0001f600 a\U0001f600b", None, None, ["\n", " "], "  \U0001f600", False), (99_998, None, None, None, None, None, False)], some_cards(spark).schema))
+    cards.coalesce(1).write.parquet(str(tmp_path / "c"))
+    read = spark.read.parquet(str(tmp_path / "c"))
+    texts = {r[0]: r[1].lower() for r in cards.select("id", search.indexed(cards)).collect()}
+    want = {(i, t[k : k + n]) for i, t in texts.items() for n in (2, 3) for k in range(len(t) - n + 1) if t[k] != " " and t[k + n - 1] != " "}
+    every = search.postings(read)
+    got = [(r.id, r.gram) for r in every.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert every.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > read.rdd.getNumPartitions()
+    lists = [(r.gram, r.block, r.n, r.places) for r in index.lists(read, block=5000).collect()]
+    assert all(n == len(p) and p == sorted(p) for _, _, n, p in lists) and len({x[:2] for x in lists}) == len(lists)
+    assert {(b * 5000 + at, g) for g, b, _, p in lists for at in p} == want
+
+
+def test_counts_of_grams_shuffle_no_postings(spark):
+    cards = some_cards(spark)
+    got = search.gram_stats(cards)
+    p = [(r.id, r.gram) for r in search.postings(cards).collect()]
+    assert tuple(got.first()) == (len({i for i, _ in p}), len({g for _, g in p if len(g) == 2}), len({g for _, g in p if len(g) == 3}))
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+    only = search.postings(cards, ["rin", "ed", "d r", "x", "no "])
+    assert sorted((r.id, r.gram) for r in only.collect()) == sorted((i, g) for i, g in p if g in {"rin", "ed", "d r"})
+    assert "transform(" not in only._jdf.queryExecution().executedPlan().toString()
