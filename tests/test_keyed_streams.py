@@ -1,5 +1,6 @@
 """Operators with state a key, on streams of many small batches in mixed order, against the same in batch."""
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -55,3 +56,53 @@ def test_state_machines():
     assert stepped(Flush(3, 100), events, 1000)[-1] == (5, 1, 900, 900, "gap")
     events = [(1, 1, 30.0, False), (2, 2, 60.0, True), (3, 3, 10.0, False), (4, 4, 99.0, False), (5, 5, 99.0, True)]
     assert stepped(Thresholds([25, 50]), events, 9) == [(0, 25, 1), (1, 25, 2), (1, 50, 2), (2, 25, 5), (2, 50, 5)]
+
+
+class Store:
+    """A list or a value of state, counting what is written."""
+
+    def __init__(self):
+        self.held, self.writes = [], 0
+
+    def appendValue(self, v):
+        self.held, self.writes = [*self.held, v], self.writes + 1
+
+    def appendList(self, vs):
+        self.held, self.writes = self.held + vs, self.writes + len(vs)
+
+    def put(self, vs):
+        self.held, self.writes = vs, self.writes + len(vs)
+
+    def clear(self):
+        self.held = []
+
+    def exists(self):
+        return bool(self.held)
+
+    def get(self):
+        return iter(self.held)
+
+
+class Value(Store):
+    def update(self, v):
+        self.held = [v]
+
+    def get(self):
+        return self.held[0] if self.held else None
+
+
+def test_waiting_events_are_few_values(spark):
+    """Events come in two parts out of order; what waits is written in chunks, and goes on in the order of time."""
+    machine, store, value, timers = Flush(3, 100), Store(), Value(), []
+    machine.pending, machine.state, machine.wake = store, value, timers.append
+    at = [900, 0, 430, 330, 320, 310, 300, 10]
+    for part in (at[:4] * 500, at[4:] * 500):
+        frame = pd.DataFrame({"micros": [t + 1000 * (i // 4) for i, t in enumerate(part)], "id": range(len(part)), "value": 0.0, "opens": False})
+        machine.handleInputRows(("k",), iter([frame]), None)
+    assert store.writes == 2 and timers == [0, 10]
+    now = lambda ms: type("Now", (), {"getCurrentWatermarkInMs": lambda self: ms})()
+    got = pd.concat([*machine.handleExpiredTimer(("k",), now(200), None), *machine.handleExpiredTimer(("k",), now(501), None)])
+    events = [(t + 1000 * k, 0, 0.0, False) for t in at for k in range(500)]
+    want = stepped(Flush(3, 100), events, 501_000)
+    assert [tuple(map(int, r)) for r in zip(got["batch"], got["n"], got["first_ts"].astype("int64"), got["last_ts"].astype("int64"), strict=True)] == [w[:4] for w in want]
+    assert list(got["why"]) == [w[4] for w in want] and set(got["key"]) == {"k"} and not store.held
