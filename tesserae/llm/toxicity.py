@@ -7,9 +7,9 @@
 2. Document frequencies come from all documents.
 3. Examples are at most TRAIN_ROWS labelled rows, those of the smallest seeded hash, never held-out ones. Examples of equal words and
    counts are one row of the index with two counts.
-4. Each term has a list of rows; the longest lists are laid out over blocks of alike rows, each with its largest weight in every block. The
-   short lists are added up first; of the long ones, only the blocks that these bounds allow to reach the k-th best cosine. So the
-   nearest rows are exact.
+4. Each term has a list of rows; rows are laid out in groups of alike ones, and each group's longest lists as its columns, with their largest
+   weight in every block. The short lists are added up first; of the columns, only the groups that these bounds allow to reach the k-th best
+   cosine. So the nearest rows are exact.
 5. The nearest examples vote by their distance; votes become probabilities by a monotone fit on leave-one-out votes. The score's evidence
    is the nearest examples' ids.
 
@@ -48,17 +48,19 @@ NEAREST = 15
 TELLING = 300.0
 #: Equal examples weigh together as their number to this power, however many they are.
 COPIES = 0.5
-#: Rows a block of the index; terms whose lists are laid out in blocks.
+#: Rows a block and a group of the index; terms whose lists are laid out as columns of a group.
 BLOCK_ROWS = 32
-COLUMNS = 512
+GROUP_ROWS = 1 << 10
+COLUMNS = 256
 #: The longest lists, by which rows are laid out so that those of a block are alike.
 AXES = 64
-#: Rows whose words are worked on at once while the index is built; vectors that are looked up at once; blocks that are added up at once.
+#: Rows whose words are worked on at once while the index is built; vectors that are looked up at once.
 PART = 1_000
 BATCH = 128
-LIKELY = 4
-#: Words of short lists that are sorted at once.
+#: Words of lists that are counted or sorted at once.
 SORTED = 1 << 19
+#: A row's place in the layout and its weight.
+ENTRY = np.dtype([("at", np.int32), ("weight", np.float32)])
 #: Sums of 32 bits are right to less than this; smaller cosines than LEAST are none.
 SLACK = 2e-5
 LEAST = 1e-6
@@ -117,74 +119,87 @@ def layout(rows: np.ndarray, size: int) -> np.ndarray:
 class Index:
     """Unit vectors by term. Rows are known by their position in what is given.
 
-    Every term has a list of its rows and weights. The COLUMNS longest lists are laid out as columns over blocks of alike rows, each with its
-    largest weight in every block; a block's column parts are added only where a block could reach the k-th best cosine.
+    Every term has a list of its rows and weights. Rows are laid out in blocks of alike rows, and some blocks are a group. What the `columns`
+    longest lists of a group hold there is laid out as columns of the group instead, with their largest weight in every block; a group's columns
+    are added only for the vectors with which one of its blocks could reach the k-th best cosine.
     """
 
-    def __init__(self, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int, size: int = BLOCK_ROWS, columns: int = COLUMNS):
+    def __init__(self, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int, size: int = BLOCK_ROWS, columns: int = COLUMNS, group: int = GROUP_ROWS):
         """Row i has terms[ends[i]:ends[i + 1]] with these weights, of any length; weights are changed."""
         n = self.n = len(ends) - 1
-        self.blocks, self.size = -(-n // size), size
+        self.blocks, self.size, self.group = -(-n // size), size, max(1, group // size)
         rows = lambda a, b: np.repeat(np.arange(a, b), np.diff(ends[a : b + 1]))  # noqa: E731  of the words of rows a to b - 1
         weights = weights.astype(np.float32, copy=False)
         for a in range(0, n, PART):  # rows at a time, so that no array of double numbers is as long as all words
             at, row = slice(ends[a], ends[min(n, a + PART)]), rows(a, min(n, a + PART)) - a
             norm = np.sqrt(np.bincount(row, weights[at].astype(float) ** 2, min(n, a + PART) - a))
             weights[at] /= np.where(norm > 0, norm, 1.0).astype(np.float32)[row]
-        long = np.argsort(-np.bincount(terms, minlength=n_terms), kind="stable")[:columns]
-        self.column = np.full(n_terms, -1, np.int32)
-        self.column[long] = np.arange(len(long))
-
-        def cells(columns: int):
-            """Row, column and weight of what the first columns hold, some rows at a time."""
-            for a in range(0, n, PART):
-                at = slice(ends[a], ends[min(n, a + PART)])
-                column = self.column[terms[at]]
-                held = np.flatnonzero((column >= 0) & (column < columns))
-                yield rows(a, min(n, a + PART))[held], column[held], weights[at][held]
-
-        axes = np.zeros((n, min(AXES, len(long))), np.float32)
-        for r, c, w in cells(AXES):
-            axes[r, c] = w
+        columns = min(columns, n_terms)
+        every = np.zeros(n_terms, np.int64)
+        for a in range(0, len(terms), SORTED):
+            every += np.bincount(terms[a : a + SORTED], minlength=n_terms)
+        axis = np.full(n_terms, -1, np.int32)
+        longest = np.argsort(-every, kind="stable")[: min(AXES, columns)]
+        axis[longest] = np.arange(len(longest))
+        axes = np.zeros((n, len(longest)), np.float32)
+        for a in range(0, n, PART):
+            at = slice(ends[a], ends[min(n, a + PART)])
+            held = np.flatnonzero(axis[terms[at]] >= 0)
+            axes[rows(a, min(n, a + PART))[held], axis[terms[at][held]]] = weights[at][held]
         self.order = layout(axes, size).astype(np.int32)
         self.place = np.argsort(self.order).astype(np.int32)
-        del axes
-        self.dense = np.zeros((self.blocks * size, len(long)), np.float32)
-        for r, c, w in cells(len(long)):
-            self.dense[self.place[r], c] = w
-        self.dense = self.dense.reshape(self.blocks, size, len(long))
-        self.most = self.dense.max(axis=1)
-        short = self.column < 0
-        many = np.where(short, np.bincount(terms, minlength=n_terms), 0)
-        self.start = np.concatenate([[0], np.cumsum(many)]).astype(np.int64)
-        self.at, self.weight = np.empty(self.start[-1], np.int32), np.empty(self.start[-1], np.float32)
+        del axes, axis
+        each = self.group * size
+        chosen = np.zeros((-(-n // each), columns), np.int64)  # by group, the terms that are columns
+        for g in range(len(chosen)):
+            mine = [terms[ends[r] : ends[r + 1]] for r in self.order[g * each : (g + 1) * each].tolist()]
+            chosen[g] = np.argsort(-np.bincount(np.concatenate(mine), minlength=n_terms), kind="stable")[:columns]
+        self.long = np.unique(chosen)  # the terms that are columns of any group
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[self.long] = np.arange(len(self.long))
+        self.columns = self.column[chosen]
+        where = np.full((len(chosen), len(self.long)), -1, np.int32)
+        where[np.arange(len(chosen))[:, None], self.columns] = np.arange(columns)
+        self.dense = np.zeros((self.blocks * size, columns), np.float32)
+        short = np.ones(len(terms), bool)
+        for a in range(0, n, PART):
+            at = slice(ends[a], ends[min(n, a + PART)])
+            place, column = self.place[rows(a, min(n, a + PART))], self.column[terms[at]]
+            held = np.flatnonzero(column >= 0)
+            to = where[place[held] // each, column[held]]
+            held, to = held[to >= 0], to[to >= 0]
+            self.dense[place[held], to] = weights[at][held]
+            short[at][held] = False
+            every -= np.bincount(terms[at][held], minlength=n_terms)
+        self.most = self.dense.reshape(self.blocks, size, columns).max(axis=1)
+        self.start = np.concatenate([[0], np.cumsum(every)]).astype(np.int64)
+        self.entries = np.empty(self.start[-1], ENTRY)
         cuts = np.unique(np.searchsorted(self.start, np.arange(0, self.start[-1] + SORTED, SORTED)).clip(0, n_terms))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # some terms at a time, so that no key is held for all words
-            mine = np.flatnonzero((terms >= a) & (terms < b) & short[terms])
+            mine = np.flatnonzero((terms >= a) & (terms < b) & short)
             place = self.place[np.searchsorted(ends, mine, side="right") - 1]
             order = np.argsort(terms[mine].astype(np.int64) * n + place)
             here = slice(self.start[a], self.start[b])
-            self.at[here], self.weight[here] = place[order], weights[mine[order]]
+            self.entries["at"][here], self.entries["weight"][here] = place[order], weights[mine[order]]
 
     def __setstate__(self, state: dict) -> None:
-        """Tasks add up numbers of 64 bits, which are sent as 32."""
-        self.__dict__ = state | {"at": state["at"].astype(np.int64), "weight": state["weight"].astype(float)}
+        """Tasks use the arrays as they are sent."""
+        self.__dict__ = dict(state)
 
     def vectors(self, first: int, last: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
         """Rows first to last - 1: their terms, weights and length, 1."""
         out = []
-        long = np.argsort(self.column, kind="stable")[len(self.column) - self.dense.shape[2] :]
-        rows = self.order[self.at]
+        rows = self.order[self.entries["at"]]
         mine = np.flatnonzero((rows >= first) & (rows < last))
-        rows, weights = rows[mine], self.weight[mine]
+        rows, weights = rows[mine], self.entries["weight"][mine]
         terms = np.searchsorted(self.start, mine, side="right") - 1
         by = np.argsort(rows, kind="stable")
         ends = np.searchsorted(rows[by], np.arange(first, last + 1))
         for r in range(first, last):
             at = by[ends[r - first] : ends[r - first + 1]]
-            dense = self.dense.reshape(self.blocks * self.size, self.dense.shape[2])[self.place[r]]
+            dense, group = self.dense[self.place[r]], self.place[r] // (self.group * self.size)
             held = np.flatnonzero(dense)
-            found = np.concatenate([terms[at], long[held]])
+            found = np.concatenate([terms[at], self.long[self.columns[group, held]]])
             order = np.argsort(found)
             out.append((found[order], np.concatenate([weights[at], dense[held]])[order], 1.0))
         return out
@@ -202,52 +217,63 @@ class Index:
     def _nearest(self, queries: list, k: int, without: list) -> list[tuple[np.ndarray, np.ndarray]]:
         if not self.n:
             return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
-        width = self.dense.shape[2]
-        q = np.zeros((len(queries), width))
-        short = np.zeros((len(queries), self.blocks, self.size))  # what the short lists add up to
+        q = np.zeros((len(queries), len(self.long)))
+        short = np.zeros((len(queries), self.blocks * self.size))  # what the short lists add up to
         for i, (terms, weights, length) in enumerate(queries):
             weights = weights / (length or 1.0)
             column = self.column[terms]
             q[i, column[column >= 0]] = weights[column >= 0]
-            starts, stops = self.start[terms], self.start[terms + 1]
-            lists = [slice(a, b) for a, b in zip(starts.tolist(), stops.tolist(), strict=True) if b > a]
-            if lists:
-                share = np.repeat(weights, stops - starts)
-                share *= np.concatenate([self.weight[x] for x in lists])
-                short[i] = np.bincount(np.concatenate([self.at[x] for x in lists]), share, self.blocks * self.size).reshape(self.blocks, self.size)
+            starts, many = self.start[terms], self.start[terms + 1] - self.start[terms]
+            ends = np.cumsum(many)
+            if len(ends) and ends[-1]:
+                at = np.repeat(starts - ends + many, many)  # the places of all entries of all lists, each taken as one number
+                at += np.arange(len(at))
+                entries = self.entries.view(np.int64).take(at, mode="clip").view(ENTRY)
+                share = np.repeat(weights, many)
+                share *= entries["weight"]
+                short[i] = np.bincount(entries["at"], share, self.blocks * self.size)
             if without[i] is not None:
-                short[i][divmod(int(self.place[without[i]]), self.size)] = -2.0
-        q32 = q.astype(np.float32)
-        bound = short.max(axis=2)
-        # the k-th best is no less than the k-th largest of the blocks' best rows, of which the likeliest blocks' are known at once
-        full = np.full(short.shape, -1.0)
-        bound += q32 @ self.most.T
-        likely = np.argpartition(-bound, min(max(1, LIKELY), self.blocks - 1), axis=1)[:, : max(1, LIKELY)]
-        for i, blocks in enumerate(likely):
-            full[i, blocks] = short[i, blocks] + (self.dense[blocks].reshape(len(blocks) * self.size, width) @ q32[i]).reshape(len(blocks), self.size)
-        least = np.maximum(self.kth(full[np.arange(len(queries))[:, None], likely].reshape(len(queries), -1), k), self.kth(short.max(axis=2), k))
+                short[i, self.place[without[i]]] = -2.0
+        q32, full = q.astype(np.float32), short.astype(np.float32)
+        best = lambda: np.maximum.reduceat(full, np.arange(0, full.shape[1], self.size), axis=1)  # noqa: E731  of each block
+        groups = [(slice(b, b + self.group), slice(b * self.size, (b + self.group) * self.size)) for b in range(0, self.blocks, self.group)]
+        bound = best()
+        least = self.kth(bound, k)
+        for columns, (blocks, _) in zip(self.columns, groups, strict=True):
+            bound[:, blocks] += q32[:, columns] @ self.most[blocks].T
+        bound = np.maximum.reduceat(bound, [blocks.start for blocks, _ in groups], axis=1)
+        # the k-th best is no less than that of the likeliest group
+        likely = bound.argmax(axis=1)
+
+        def add(g: int, mine: np.ndarray) -> None:
+            rows = groups[g][1]
+            full[mine, rows] += q32[mine[:, None], self.columns[g]] @ self.dense[rows].T
+
+        for g in np.unique(likely).tolist():
+            mine = np.flatnonzero(likely == g)
+            add(g, mine)
+            least[mine] = np.maximum(least[mine], self.kth(full[mine, groups[g][1]], k))
         open_ = bound >= np.maximum(least - SLACK, LEAST / 2)[:, None]
-        open_[np.arange(len(queries))[:, None], likely] = False
-        for b in np.flatnonzero(open_.any(axis=0)).tolist():
-            rows = np.flatnonzero(open_[:, b])
-            full[rows, b] = short[rows, b] + q32[rows] @ self.dense[b].T
-        return [self.best(short[i], full[i], q[i], k) for i in range(len(queries))]
+        open_[np.arange(len(queries)), likely] = False
+        for g in np.flatnonzero(open_.any(axis=0)).tolist():
+            add(g, np.flatnonzero(open_[:, g]))
+        most = best()
+        return [self.best(short[i], full[i], most[i], q[i], k) for i in range(len(queries))]
 
     @staticmethod
     def kth(x: np.ndarray, k: int) -> np.ndarray:
-        return np.partition(x, -k, axis=1)[:, -k] if x.shape[1] >= k else np.full(len(x), -1.0)
+        return np.partition(x, -k, axis=1)[:, -k] if x.shape[1] >= k else np.full(len(x), -1.0, x.dtype)
 
-    def best(self, short: np.ndarray, full: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def best(self, short: np.ndarray, full: np.ndarray, most: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The first k rows; sums of 32 bits propose them, each one's cosine is added up anew in 64."""
-        most = full.max(axis=1)
         blocks = np.flatnonzero(most >= LEAST / 2)
         if len(blocks) > k:
             blocks = np.flatnonzero(most >= max(LEAST / 2, np.partition(most, -k)[-k] - SLACK))
-        got = full[blocks].ravel()
+        got = full.reshape(self.blocks, self.size)[blocks].ravel()
         least = max(LEAST / 2, np.partition(got, -k)[-k] - SLACK if len(got) > k else 0.0)
         at = np.flatnonzero(got >= least)
         at = blocks[at // self.size] * self.size + at % self.size
-        cosine = np.round(short.ravel()[at] + (self.dense.reshape(self.blocks * self.size, len(q))[at] * q).sum(axis=1), 6)
+        cosine = np.round(short[at] + (self.dense[at] * q[self.columns[at // (self.group * self.size)]]).sum(axis=1), 6)
         rows = self.order[at]
         order = np.lexsort((rows, -cosine))
         order = order[cosine[order] >= LEAST][:k]
@@ -329,7 +355,11 @@ def document_counts(docs: DataFrame, text: str, hashes: Broadcast) -> DataFrame:
         n = np.zeros(len(known) + 1, np.int64)  # the last one: words that no example holds
         for batch in batches:
             for part in row_blocks(batch, text):
-                n += np.bincount(numbers(known, bags(filled(part.column(0)).to_pylist())[1]) % len(n), minlength=len(n))
+                found = Counter()  # the block's words, each hashed once
+                for whole in filled(part.column(0)).to_pylist():
+                    found.update(set(words(whole)))
+                at = numbers(known, np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))) % len(n)
+                np.add.at(n, at, np.fromiter(found.values(), np.int64, len(found)))
         seen = np.flatnonzero(n[:-1])
         for s in range(0, len(seen), 1 << 16):
             part = seen[s : s + (1 << 16)]

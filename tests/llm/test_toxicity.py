@@ -34,6 +34,33 @@ def test_nearest_is_exact(vectors, query, k, size, columns, left):
     assert np.allclose(got, want, atol=3e-6) and np.allclose(cosine[rows], got, atol=3e-6)
 
 
+@settings(max_examples=100, deadline=None)
+@given(VECTORS, VECTORS, st.integers(1, 20), st.sampled_from([1, 4]), st.sampled_from([0, 2, 5]), st.sampled_from([4, 16]))
+def test_nearest_is_exact_in_groups(vectors, queries, k, size, columns, group):
+    """Many vectors at once, against groups of rows that each have columns of their own."""
+    table = lambda rows: np.array([[(t + 1) * v.get(t, 0) for t in range(12)] for v in rows], float)
+    dense, q = table(vectors), table(queries)
+    ends = np.cumsum([0, *map(len, vectors)])
+    terms = np.array([t for v in vectors for t in v], np.int64)
+    index = toxicity.Index(ends, terms, dense[np.repeat(np.arange(len(vectors)), np.diff(ends)), terms], 12, size, columns, group)
+    unit = lambda m: m / np.maximum(1e-300, np.linalg.norm(m, axis=-1, keepdims=True))
+    cosines = unit(q) @ unit(dense).T
+    asked = [(np.array(sorted(v), np.int64), row[sorted(v)], np.linalg.norm(row)) for v, row in zip(queries, q, strict=True)]
+    for (rows, got), cosine in zip(index.nearest(asked, k), cosines, strict=True):
+        assert np.allclose(got, np.sort(cosine[cosine > 1e-4])[::-1][:k], atol=3e-6) and np.allclose(cosine[rows], got, atol=3e-6)
+    for (found, weights, _), row in zip(index.vectors(0, len(vectors)), unit(dense), strict=True):
+        assert found.tolist() == np.flatnonzero(row).tolist() and np.allclose(weights, row[found], atol=1e-6)
+
+
+def test_frequent_words_of_each_group_are_columns():
+    """Four languages of rows: what a language's rows often hold is in no list, however many words the others have."""
+    rng = np.random.default_rng(5)
+    words = [np.unique(np.concatenate([16 * (i % 4) + rng.integers(0, 16, 12), [64 + i]])) for i in range(512)]
+    terms, ends = np.concatenate(words), np.cumsum([0, *map(len, words)])
+    index = toxicity.Index(ends, terms, np.ones(len(terms)), 64 + 512, 16, 16, 64)
+    assert len(index.entries) < 0.2 * len(terms)
+
+
 def test_scores_equal_plain_ones(spark):
     """Every score anew: dictionaries of words, all cosines, votes, leave-one-out votes, calibration."""
     rng = np.random.default_rng(3)
