@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tesserae.operators.ranking import beside, containing, places
+from tesserae.operators.ranking import beside, containing, listed, lists_met, places
 
 
 def test_places(spark):
@@ -33,3 +33,13 @@ def test_containing_within_a_key(spark):
     needles = spark.createDataFrame([(k, w) for k in "qp" for w in [*words, "77", "zzz"]], "k string, n string")
     got = sorted((r[0], r[1], r[2]) for r in containing(hay, "t", needles, "n", {"k": "k"}).select(hay["k"], "t", "n").collect())
     assert got == sorted((k, t, n) for k, t in [tuple(r) for r in hay.collect()] for n in [*words, "77", "zzz"] if n and n in t)
+
+
+def test_lists_of_a_hot_key_are_short_and_lose_no_row(spark):
+    left = spark.range(0, 5000, 1, 1).selectExpr("if(id % 50 = 0, 'b', 'a') AS k", "if(id = 7, null, id % 2500) AS v").union(spark.sql("SELECT CAST(null AS STRING), 1L"))
+    right = spark.range(0, 300, 1, 1).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 'a', 'c')) AS k", "id AS w")
+    one, other = listed(left, ["k"], ["v"], "vs", 100), listed(right, ["k"], ["w"], "ws")
+    assert max(r[0] for r in one.selectExpr("size(vs)").collect()) == 100
+    got = lists_met(one, other, ["k"]).select("k", F.inline("vs"), "ws").select("k", "v", F.inline("ws"))
+    want = left.join(right, "k")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and want.count() == 490_000
