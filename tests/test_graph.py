@@ -17,3 +17,16 @@ def test_citations_of_one_key_are_written_by_all_tasks(spark):
         assert sorted((r.src, r.dst, r.matched) for r in got.collect()) == want
         by_task = [r["count"] for r in got.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()]
         assert len(by_task) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(by_task) < 0.6 * len(want)
+
+
+def test_citations_of_one_key_take_little_space(spark, tmp_path):
+    texts = spark.range(0, 200, 1, 1).selectExpr("id", "'law' AS topic", "'see item 3' AS body")
+    nodes = spark.range(0, 60_000, 1, 1).selectExpr("id * 7919 AS id", "'law' AS topic", "'item' AS kind", "3L AS number", "0L AS sub")
+    out = tmp_path / "out"
+    graph.cited_forms(texts, nodes, {"item": "item ([0-9]+)"}).write.parquet(str(out))
+    rows = spark.read.parquet(str(out))
+    by_src = {r.src: (r.n, r.s) for r in rows.groupBy("src").agg(F.count_distinct("dst").alias("n"), F.sum("dst").alias("s")).collect()}
+    total = 7919 * sum(range(60_000))
+    assert by_src == {i: (60_000, total) if i else (59_999, total) for i in range(200)}  # text 0 doesn't cite itself
+    size = sum(p.stat().st_size for p in out.glob("*.parquet"))
+    assert size / rows.count() < 0.45, size / rows.count()  # bytes a row
